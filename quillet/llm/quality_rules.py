@@ -115,18 +115,18 @@ def measures(docs: DataFrame) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words beside the columns of ``docs``."""
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
     staged = _with_windows(_base(docs))
-    out = staged.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.col("_word_chars").cast("long"),
-            "n_symbols": F.col("_n_symbols").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.col("_repeat").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_stop_words": F.size(F.expr(f"filter(_words, x -> lower(x) IN ({stop}))")).cast("long"),
-        }
-    )
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in docs.columns])
+    made = {
+        "n_words": F.size("_words"),
+        "word_chars": F.col("_word_chars"),
+        "n_symbols": F.col("_n_symbols"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.col("_repeat"),
+        "n_lines": F.size("_lines"),
+        "n_stop_words": F.size(F.expr(f"filter(_words, x -> lower(x) IN ({stop}))")),
+    }
+    # Filters must not be pushed below this point: the arrays would be made anew wherever they are named.
+    measured = F.struct(*[c.cast("long").alias(name) for name, c in made.items()])
+    return staged.select(*docs.columns, F.explode(F.array(measured)).alias("_m")).select(*docs.columns, "_m.*")
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
