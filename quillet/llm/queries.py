@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, license_scan, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import block_naming, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import documents
 
 
@@ -43,6 +43,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_suffix_dedup,
         op7_exact_dedup,
         op8_toxicity,
+        op9_lm_scoring,
         op10_quality_rules,
     )
     return {f.__name__: f for f in named}
