@@ -97,15 +97,17 @@ def min_max(ranked: DataFrame) -> DataFrame:
 
 def rrf(legs: dict[str, DataFrame], weights: dict[str, float], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of legs (query_id, vec_id, rank), over the best that legs with rows allow (RET-6)."""
+    # Joined leg by leg rather than stacked: the legs are already partitioned by query, and a join keeps them aligned.
     rows = None
     for name, leg in legs.items():
-        one = leg.select("query_id", "vec_id", (F.lit(weights[name]) / (k + F.col("rank"))).alias("part"), F.lit(weights[name] / (k + 1)).alias("most"), F.lit(name).alias("leg"))
-        rows = one if rows is None else rows.unionByName(one)
-    # Legs may each be partitioned by query already; deal them anew so that a query's legs surely meet.
-    rows = rows.repartition("query_id")
-    limit = rows.select("query_id", "leg", "most").distinct().groupBy("query_id").agg(F.sum("most").alias("limit"))
-    fused = rows.groupBy("query_id", "vec_id").agg(F.sum("part").alias("raw")).join(limit, "query_id")
-    scored = fused.select("query_id", "vec_id", F.least(F.lit(1.0), F.col("raw") / F.col("limit")).alias("fused"))
+        one = leg.select("query_id", "vec_id", (F.lit(weights[name]) / (k + F.col("rank"))).alias(f"_{name}"))
+        rows = one if rows is None else rows.join(one, ["query_id", "vec_id"], "full_outer")
+    query = W.partitionBy("query_id")
+    raw, limit = F.lit(0.0), F.lit(0.0)
+    for name in legs:
+        raw = raw + F.coalesce(F.col(f"_{name}"), F.lit(0.0))
+        limit = limit + F.coalesce(F.max(F.when(F.col(f"_{name}").isNotNull(), weights[name] / (k + 1))).over(query), F.lit(0.0))
+    scored = rows.select("query_id", "vec_id", F.least(F.lit(1.0), raw / limit).alias("fused"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("fused", 12)), "vec_id")))
 
 

@@ -158,10 +158,10 @@ def statements() -> dict[str, str]:
         "txt_09_page_numbers": r"""SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '(?i)^[\-–—\s]*(?:page\s+)?\d{1,4}(?:\s*[/\-of]+\s*\d{1,4})?[\-–—\s]*$')), chr(10))) AS digest FROM documents""",
         "txt_12_quality": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
             m AS (SELECT doc_id, length(t) AS n, length(t) - length(regexp_replace(t, '[\p{L}\p{Nd}\s]', '', 'g')) AS a, len(regexp_extract_all(t, '\S+')) AS w, length(regexp_replace(t, '\s', '', 'g')) AS c FROM t),
-            p AS (SELECT doc_id, round(CASE WHEN n = 0 THEN 0 WHEN n < 80 THEN n / 80 * 0.3::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (n - 80) / 1920) END, 6) AS length_score,
-              round(CASE WHEN n = 0 THEN 0 ELSE a / n END, 6) AS alnum_score,
-              round(CASE WHEN n = 0 THEN 0 ELSE greatest(0.0::DOUBLE, 1 - CASE WHEN c / w < 2 THEN 2 - c / w WHEN c / w > 10 THEN c / w - 10 ELSE 0 END / 10) END, 6) AS word_score FROM m)
-            SELECT *, CASE WHEN length_score > 0 THEN round(100 * (0.3::DOUBLE * length_score + 0.3::DOUBLE * alnum_score + 0.2::DOUBLE * word_score + 0.05::DOUBLE + 0.1::DOUBLE), 5) ELSE 0 END AS score FROM p""",
+            p AS (SELECT doc_id, (CASE WHEN n = 0 THEN 0 WHEN n < 80 THEN n / 80 * 0.3::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (n - 80) / 1920) END) AS length_score,
+              (CASE WHEN n = 0 THEN 0 ELSE a / n END) AS alnum_score,
+              (CASE WHEN n = 0 THEN 0 ELSE greatest(0.0::DOUBLE, 1 - CASE WHEN c / w < 2 THEN 2 - c / w WHEN c / w > 10 THEN c / w - 10 ELSE 0 END / 10) END) AS word_score FROM m)
+            SELECT *, CASE WHEN length_score > 0 THEN round(100 * (0.3::DOUBLE * length_score + 0.3::DOUBLE * alnum_score + 0.2::DOUBLE * word_score + 0.05::DOUBLE + 0.1::DOUBLE), 3) ELSE 0 END AS score FROM p""",
         "doc_01_dedup": "WITH f AS (SELECT doc_id, lang, sha256(coalesce(text, '')) AS checksum FROM documents) SELECT *, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies, CASE WHEN doc_id = min(doc_id) OVER w THEN 'INDEXED' ELSE 'SKIPPED_DUPLICATE' END AS status FROM f WINDOW w AS (PARTITION BY lang, checksum)",
         "doc_02_versions": "SELECT doc_id, lang, source, CAST(row_number() OVER w AS INT) AS version, lag(doc_id) OVER w AS supersedes_id, lead(doc_id) OVER w AS superseded_by, CASE WHEN lead(doc_id) OVER w IS NULL THEN 'INDEXED' ELSE 'SUPERSEDED' END AS status FROM documents WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)",
         "doc_07_count_by_spec": "SELECT label % 2 AS tenant, label AS spec, count(*) AS vectors FROM embeddings GROUP BY ALL",

@@ -158,9 +158,9 @@ def txt_09_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.load(spark, sf_dir, "documents")
     parts = T.quality_parts(F.col("text"))
-    staged = docs.select("doc_id", *[F.round(c, 6).alias(n) for n, c in parts.items()])
+    staged = docs.select("doc_id", *[c.alias(n) for n, c in parts.items()])
     made = {n: F.col(n) for n in parts}
-    return staged.withColumn("score", F.round(T.quality_score(made, F.lit(False), F.lit(True)), 5))
+    return staged.withColumn("score", F.round(T.quality_score(made, F.lit(False), F.lit(True)), 3))
 
 
 def doc_01_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
