@@ -46,7 +46,11 @@ def snippet(text: Column, width: int = 240) -> Column:
 def stop_word_counts(text: Column) -> list[Column]:
     """Occurrences of each language's stop words in the first 4,000 characters."""
     words = F.regexp_extract_all(F.lower(F.substring(text, 1, 4000)), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))
-    return [F.size(F.filter(words, lambda w, s=stops: w.isin(*s.split()))).alias(f"n_{lang}") for lang, stops in STOP_WORDS.items()]
+
+    def among(stops: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*stops.split())))
+
+    return [among(stops).alias(f"n_{lang}") for lang, stops in STOP_WORDS.items()]
 
 
 def detect_latin_language(counts: str = "n_") -> Column:
