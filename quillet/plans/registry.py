@@ -13,7 +13,7 @@ from ..operators import duplicates as U
 from ..operators import fraud, lifecycle, policy
 from ..operators import vectors as V
 from ..sources import tables
-from . import oracle
+from . import claims, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,8 +231,8 @@ _PLAIN = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _PLAIN}
+    return {f.__name__: f for f in (*_PLAIN, *claims.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | claims.SQL
