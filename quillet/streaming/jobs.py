@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.lifecycle import EDGES
 
 
 def stream_dedup(docs: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -33,3 +39,27 @@ def stream_cross_employee(a: DataFrame, b: DataFrame, delay: str = "1 day") -> D
     same = (F.col("a.vendor") == F.col("b.vendor")) & (F.col("a.amount_usd") == F.col("b.amount_usd")) & (F.col("a.employee_id") != F.col("b.employee_id"))
     near = F.expr("b.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts")
     return left.join(right, same & near).select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other_id"))
+
+
+_MOVES = "claim_id long, event_id long, from_status string, to_status string, accepted boolean"
+
+
+def stream_transitions(moves: DataFrame) -> DataFrame:
+    """Moves (claim_id, event_id, to_status) against each claim's last accepted status, kept as state (STR-2).
+
+    A claim begins as Draft; a move along a legal edge is accepted and changes the state,
+    any other is reported and does not.  Moves of one batch are taken by event_id.
+    """
+    edges = {(a, b) for a, many in EDGES.items() for b in many}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else "Draft"
+        rows = []
+        for event_id, to in sorted(r for b in batches for r in zip(b.event_id, b.to_status, strict=True)):
+            ok = (last, to) in edges
+            rows.append((key[0], event_id, last, to, ok))
+            last = to if ok else last
+        state.update((last,))
+        yield pd.DataFrame(rows, columns=["claim_id", "event_id", "from_status", "to_status", "accepted"])
+
+    return moves.groupBy("claim_id").applyInPandasWithState(run, _MOVES, "status string", "append", GroupStateTimeout.NoTimeout)
