@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,15 +88,23 @@ def multi_receipt(items: DataFrame, days: int = U.WINDOW_DAYS) -> DataFrame:
     """(item_id, parts): the smallest set of two or more siblings whose amounts give the item's, within a cent (DUP-10).
 
     Siblings are the first ``SIBLINGS`` by day and id among the other items of the same
-    employee and vendor at most ``days`` away, as the rule has it.
+    employee and vendor at most ``days`` away, as the rule has it.  These are among
+    the first ``SIBLINGS`` + 1 of each day, so only those are listed and days, not
+    items, meet: however often a vendor is used, no list grows past that number.
     """
-    width = days + 1
-    keyed = items.select("item_id", "employee_id", "vendor", "expense_date", (F.col("amount_usd") * 100).cast("long").alias("cents"), F.floor(F.datediff("expense_date", F.lit("1970-01-01")) / width).alias("bucket"))
-    near = keyed.select("employee_id", "vendor", F.col("item_id").alias("other_id"), F.col("expense_date").alias("day"), F.col("cents").alias("part"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    met = keyed.join(near, ["employee_id", "vendor", "bucket"]).filter((F.col("item_id") != F.col("other_id")) & (F.abs(F.datediff("expense_date", "day")) <= days))
-    first = F.slice(F.sort_array(F.collect_list(F.struct("day", "other_id", "part"))), 1, SIBLINGS)
-    held = met.groupBy("item_id", "cents").agg(first.alias("s"))
-    parts = _parts("cents", F.transform("s", lambda x: x["part"]), F.transform("s", lambda x: x["other_id"]))
+    key = ["employee_id", "vendor"]
+    keyed = items.select("item_id", *key, "expense_date", (F.col("amount_usd") * 100).cast("long").alias("cents"))
+    nth = F.row_number().over(W.partitionBy(*key, "expense_date").orderBy("item_id"))
+    early = keyed.withColumn("_n", nth).filter(F.col("_n") <= SIBLINGS + 1)
+    lists = early.groupBy(*key, "expense_date").agg(F.sort_array(F.collect_list(F.struct("item_id", "cents"))).alias("l"))
+    bucket = F.floor(F.datediff("expense_date", F.lit("1970-01-01")) / (days + 1))
+    own = lists.select(*key, "expense_date", bucket.alias("b"))
+    near = lists.select(*key, F.col("expense_date").alias("day"), "l", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+    met = own.join(near, [*key, "b"]).filter(F.abs(F.datediff("expense_date", "day")) <= days)
+    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("day", "l"))), lambda x: x["l"]))
+    around = met.groupBy(*key, "expense_date").agg(F.slice(ordered, 1, SIBLINGS + 1).alias("s"))
+    held = keyed.join(around, [*key, "expense_date"]).withColumn("s", F.slice(F.filter("s", lambda x: x["item_id"] != F.col("item_id")), 1, SIBLINGS))
+    parts = _parts("cents", F.transform("s", lambda x: x["cents"]), F.transform("s", lambda x: x["item_id"]))
     return held.filter(F.size("s") > 1).select("item_id", parts.alias("parts")).filter("parts IS NOT NULL")
 
 
