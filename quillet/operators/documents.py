@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.folding import normalize_text
+from ..functions.text import detect_latin_language, estimate_tokens, stop_word_counts, strip_page_numbers
 
 
 def dedup_documents(docs: DataFrame, keys: tuple[str, ...] = ("lang",)) -> DataFrame:
@@ -69,3 +70,32 @@ def delete_by_document(vectors: DataFrame, ids: DataFrame, spec: str | None = No
     gone = vectors.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     gone = gone if spec is None else gone.filter(F.col("spec") == spec)
     return vectors.join(gone.select("chunk_id", "spec"), ["chunk_id", "spec"], "left_anti").select(vectors.columns)
+
+
+def document_language(sections: DataFrame, least: int = 12) -> DataFrame:
+    """(doc_id, language): the language of most characters over sections long enough, else that of the whole text (TXT-8)."""
+
+    def detected(df: DataFrame) -> DataFrame:
+        counts = df.select("doc_id", "text", *stop_word_counts(F.col("text")))
+        return counts.select("doc_id", detect_latin_language().alias("language"), F.length("text").alias("size"))
+
+    votes = detected(sections.filter(F.length("text") >= least)).filter("language IS NOT NULL").groupBy("doc_id", "language").agg(F.sum("size").alias("size"))
+    voted = votes.groupBy("doc_id").agg(F.max_by("language", F.struct("size", "language")).alias("voted"))
+    # A document's sections are its own text again, so a group is no larger than one document.
+    whole = sections.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    both = detected(whole).join(voted, "doc_id", "left")
+    return both.select("doc_id", F.coalesce("voted", "language").alias("language"))
+
+
+def strip_boilerplate(sections: DataFrame) -> DataFrame:
+    """Sections without the lines that most of their document's sections share (TXT-10)."""
+    gone = boilerplate_lines(sections).select("doc_id", F.col("line").alias("_key"))
+    lines = sections.select("doc_id", "section", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line")).withColumn("_key", F.lower(F.trim("_line")))
+    left = lines.join(gone, ["doc_id", "_key"], "left_anti").groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("_at", "_line"))).alias("_l"))
+    return left.select("doc_id", "section", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("text"))
+
+
+def clean_sections(sections: DataFrame) -> DataFrame:
+    """Page numbers, then boilerplate, then typography; sections left empty are dropped (TXT-11)."""
+    bare = sections.select("doc_id", "section", strip_page_numbers(F.col("text")).alias("text"))
+    return strip_boilerplate(bare).withColumn("text", normalize_text("text")).filter(F.col("text") != "")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import duplicates as U
+from .vectors import cosine
 
 SIBLINGS, LEAST_TEXT = 12, 8
 NEAR, HASH_FIRES, TEXT_FIRES = 0.80, 0.90, 0.85
@@ -130,3 +131,9 @@ def scan_duplicates(fp: DataFrame) -> DataFrame:
     score = F.greatest(F.when(fired["EXACT"], 1.0), F.when(fired["INVOICE"], F.col("invoice")), F.when(fired["IMAGE"], F.col("hash")), F.when(fired["CROSS_EMPLOYEE"], 1.0), F.when(F.col("near") > 0, F.col("near")), F.lit(0.0))
     name = F.when(F.col("score") >= 0.95, "CONFIRMED").when(F.col("score") >= 0.75, "LIKELY").when(F.col("score") > 0, "POSSIBLE").otherwise("NO_MATCH")
     return near.withColumn("flags", flags).withColumn("score", F.round(score, 6)).withColumn("verdict", name)
+
+
+def embedding_signal(fp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """item_id with its best cosine over its candidates; ``fp`` has item_id and embedding (DUP-6)."""
+    scored = with_both(fp, pairs).filter("a.embedding IS NOT NULL AND b.embedding IS NOT NULL").select("item_id", cosine(F.col("a.embedding"), F.col("b.embedding")).alias("c"))
+    return scored.groupBy("item_id").agg(F.max("c").alias("embedding"))

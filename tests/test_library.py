@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.operators import documents as D
 from quillet.operators import library as L
 from quillet.operators import receipts
 from quillet.streaming import jobs
@@ -60,3 +61,17 @@ def test_transition_stream(spark, tmp_path):
     query = jobs.stream_transitions(stream).writeStream.format("memory").queryName("moves").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.event_id, r.from_status, r.accepted) for r in spark.table("moves").collect()} == {(1, "Draft", True), (2, "Submitted", False), (3, "Submitted", True), (4, "Draft", False)}
+
+
+def test_clean_sections_and_language(spark):
+    rows = [(1, k, f"Head er\nthe policy and the employee {k}\n{k + 1}") for k in range(4)] + [(2, 0, "der die"), (2, 1, None), (3, 0, "Page 3")]
+    sections = spark.createDataFrame(rows, "doc_id long, section int, text string")
+    cleaned = {(r.doc_id, r.section): r.text for r in D.clean_sections(sections).collect()}
+    assert cleaned == {(1, k): f"the policy and the employee {k}" for k in range(4)} | {(2, 0): "der die"}
+    assert {r.doc_id: r.language for r in D.document_language(sections).collect()} == {1: "en", 2: "de", 3: None}
+
+
+def test_embedding_signal(spark):
+    fp = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None)], "item_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(1, 2), (3, 1)], "item_id long, other_id long")
+    assert [(r.item_id, round(r.embedding, 6)) for r in receipts.embedding_signal(fp, pairs).collect()] == [(1, 0.6)]
