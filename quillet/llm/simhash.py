@@ -91,9 +91,9 @@ def _filed(prints: DataFrame, blocks: int) -> DataFrame:
 
 def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links within ``BITS`` that connect whatever the group's links connect."""
-    if len(prints) == 2:
-        return [(int(prints[0]), int(prints[1]))] if np.bitwise_count(prints[0] ^ prints[1]) <= BITS else []
-    links, left = [], prints.view(np.uint64)
+    links, left = [], prints.view(np.uint64)  # bitwise_count of a signed number counts the bits of its absolute value
+    if len(left) == 2:
+        return [(int(prints[0]), int(prints[1]))] if np.bitwise_count(left[0] ^ left[1]) <= BITS else []
     while len(left):
         found, left = [left[0]], left[1:]
         while found and len(left):

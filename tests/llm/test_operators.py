@@ -106,6 +106,25 @@ def test_simhash(docs, group):
         assert (r.fingerprint, r.component_id) == (format(prints[r.doc_id], "016x"), min(reach[r.doc_id]))
 
 
+@pytest.mark.parametrize("group", [2048, 1])
+def test_simhash_links_of_two(spark, group):
+    """Pairs that meet nobody else, with the sign bit among the differing bits; the last ones are too far apart."""
+    near = [(63,), (63, 0), (63, 1), (63, 0, 1), (63, 5, 40), (62, 63, 3), (0, 1, 2)]
+    far = [(63, 0, 1, 2), tuple(range(3, 64))]
+    rng = np.random.default_rng(7)
+    pairs, expected = [], set()
+    for k, bits in enumerate([*near, *far]):
+        a = int(rng.integers(0, 1 << 62))
+        b = a ^ sum(1 << x for x in bits)
+        pairs += [a, b]
+        if k < len(near):
+            expected.add(frozenset((a, b)))
+    signed = np.array(pairs, np.uint64).view(np.int64).tolist()
+    assert all((x ^ y).bit_count() > 3 for x in pairs for y in pairs if x != y and frozenset((x, y)) not in expected)
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), group=group).collect()
+    assert {frozenset(x % (1 << 64) for x in (r.a, r.b)) for r in got} == expected
+
+
 def test_simhash_agrees_with_spark_hash(spark):
     from pyspark.sql import functions as F
 
