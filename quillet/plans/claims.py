@@ -118,7 +118,7 @@ def aud_06_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a tree: event n under event n / 2."""
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     spans = _events(spark, sf_dir).select(F.col("user_id").alias("trace_id"), n.alias("span_id"))
-    return C.flatten_spans(spans.withColumn("parent_id", F.when(F.col("span_id") > 1, F.floor(F.col("span_id") / 2).cast("long"))), 10)
+    return C.flatten_spans(spans.withColumn("parent_id", F.when(F.col("span_id") > 1, F.floor(F.col("span_id") / 2).cast("long"))))
 
 
 def sub_03_validate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text as T
 from quillet.operators import documents as D
-from quillet.operators import fraud, lifecycle, policy
+from quillet.operators import claims, fraud, lifecycle, policy
 from quillet.operators import vectors as V
 from quillet.streaming import jobs
 
@@ -74,3 +74,16 @@ def test_streams(spark, tmp_path):
     query = jobs.stream_metrics(stream).writeStream.format("memory").queryName("metrics").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.runs for r in spark.table("metrics").collect()) == [1, 2]
+
+
+def test_spans_of_any_depth(spark):
+    """A chain of 31 spans, a heap of 5,000 and a span under a missing parent."""
+    up = {(1, k): k - 1 or None for k in range(1, 32)} | {(2, k): k // 2 or None for k in range(1, 5001)}
+    spans = spark.createDataFrame([(t, n, p) for (t, n), p in up.items()] + [(3, 2, 9)], "trace_id long, span_id long, parent_id long")
+    got = claims.flatten_spans(spans.repartition(3)).collect()
+
+    def path(t, n):
+        return [*(path(t, up[t, n]) if up[t, n] else []), f"{n:012}"]
+
+    assert sorted((r.trace_id, r.span_id, r.depth, r.path) for r in got) == sorted((t, n, len(path(t, n)) - 1, "/".join(path(t, n))) for t, n in up)
+    assert claims.flatten_spans(spans.limit(0)).count() == 0
