@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WINDOW_DAYS, NEWEST = 7, 200
+WINDOW_DAYS = 7
 CLOSED = ("Rejected", "Withdrawn")
 
 
@@ -32,9 +32,11 @@ def with_keys(items: DataFrame) -> DataFrame:
     return items.withColumns({"vendor": normalize_vendor(F.col("merchant_vendor")), "checksum": checksum()})
 
 
-def candidate_pairs(fp: DataFrame, days: int = WINDOW_DAYS, newest: int | None = NEWEST) -> DataFrame:
+def candidate_pairs(fp: DataFrame, days: int = WINDOW_DAYS, newest: int | None = None) -> DataFrame:
     """(item_id, other_id): same vendor, days apart at most, other claim, seen earlier (DUP-1).
 
+    All of them, as signals and verdicts need; ``newest`` keeps an item's so many newest partners.
+
     A range join made an equi-join: each item is filed under the bucket of
     ``days + 1`` days that holds its date, its partner under that bucket and both
     neighbours, so a vendor is split by date and only near rows meet.

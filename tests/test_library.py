@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.operators import documents as D
+from quillet.operators import duplicates as U
 from quillet.operators import library as L
 from quillet.operators import receipts
 from quillet.streaming import jobs
@@ -75,3 +76,13 @@ def test_embedding_signal(spark):
     fp = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None)], "item_id long, embedding array<double>")
     pairs = spark.createDataFrame([(1, 2), (3, 1)], "item_id long, other_id long")
     assert [(r.item_id, round(r.embedding, 6)) for r in receipts.embedding_signal(fp, pairs).collect()] == [(1, 0.6)]
+
+
+def test_verdict_of_a_hot_vendor(spark):
+    """An identical receipt of the item's own day stays found behind 250 later ones."""
+    rows = [(1, 1, "Hot", "2026-01-05", 90.0, "N1")] + [(k, k, "Hot", "2026-01-08", float(k), f"X{k}") for k in range(2, 252)] + [(999, 999, "Hot", "2026-01-05", 90.0, "N1")]
+    items = spark.createDataFrame(rows, "item_id long, claim_id long, merchant_vendor string, d string, a double, invoice_number string")
+    fp = U.with_keys(items.selectExpr("item_id", "claim_id", "merchant_vendor", "cast(d as date) expense_date", "cast(a as decimal(14,2)) amount_usd", "invoice_number"))
+    last = U.verdict(U.pair_signals(fp, U.candidate_pairs(fp))).filter("item_id = 999").first()
+    assert (last.exact, last.invoice, last.candidates, last.verdict) == (1, 1.0, 251, "CONFIRMED")
+    assert U.candidate_pairs(fp, newest=200).filter("item_id = 999").count() == 200
