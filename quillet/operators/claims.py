@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import cut
+
 QUEUE = ("Manager_Review", "Finance_Review", "Flagged_Fraud")
 MAX_OFFSET, MAX_PAGE = 10_000, 500
 
@@ -144,14 +145,6 @@ def inference_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("operation", "status").agg(F.count("*").alias("runs"), F.sum("tokens").alias("tokens"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names or, where it is unset, a new one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def flatten_spans(spans: DataFrame, every: int = 4) -> DataFrame:
     """Spans (trace_id, span_id, parent_id) with depth and a path that sorts depth first (AUD-6).
 
@@ -159,7 +152,7 @@ def flatten_spans(spans: DataFrame, every: int = 4) -> DataFrame:
     levels are checkpointed, so plans stay small at any depth.  Span ids are unique in
     their trace; spans under a missing parent raise no row.
     """
-    spans = _cut(spans.select("trace_id", "span_id", "parent_id").repartition("trace_id", "parent_id"))
+    spans = cut(spans.select("trace_id", "span_id", "parent_id").repartition("trace_id", "parent_id"))
     step = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     level = spans.filter("parent_id IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"), step("span_id").alias("path"))
     out, depth = [], 0
@@ -169,7 +162,7 @@ def flatten_spans(spans: DataFrame, every: int = 4) -> DataFrame:
             up = levels[-1].select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_up"))
             below = spans.join(up, ["trace_id", "parent_id"])
             levels.append(below.select("trace_id", "span_id", F.lit(k).alias("depth"), F.concat_ws("/", "_up", step("span_id")).alias("path")))
-        some = _cut(reduce(DataFrame.unionByName, levels))
+        some = cut(reduce(DataFrame.unionByName, levels))
         depth += every
         out.append(some.filter(F.col("depth") < depth))
         level = some.filter(F.col("depth") == depth)

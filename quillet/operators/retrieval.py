@@ -1,9 +1,8 @@
 """Retrieval for many queries at once: legs, scope, reranking, compression, context (RET-*).
 
-A leg takes the queries as a bounded, checked set: they are broadcast as an inverted
+A leg takes the queries in bounded blocks: each is broadcast as an inverted
 index, the chunks are scanned where they lie, and each Arrow batch keeps its own
 best ``n`` per query, so the shuffle carries at most n rows per query and batch.
-Larger query sets are run in blocks.
 """
 
 from __future__ import annotations
@@ -14,13 +13,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.folding import normalize_for_matching, sentences
 from ..functions.text import estimate_tokens
 from . import vectors as V
+from .blocks import in_blocks
 from .chunking import count, hashed
 
 MAX_QUERIES = 20_000
@@ -56,10 +57,11 @@ def cover_density(places: dict[str, list[int]]) -> float:
 
 
 def _leg(queries: DataFrame, chunks: DataFrame, n: int, index: Callable, best: Callable) -> DataFrame:
-    rows = [(r["query_id"], r["query"]) for r in queries.select("query_id", "query").limit(MAX_QUERIES + 1).collect()]
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
-    shared = chunks.sparkSession.sparkContext.broadcast(index(rows))
+    return in_blocks(queries.select("query_id", "query"), MAX_QUERIES, lambda rows: _leg_of(rows, chunks, n, index, best))
+
+
+def _leg_of(rows: list[Row], chunks: DataFrame, n: int, index: Callable, best: Callable) -> tuple[DataFrame, Broadcast]:
+    shared = chunks.sparkSession.sparkContext.broadcast(index([(r["query_id"], r["query"]) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -74,7 +76,7 @@ def _leg(queries: DataFrame, chunks: DataFrame, n: int, index: Callable, best: C
 
     hits = chunks.select("vec_id", "text").mapInArrow(run, _LEG)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= n), shared
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
+
 MAX_QUERIES = 20_000
 
 
@@ -50,13 +53,13 @@ def centroids(vectors: DataFrame, key: str = "label") -> DataFrame:
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact top ``k`` by cosine for each query (query_id, embedding) (EMB-6).
 
-    The query set is checked to be at most ``MAX_QUERIES`` and broadcast; larger sets
-    are to be run in blocks.  Each Arrow batch keeps its own best ``k`` per query,
-    so the shuffle carries k rows per query and batch.
+    The query set is broadcast, in blocks of at most ``MAX_QUERIES``.  Each Arrow batch
+    keeps its own best ``k`` per query, so the shuffle carries k rows per query and batch.
     """
-    rows = queries.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
+    return in_blocks(queries.toDF("query_id", "embedding"), MAX_QUERIES, lambda rows: _knn(rows, vectors, k))
+
+
+def _knn(rows: list[Row], vectors: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
     ids = np.array([r[0] for r in rows])
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in rows], np.float64))))
@@ -79,7 +82,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
 
     found = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k), shared
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

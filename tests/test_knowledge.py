@@ -11,6 +11,7 @@ from quillet.operators import chunking, parsing, pii
 from quillet.operators import claims as C
 from quillet.operators import retrieval as R
 from quillet.operators import travel
+from quillet.operators import vectors as V
 
 TEXT = "One two three. Four five six seven! Eight?\n\nNine ten, Mr. Eleven pays 1.50 now. Twelve."
 
@@ -140,3 +141,24 @@ def test_pages_are_bounded(spark):
     assert [r.event_id for r in C.search_audit(logs, offset=1, limit=2).collect()] == [3, 2]
     with pytest.raises(ValueError):
         C.search_audit(logs, limit=501)
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    """Seven queries, two at a time, give the rows of one pass; so do the legs joined afterwards."""
+    texts = ["red taxi to the station", "hotel near the station", "late dinner with a client", "taxi receipt lost", "dinner receipt", "red hotel", "client taxi"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    chunks = spark.createDataFrame([(k, f"{a} and {b}") for k, (a, b) in enumerate((a, b) for a in texts for b in texts)], "vec_id long, text string").repartition(3)
+    vectors = R.embed_hash(chunks).select("vec_id", "embedding")
+    asked = R.embed_hash(queries.select("query_id", F.col("query").alias("text"))).select("query_id", "embedding")
+
+    def run():
+        legs = {"lexical": R.lexical_leg(queries, chunks, 4), "trigram": R.trigram_search(queries, chunks, 4), "dense": V.knn(asked, vectors, 4)}
+        fused = V.rrf({k: v.select("query_id", "vec_id", "rank") for k, v in legs.items()}, {"lexical": 0.4, "trigram": 0.2, "dense": 0.4})
+        return [sorted(map(tuple, x.collect())) for x in (*legs.values(), fused.withColumn("fused", F.round("fused", 9)), V.min_max(legs["dense"]))]
+
+    whole = run()
+    monkeypatch.setattr(R, "MAX_QUERIES", 2)
+    monkeypatch.setattr(V, "MAX_QUERIES", 2)
+    assert run() == whole and {r[0] for r in whole[2]} == set(range(7))
+    with pytest.raises(ValueError):
+        R.trigram_search(queries.withColumn("query_id", F.lit(1)), chunks)
