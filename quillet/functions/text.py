@@ -44,8 +44,8 @@ def snippet(text: Column, width: int = 240) -> Column:
 
 
 def stop_word_counts(text: Column) -> list[Column]:
-    """Occurrences of each language's stop words in the first 4,000 characters."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, 1, 4000)), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))
+    """Occurrences of each language's stop words in the whole text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))
 
     def among(stops: str) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*stops.split())))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-MAX_DEPTH, MAX_ROWS = 20, 5_000
+MAX_DEPTH = 20
 _SECTIONS = "array<struct<level:int,heading:string,path:array<string>,text:string>>"
 
 
@@ -132,8 +132,6 @@ def csv_lines(text: str | None) -> str | None:
     for row in csv.reader(io.StringIO(text)):
         if any(c.strip() for c in row):
             out.append("\t".join(c.strip() for c in row))
-        if len(out) >= MAX_ROWS:  # the reader's documented cap per file
-            break
     return "\n".join(out)
 
 

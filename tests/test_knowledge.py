@@ -162,3 +162,23 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert run() == whole and {r[0] for r in whole[2]} == set(range(7))
     with pytest.raises(ValueError):
         R.trigram_search(queries.withColumn("query_id", F.lit(1)), chunks)
+
+
+def test_whole_texts_are_read(spark):
+    """Whole benchmark texts against brute force, CSV rows after 5,000, and stop words after 4,000 characters."""
+    from quillet.functions import text as T
+    from quillet.plans import knowledge as K
+
+    folder = "/root/testdata/sf0.001"
+    queries = {r.item_id: r.text for r in K.tables.load(spark, folder, "benchmark").collect()}
+    lines = [(r.vec_id, R.trigrams(r.text)) for r in K._paragraphs(spark, folder).collect()]
+    want = set()
+    for q, text in queries.items():
+        g = R.trigrams(text)
+        want |= {(q, v) for _, v in sorted((-round(len(g & x) / len(g | x), 9), v) for v, x in lines if len(g & x) / max(len(g | x), 1) > R.SIMILAR)[:50]}
+    lexical = {r.query_id for r in K.ret_01_lexical(spark, folder).collect()}
+    got = {(r.query_id, r.vec_id) for r in K.ret_03_leg(spark, folder).collect() if r.query_id not in lexical}
+    assert got == {x for x in want if x[0] not in lexical} and got
+    assert parsing.csv_lines("a,b\n" * 6000).count("a\tb") == 6000
+    long = spark.createDataFrame([("zzz " * 2000 + "the and of the and",)], "t string").select(*T.stop_word_counts(F.col("t")))
+    assert sum(long.first().asDict().values()) > 0
