@@ -21,14 +21,15 @@ How it runs on Spark
 * Each level is checkpointed: names are never computed twice.  There are
   log2(longest text / block) levels, and only the documents that still have two
   names or more take part in one.
-* Joins on names may have hot keys; both sides are plain shuffles, which
-  adaptive execution splits.
+* A group of copies that holds more than a thousandth of all rows would be a hot
+  key when rows look up their group.  There are at most ``HOT_GROUPS`` of these, so
+  they are broadcast and the others are joined.
 
 Edge cases: a null text is an empty one and all empty texts are equal; a
-repeated row is a copy like any other, but rows under one ``doc_id`` that
-equal the kept row are all marked kept; a null ``doc_id`` comes last among ties;
-extra columns are ignored, whatever their names; an empty table gives an empty
-result.
+repeated row is a copy like any other and exactly one row of a group is kept,
+also where rows share a doc_id; a null ``doc_id`` comes last among ties; extra
+columns are ignored by ``exact_groups`` and kept by ``drop_exact_copies``, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_or_empty
+from .common import SPACE, cut, text_or_empty, with_row_ids
 
 BLOCK_CHARS = 4096
+#: As many groups at most are broadcast: those of more than 1 / HOT_GROUPS of all rows.
+HOT_GROUPS = 1000
 
 
 def squeezed(text: Column) -> Column:
@@ -87,33 +90,33 @@ def _last_names(named: DataFrame) -> DataFrame:
     return out
 
 
-def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, key=_routing_key) -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, n_code_points, text_sha256, n_blocks, name.
+def name_rows(rows: DataFrame, block_chars: int = BLOCK_CHARS, key=_routing_key) -> DataFrame:
+    """rid, doc_id, n_code_points, text_sha256, n_blocks, name of every row (rid, doc_id, text).
 
-    (n_blocks, name) is the collision-free identity of the squeezed text; rid
-    tells repeated rows apart.  ``key`` routes blocks to their names and need
-    not be free of collisions.
+    (n_blocks, name) is the collision-free identity of the squeezed text.
+    ``key`` routes blocks to their names and need not be free of collisions.
     """
-    source = docs.select("doc_id", text_or_empty().alias("text"))
-    bare = source.select("doc_id", F.length("text").alias("n_code_points"), squeezed(F.col("text")).alias("bare"))
+    source = rows.select("rid", "doc_id", text_or_empty().alias("text"))
+    bare = source.select("rid", "doc_id", F.length("text").cast("long").alias("n_code_points"), squeezed(F.col("text")).alias("bare"))
     blocks = F.when(F.col("bare") == "", F.array(F.lit(""))).otherwise(
         F.regexp_extract_all("bare", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     )
-    rows = bare.select(
-        F.monotonically_increasing_id().alias("rid"),
-        "doc_id",
-        F.col("n_code_points").cast("long").alias("n_code_points"),
-        F.sha2(F.encode("bare", "UTF-8"), 256).alias("text_sha256"),
-        blocks.alias("blocks"),
-    )
-    placed = rows.select("*", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block")).drop("blocks")
+    digest = F.sha2(F.encode("bare", "UTF-8"), 256)
+    cut_up = bare.select("rid", "doc_id", "n_code_points", digest.alias("text_sha256"), blocks.alias("blocks"))
+    placed = cut_up.select("*", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
     first = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)  # noqa: E731  a document's own values ride on its first block
-    placed = placed.select("rid", first("doc_id"), first("n_code_points"), first("text_sha256"), "n_blocks", "pos", "block", key(F.col("block")).alias("key"))
-    named = _first_names(placed)
+    own = [first(c) for c in ("doc_id", "n_code_points", "text_sha256")]
+    named = _first_names(placed.select("rid", *own, "n_blocks", "pos", "block", key(F.col("block")).alias("key")))
     own = named.filter("pos = 0").drop("pos")
     return own.filter("n_blocks = 1").unionByName(own.filter("n_blocks > 1").drop("name").join(_last_names(named), "rid"))
 
 
+def _groups(named: DataFrame) -> DataFrame:
+    """n_blocks, name, group_size and best: the row that stays."""
+    best = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), "doc_id", "rid")
+    return named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
+
+
 def exact_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
@@ -121,10 +124,14 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
     stays, then the smallest doc_id (null last); of such rows under one doc_id,
     one.
     """
-    named = cut(name_documents(docs, **options))
-    best = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), "doc_id", "rid")
-    groups = named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
-    return named.join(groups, ["n_blocks", "name"]).select(
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    named = cut(name_rows(rows, **options))
+    groups = _groups(named)
+    hot = groups.filter(F.col("group_size") > max(20, named.count() // HOT_GROUPS))
+    by = ["n_blocks", "name"]
+    of_hot = named.join(F.broadcast(hot), by)
+    others = named.join(F.broadcast(hot.select(by)), by, "left_anti").join(groups, by)
+    return of_hot.unionByName(others).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
@@ -134,9 +141,7 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = cut(exact_groups(docs, **options).filter("kept").select("doc_id"))
-    # Rows under one doc_id with different texts stay together; equal ones among them are one row.
-    staying = docs.join(kept.distinct(), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    several = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return staying if several else staying.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay, one per group, with all their columns."""
+    rows = with_row_ids(docs)
+    kept = _groups(name_rows(rows.select("rid", "row.doc_id", "row.text"), **options)).select("best.rid")
+    return rows.join(kept, "rid", "left_semi").select("row.*")

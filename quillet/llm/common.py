@@ -1,8 +1,10 @@
-"""What the operators of this subpackage share: lineage cuts and text pieces."""
+"""What the operators of this subpackage share: lineage cuts, row keys and text pieces."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +19,36 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, made known to Spark where it is not yet."""
+    """The folder that driver and executors share, made known to Spark where it is not yet.
+
+    ``spark.checkpoint.dir`` names it.  Where that is unset, one machine (a test)
+    takes a folder of its own and a cluster the warehouse, which all machines see.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        if not named and re.fullmatch(r"local(\[.*)?", context.master):
+            named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate")
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, the same on every later read."""
+    path = f"{shared_folder(session(df))}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session(df).read.schema(df.schema).parquet(path)
+
+
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """(rid, row): every row of ``docs`` whole under an id of its own.
+
+    Written to the shared folder, so that the ids hold whatever is computed again.
+    Decisions are made per rid, never per doc_id, which may be null or repeated.
+    """
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "rows")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 

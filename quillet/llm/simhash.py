@@ -20,9 +20,11 @@ Inside a group only the links of a spanning forest are emitted, never all pairs.
 
 Components come from ``connected_components``; ids stay in Spark throughout.
 
-Edge cases: null and empty texts have fingerprint zero and are one class; ties
-are broken by the smallest doc_id; rows repeated under one doc_id share their
-component; extra columns are ignored by ``near_duplicates``; an empty table
+Edge cases: null and empty texts have fingerprint zero and are one class; a
+component's id is its smallest doc_id, null where all are null; repeated rows are
+rows of their own, and ``keep_representatives`` keeps exactly one row of each
+component (smallest doc_id, null last, then any one row); extra columns are
+ignored by ``near_duplicates`` and kept by ``keep_representatives``; an empty table
 gives an empty result.
 """
 
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_row_ids
 from .components import connected_components
 
 BITS = 3
@@ -67,13 +69,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch["text"]], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(prints.view(np.int64))], ["rid", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) for every row of ``docs``."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """rid, doc_id and fp (the 64 bits as a long) of every row (rid, doc_id, text)."""
+    narrow = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return narrow.mapInArrow(_fingerprints, "rid long, doc_id long, fp long")
 
 
 def _masks(blocks: int) -> list[int]:
@@ -133,20 +135,29 @@ def links(prints: DataFrame, blocks: int = 5, group: int = GROUP) -> DataFrame:
     return found
 
 
+def _roots(prints: DataFrame, blocks: int, group: int) -> DataFrame:
+    """(fp, root): each distinct fingerprint with the root of its component."""
+    classes = cut(prints.select("fp").distinct())
+    roots = connected_components(links(classes, blocks, group))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, blocks: int = 5, group: int = GROUP) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id for every row of ``docs``."""
-    prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(classes.select("fp"), blocks, group))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = cut(fingerprints(docs.select(F.lit(0).cast("long").alias("rid"), "doc_id", "text")))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    rooted = _roots(prints, blocks, group).join(classes, "fp")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(of_class, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, with all their columns."""
-    kept = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = kept.distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+def keep_representatives(docs: DataFrame, blocks: int = 5, group: int = GROUP) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, with all its columns."""
+    rows = with_row_ids(docs)
+    prints = cut(fingerprints(rows.select("rid", "row.doc_id", "row.text")))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    classes = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    kept = _roots(prints, blocks, group).join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(kept.select("first.rid"), "rid", "left_semi").select("row.*")

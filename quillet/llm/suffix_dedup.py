@@ -12,23 +12,33 @@ Which suffixes have to be sorted
     the others have their surroundings (at most 2 * LENGTH bytes) sent to one
     task per hash.  That is an exact filter: no repeated window is lost.
 
-Deep-shallow sorting
-    A task sorts the suffixes that start at the owned windows: multikey quicksort
-    over words of eight bytes down to ``SHALLOW`` bytes, then blind tries for the
-    groups that still agree.  Suffixes that agree over ``LENGTH`` bytes are one
-    string; all but its earliest place are removed.  Surroundings that are equal
-    as a whole are sorted once.
-
-Scale: the texts are shuffled once (the exchange by document is reused by the
-three steps that need texts), owners travel as three numbers each.  Whole copies of
-a text are found by digest beforehand, so a text that holds a third of the rows
-adds nothing to the sort.  A passage that very many different documents share
-sends its owners, not its documents, to one task: some 150 bytes per occurrence.
+Deep-shallow sorting (``ranks``)
+    Multikey quicksort to a shallow depth: a suffix's character is a word of eight
+    bytes, each group is split in three about a pivot word, and only the middle
+    part goes one word deeper.  All groups of a chunk take each step together, so
+    a step is a few numpy passes.  Groups that still agree after ``SHALLOW`` bytes
+    go to blind tries.  Suffixes that agree over ``LENGTH`` bytes share a rank; all
+    but the earliest are removed.
+    First the surroundings are ranked by their first and last windows, which
+    together cover them, so that equal ones are sorted on once; then the windows
+    of those that differ are ranked, offset by offset.
+
+Scale: the texts are shuffled once (the exchange by key is reused by the three
+steps that need texts), owners travel as a few numbers each.  Hot passages are
+combined before each shuffle: of equal hashes in one stretch of text one goes to
+the task of the hash; of equal surroundings in one task the earliest goes, and the
+others are removed on the spot, since their strings surely start earlier
+elsewhere.  What is left of a hash comes in sorted order, in batches, and is held
+as distinct surroundings only.  Whole copies of a text are found by digest
+beforehand, also combined before the shuffle.
+
+Keys: doc_ids where they are unique; else the rows are sorted by doc_id (null
+last), written to the shared folder and numbered in that order.
 
 Edge cases: a null text has no bytes; a text under ``LENGTH`` bytes is kept whole;
-a null doc_id comes after all others; rows under one doc_id are read as the same
-document and share their removed bytes; extra columns are ignored; an empty
-table gives an empty result.
+a null doc_id comes after all others; rows that share a doc_id are documents of
+their own, one after the other; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -39,9 +49,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import shuffle_partitions, text_or_empty, written
 
 LENGTH = 100
 GRAM = 24
@@ -50,8 +61,12 @@ _REACH = LENGTH - GRAM + 1
 _SEGMENT = 1 << 18
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_LAST = (1 << 63) - 1
+#: Surroundings that a task keeps to combine equal ones, and rows that it sorts at once.
+_COMBINE = 100_000
+_CHUNK = 20_000
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+_OWNED = "route long, h long, key long, at long, several boolean"
+_AROUND = "route long, h long, key long, at long, bytes binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -91,17 +106,37 @@ def owners(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[place[first]], place[first], first, last
 
 
+def _spread(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A route for rows that have nothing left to be compared with."""
+    with np.errstate(over="ignore"):
+        return (key.astype(np.uint64) * np.uint64(_BASE) + at.astype(np.uint64)).view(np.int64) * np.int64(0x2545F4914F6CDD1D)
+
+
+def _long(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
 def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, key, at): at packs the owner's place and how far its windows reach back."""
+    """route, h, key, at and whether the hash was seen twice already.
+
+    at packs the owner's place and how far its windows reach back.  Of the owners
+    of one hash in a stretch of text, the first goes to the hash's task.
+    """
 
     def flush(segment: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         ends = np.cumsum([len(x[2]) for x in segment])
         h, place, first, last = owners(np.frombuffer(b"".join(x[2] for x in segment), np.uint8), ends)
         of = np.searchsorted(ends, first, "right")
         base = np.array([x[1] for x in segment]) - np.concatenate(([0], ends[:-1]))
-        keys = np.array([x[0] for x in segment], np.int64)
+        key = np.array([x[0] for x in segment], np.int64)[of]
         at = (place + base[of] << 16) | (place - first << 8) | (place - last)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[of]), pa.array(at)], ["h", "key", "at"])
+        by = np.argsort(h, kind="stable")
+        same = h[by][1:] == h[by][:-1]
+        later, several = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        later[by[1:][same]] = True
+        several[by[1:][same]] = several[by[:-1][same]] = True
+        h = h.view(np.int64)
+        return pa.RecordBatch.from_arrays([*_long(np.where(later, _spread(key, at), h), h, key, at), pa.array(several)], ["route", "h", "key", "at", "several"])
 
     for batch in batches:
         segment, size = [], 0
@@ -118,49 +153,75 @@ def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(segment)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The owners of this partition whose hash is not alone."""
-    rows = [b for b in batches if b.num_rows]
-    if rows:
-        table = pa.Table.from_batches(rows)
-        h = table["h"].to_numpy()
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
-        yield from table.filter(pa.array(again)).to_batches(max_chunksize=50_000)
-
-
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The owners with their bytes; without bytes where an equal one of this task comes earlier."""
+    earliest: dict[tuple[int, int, bytes], tuple[int, int]] = {}
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
+        hs, keys, ats, found = [], [], [], []
         for key, text, places in zip(batch["key"].to_pylist(), batch["text"], batch["places"].to_pylist(), strict=True):
             data = text.as_py().encode()
             for p in places:
-                at = p["at"]
-                start, end = (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255) + LENGTH
-                for column, x in zip(out, (p["h"], key, at, data[start:end]), strict=True):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["h", "key", "at", "bytes"])
-
-
-def shallow_groups(text: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Multikey quicksort, a character being eight bytes: groups (two at least) that agree on ``SHALLOW`` bytes."""
-    group, order = np.zeros(len(starts), np.int64), np.arange(len(starts))
-    for depth in range(0, SHALLOW, 8):
-        if not len(order):
-            return []
-        at = starts[order] + depth
-        word = np.zeros(len(order), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | text[at + k].astype(np.uint64)
-        by = np.lexsort((word, group))
-        order, group, word = order[by], group[by], word[by]
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])))
-        group = np.cumsum(new)
-        alone = new & np.concatenate((new[1:], [True]))
-        order, group = order[~alone], group[~alone]
-    return np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []
+                h, at = p["h"], p["at"]
+                start = (at >> 16) - (at >> 8 & 255)
+                mine = data[start : (at >> 16) - (at & 255) + LENGTH]
+                known = earliest.get((h, at & 65535, mine))
+                if known is None or (key, start) < known:
+                    if len(earliest) >= _COMBINE:
+                        earliest.clear()
+                    earliest[h, at & 65535, mine] = (key, start)
+                else:
+                    mine = None
+                hs.append(h)
+                keys.append(key)
+                ats.append(at)
+                found.append(mine)
+        h, key, at = (np.array(c, np.int64) for c in (hs, keys, ats))
+        alone = np.fromiter((x is None for x in found), bool, len(found))
+        route = np.where(alone, _spread(key, at), h)
+        yield pa.RecordBatch.from_arrays([*_long(route, h, key, at), pa.array(found, pa.binary())], ["route", "h", "key", "at", "bytes"])
+
+
+def shallow_groups(words: np.ndarray, starts: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort inside each segment down to ``SHALLOW`` bytes.
+
+    Gives the suffixes in order and, for each, the rank that it shares with those
+    that agree on ``SHALLOW`` bytes.  ``words`` has the eight bytes from each place on.
+    ``segment`` ascends.
+    """
+    order, rank = np.arange(len(starts)), np.arange(len(starts))
+    slot = np.arange(len(starts))  # the places in the order that are not settled yet
+    edge = np.concatenate(([True], segment[1:] != segment[:-1])) if len(starts) else np.empty(0, bool)
+    depth = np.zeros(len(starts), np.int64)
+    while len(slot):
+        first = np.flatnonzero(edge)
+        size = np.diff(np.append(first, len(slot)))
+        open_ = (size > 1) & (depth[first] < SHALLOW)
+        keep = np.repeat(open_, size)
+        done = np.repeat(first, size)[~keep]
+        rank[slot[~keep]] = slot[done]
+        slot, depth = slot[keep], depth[keep]
+        if not len(slot):
+            break
+        size = size[open_]
+        group = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+        now = order[slot]
+        word = words[starts[now] + depth]
+        pivot = word[first + size // 2][group]
+        part = np.where(word < pivot, 0, np.where(word == pivot, 1, 2))
+        to, before = np.empty(len(slot), np.int64), first.copy()
+        for k in range(3):
+            mine = part == k
+            upto = np.cumsum(mine)
+            start = upto[first] - mine[first]
+            to[mine] = (before[group] + upto - 1 - start[group])[mine]
+            before += np.add.reduceat(mine, first)
+        moved, parts = np.empty_like(now), np.empty_like(part)
+        moved[to], parts[to] = now, part
+        order[slot] = moved
+        edge = np.concatenate(([True], (group[1:] != group[:-1]) | (parts[1:] != parts[:-1])))
+        depth = depth + 8 * (parts == 1)
+    return order, rank
 
 
 def blind_trie(data: bytes, starts: list[int]) -> list[list[int]]:
@@ -212,66 +273,140 @@ def blind_trie(data: bytes, starts: list[int]) -> list[list[int]]:
     return out
 
 
-def equal_suffixes(data: bytes, starts: np.ndarray) -> list[np.ndarray]:
-    """Groups (two at least) of ``starts`` whose ``LENGTH`` bytes agree, as indexes."""
-    out = []
-    for group in shallow_groups(np.frombuffer(data, np.uint8), starts):
-        if len(group) == 2:
-            a, b = starts[group].tolist()
-            if data[a + SHALLOW : a + LENGTH] == data[b + SHALLOW : b + LENGTH]:
-                out.append(group)
-        else:
-            out += [group[c] for c in blind_trie(data, starts[group].tolist()) if len(c) > 1]
+def ranks(data: bytes, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of ``data`` inside their segments, equal where ``LENGTH`` bytes agree.
+
+    ``data`` has eight bytes or more after the last string; ``segment`` ascends.
+    """
+    words = np.ndarray((max(len(data) - 7, 0),), ">u8", data, 0, (1,))
+    order, shared = shallow_groups(words, starts, segment)
+    out = np.empty(len(starts), np.int64)
+    out[order] = shared
+    first = np.flatnonzero(np.concatenate(([True], shared[1:] != shared[:-1]))) if len(starts) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(starts)))
+    deep = size > 1
+    first, size = first[deep], size[deep]
+    if not len(first):
+        return out
+    member = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    mine, head = starts[order[member]], np.repeat(starts[order[first]], size)
+    equal = np.ones(len(member), bool)
+    for k in (*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8):
+        equal &= words[mine + k] == words[head + k]
+    # A trie whose first leaf takes all needs no building.
+    mixed = ~np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    for a, n in zip(first[mixed].tolist(), size[mixed].tolist(), strict=True):
+        group = order[a : a + n]
+        for same in blind_trie(data, starts[group].tolist()):
+            out[group[same]] = a
+            a += len(same)
     return out
 
 
+class _Surroundings:
+    """Rows (key, at, bytes) in groups of equal hashes, as arrays."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]) -> None:
+        self.h, self.key, at = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.at, self.bytes = at, [r[3] for r in rows]
+        self.place, self.back, self.ahead = at >> 16, at >> 8 & 255, at & 255
+        self.start, self.end = self.place - self.back, self.place - self.ahead + LENGTH
+        self.data = b"".join(self.bytes) + bytes(8)
+        sizes = np.fromiter(map(len, self.bytes), np.int64, len(rows))
+        self.base = np.cumsum(sizes) - sizes
+        self.last = self.base + sizes - LENGTH
+        self.group = np.cumsum(np.concatenate(([0], self.h[1:] != self.h[:-1]))) if rows else np.empty(0, np.int64)
+
+    def earliest(self) -> np.ndarray:
+        """Whether each row is the earliest of those with equal bytes about the same place."""
+        kind = ranks(self.data, np.concatenate((self.base, self.last)), np.concatenate((self.group, self.group + len(self.h))))
+        first, last = kind[: len(self.h)], kind[len(self.h) :]
+        by = np.lexsort((self.start, self.key, self.ahead, self.back, last, first))
+        new = np.zeros(len(by), bool)
+        for column in (first, last, self.back, self.ahead):
+            new[1:] |= column[by][1:] != column[by][:-1]
+        new[:1] = True
+        out = np.zeros(len(by), bool)
+        out[by] = new
+        return out
+
+    def spans(self, chosen: np.ndarray) -> list[tuple[int, int, int]]:
+        return list(zip(self.key[chosen].tolist(), self.start[chosen].tolist(), self.end[chosen].tolist(), strict=True))
+
+    def repeated_windows(self) -> list[tuple[int, int, int]]:
+        """Spans of the windows that also start earlier; no two rows are equal."""
+        of_two = np.bincount(self.group)[self.group] > 1 if len(self.group) else np.empty(0, bool)
+        out: list[tuple[int, int, int]] = []
+        # Equal windows lie at the same offset from their owners.
+        for offset in range(_REACH if of_two.any() else 0):
+            i = np.flatnonzero(of_two & (self.ahead <= offset) & (offset <= self.back))
+            if len(i) < 2:
+                continue
+            rank = ranks(self.data, self.base[i] + self.back[i] - offset, self.group[i])
+            by = np.lexsort((self.place[i], self.key[i], rank))
+            later = by[1:][rank[by][1:] == rank[by][:-1]]
+            a = self.place[i[later]] - offset
+            out += zip(self.key[i[later]].tolist(), a.tolist(), (a + LENGTH).tolist(), strict=True)
+        return out
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Spans as batches; those that meet are one."""
+    if spans:
+        key, start, end = (np.array(c, np.int64) for c in zip(*spans, strict=True))
+        by = np.lexsort((end, start, key))
+        key, start, end = key[by], start[by], end[by]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > end[:-1])))
+        first = np.flatnonzero(new)
+        end = np.maximum.reduceat(end, first)
+        for k in range(0, len(first), 50_000):
+            some = first[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays(_long(key[some], start[some], end[k : k + 50_000]), ["key", "start", "end"])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans to remove: (key, start, end)."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    table = pa.Table.from_batches(rows)
-    h, key, at = (table[c].to_numpy() for c in ("h", "key", "at"))
-    surroundings = table["bytes"].to_pylist()
-    place, back, ahead = at >> 16, at >> 8 & 255, at & 255
-    start, end = place - back, place - ahead + LENGTH
-    spans: list[tuple[int, int, int]] = []
-    firsts: dict[int, dict[tuple[int, int, bytes], int]] = {}
-    for i in np.lexsort((start, key)).tolist():
-        of = firsts.setdefault(int(h[i]), {})
-        first = of.setdefault((int(back[i]), int(ahead[i]), surroundings[i]), i)
-        if (key[first], start[first]) != (key[i], start[i]):
-            spans.append((int(key[i]), int(start[i]), int(end[i])))
-    sorted_here = [i for of in firsts.values() if len(of) > 1 for i in of.values()]
-    if sorted_here:
-        data = b"".join(surroundings[i] for i in sorted_here)
-        sizes = np.array([len(surroundings[i]) for i in sorted_here])
-        windows = sizes - LENGTH + 1
-        of = np.repeat(np.arange(len(sorted_here)), windows)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        chosen = np.array(sorted_here)[of]
-        their_key, their_start = key[chosen], start[chosen] + within
-        gone = np.zeros(len(of), bool)
-        for group in equal_suffixes(data, (np.cumsum(sizes) - sizes)[of] + within):
-            order = group[np.lexsort((their_start[group], their_key[group]))]
-            same = (their_key[order] == their_key[order[0]]) & (their_start[order] == their_start[order[0]])
-            gone[order[~same]] = True
-        hit = np.flatnonzero(gone)
-        if len(hit):
-            run = np.concatenate(([True], (np.diff(hit) > 1) | (np.diff(of[hit]) != 0)))
-            a, b = hit[run], hit[np.concatenate((np.flatnonzero(run)[1:] - 1, [len(hit) - 1]))]
-            spans += list(zip(their_key[a].tolist(), their_start[a].tolist(), (their_start[b] + LENGTH).tolist(), strict=True))
-    for k in range(0, len(spans), 50_000):
-        columns = zip(*spans[k : k + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "start", "end"])
+    """Spans to remove: (key, start, end).  The rows of a hash come together."""
+
+    def distinct(rows: list, spans: list) -> list:
+        around = _Surroundings(rows)
+        stays = around.earliest()
+        spans += around.spans(~stays)
+        return [rows[i] for i in np.flatnonzero(stays).tolist()]
+
+    held: list[tuple[int, int, int, bytes]] = []
+    limit = _CHUNK
+    for batch in batches:
+        spans: list[tuple[int, int, int]] = []
+        columns = (batch[c].to_pylist() for c in ("h", "key", "at", "bytes"))
+        for row in zip(*columns, strict=True):
+            if row[3] is None:
+                at = row[2]
+                spans.append((row[1], (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255) + LENGTH))
+                continue
+            if len(held) >= limit:
+                # The last hash may go on; the others are complete.
+                n = len(held)
+                while n and held[n - 1][0] == row[0]:
+                    n -= 1
+                if n:
+                    spans += _Surroundings(distinct(held[:n], spans)).repeated_windows()
+                held = distinct(held[n:], spans) if len(held) - n else []
+                limit = max(_CHUNK, 2 * len(held))
+            held.append(row)
+        yield from _joined(spans)
+    spans = []
+    if held:
+        spans += _Surroundings(distinct(held, spans)).repeated_windows()
+    yield from _joined(spans)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         rows = []
-        for key, text, copy, spans in zip(batch["key"].to_pylist(), batch["text"], batch["copy"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            data = text.as_py().encode()
+        columns = (batch[c].to_pylist() for c in ("doc_id", "text", "copy", "spans"))
+        for doc_id, text, copy, spans in zip(*columns, strict=True):
+            data = text.encode()
             merged: list[list[int]] = [[0, len(data)]] if copy and len(data) >= LENGTH else []
             for span in sorted((s["start"], s["end"]) for s in spans or () if not copy):
                 if merged and span[0] <= merged[-1][1]:
@@ -284,25 +419,34 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = b
             kept.update(data[last:])
             found = [{"start": a, "end": b} for a, b in merged]
-            rows.append((None if key == _LAST else key, len(data), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), found))
+            rows.append((doc_id, len(data), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), found))
         columns = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _keyed(docs: DataFrame, n: int) -> DataFrame:
+    """key, doc_id, text: keys are unique and ascend as doc_ids do, null last."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    if rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order[:2])
+    return written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "texts")
+
+
 def remove_repeats(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row of ``docs``."""
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), text_or_empty().alias("text"))
-    digests = rows.select("key", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("key").alias("first"))
-    copies = digests.join(firsts, "digest").filter("key <> first").select("key").distinct().withColumn("copy", F.lit(True))
-    texts = rows.repartition(n, "key").join(copies, "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-    owned = texts.mapInArrow(_find_owners, "h long, key long, at long")
-    repeated = owned.repartition(n, "h").mapInArrow(_repeated, "h long, key long, at long")
-    places = repeated.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("places"))
-    around = texts.select("key", "text").join(places, "key").mapInArrow(_surroundings, "h long, key long, at long, bytes binary")
-    gone = around.repartition(n, "h").mapInArrow(_removed, "key long, start long, end long")
+    rows = _keyed(docs, n)
+    firsts = rows.groupBy(F.sha2(F.encode("text", "UTF-8"), 256)).agg(F.min("key").alias("key")).select("key", F.lit(False).alias("copy"))
+    dealt = rows.repartition(n, "key").join(firsts, "key", "left")
+    texts = dealt.select("key", "doc_id", "text", F.coalesce("copy", F.lit(True)).alias("copy"))
+    owned = texts.select("key", "text", "copy").mapInArrow(_find_owners, _OWNED).repartition(n, "route")
+    met = owned.withColumn("n", F.count("*").over(W.partitionBy("route"))).filter("several OR n > 1")
+    places = met.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+    around = texts.select("key", "text").join(places, "key").mapInArrow(_surroundings, _AROUND)
+    gone = around.repartition(n, "route").sortWithinPartitions("route").drop("route").mapInArrow(_removed, "key long, start long, end long")
     spans = gone.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(spans, "key", "left").select("key", "text", "copy", "spans").mapInArrow(_apply, OUT)
+    return texts.join(spans, "key", "left").select("doc_id", "text", "copy", "spans").mapInArrow(_apply, OUT)

@@ -71,6 +71,31 @@ def test_drop_exact_copies_keeps_columns(docs):
     assert out.columns == docs.columns and out.count() == len({"".join(words(r[1])) for r in rows()})
 
 
+def test_row_keeping_with_null_and_repeated_ids(spark):
+    """One row of each class stays, whatever the ids; the columns of the row stay with it."""
+    schema = "rid long, doc_id long, text string, source string, name string, row string"
+    table = [(1, 5, "uniq a"), (2, 5, "copy b"), (3, 1, "copy  b"), (4, 6, "w  s"), (5, 6, "w s"), (6, None, "n u l l"), (7, None, "n u l l"), (8, None, "alone"), (9, 7, "w\ts"), (10, None, None), (11, 8, "")]
+    df = spark.createDataFrame([(*r, "s", "n", "r") for r in table], schema).repartition(3)
+    exact = block_naming.drop_exact_copies(df)
+    assert exact.columns == df.columns
+    kept = sorted(r.rid for r in exact.collect())
+    assert kept == [1, 3, 4, 6, 8, 11] or kept == [1, 3, 4, 7, 8, 11]
+    near = simhash.keep_representatives(df)
+    assert near.columns == df.columns
+    got = near.collect()
+    classes = defaultdict(list)
+    for rid, doc_id, text in table:
+        classes[brute_fingerprint(text)].append((doc_id is None, doc_id or 0, rid))
+    assert len(got) == len(classes)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(min(c)[:2] for c in classes.values())
+
+
+def test_hot_group_of_copies(spark):
+    df = spark.createDataFrame([(k, "same text" if k % 3 else f"text {k}") for k in range(120)], "doc_id long, text string")
+    got = {r.doc_id: r for r in block_naming.exact_groups(df).collect()}
+    assert all((r.keep_id, r.group_size) == ((1, 80) if k % 3 else (k, 1)) for k, r in got.items()) and sum(r.kept for r in got.values()) == 41
+
+
 def test_quality(docs):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     for r in rows():
@@ -202,16 +227,95 @@ def brute_removed(texts):
     return out
 
 
-def test_suffix_dedup(docs):
-    unique = {r[0]: r[1] for r in rows()}
-    expected = brute_removed(sorted(unique.items()))
-    got = suffix_dedup.remove_repeats(docs).collect()
-    assert len(got) == len(rows())
-    for r in got:
-        b, gone = expected[r.doc_id]
+def check_removed(got, texts):
+    """``texts``: (doc_id, text) in the order in which strings are judged."""
+    expected = brute_removed(list(enumerate(t for _, t in texts)))
+    left = defaultdict(list)
+    for k, (doc_id, _) in enumerate(texts):
+        b, gone = expected[k]
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        left[doc_id].append((len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    mine = defaultdict(list)
+    for r in got:
+        mine[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {k: sorted(v) for k, v in mine.items()} == {k: sorted(v) for k, v in left.items()}
+
+
+def test_suffix_dedup(docs):
+    check_removed(suffix_dedup.remove_repeats(docs).collect(), sorted(((r[0], r[1]) for r in rows()), key=lambda r: r[0]))
+
+
+@pytest.mark.parametrize("chunk", [20_000, 3])
+def test_suffix_dedup_unique_ids(spark, monkeypatch, chunk):
+    unique = sorted({r[0]: r[1] for r in rows()}.items())
+    if chunk == 3:  # in this process, as tasks would
+        monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
+        monkeypatch.setattr(suffix_dedup, "_COMBINE", 2)
+        check_removed(by_hand(unique), unique)
+        return
+    check_removed(suffix_dedup.remove_repeats(spark.createDataFrame(unique, "doc_id long, text string").repartition(5)).collect(), unique)
+
+
+def by_hand(texts):
+    """The steps of remove_repeats without Spark, for settings that tasks would not see."""
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    seen, copies = set(), []
+    for k, t in texts:
+        copies.append(t in seen)
+        seen.add(t)
+    of = lambda **c: pa.RecordBatch.from_pydict(c)
+    keys, words = [k for k, _ in texts], [t or "" for _, t in texts]
+    owned = [r for b in suffix_dedup._find_owners([of(key=keys, text=words, copy=copies)]) for r in b.to_pylist()]
+    n = Counter(r["route"] for r in owned)
+    places = defaultdict(list)
+    for r in owned:
+        if r["several"] or n[r["route"]] > 1:
+            places[r["key"]].append({"h": r["h"], "at": r["at"]})
+    text = dict(zip(keys, words, strict=True))
+    some = [k for k in keys if places[k]]
+    around = list(suffix_dedup._surroundings(of(key=[k], text=[text[k]], places=[places[k]]) for k in some))
+    rows_ = sorted((r for b in around for r in b.to_pylist()), key=lambda r: r["route"])
+    spans = defaultdict(list)
+    batches = [pa.RecordBatch.from_pylist(rows_[k : k + 7], schema=around[0].schema) for k in range(0, len(rows_), 7)]
+    for b in suffix_dedup._removed(batches):
+        for r in b.to_pylist():
+            spans[r["key"]].append({"start": r["start"], "end": r["end"]})
+    out = suffix_dedup._apply([of(doc_id=keys, text=words, copy=copies, spans=[spans[k] for k in keys])])
+    return [Row(**r) for b in out for r in b.to_pylist()]
+
+
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    """Rows are documents of their own, whatever their ids; which of two rows of one id comes first is free."""
+    rng = np.random.default_rng(9)
+    long = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(2)]
+    table = [(None, long[0]), (None, long[1]), (None, SHARED * 2), (2, SHARED), (2, "short"), (3, long[0] + "x"), (3, long[0] + "x"), (3, ""), (None, None)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(table)
+    by = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in got)
+    n, m = len(SHARED.encode()), len(long[0])
+    assert by == [
+        (False, 2, 5, 0), (False, 2, n, 0), (False, 3, 0, 0), (False, 3, m + 1, 0), (False, 3, m + 1, m + 1),
+        (True, 0, 0, 0), (True, 0, len(long[1]), 0), (True, 0, m, m), (True, 0, 2 * n, 2 * n),
+    ]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_ranks_are_those_of_a_plain_sort(letters):
+    rng = np.random.default_rng(5)
+    data = bytes(rng.choice(list(letters.encode()), 3000, p=[0.97] + [0.03 / (len(letters) - 1)] * (len(letters) - 1)))
+    data += b"a" * 200 + data[:900] + bytes(8)
+    starts = rng.permutation(np.arange(0, len(data) - 110))
+    segment = np.sort(rng.integers(0, 4, len(starts)))
+    got = suffix_dedup.ranks(data, starts, segment)
+    string = lambda i: (segment[i], data[starts[i] : starts[i] + 100])
+    by = sorted(range(len(starts)), key=string)
+    first, expected = {}, np.empty(len(starts), np.int64)
+    for at, i in enumerate(by):
+        expected[i] = first.setdefault(string(i), at)
+    assert (got == expected).all()
 
 
 def test_blind_trie_orders_suffixes():
