@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranges of scripts with about one token per character.
@@ -17,6 +17,9 @@ STOP_WORDS = {
     "nl": "de het een van voor is en niet kosten",
     "it": "il la di per che non sono spese dipendente",
 }
+#: Scripts by the language they stand for, in the order in which they are tried.
+SCRIPTS = {"ja": "぀-ヿ", "ko": "가-힯", "zh": "一-鿿", "ar": "\u0600-\u06ff", "he": "\u0590-\u05ff", "ru": "\u0400-\u04ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f"}
+SCRIPT_SHARE, LEAST_CHARS = 0.15, 12
 PAGE_NUMBER = r"(?i)^[\-–—\s]*(?:page\s+)?\d{1,4}(?:\s*[/\-of]+\s*\d{1,4})?[\-–—\s]*$"
 
 
@@ -62,6 +65,24 @@ def detect_latin_language(counts: str = "n_") -> Column:
     return F.when((top > 0) & (leads == 1), pick)
 
 
+def script_language(text: Column) -> Column:
+    """The language of the first script that has its share of the letters; Han with kana is Japanese."""
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    count = lambda name: F.regexp_count(text, F.lit(rf"[{SCRIPTS[name]}&&\p{{L}}]"))
+    out = F.lit(None).cast("string")
+    for name in reversed(SCRIPTS):
+        own = F.when(count("ja") > 0, "ja").otherwise("zh") if name == "zh" else F.lit(name)
+        out = F.when(count(name) / letters >= SCRIPT_SHARE, own).otherwise(out)
+    return F.when(letters > 0, out)
+
+
+def with_language(df: DataFrame, text: str = "text", to: str = "language") -> DataFrame:
+    """Adds the language of the whole text: by script, else by stop words; null where neither decides (TXT-7)."""
+    counted = df.select("*", *stop_word_counts(F.col(text)))
+    long = F.length(F.trim(text)) >= LEAST_CHARS
+    return counted.withColumn(to, F.when(long, F.coalesce(script_language(F.col(text)), detect_latin_language()))).select(*df.columns, to)
+
+
 def quality_parts(text: Column) -> dict[str, Column]:
     """Length, letter share and word shape scores between 0 and 1 (TXT-12)."""
     t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names or, where it is unset, a new one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: ``spark.checkpoint.dir``; where that is unset, one of this machine's if it is alone, else the warehouse's."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and re.fullmatch(r"local(\[.*)?", context.master):
+            named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

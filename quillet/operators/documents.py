@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.folding import normalize_text
-from ..functions.text import detect_latin_language, estimate_tokens, stop_word_counts, strip_page_numbers
+from ..functions.folding import normalize_for_matching, normalize_text
+from ..functions.text import estimate_tokens, strip_page_numbers, with_language
 
 
 def dedup_documents(docs: DataFrame, keys: tuple[str, ...] = ("lang",)) -> DataFrame:
@@ -27,10 +27,10 @@ def assign_versions(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate_lines(sections: DataFrame, share: float = 0.6, least: int = 4, width: int = 200) -> DataFrame:
-    """(doc_id, line): lines in most sections of a document (TXT-10)."""
+    """(doc_id, line): lines, folded for matching, in most sections of a document (TXT-10)."""
     counts = sections.groupBy("doc_id").agg(F.countDistinct("section").alias("n")).filter(F.col("n") >= least)
-    lines = sections.select("doc_id", "section", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.lower(F.trim("line")))
-    short = lines.filter((F.length("line") > 0) & (F.length("line") <= width))
+    lines = sections.select("doc_id", "section", F.explode(F.split("text", "\n")).alias("_line"))
+    short = lines.filter(F.length(F.trim("_line")).between(1, width)).withColumn("line", normalize_for_matching("_line")).filter("line <> ''")
     found = short.groupBy("doc_id", "line").agg(F.countDistinct("section").alias("sections"))
     return found.join(counts, "doc_id").filter(F.col("sections") >= F.ceil(share * F.col("n"))).select("doc_id", "line", "sections")
 
@@ -55,29 +55,39 @@ def count_by_spec(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("tenant", "spec").agg(F.count("*").alias("vectors"))
 
 
-def chunks_missing_embedding(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks without a vector (DOC-8)."""
-    return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+def chunks_missing_embedding(chunks: DataFrame, vectors: DataFrame, spec: str | None = None, limit: int | None = None) -> DataFrame:
+    """Chunks (chunk_id, created_at, ...) without a vector, or without one of a spec, the oldest first (DOC-8)."""
+    have = vectors if spec is None else vectors.filter(F.col("spec") == spec)
+    out = chunks.join(have.select("chunk_id"), "chunk_id", "left_anti")
+    return out if limit is None else out.orderBy("created_at", "chunk_id").limit(limit)
+
+
+def check_batch(batch: DataFrame, keys: tuple[str, ...] = ("tenant", "chunk_id", "spec")) -> DataFrame:
+    """(fault, n): what an upsert must not hold: keys that repeat, and more than one spec (SRC-9)."""
+    repeated = batch.groupBy(*keys).count().filter("count > 1").agg(F.lit("REPEATED_KEY").alias("fault"), F.count("*").alias("n"))
+    specs = batch.agg(F.lit("SEVERAL_SPECS").alias("fault"), (F.countDistinct("spec") - 1).alias("n"))
+    return repeated.unionByName(specs).filter("n > 0")
 
 
 def upsert_embeddings(existing: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("tenant", "chunk_id", "spec")) -> DataFrame:
-    """Rows of ``batch`` replace those of equal key, others are added (SRC-9)."""
+    """Rows of ``batch`` replace those of equal key, others are added (SRC-9); ``check_batch`` says whether a batch may be used."""
     return existing.join(batch.select(*keys), list(keys), "left_anti").select(existing.columns).unionByName(batch.select(existing.columns))
 
 
 def delete_by_document(vectors: DataFrame, ids: DataFrame, spec: str | None = None) -> DataFrame:
     """Vectors without those of the given documents, of one spec or all (SRC-10)."""
-    gone = vectors.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    gone = gone if spec is None else gone.filter(F.col("spec") == spec)
-    return vectors.join(gone.select("chunk_id", "spec"), ["chunk_id", "spec"], "left_anti").select(vectors.columns)
+    keys = [c for c in ("tenant", "doc_id") if c in vectors.columns and c in ids.columns]
+    gone = ids.select(*keys).distinct()
+    if spec is None:
+        return vectors.join(gone, keys, "left_anti").select(vectors.columns)
+    return vectors.join(gone.withColumn("spec", F.lit(spec)), [*keys, "spec"], "left_anti").select(vectors.columns)
 
 
 def document_language(sections: DataFrame, least: int = 12) -> DataFrame:
     """(doc_id, language): the language of most characters over sections long enough, else that of the whole text (TXT-8)."""
 
     def detected(df: DataFrame) -> DataFrame:
-        counts = df.select("doc_id", "text", *stop_word_counts(F.col("text")))
-        return counts.select("doc_id", detect_latin_language().alias("language"), F.length("text").alias("size"))
+        return with_language(df).select("doc_id", "language", F.length("text").alias("size"))
 
     votes = detected(sections.filter(F.length("text") >= least)).filter("language IS NOT NULL").groupBy("doc_id", "language").agg(F.sum("size").alias("size"))
     voted = votes.groupBy("doc_id").agg(F.max_by("language", F.struct("size", "language")).alias("voted"))
@@ -90,7 +100,7 @@ def document_language(sections: DataFrame, least: int = 12) -> DataFrame:
 def strip_boilerplate(sections: DataFrame) -> DataFrame:
     """Sections without the lines that most of their document's sections share (TXT-10)."""
     gone = boilerplate_lines(sections).select("doc_id", F.col("line").alias("_key"))
-    lines = sections.select("doc_id", "section", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line")).withColumn("_key", F.lower(F.trim("_line")))
+    lines = sections.select("doc_id", "section", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line")).withColumn("_key", F.when(F.length(F.trim("_line")) <= 200, normalize_for_matching("_line")))
     left = lines.join(gone, ["doc_id", "_key"], "left_anti").groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("_at", "_line"))).alias("_l"))
     return left.select("doc_id", "section", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("text"))
 

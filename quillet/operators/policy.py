@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,10 +38,10 @@ def seed_rules(spark: SparkSession) -> DataFrame:
     return rules.selectExpr("*", "1 AS version", "true AS is_active", "DATE '2020-01-01' AS effective_from", "CAST(NULL AS DATE) AS effective_to")
 
 
-def in_force(on: Column, include_retired: bool = False) -> Column:
-    """Whether a rule row holds on a date: an inclusive window with an open end."""
-    window = (F.col("effective_from") <= on) & (F.col("effective_to").isNull() | (F.col("effective_to") >= on))
-    return window if include_retired else window & F.col("is_active")
+def in_force(on: Column, include_retired: bool = False, field: Callable[[str], Column] = F.col) -> Column:
+    """Whether a rule holds on a date: an inclusive window with an open end; ``field`` reads the rule."""
+    window = (field("effective_from") <= on) & (field("effective_to").isNull() | (field("effective_to") >= on))
+    return window if include_retired else window & field("is_active")
 
 
 def effective_rules(rules: DataFrame, on: str, include_retired: bool = False) -> DataFrame:
@@ -58,7 +60,7 @@ def publish_rules(current: DataFrame, batch: DataFrame, start: str) -> DataFrame
             "effective_to": F.lit(None).cast("date"),
         }
     )
-    touched = current.join(F.broadcast(batch.select("code", F.lit(True).alias("_new"))), "code", "left")
+    touched = current.join(batch.select("code", F.lit(True).alias("_new")), "code", "left")
     retire = F.col("_new").isNotNull() & F.col("is_active")
     end = F.greatest(F.lit(start).cast("date"), "effective_from")
     old = touched.withColumns(
@@ -71,7 +73,7 @@ def replace_ruleset(current: DataFrame, batch: DataFrame, start: str) -> DataFra
     """Publish ``batch`` and retire all codes that it lacks (POL-4)."""
     out = publish_rules(current, batch, start)
     gone = out.select("code").distinct().join(batch.select("code"), "code", "left_anti").withColumn("_gone", F.lit(True))
-    marked = out.join(F.broadcast(gone), "code", "left")
+    marked = out.join(gone, "code", "left")
     retire = F.col("_gone").isNotNull() & F.col("is_active")
     end = F.greatest(F.lit(start).cast("date"), "effective_from")
     return marked.withColumns(
@@ -85,22 +87,43 @@ def latest_versions(rules: DataFrame) -> DataFrame:
     return rules.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
+def rollback(rules: DataFrame, code: str, version: int) -> DataFrame:
+    """Rules with one version of a code active again, and no other of that code (POL-5)."""
+    return rules.withColumn("is_active", F.when(F.col("code") == code, F.col("version") == version).otherwise(F.col("is_active")))
+
+
+def age_limit_of_rule() -> Column:
+    """Days after which an expense is too old, as a rule's action or condition has it; null for most rules."""
+    condition = lambda name: F.get_json_object("conditions", f"$.submissionAgeDays.{name}").cast("double")
+    return F.coalesce(F.get_json_object("actions", "$.maxClaimAgeDays").cast("double"), condition("lte"), condition("max"))
+
+
 def rules_as_of(items: DataFrame, rules: DataFrame, include_retired: bool = False) -> DataFrame:
-    """Each item with its rule: the claim's earliest expense date picks the ruleset (POL-2).
+    """Each item with its rule and age limit: the claim's earliest expense date picks the ruleset (POL-2).
 
-    The rule table is a small dimension and is broadcast; one shuffle by claim.
+    An item without a rule in force keeps its row, with nulls; so does one without
+    an age limit in force.  Among rules of one category, and among age limits, the
+    least (priority, category, code), then the newest version, decides.
+
+    The rule table is folded first, to one list per category and one of all age
+    limits, so that an equi-join and a join with a single row are all that items go
+    through; one shuffle by claim.
     """
     dated = items.withColumn("ruleset_date", F.min("expense_date").over(W.partitionBy("claim_id")))
-    globals_ = rules.filter("category = '*'").select(
-        F.get_json_object("actions", "$.maxClaimAgeDays").cast("double").alias("age_limit"), "effective_from", "effective_to", "is_active", "priority"
+    order = [F.col("priority"), F.col("category"), F.col("code"), -F.col("version")]
+    named = lambda columns: F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)], *columns)
+    listed = lambda columns: F.sort_array(F.collect_list(named(columns)))
+    first = lambda rows: F.try_element_at(
+        F.filter(rows, lambda r: in_force(F.col("ruleset_date"), include_retired, r.getItem)), F.lit(1)
     )
-    limit = globals_.orderBy("priority").limit(1).select("age_limit")
-    own = rules.filter("category <> '*'").withColumnRenamed("category", "_category")
-    joined = dated.join(F.broadcast(own), (F.col("category") == F.col("_category")) & in_force(F.col("ruleset_date"), include_retired), "left")
-    first = W.partitionBy("item_id").orderBy("priority", "code", F.desc("version"))
-    several = rules.groupBy("category").count().filter("count > 1").isEmpty()
-    picked = joined if several else joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return picked.join(F.broadcast(limit)).drop("_category")
+    window = ["effective_from", "effective_to", "is_active"]
+    limits = rules.withColumn("age_limit", age_limit_of_rule()).filter("age_limit IS NOT NULL")
+    limits = limits.agg(listed(["age_limit", *window]).alias("_limits"))  # one row, also without any rule
+    own = [c for c in rules.columns if c not in ("category", *window)]
+    of_category = rules.filter("category <> '*'").groupBy("category").agg(listed([*own, *window]).alias("_rules"))
+    found = dated.join(of_category, "category", "left").crossJoin(limits)
+    found = found.withColumns({"_rule": first(F.col("_rules")), "age_limit": first(F.col("_limits"))["age_limit"]})
+    return found.select(*dated.columns, *[F.col(f"_rule.{c}").alias(c) for c in [*own, *window]], "age_limit")
 
 
 def _number(path: str) -> Column:
@@ -125,7 +148,7 @@ def with_limits(ruled: DataFrame) -> DataFrame:
             "cabin": _by_grade("cabinClassByGrade", "string"),
             "needs_approval": F.coalesce(F.get_json_object("actions", "$.requirePreApproval") == "true", F.col("pre_approval"), F.lit(False)),
             "prohibited": F.from_json(F.get_json_object("actions", "$.prohibitedItems"), "array<string>"),
-            "on_receipt": F.from_json(F.get_json_object("extracted_receipt", "$.prohibitedItems"), "array<string>"),
+            "on_receipt": receipt_items(),
             "needs_attendees": F.coalesce(F.get_json_object("actions", "$.requireAttendees") == "true", F.lit(False)),
             "attendee_chars": F.coalesce(_number("minimumAttendeeTextLength"), F.lit(1)),
         }
@@ -143,6 +166,21 @@ def _alnum(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
 
 
+def receipt_items() -> Column:
+    """What a receipt says it holds, alphanumerics only: the entries of its list, and its keys with something behind them.
+
+    A key stands for its item with or without ``has`` or ``contains`` before it; nothing
+    is behind it if its value is empty, false or 0.
+    """
+    listed = F.from_json(F.get_json_object("extracted_receipt", "$.prohibitedItems"), "array<string>")
+    entries = F.map_entries(F.from_json("extracted_receipt", "map<string,string>"))
+    none = F.array().cast("array<string>")
+    said = F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].isin("", "false", "0", "0.0", "[]", "{}"))
+    keys = F.transform(said, lambda e: _alnum(e["key"]))
+    bare = F.transform(keys, lambda k: F.regexp_replace(k, "^(has|contains)", ""))
+    return F.concat(F.transform(F.coalesce(listed, none), _alnum), F.coalesce(keys, none), F.coalesce(bare, none))
+
+
 def evaluate_expense_policy(items: DataFrame, rules: DataFrame) -> DataFrame:
     """One policy report per item (POL-7 to POL-12).
 
@@ -157,7 +195,7 @@ def evaluate_expense_policy(items: DataFrame, rules: DataFrame) -> DataFrame:
     no_receipt = (F.col("amount") > F.col("receipt_from")) & ~F.col("receipt_attached")
     no_approval = F.col("needs_approval") & ~F.coalesce("has_pre_approval", F.lit(False))
     wanted = F.transform("prohibited", _alnum)
-    found = F.coalesce(F.arrays_overlap(wanted, F.transform("on_receipt", _alnum)), F.lit(False))
+    found = F.coalesce(F.arrays_overlap(wanted, "on_receipt"), F.lit(False))
     no_attendees = F.col("needs_attendees") & (F.length(F.trim(F.coalesce("attendees", F.lit("")))) < F.col("attendee_chars"))
     review = F.col("never_auto") | (F.col("amount") > F.coalesce("auto", F.lit(float("inf"))))
 

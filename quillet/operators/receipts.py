@@ -1,4 +1,4 @@
-"""Signals between receipts beyond equal bytes and invoices: hashes, text, vendors, splits, and the whole report (DUP-4, 5, 7, 10, 11, 13)."""
+"""Signals between receipts beyond equal bytes and invoices: hashes, text, vendors, splits, and the whole report (DUP-3, 4, 5, 7, 10, 11, 13)."""
 
 from __future__ import annotations
 
@@ -26,6 +26,27 @@ def hash_similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - bits / 64
 
 
+def _hex64(bits: Column) -> Column:
+    """64 bits, an array of 0 and 1, as 16 hex digits."""
+    text = F.array_join(F.transform(bits, lambda b: b.cast("string")), "")
+    return F.lower(F.lpad(F.conv(text, 2, 16), 16, "0"))
+
+
+def perceptual_hashes(df: DataFrame, square: str, wide: str) -> DataFrame:
+    """Adds average_hash of 8 x 8 greys and difference_hash of 8 rows of 9, row by row (DUP-3).
+
+    A bit of the first says that a grey is not below the mean; of the second, that it is
+    above its right neighbour.  A grid of another size gives null.
+    """
+    mean = F.aggregate(square, F.lit(0.0), lambda s, x: s + x.cast("double")) / 64
+    bright = F.transform(square, lambda x: (x.cast("double") >= mean).cast("int"))
+    steps = F.zip_with(F.slice(wide, 1, 71), F.slice(wide, 2, 71), lambda a, b: (a > b).cast("int"))
+    inner = F.filter(steps, lambda _, k: k % 9 != 8)  # the step from one row's end to the next row is none
+    return df.withColumns(
+        {"average_hash": F.when(F.size(square) == 64, _hex64(bright)), "difference_hash": F.when(F.size(wide) == 72, _hex64(inner))}
+    )
+
+
 @F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, lower-cased with single blanks; null below eight characters (DUP-5)."""

@@ -17,7 +17,9 @@ MAX_QUERIES = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Dot product; an error for vectors of unequal width (EMB-3)."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), total).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of unequal width"))))
 
 
 def l2_norm(v: Column) -> Column:
@@ -37,6 +39,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine (EMB-3)."""
+    return 1 - cosine(a, b)
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    """Euclidean distance (EMB-3)."""
+    apart = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+    return F.when(dot(a, b).isNotNull(), l2_norm(apart))
+
+
 def score_from_distance(d: Column, metric: str) -> Column:
     """Distance to a score between 0 and 1 (EMB-4)."""
     raw = {"cosine": 1 - d, "inner_product": -d, "euclidean": 1 - d * d / 2}[metric]

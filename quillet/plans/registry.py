@@ -13,7 +13,7 @@ from ..operators import duplicates as U
 from ..operators import fraud, lifecycle, policy
 from ..operators import vectors as V
 from ..sources import tables
-from . import claims, knowledge, library, oracle
+from . import catalogue, claims, knowledge, library, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,8 +231,8 @@ _PLAIN = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*_PLAIN, *claims.QUERIES, *library.QUERIES)} | knowledge.QUERIES
+    return {f.__name__: f for f in (*_PLAIN, *claims.QUERIES, *library.QUERIES)} | knowledge.QUERIES | catalogue.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements() | claims.SQL | knowledge.SQL | library.SQL
+    return oracle.statements() | claims.SQL | knowledge.SQL | library.SQL | catalogue.SQL

@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.blocks import shared_folder
 from ..operators.lifecycle import EDGES
 
 
+def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Everything that a stream gives until its source is read, as a table in the folder that all machines share.
+
+    Rows of later batches replace those of equal ``keys`` (running results), or are added.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    named = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    named.outputMode("append" if keys is None else "update").foreachBatch(keep).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    if keys is None:
+        return rows.drop("_batch")
+    last = rows.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
+    return rows.join(last, [*keys, "_batch"], "left_semi").drop("_batch")
+
+
 def stream_dedup(docs: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each (tenant, checksum) once within the watermark (STR-1)."""
     return docs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tenant", "checksum"])
@@ -22,13 +46,16 @@ def stream_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("claim_id").agg(F.sum("amount_usd").alias("total_usd"), F.count("*").alias("item_count"))
 
 
-def stream_metrics(spans: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Operation metrics per tumbling window; late rows are dropped (STR-4)."""
+def stream_metrics(spans: DataFrame, width: str = "5 minutes", delay: str = "10 minutes", slow_ms: int = 2_000) -> DataFrame:
+    """Operation metrics per tumbling window of (ts, operation, duration_ms, failed); late rows are dropped (STR-4)."""
     return (
         spans.withWatermark("ts", delay)
         .groupBy(F.window("ts", width).alias("window"), "operation")
-        .agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("max_ms"))
-        .select(F.col("window.start").alias("start"), "operation", "runs", "total_ms", "max_ms")
+        .agg(
+            F.count("*").alias("runs"), F.count_if("failed").alias("failures"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("mean_ms"),
+            F.max("duration_ms").alias("max_ms"), F.count_if(F.col("duration_ms") >= slow_ms).alias("slow"),
+        )
+        .select(F.col("window.start").alias("start"), "operation", "runs", "failures", "total_ms", "mean_ms", "max_ms", "slow")
     )
 
 
