@@ -2,10 +2,14 @@
 
 Documents are packed into training sequences of several permitted lengths.
 Pieces are placed longest first into the open sequence with the least room that
-still holds them; where none does, a sequence of the length with the least cost
-per token that it can be expected to hold is opened; at the end each sequence
-shrinks to the shortest permitted length that holds its contents.  The lengths
-are optimised jointly: every shard is packed under each opening policy and the
+still holds them.  Where none does, one is opened, and the permitted lengths
+compete: for each, the sequence is filled in thought with the longest pieces
+that are still to come, is shrunk to the shortest length that holds them, and the
+length with the least cost per token that it would hold is opened.  A long
+sequence costs more per token (attention), a short one wastes more of its room;
+which wins depends on the pieces that are left.  At the end each sequence shrinks
+to the shortest permitted length that holds its contents.  Every shard is also
+packed with the shortest fitting and the longest length always opened, and the
 cheapest packing stays.
 
 Scale: only (doc_id, number of tokens) moves.  Pieces are dealt round-robin into
@@ -26,6 +30,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -49,13 +54,36 @@ def training_cost(length: int) -> float:
     return length * (1 + length / 8192)
 
 
-def _fit(sizes: Sequence[int], lengths: Sequence[int], open_length: Callable[[int, int], int]) -> tuple[list[int], list[int]]:
+class _Left:
+    """The pieces still to be placed, by size."""
+
+    def __init__(self, sizes: Sequence[int]) -> None:
+        self.count = Counter(sizes)
+        self.sizes = sum(1 << size for size in self.count)  # bit n is set if a piece of size n is left
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.sizes ^= 1 << size
+
+    def fill(self, room: int) -> int:
+        """Tokens that the longest pieces that fit, one after the other, put into ``room``."""
+        filled, below = 0, room + 1
+        while room and (fitting := self.sizes & ((1 << min(room + 1, below)) - 1)):
+            size = fitting.bit_length() - 1
+            n = min(self.count[size], room // size)
+            filled, room, below = filled + n * size, room - n * size, size
+        return filled
+
+
+def _fit(sizes: Sequence[int], lengths: Sequence[int], open_length: Callable[[int, _Left], int]) -> tuple[list[int], list[int]]:
     """The bin of each piece and the contents of each bin; sizes descend."""
     room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # open bins by what still fits
     rooms = 0  # bit r is set if room[r] has a bin
     where, contents = [], []
-    left = sum(sizes)
+    left = _Left(sizes)
     for size in sizes:
+        left.take(size)
         fitting = rooms >> size
         if fitting:
             r = size + (fitting & -fitting).bit_length() - 1
@@ -66,7 +94,6 @@ def _fit(sizes: Sequence[int], lengths: Sequence[int], open_length: Callable[[in
             b, r = len(contents), open_length(size, left)
             contents.append(0)
         contents[b] += size
-        left -= size
         where.append(b)
         if r > size:
             room[r - size].append(b)
@@ -78,19 +105,17 @@ def pack_shard(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, cost: Cal
     """Bin of each piece (sizes descending), contents and final length of each bin."""
     lengths = sorted(lengths)
 
-    def per_token(size: int, left: int) -> int:
-        return min((c for c in lengths if c >= size), key=lambda c: (cost(c) / min(c, left), c))
-
-    def shortest(size: int, left: int) -> int:
-        return next(c for c in lengths if c >= size)
+    def shrunk(n: int) -> int:
+        return next(c for c in lengths if c >= n)
 
-    def longest(size: int, left: int) -> int:
-        return lengths[-1]
+    def least_cost(size: int, left: _Left) -> int:
+        held = {c: size + left.fill(c - size) for c in lengths if c >= size}
+        return min(held, key=lambda c: (cost(shrunk(held[c])) / held[c], c))
 
     best = None
-    for policy in (per_token, shortest, longest):
+    for policy in (least_cost, lambda size, _: shrunk(size), lambda *_: lengths[-1]):
         where, contents = _fit(sizes, lengths, policy)
-        final = [next(c for c in lengths if c >= n) for n in contents]
+        final = [shrunk(n) for n in contents]
         total = sum(map(cost, final))
         if best is None or total < best[0]:
             best = (total, where, contents, final)

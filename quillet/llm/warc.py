@@ -2,17 +2,26 @@
 
 Each response gives two records that refer to it: a ``metadata`` record (JSON of
 the HTTP headers, title, language and links) and a ``conversion`` record (plain
-text).  Both keep the response's identifier in WARC-Refers-To, its target and
-date, and the digest of its payload; each has an identifier of its own, made from
-the response's, so that a rerun gives the same records, and a digest of its own
-block.
+text).  Both keep the response's identifier in WARC-Refers-To, its target, date
+and HTTP headers, and the digest of its payload; each has an identifier of its
+own, made from the response's, so that a rerun gives the same records, and a
+digest of its own block.
 
-The work is one map over the responses: no shuffle, memory bounded by an Arrow
-batch.
+``read_warc`` reads responses from WARC files, compressed record by record or
+not; ``serialized`` gives the bytes of derived records, ready to be written.
+
+A page is read by one scanner in one pass: a tag ends at its first ``>`` and a new
+``<`` gives it up, a comment or script that is never closed takes the rest of the
+page.  Time is in proportion to the page's length, whatever it holds.
+
+Scale: one map over the responses; no shuffle, memory bounded by an Arrow batch.
+Pages become responses with ids from their own id, URL and contents.  Where rows
+repeat as a whole (a count of digests tells), the table is written once with a
+number for each row, which enters the ids, so that ids stay unique.
 
 Edge cases: a null payload is an empty one and still gives both records; a null
-URL or date is left out of the headers; repeated responses give repeated
-records; extra columns are ignored; an empty table gives an empty result.
+URL or date is left out of the headers; repeated pages give records with ids of
+their own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,49 +32,84 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 RESPONSE = ("page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload")
 SCHEMA = (
     "page_id long, record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string,"
     " content_length long, block_digest string, payload_digest string, http_headers string, block string"
 )
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(?:title)\b.*?</title\s*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|header|footer|nav|aside|pre|blockquote|body|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+_TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[!?][^<>]*+>)")
+#: Elements whose contents are no text, and how their ends are found.
+_RAW = {name: re.compile(rf"</{name}(?![\w-])", re.I) for name in ("script", "style", "noscript", "template", "title")}
+_BREAKS = frozenset(
+    "p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section header footer nav aside pre blockquote body hr".split()
+)
 _BLANKS = re.compile(r"[^\S\n]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+_VALUE = r"\s*+=\s*+[\"']?([^\"'\s>]++)"
+_LANG, _HREF = (re.compile(rf"(?<![\w-]){name}{_VALUE}", re.I) for name in ("lang", "href"))
+
+
+class Page(NamedTuple):
+    text: str
+    title: str | None
+    lang: str | None
+    links: list[str]
 
 
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page))))
-    lines = (x.strip() for x in _BLANKS.sub(" ", text).split("\n"))
-    return "\n".join(x for x in lines if x)
-
-
-def page_metadata(page: str, headers: str) -> str:
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    named = dict(x.split(": ", 1) for x in (headers or "").split("\r\n")[1:] if ": " in x)
-    return json.dumps(
-        {
-            "http_status": (headers or "").split("\r\n")[0],
-            "http_headers": named,
-            "title": html.unescape(title[1]).strip() if title else None,
-            "lang": lang[1] if lang else None,
-            "links": [html.unescape(x) for x in _LINK.findall(page)],
-        },
-        ensure_ascii=False,
-    )
+def scan_page(page: str) -> Page:
+    """Text, title, language and links of a page, in one pass."""
+    out, links, title, lang, at = [], [], None, None, 0
+    while token := _TOKEN.search(page, at):
+        out.append(page[at : token.start()])
+        at = token.end()
+        comment, closing, name, rest = token.groups()
+        if comment:
+            out.append(" ")
+            at = page.find("-->", at) + 3
+            if at == 2:
+                at = len(page)
+        elif name:
+            name = name.lower()
+            if name in _BREAKS:
+                out.append("\n")
+            elif closing:
+                pass
+            elif name in _RAW:
+                out.append(" ")
+                end = _RAW[name].search(page, at)
+                if name == "title" and title is None and end:
+                    title = html.unescape(page[at : end.start()]).strip()
+                at = end.start() if end else len(page)
+            elif name == "a" and (found := _HREF.search(rest)):
+                links.append(html.unescape(found[1]))
+            elif name == "html" and lang is None and (found := _LANG.search(rest)):
+                lang = found[1]
+    out.append(page[at:])
+    lines = (x.strip() for x in _BLANKS.sub(" ", html.unescape("".join(out))).split("\n"))
+    return Page("\n".join(x for x in lines if x), title, lang, links)
+
+
+def header_lines(headers: str | None) -> list[tuple[str, str]]:
+    """Names and values of HTTP headers, without the first line."""
+    return [(name, value) for name, part, value in (x.partition(": ") for x in (headers or "").split("\r\n")[1:]) if part]
+
+
+def page_metadata(page: Page, headers: str | None) -> str:
+    found = {"http_status": (headers or "").split("\r\n")[0], "http_headers": dict(header_lines(headers))}
+    return json.dumps(found | {"title": page.title, "lang": page.lang, "links": page.links}, ensure_ascii=False)
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +118,9 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            page = r["payload"] or ""
-            source = digest(page.encode())
-            made = (("metadata", "application/json", page_metadata(page, r["http_headers"])), ("conversion", "text/plain", plain_text(page)))
+            source = digest((r["payload"] or "").encode())
+            page = scan_page(r["payload"] or "")
+            made = (("metadata", "application/json", page_metadata(page, r["http_headers"])), ("conversion", "text/plain", page.text))
             for kind, content, block in made:
                 data = block.encode()
                 own = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['record_id']}#{kind}").urn
@@ -85,18 +129,24 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def responses_of_pages(pages: DataFrame) -> DataFrame:
+def responses_of_pages(pages: DataFrame, fetched_at: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Pages (page_id, url, html) as response records with headers of their own."""
-    key = F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))), 256)
-    part = lambda a, n: F.substring(key, a, n)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    key = F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.sha2(F.coalesce("html", F.lit("")), 256)), 256)
+    if rows.groupBy(key).count().filter("count > 1").isEmpty():
+        keyed = rows.withColumn("key", key)
+    else:
+        numbered = written(rows.withColumn("number", F.monotonically_increasing_id()), "pages")
+        keyed = numbered.withColumn("key", F.sha2(F.concat_ws("|", key, F.col("number").cast("string")), 256))
+    part = lambda a, n: F.substring("key", a, n)
     ident = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
     size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size)
-    return pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
+    return keyed.select(
+        "page_id",
         ident.alias("record_id"),
         F.col("url").alias("target_uri"),
-        F.lit("2024-01-01T00:00:00Z").alias("warc_date"),
+        F.lit(fetched_at).alias("warc_date"),
         headers.alias("http_headers"),
         F.col("html").alias("payload"),
     )
@@ -108,27 +158,64 @@ def derive(responses: DataFrame) -> DataFrame:
 
 
 def to_bytes(row: dict) -> bytes:
-    """One record in WARC/1.1 format."""
+    """One record in WARC/1.1 format; the source's HTTP headers come as X-Source-... headers."""
     block = row["block"].encode()
+    source = (row["http_headers"] or "").split("\r\n")
     named = [
         ("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]),
         ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["warc_date"]), ("WARC-Block-Digest", row["block_digest"]),
-        ("X-Source-Payload-Digest", row["payload_digest"]), ("Content-Type", row["content_type"]), ("Content-Length", str(len(block))),
+        ("X-Source-Payload-Digest", row["payload_digest"]), ("X-Source-Status", source[0] or None),
+        *((f"X-Source-{name}", value) for name, value in header_lines(row["http_headers"])),
+        ("Content-Type", row["content_type"]), ("Content-Length", str(len(block))),
     ]
     head = "".join(f"{k}: {v}\r\n" for k, v in named if v is not None)
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def from_bytes(data: bytes) -> list[tuple[dict, bytes]]:
-    """(headers, block) of each record in a run of uncompressed records."""
-    out = []
-    while data:
-        head, _, rest = data.partition(b"\r\n\r\n")
-        named = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        n = int(named["Content-Length"])
-        out.append((named, rest[:n]))
-        data = rest[n + 4 :]
-    return out
+def members(data: bytes) -> Iterator[bytes]:
+    """A file's gzip members one after the other; the file itself if it is not compressed."""
+    while data[:2] == b"\x1f\x8b":
+        gzip = zlib.decompressobj(31)
+        yield gzip.decompress(data) + gzip.flush()
+        data = gzip.unused_data
+    if data:
+        yield data
+
+
+def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record in a WARC file, compressed or not.
+
+    A record without end ends the file.
+    """
+    for member in members(data):
+        at = 0
+        while (end := member.find(b"\r\n\r\n", at)) >= 0:
+            lines = member[at:end].decode(errors="replace").lstrip("\r\n").split("\r\n")
+            named = {name: value for name, _, value in (x.partition(": ") for x in lines[1:])}
+            size = int(named.get("Content-Length", 0))
+            yield named, member[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
+
+
+def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), *[pa.string()] * 5]
+    for batch in batches:
+        for content in batch["content"]:
+            rows: list[tuple] = []
+            for named, block in from_bytes(content.as_py()):
+                if named.get("WARC-Type") == "response":
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    own = (named.get(k) for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
+                    rows.append((None, *own, head.decode(errors="replace"), payload.decode(errors="replace")))
+            for k in range(0, len(rows), 100):
+                columns = zip(*rows[k : k + 100], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], list(RESPONSE))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files, one file a task; page_id is null."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(_responses, "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload string")
 
 
 def _serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
