@@ -10,10 +10,16 @@ from ..functions.folding import normalize_for_matching, normalize_text
 from ..functions.text import estimate_tokens, strip_page_numbers, with_language
 
 
-def dedup_documents(docs: DataFrame, keys: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """First document of each content per tenant; repeats point at it (DOC-1)."""
+def dedup_documents(docs: DataFrame, keys: tuple[str, ...] = ("lang",), existing: DataFrame | None = None) -> DataFrame:
+    """First document of each content per tenant; repeats point at it (DOC-1).
+
+    ``existing`` (keys, checksum, doc_id) is the store: what it holds is first.
+    """
     digest = docs.withColumn("checksum", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
     first = digest.groupBy(*keys, "checksum").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    if existing is not None:
+        stored = existing.groupBy(*keys, "checksum").agg(F.min("doc_id").alias("_stored"))
+        first = first.join(stored, [*keys, "checksum"], "left").withColumn("first_id", F.coalesce("_stored", "first_id")).drop("_stored")
     return digest.select("doc_id", *keys, "checksum").join(first, [*keys, "checksum"]).withColumn(
         "status", F.when(F.col("doc_id") == F.col("first_id"), "INDEXED").otherwise("SKIPPED_DUPLICATE")
     )

@@ -15,9 +15,14 @@ def normalize_vendor(vendor: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(vendor, r"\s+", " ")))
 
 
+def _tenant(df: DataFrame) -> list[str]:
+    """The key that parts tenants, where a table has one."""
+    return [c for c in df.columns if c == "tenant"]
+
+
 def vendor_stats(items: DataFrame) -> DataFrame:
     """Claims, spend, first and last day per vendor (VEN-3)."""
-    return items.groupBy(normalize_vendor(F.col("merchant_vendor")).alias("vendor")).agg(
+    return items.groupBy(*_tenant(items), normalize_vendor(F.col("merchant_vendor")).alias("vendor")).agg(
         F.countDistinct("claim_id").alias("claims"), F.count("*").alias("items"), F.sum("amount_usd").alias("spend_usd"),
         F.min("expense_date").alias("first_seen"), F.max("expense_date").alias("last_seen"),
     )
@@ -43,14 +48,13 @@ def candidate_pairs(fp: DataFrame, days: int = WINDOW_DAYS, newest: int | None =
     """
     width = days + 1
     day = F.datediff("expense_date", F.lit("1970-01-01"))
-    keyed = fp.select("item_id", "claim_id", "vendor", "expense_date", F.floor(day / width).alias("bucket"))
-    near = keyed.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    a, b = keyed.alias("a"), near.alias("b")
-    met = a.join(b, (F.col("a.vendor") == F.col("b.vendor")) & (F.col("a.bucket") == F.col("b.bucket")))
-    apart = F.abs(F.datediff(F.col("a.expense_date"), F.col("b.expense_date")))
-    pairs = met.filter((apart <= days) & (F.col("b.item_id") < F.col("a.item_id")) & (F.col("a.claim_id") != F.col("b.claim_id"))).select(
-        F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other_id"), F.col("b.expense_date").alias("_date")
-    )
+    keys = _tenant(fp) + ["vendor"]
+    keyed = fp.select("item_id", "claim_id", *keys, "expense_date", F.floor(day / width).alias("bucket"))
+    beside = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
+    near = keyed.select(F.col("item_id").alias("other_id"), F.col("claim_id").alias("_claim"), *keys, F.col("expense_date").alias("_date"), beside)
+    met = keyed.join(near, [*keys, "bucket"])
+    apart = F.abs(F.datediff("expense_date", "_date"))
+    pairs = met.filter((apart <= days) & (F.col("other_id") < F.col("item_id")) & (F.col("claim_id") != F.col("_claim"))).select("item_id", "other_id", "_date")
     if newest is None:
         return pairs.drop("_date")
     rank = W.partitionBy("item_id").orderBy(F.desc("_date"), F.desc("other_id"))
@@ -81,28 +85,51 @@ def pair_signals(fp: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored.groupBy("item_id").agg(F.max("exact").alias("exact"), F.round(F.max("invoice"), 6).alias("invoice"), F.count("*").alias("candidates"))
 
 
+def verdict_name(score: Column) -> Column:
+    return F.when(score >= 0.95, "CONFIRMED").when(score >= 0.75, "LIKELY").when(score > 0, "POSSIBLE").otherwise("NO_MATCH")
+
+
 def verdict(signals: DataFrame) -> DataFrame:
     """Highest fired signal and its verdict; null means not applicable (DUP-12)."""
     fired = F.greatest(F.when(F.col("exact") == 1, 1.0), F.when(F.col("invoice") >= 0.9, F.col("invoice")), F.lit(0.0))
-    name = F.when(F.col("score") >= 0.95, "CONFIRMED").when(F.col("score") >= 0.75, "LIKELY").when(F.col("score") > 0, "POSSIBLE").otherwise("NO_MATCH")
-    return signals.withColumn("score", fired).withColumn("verdict", name)
+    return signals.withColumn("score", fired).withColumn("verdict", verdict_name(F.col("score")))
+
+
+def partners(rows: DataFrame, keys: list[str], own: str, near: str | None = None) -> DataFrame:
+    """(item_id, first_id, links): of the rows that share ``keys`` and differ in ``own``, the least item and their number.
+
+    One row per item that has a partner, never pairs: classes are counted per owner
+    first, and each item looks up its class.  ``near``, an integer key, may differ by
+    one: an owner's rows then count for the values below and above, too.
+    """
+    by = keys if near is None else [*keys, near]
+    owners = rows.groupBy(*by, own).agg(F.min("item_id").alias("_m"), F.count("*").alias("_k"))
+    if near is not None:
+        spread = owners.withColumn(near, F.explode(F.array(F.col(near) - 1, F.col(near), F.col(near) + 1)))
+        owners = spread.groupBy(*by, own).agg(F.min("_m").alias("_m"), F.sum("_k").alias("_k"))
+    classes = owners.groupBy(*by).agg(F.sum("_k").alias("_n"), F.min(F.struct("_m", own)).alias("_first"), F.count("*").alias("_owners")).filter("_owners > 1")
+    met = owners.join(classes, by)
+    second = met.filter(F.col(own) != F.col("_first")[own]).groupBy(*by).agg(F.min("_m").alias("_second"))
+    first = F.when(F.col(own) == F.col("_first")[own], F.col("_second")).otherwise(F.col("_first._m"))
+    found = met.join(second, by).select(*by, own, first.alias("first_id"), (F.col("_n") - F.col("_k")).alias("links"))
+    return rows.join(found, [*by, own]).select("item_id", "first_id", "links")
 
 
 def cross_employee(fp: DataFrame) -> DataFrame:
-    """Pairs of equal vendor, day and amount filed by two employees (DUP-9)."""
-    keys = ["vendor", "expense_date", "amount_usd"]
-    narrow = fp.select("item_id", "employee_id", *keys)
-    other = narrow.select(F.col("item_id").alias("other_id"), F.col("employee_id").alias("other_employee"), *keys)
-    return narrow.join(other, keys).filter("employee_id <> other_employee AND other_id < item_id").select("item_id", "other_id")
+    """(item_id, first_id, links): other employees' items of one vendor and day, amounts a cent apart at most (DUP-9).
+
+    An item is late if first_id is below its own.
+    """
+    keys = _tenant(fp) + ["vendor", "expense_date"]
+    rows = fp.select("item_id", "employee_id", *keys, F.round(F.col("amount_usd") * 100).cast("long").alias("cents"))
+    return partners(rows, keys, "employee_id", near="cents")
 
 
 def duplicate_items(items: DataFrame) -> DataFrame:
-    """Same employee, day, vendor and amount on another claim, rejected items left out (DUP-14)."""
-    keys = ["employee_id", "expense_date", "vendor", "amount_usd"]
+    """(item_id, first_id, links): same employee, day, vendor and amount on other claims, rejected items left out (DUP-14)."""
     live = items.filter(~F.coalesce(F.col("status").isin(*CLOSED), F.lit(False)))
-    narrow = live.select("item_id", "claim_id", *keys)
-    other = narrow.select(F.col("item_id").alias("other_id"), F.col("claim_id").alias("other_claim"), *keys)
-    return narrow.join(other, keys).filter("claim_id <> other_claim AND other_id < item_id").select("item_id", "other_id")
+    keys = _tenant(live) + ["employee_id", "expense_date", "vendor", "amount_usd"]
+    return partners(live.select("item_id", "claim_id", *keys), keys, "claim_id")
 
 
 def same_day_vendor(items: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def window_text(df: DataFrame, text: str, width: int = WINDOW_CHARS, overlap: in
 
     def add(s: Column, p: Column) -> Column:
         # The room that a window counts for a paragraph includes the blank line after it; a tail has none.
-        used = F.length(s["now"]) + F.when(F.size(s["done"]) == 0, 2).otherwise(0)
+        used = F.length(s["now"]) + F.when(F.size(s["done"]) == 0, 2).otherwise(0 if overlap else 2)
         full = (s["now"] != "") & (used + F.length(p) + 2 > width)
         tail = F.right(s["now"], F.lit(overlap)) if overlap else F.lit("")
         joined = lambda head: F.when(head == "", p).otherwise(F.concat(head, F.lit("\n\n"), p))

@@ -35,9 +35,15 @@ FRAUD_ROUTE = 40
 
 
 def route_items(judged: DataFrame) -> DataFrame:
-    """Where each item goes: fraud before policy before approval (LIF-1)."""
+    """Where each item goes: fraud, then policy, travel rules and classification, then approval (LIF-1).
+
+    travel_passed, travel_review and category_review count where they are columns; null is no objection.
+    """
     fraud = F.col("is_flagged") & (F.col("risk_score") >= FRAUD_ROUTE)
     hold = ~F.col("policy_passed") | F.col("manual_review")
+    for name, bad in (("travel_passed", False), ("travel_review", True), ("category_review", True)):
+        if name in judged.columns:
+            hold = hold | F.coalesce(F.col(name) == bad, F.lit(False))
     return judged.withColumn("route", F.when(fraud, "Fraud_Flag").when(hold, "Policy_Hold").otherwise("Auto_Approved"))
 
 
@@ -110,6 +116,9 @@ def lifecycle_snapshot(history: DataFrame) -> DataFrame:
         first("Manager_Review", "Finance_Review").alias("review_started_at"),
         first("Approved", "Auto_Approved").alias("approved_at"),
         F.max(F.when(F.col("to_status").isin("Approved", "Rejected"), F.col("occurred_at"))).alias("decided_at"),
+        first("Rejected").alias("rejected_at"),
+        first("Reimbursed").alias("reimbursed_at"),
+        first("Withdrawn").alias("withdrawn_at"),
         F.count("*").alias("moves"),
     )
 
@@ -142,11 +151,11 @@ def dashboard(claims: DataFrame) -> DataFrame:
 
 def audit_trails(logs: DataFrame) -> DataFrame:
     """Actors in the order they first appear, entries and last activity per entity (AUD-2)."""
-    seen = F.sort_array(F.collect_list(F.struct("occurred_at", "event_id", "actor")))
-    actors = F.array_distinct(F.transform(seen, lambda x: x["actor"]))
-    return logs.groupBy("entity_id").agg(
-        F.array_join(F.transform(actors, lambda a: a.cast("string")), ",").alias("actors"), F.count("*").alias("entries"), F.max("occurred_at").alias("last_activity")
-    )
+    first = F.min(F.struct("occurred_at", "event_id")).alias("first")
+    by_actor = logs.groupBy("entity_id", "actor").agg(first, F.count("*").alias("n"), F.max("occurred_at").alias("last"))
+    # A list of actors, not of entries: each actor once per entity.
+    actors = F.transform(F.sort_array(F.collect_list(F.struct("first", "actor"))), lambda x: x["actor"].cast("string"))
+    return by_actor.groupBy("entity_id").agg(F.array_join(actors, ",").alias("actors"), F.sum("n").alias("entries"), F.max("last").alias("last_activity"))
 
 
 def operation_metrics(spans: DataFrame, slow_ms: int = 2_000) -> DataFrame:

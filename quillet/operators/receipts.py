@@ -16,7 +16,7 @@ from . import duplicates as U
 from .vectors import cosine
 
 SIBLINGS, LEAST_TEXT = 12, 8
-NEAR, HASH_FIRES, TEXT_FIRES = 0.80, 0.90, 0.85
+NEAR, HASH_FIRES, TEXT_FIRES, EMBEDDING_FIRES, INVOICE_FIRES = 0.80, 0.90, 0.85, 0.93, 0.90
 
 
 def hash_similarity(a: Column, b: Column) -> Column:
@@ -106,15 +106,16 @@ def _parts(target: pd.Series, cents: pd.Series, ids: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def multi_receipt(items: DataFrame, days: int = U.WINDOW_DAYS) -> DataFrame:
+def multi_receipt(items: DataFrame, days: int = U.WINDOW_DAYS, earlier: bool = False) -> DataFrame:
     """(item_id, parts): the smallest set of two or more siblings whose amounts give the item's, within a cent (DUP-10).
 
     Siblings are the first ``SIBLINGS`` by day and id among the other items of the same
     employee and vendor at most ``days`` away, as the rule has it.  These are among
     the first ``SIBLINGS`` + 1 of each day, so only those are listed and days, not
-    items, meet: however often a vendor is used, no list grows past that number.
+    items, meet: however often a vendor is used, no list grows past that number for each
+    day.  ``earlier`` takes only siblings of lower id.
     """
-    key = ["employee_id", "vendor"]
+    key = [c for c in items.columns if c == "tenant"] + ["employee_id", "vendor"]
     keyed = items.select("item_id", *key, "expense_date", (F.col("amount_usd") * 100).cast("long").alias("cents"))
     nth = F.row_number().over(W.partitionBy(*key, "expense_date").orderBy("item_id"))
     early = keyed.withColumn("_n", nth).filter(F.col("_n") <= SIBLINGS + 1)
@@ -124,8 +125,9 @@ def multi_receipt(items: DataFrame, days: int = U.WINDOW_DAYS) -> DataFrame:
     near = lists.select(*key, F.col("expense_date").alias("day"), "l", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
     met = own.join(near, [*key, "b"]).filter(F.abs(F.datediff("expense_date", "day")) <= days)
     ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("day", "l"))), lambda x: x["l"]))
-    around = met.groupBy(*key, "expense_date").agg(F.slice(ordered, 1, SIBLINGS + 1).alias("s"))
-    held = keyed.join(around, [*key, "expense_date"]).withColumn("s", F.slice(F.filter("s", lambda x: x["item_id"] != F.col("item_id")), 1, SIBLINGS))
+    around = met.groupBy(*key, "expense_date").agg((ordered if earlier else F.slice(ordered, 1, SIBLINGS + 1)).alias("s"))
+    wanted = (lambda x: x["item_id"] < F.col("item_id")) if earlier else (lambda x: x["item_id"] != F.col("item_id"))
+    held = keyed.join(around, [*key, "expense_date"]).withColumn("s", F.slice(F.filter("s", wanted), 1, SIBLINGS))
     parts = _parts("cents", F.transform("s", lambda x: x["cents"]), F.transform("s", lambda x: x["item_id"]))
     return held.filter(F.size("s") > 1).select("item_id", parts.alias("parts")).filter("parts IS NOT NULL")
 
@@ -136,22 +138,66 @@ def near_duplicate(signals: DataFrame, names: list[str], exact: str = "exact") -
     return signals.withColumn("near", F.when(F.coalesce(F.col(exact), F.lit(0)) == 1, None).otherwise(F.when(top >= NEAR, top).when(top.isNotNull(), 0.0)))
 
 
+#: Signals between two receipts in report order: name, column that they need, least score that fires.
+PAIR_SIGNALS = (
+    ("exact", "checksum", 1.0), ("hash", "image_hash", HASH_FIRES), ("perceptual", "difference_hash", HASH_FIRES), ("ocr", "ocr_text", TEXT_FIRES),
+    ("embedding", "embedding", EMBEDDING_FIRES), ("alias", "profile", 1.0), ("invoice", "vendor", INVOICE_FIRES),
+)
+#: What the near-duplicate signal is the best of.
+CONTINUOUS = ("hash", "perceptual", "ocr", "embedding", "invoice")
+FLAGS = {
+    "exact": "EXACT", "hash": "IMAGE", "perceptual": "PERCEPTUAL", "ocr": "OCR", "embedding": "EMBEDDING", "alias": "ALIAS", "invoice": "INVOICE",
+    "cross": "CROSS_EMPLOYEE", "split": "MULTI_RECEIPT",
+}
+
+
 def scan_duplicates(fp: DataFrame) -> DataFrame:
     """Signals, flags, related items and verdict of every item with a candidate or a partner (DUP-13).
 
-    ``fp`` has the keys of ``duplicates.with_keys`` and image_hash.
+    ``fp`` has the keys of ``duplicates.with_keys``; tenant, profile (of the vendor),
+    image_hash, difference_hash, ocr_text and embedding are used where they are columns.
+    A signal without what it needs is null, one that found nothing is 0.  Candidates and
+    partners are items seen earlier.  related lists an earlier item of equal bytes, one
+    of another employee, and the parts of a split, each once.
     """
-    fp = fp.select("item_id", "claim_id", "employee_id", "vendor", "merchant_vendor", "expense_date", "amount_usd", "invoice_number", "checksum", "image_hash")
-    pairs = U.candidate_pairs(fp)
-    joined = U.pair_signals(fp, pairs).join(best_signals(fp, pairs), "item_id", "left")
-    crossed = U.cross_employee(fp).groupBy("item_id").agg(F.sort_array(F.collect_set("other_id")).alias("related"))
-    both = joined.join(crossed, "item_id", "full_outer").withColumn("cross", F.when(F.size("related") > 0, 1).otherwise(0))
-    near = near_duplicate(both, ["hash", "invoice"])
-    fired = {"EXACT": F.col("exact") == 1, "INVOICE": F.col("invoice") >= 0.9, "IMAGE": F.col("hash") >= HASH_FIRES, "CROSS_EMPLOYEE": F.col("cross") == 1}
-    flags = F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in fired.items()])), ",")
-    score = F.greatest(F.when(fired["EXACT"], 1.0), F.when(fired["INVOICE"], F.col("invoice")), F.when(fired["IMAGE"], F.col("hash")), F.when(fired["CROSS_EMPLOYEE"], 1.0), F.when(F.col("near") > 0, F.col("near")), F.lit(0.0))
-    name = F.when(F.col("score") >= 0.95, "CONFIRMED").when(F.col("score") >= 0.75, "LIKELY").when(F.col("score") > 0, "POSSIBLE").otherwise("NO_MATCH")
-    return near.withColumn("flags", flags).withColumn("score", F.round(score, 6)).withColumn("verdict", name)
+    keys = ["item_id", "claim_id", "employee_id", "vendor", "expense_date", "amount_usd", "invoice_number", "checksum"]
+    more = [c for c in ("tenant", "profile", "image_hash", "difference_hash", "ocr_text", "embedding") if c in fp.columns]
+    fp = fp.select(*keys, *more)
+    if "profile" in more:  # windows and partners go by profile, spellings stay
+        fp = fp.withColumns({"spelling": F.col("vendor"), "vendor": F.coalesce("profile", "vendor")})
+    of = lambda side, c: F.col(f"{side}.{c}")
+    there = lambda c: of("a", c).isNotNull() & of("b", c).isNotNull()
+    made = {
+        "exact": lambda c: F.when(of("a", c).isNotNull(), (of("a", c) == of("b", c)).cast("double")),
+        "hash": lambda c: hash_similarity(of("a", c), of("b", c)),
+        "perceptual": lambda c: hash_similarity(of("a", c), of("b", c)),
+        "ocr": lambda c: text_ratio(of("a", c), of("b", c)),
+        "embedding": lambda c: F.when(there(c), cosine(of("a", c), of("b", c))),
+        "alias": lambda c: (of("a", "spelling") != of("b", "spelling")).cast("double"),
+        "invoice": lambda c: U.invoice_similarity("a", "b"),
+    }
+    names = [n for n, c, _ in PAIR_SIGNALS if c in fp.columns]
+    met = with_both(fp, U.candidate_pairs(fp))
+    scored = met.select("item_id", "other_id", *[made[n](c).alias(n) for n, c, _ in PAIR_SIGNALS if n in names])
+    best = scored.groupBy("item_id").agg(
+        *[F.round(F.max(n), 6).alias(n) for n in names], F.count("*").alias("candidates"), F.min(F.when(F.col("exact") == 1, F.col("other_id"))).alias("same_id")
+    )
+    crossed = U.cross_employee(fp).filter("first_id < item_id").select("item_id", F.col("first_id").alias("cross_id"))
+    both = best.join(crossed, "item_id", "full_outer").join(multi_receipt(fp, earlier=True), "item_id", "full_outer")
+    both = both.withColumns({"cross": F.col("cross_id").isNotNull().cast("double"), "split": F.col("parts").isNotNull().cast("double")})
+    near = near_duplicate(both, [n for n in CONTINUOUS if n in names])
+    least = {n: x for n, _, x in PAIR_SIGNALS} | {"cross": 1.0, "split": 1.0}
+    fired = {n: F.coalesce(F.col(n) >= least[n], F.lit(False)) for n in FLAGS if n in near.columns}
+    score = F.greatest(*[F.when(c, F.col(n)) for n, c in fired.items()], F.when(F.col("near") > 0, F.col("near")), F.lit(0.0))
+    parts = F.coalesce("parts", F.array().cast("array<long>"))
+    out = near.withColumns(
+        {
+            "flags": F.array_join(F.array_compact(F.array(*[F.when(c, FLAGS[n]) for n, c in fired.items()])), ","),
+            "related": F.array_distinct(F.concat(F.array_compact(F.array("same_id", "cross_id")), parts)),
+            "score": F.round(score, 6),
+        }
+    )
+    return out.withColumn("verdict", U.verdict_name(F.col("score"))).drop("same_id", "cross_id", "parts")
 
 
 def embedding_signal(fp: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .blocks import in_blocks
 
 MAX_QUERIES = 20_000
+MAX_K, MAX_OFFSET = 500, 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,37 +64,52 @@ def centroids(vectors: DataFrame, key: str = "label") -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("centroid"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def knn(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, *, within: tuple[str, ...] = (), where: Column | None = None, least: float | None = None, offset: int = 0
+) -> DataFrame:
     """Exact top ``k`` by cosine for each query (query_id, embedding) (EMB-6).
 
+    ``within`` names columns of both sides, as tenant and spec, that must agree; ``where``
+    filters the vectors before they are scored; ``least`` is a score's lower limit;
+    ``offset`` passes over so many of the best.  Ties go by id.
+
     The query set is broadcast, in blocks of at most ``MAX_QUERIES``.  Each Arrow batch
-    keeps its own best ``k`` per query, so the shuffle carries k rows per query and batch.
+    keeps its own best per query, so the shuffle carries k + offset rows per query and batch.
     """
-    return in_blocks(queries.toDF("query_id", "embedding"), MAX_QUERIES, lambda rows: _knn(rows, vectors, k))
+    if not 0 < k <= MAX_K or not 0 <= offset <= MAX_OFFSET:
+        raise ValueError(f"k is from 1 to {MAX_K}, offset from 0 to {MAX_OFFSET}")
+    asked = queries if within else queries.toDF("query_id", "embedding")
+    asked = asked.select("query_id", "embedding", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in within]).alias("_part"))
+    held = (vectors if where is None else vectors.filter(where)).select(
+        "vec_id", "embedding", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in within]).alias("_part")
+    )
+    found = in_blocks(asked, MAX_QUERIES, lambda rows: _knn(rows, held, k + offset))
+    found = found if least is None else found.filter(F.col("score") >= least)
+    return found if not offset else found.filter(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
 
 
 def _knn(rows: list[Row], vectors: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
-    ids = np.array([r[0] for r in rows])
+    ids, parts = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in rows], np.float64))))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in rows], np.float64)), parts))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, q, parts = shared.value
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            own = batch["vec_id"].to_numpy()
+            own, part = batch["vec_id"].to_numpy(), np.array(batch["_part"].to_pylist())
             m = unit(np.array(batch["embedding"].to_pylist(), np.float64))
             for a in range(0, len(ids), 512):
-                s = q[a : a + 512] @ m.T
+                s = np.where(parts[a : a + 512, None] == part[None, :], q[a : a + 512] @ m.T, -2.0)
                 # Ties at the cut are decided by id, as in the end.
                 top = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[a : a + 512], top.shape[1])), pa.array(own[top].ravel()), pa.array(np.round(np.take_along_axis(s, top, 1), 9).ravel())],
-                    ["query_id", "vec_id", "score"],
-                )
+                scores = np.round(np.take_along_axis(s, top, 1), 9).ravel()
+                mine = scores >= -1.5  # others are of another part
+                columns = (np.repeat(ids[a : a + 512], top.shape[1])[mine], own[top].ravel()[mine], scores[mine])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
+    found = vectors.mapInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k), shared
 

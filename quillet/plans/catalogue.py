@@ -107,15 +107,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SECTIONS = """lines AS (SELECT doc_id, k - 1 AS pos, p[k] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(k)),
 sections AS (SELECT doc_id, CAST(floor(pos / 2) AS BIGINT) AS section, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY ALL)"""
-_COUNTS = ", ".join(
-    f"len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}]+'), lambda w: w IN ({', '.join(repr(w) for w in words.split())}))) AS n_{lang}" for lang, words in T.STOP_WORDS.items()
-)
-_N = [f"n_{lang}" for lang in T.STOP_WORDS]
-_LANGUAGE = (
-    f"CASE WHEN length(trim(text)) >= {T.LEAST_CHARS} AND greatest({', '.join(_N)}) > 0"
-    f" AND {' + '.join(f'({n} = greatest({', '.join(_N)}))::INT' for n in _N)} = 1"
-    f" THEN CASE greatest({', '.join(_N)}) {' '.join(f"WHEN {n} THEN '{n[2:]}'" for n in _N)} END END"
-)
+_COUNTS, _LANGUAGE = oracle.language_counts(), oracle.language()
 
 
 def txt_07_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +126,7 @@ c AS (SELECT doc_id, section, text, {_COUNTS} FROM sections),
 votes AS (SELECT doc_id, {_LANGUAGE} AS language, sum(length(text)) AS size FROM c WHERE length(text) >= 12 GROUP BY ALL),
 voted AS (SELECT doc_id, language FROM votes WHERE language IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, language DESC) = 1),
 w AS (SELECT doc_id, text, {_COUNTS} FROM documents)
-SELECT w.doc_id, coalesce(v.language, {_LANGUAGE.replace("text", "w.text")}) AS language FROM w LEFT JOIN voted v ON w.doc_id = v.doc_id"""
+SELECT w.doc_id, coalesce(v.language, {oracle.language("w.text")}) AS language FROM w LEFT JOIN voted v ON w.doc_id = v.doc_id"""
 _FOLD = r"trim(regexp_replace(regexp_replace(replace(lower(strip_accents({0})), 'ß', 'ss'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 

@@ -137,6 +137,14 @@ SQL = {
     "txt_04_sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|No|Inc|Ltd|Jan|Feb|e\.g|i\.e|vs|etc)([.!?。！？])(\s)', '\1\2' || chr(2) || '\3', 'g'), '(\d[.!?。！？])(\s)', '\1' || chr(2) || '\2', 'g') AS t FROM documents),
         s AS (SELECT doc_id, list_filter([replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(2), '') FOR x IN string_split(regexp_replace(t, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS p FROM m)
         SELECT doc_id, len(p) AS sentences, md5(coalesce(array_to_string(p, '|'), '')) AS digest FROM s""",
+    "txt_01_normalize": r"""WITH a AS (SELECT doc_id, translate(regexp_replace(text, '\r\n?', chr(10), 'g'), '‘’“”–—−' || chr(160), chr(39) || chr(39) || '""--- ') AS t FROM documents),
+        b AS (SELECT doc_id, regexp_replace(replace(t, chr(173), ''), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g') AS t FROM a),
+        c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM b)
+        SELECT doc_id, md5(regexp_replace(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM c""",
+    "txt_06_truncate": r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 512) AS head FROM documents),
+        p AS (SELECT *, length(head) AS n, strpos(reverse(head), ' .') AS a, strpos(reverse(head), chr(10)) AS b, strpos(reverse(head), ' ') AS c FROM h),
+        k AS (SELECT *, CASE WHEN a > 0 AND n - a - 1 > 0.6 * 512 THEN n - a WHEN b > 0 AND n - b > 0.6 * 512 THEN n - b + 1 WHEN c > 0 AND n - c > 0.6 * 512 THEN n - c ELSE n END AS e FROM p)
+        SELECT doc_id, md5(CASE WHEN floor(length(text) / 4.0::DOUBLE + 0.999::DOUBLE) <= 128 THEN text ELSE regexp_replace(substr(head, 1, CAST(e AS BIGINT)), '^\s+|\s+$', '', 'g') END) AS digest FROM k""",
     "chk_09_check": "SELECT '' AS chunk_id, '' AS violation WHERE false",
     "ret_02_trigram": f"""WITH {_LINES}, q AS (SELECT query_id, {_GRAMS.format("query")} AS g FROM asked), c AS (SELECT vec_id, {_GRAMS.format("text")} AS g FROM chunks),
         s AS (SELECT query_id, vec_id, len(list_intersect(q.g, c.g)) AS n, len(q.g) + len(c.g) AS m FROM q, c WHERE len(c.g) * 0.3 <= len(q.g) AND len(q.g) * 0.3 <= len(c.g)),

@@ -32,7 +32,8 @@ def dup_10_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dup_13_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP-11 and DUP-13."""
     out = receipts.scan_duplicates(_receipts(spark, sf_dir))
-    return out.select("item_id", "exact", "invoice", "hash", "cross", "near", "flags", F.coalesce(F.size("related"), F.lit(0)).alias("related"), "score", "verdict")
+    related = F.array_join(F.transform(F.array_sort("related"), lambda x: x.cast("string")), ",")
+    return out.select("item_id", "exact", "invoice", "hash", "cross", "split", "near", "flags", related.alias("related"), "score", "verdict")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +115,24 @@ scored AS (SELECT p.item_id, CAST(a.checksum = b.checksum AS INT) AS exact, 1.0:
 best AS (SELECT item_id, max(exact) AS exact, round(max(invoice), 6) AS invoice, max(hash) AS hash, max(alias) AS alias FROM scored GROUP BY item_id)"""
 SQL = {
     "dup_04_signals": f"WITH {_SCORED} SELECT item_id, hash, alias FROM best",
-    "dup_13_scan": f"""WITH {_SCORED}, crossed AS (SELECT a.item_id, CAST(count(DISTINCT b.item_id) AS INT) AS related FROM fp a JOIN fp b USING (vendor, expense_date, amount_usd) WHERE a.employee_id <> b.employee_id AND b.item_id < a.item_id GROUP BY a.item_id),
-        j AS (SELECT item_id, exact, invoice, hash, CASE WHEN related > 0 THEN 1 ELSE 0 END AS "cross", coalesce(related, 0) AS related FROM best FULL JOIN crossed USING (item_id)),
+    "dup_13_scan": f"""WITH {_SCORED},
+        crossed AS (SELECT a.item_id, min(b.item_id) AS other FROM fp a JOIN fp b USING (vendor, expense_date)
+          WHERE a.employee_id <> b.employee_id AND abs(a.amount_usd - b.amount_usd) <= 0.01 GROUP BY a.item_id HAVING min(b.item_id) < a.item_id),
+        sib AS (SELECT a.item_id, CAST(any_value(a.amount_usd) * 100 AS BIGINT) AS cents, list(CAST(b.amount_usd * 100 AS BIGINT) ORDER BY b.expense_date, b.item_id)[1:12] AS c,
+            list(b.item_id ORDER BY b.expense_date, b.item_id)[1:12] AS ids
+          FROM fp a JOIN fp b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7 AND b.item_id < a.item_id GROUP BY a.item_id HAVING count(*) > 1),
+        sets AS (SELECT bits, [k FOR k IN range(1, 13) IF (bits >> (k - 1)) & 1 = 1] AS ks FROM range(3, 4096) AS t(bits) WHERE bit_count(bits) > 1),
+        hit AS (SELECT item_id, ids, ks FROM sib, sets WHERE list_max(ks) <= len(c) AND abs(list_sum([c[k] FOR k IN ks]) - cents) <= 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY len(ks), ks) = 1),
+        split AS (SELECT item_id, [ids[k] FOR k IN ks] AS parts FROM hit),
+        same AS (SELECT p.item_id, min(p.other_id) AS other FROM pairs p JOIN fp a ON p.item_id = a.item_id JOIN fp b ON p.other_id = b.item_id WHERE a.checksum = b.checksum GROUP BY p.item_id),
+        j AS (SELECT item_id, CAST(exact AS DOUBLE) AS exact, invoice, round(hash, 6) AS hash, (crossed.other IS NOT NULL)::INT::DOUBLE AS "cross", (parts IS NOT NULL)::INT::DOUBLE AS split,
+            array_to_string(list_sort(list_distinct(list_concat(list_filter([same.other, crossed.other], lambda x: x IS NOT NULL), coalesce(parts, [])))), ',') AS related
+          FROM best FULL JOIN crossed USING (item_id) FULL JOIN split USING (item_id) LEFT JOIN same USING (item_id)),
         n AS (SELECT *, CASE WHEN exact = 1 THEN NULL WHEN greatest(hash, invoice) >= 0.8::DOUBLE THEN greatest(hash, invoice) WHEN greatest(hash, invoice) IS NOT NULL THEN 0.0::DOUBLE END AS near FROM j),
-        s AS (SELECT *, concat_ws(',', CASE WHEN exact = 1 THEN 'EXACT' END, CASE WHEN invoice >= 0.9::DOUBLE THEN 'INVOICE' END, CASE WHEN hash >= 0.9::DOUBLE THEN 'IMAGE' END, CASE WHEN "cross" = 1 THEN 'CROSS_EMPLOYEE' END) AS flags,
-          round(greatest(CASE WHEN exact = 1 OR "cross" = 1 THEN 1.0::DOUBLE END, CASE WHEN invoice >= 0.9::DOUBLE THEN invoice END, CASE WHEN hash >= 0.9::DOUBLE THEN hash END, CASE WHEN near > 0 THEN near END, 0.0::DOUBLE), 6) AS score FROM n)
+        s AS (SELECT *, concat_ws(',', CASE WHEN exact = 1 THEN 'EXACT' END, CASE WHEN hash >= 0.9::DOUBLE THEN 'IMAGE' END, CASE WHEN invoice >= 0.9::DOUBLE THEN 'INVOICE' END,
+            CASE WHEN "cross" = 1 THEN 'CROSS_EMPLOYEE' END, CASE WHEN split = 1 THEN 'MULTI_RECEIPT' END) AS flags,
+          round(greatest(CASE WHEN exact = 1 OR "cross" = 1 OR split = 1 THEN 1.0::DOUBLE END, CASE WHEN invoice >= 0.9::DOUBLE THEN invoice END, CASE WHEN hash >= 0.9::DOUBLE THEN hash END,
+            CASE WHEN near > 0 THEN near END, 0.0::DOUBLE), 6) AS score FROM n)
         SELECT *, CASE WHEN score >= 0.95 THEN 'CONFIRMED' WHEN score >= 0.75 THEN 'LIKELY' WHEN score > 0 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS verdict FROM s""",
     "doc_03_chain": f"WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY tenant, title ORDER BY doc_id) AS INT) AS place, count(*) OVER (PARTITION BY tenant, title) AS length FROM docs",
     "doc_04_search": f"WITH {_DOCS} SELECT doc_id, status FROM docs WHERE status = 'INDEXED' AND tenant = 'en' AND coalesce(f <= DATE '2026-03-01', true) AND coalesce(t >= DATE '2026-03-01', true)",

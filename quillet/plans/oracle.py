@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+from ..functions.text import LEAST_CHARS, STOP_WORDS
 from ..operators.lifecycle import EDGES, ROLES
 from ..sources.tables import history_sql, items_sql
 
+_N = [f"n_{lang}" for lang in STOP_WORDS]
+
+
+def language_counts(text: str = "text") -> str:
+    """Occurrences of each language's stop words, as a list of SQL columns."""
+    words = f"regexp_extract_all(lower({text}), '[\\p{{L}}]+')"
+    return ", ".join(f"len(list_filter({words}, lambda w: w IN ({', '.join(map(repr, stops.split()))}))) AS n_{lang}" for lang, stops in STOP_WORDS.items())
+
+
+def language(text: str = "text") -> str:
+    """The language that leads in the counts, as a SQL expression."""
+    top = f"greatest({', '.join(_N)})"
+    lead = " + ".join(f"({n} = {top})::INT" for n in _N)
+    pick = " ".join(f"WHEN {n} THEN '{n[2:]}'" for n in _N)
+    return f"CASE WHEN length(trim({text})) >= {LEAST_CHARS} AND {top} > 0 AND {lead} = 1 THEN CASE {top} {pick} END END"
+
+
 _ITEMS = f"items AS ({items_sql('duckdb')})"
 _VENDOR = "lower(trim(regexp_replace(merchant_vendor, '\\s+', ' ', 'g')))"
 _FP = f"""fp0 AS ({items_sql("duckdb", "l_suppkey")}),
@@ -90,8 +108,7 @@ _CLAIMS = """SELECT claim_id, CASE WHEN bool_or(route = 'Fraud_Flag') THEN 'Flag
 _PAIRS = """
 pairs AS (
   SELECT a.item_id, b.item_id AS other_id FROM fp a JOIN fp b ON a.vendor = b.vendor AND b.expense_date BETWEEN a.expense_date - 7 AND a.expense_date + 7
-    AND b.item_id < a.item_id AND a.claim_id <> b.claim_id
-  QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY b.expense_date DESC, b.item_id DESC) <= 200)"""
+    AND b.item_id < a.item_id AND a.claim_id <> b.claim_id)"""
 _KNN = """
 q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
 near AS (
@@ -127,7 +144,9 @@ def statements() -> dict[str, str]:
             SELECT event_id, claim_id, from_status, to_status, actor_role, illegal_edge, illegal_role FROM moves WHERE illegal_edge OR illegal_role""",
         "lif_08_snapshot": f"""WITH {_HISTORY} SELECT claim_id, arg_max(to_status, sequence) AS status, min(occurred_at) FILTER (to_status = 'Submitted') AS submitted_at,
             min(occurred_at) FILTER (to_status = 'Processing') AS processing_started_at, min(occurred_at) FILTER (to_status IN ('Manager_Review', 'Finance_Review')) AS review_started_at,
-            min(occurred_at) FILTER (to_status IN ('Approved', 'Auto_Approved')) AS approved_at, max(occurred_at) FILTER (to_status IN ('Approved', 'Rejected')) AS decided_at, count(*) AS moves FROM history GROUP BY claim_id""",
+            min(occurred_at) FILTER (to_status IN ('Approved', 'Auto_Approved')) AS approved_at, max(occurred_at) FILTER (to_status IN ('Approved', 'Rejected')) AS decided_at,
+            min(occurred_at) FILTER (to_status = 'Rejected') AS rejected_at, min(occurred_at) FILTER (to_status = 'Reimbursed') AS reimbursed_at, min(occurred_at) FILTER (to_status = 'Withdrawn') AS withdrawn_at,
+            count(*) AS moves FROM history GROUP BY claim_id""",
         "lif_09_status_sets": f"""WITH {_HISTORY} SELECT event_id, to_status AS status, to_status IN ('Rejected', 'Reimbursed', 'Withdrawn', 'Failed') AS is_terminal, to_status = 'Draft' AS is_editable,
             to_status IN ('Submitted', 'Processing', 'Auto_Approved', 'Manager_Review', 'Finance_Review') AS is_withdrawable, to_status IN ('Manager_Review', 'Finance_Review', 'Flagged_Fraud') AS is_reviewable FROM history""",
         "lif_15_dashboard": f"""WITH {_ROUTED}, claims AS ({_CLAIMS}) SELECT count(*) FILTER (claim_status = 'Manager_Review') AS pending, count(*) FILTER (claim_status = 'Flagged_Fraud') AS flagged,
@@ -140,7 +159,7 @@ def statements() -> dict[str, str]:
             SELECT operation, count(*) AS runs, count(*) FILTER (operation = 'error') AS failures, CAST(sum(d) AS BIGINT) AS total_ms, avg(d) AS mean_ms, max(d) AS max_ms, count(*) FILTER (d >= 50) AS slow FROM s GROUP BY operation""",
         "ven_03_vendor_stats": f"WITH {_FP} SELECT vendor, count(DISTINCT claim_id) AS claims, count(*) AS items, sum(amount_usd) AS spend_usd, min(expense_date) AS first_seen, max(expense_date) AS last_seen FROM fp GROUP BY vendor",
         "dup_01_candidates": f"WITH {_FP}, {_PAIRS} SELECT item_id, count(*) AS candidates, min(other_id) AS least, max(other_id) AS most FROM pairs GROUP BY item_id",
-        "dup_09_cross_employee": f"WITH {_FP} SELECT a.item_id, b.item_id AS other_id FROM fp a JOIN fp b USING (vendor, expense_date, amount_usd) WHERE a.employee_id <> b.employee_id AND b.item_id < a.item_id",
+        "dup_09_cross_employee": f"WITH {_FP} SELECT a.item_id, min(b.item_id) AS first_id, count(*) AS links FROM fp a JOIN fp b USING (vendor, expense_date) WHERE a.employee_id <> b.employee_id AND abs(a.amount_usd - b.amount_usd) <= 0.01 GROUP BY a.item_id",
         "dup_12_verdicts": f"""WITH {_FP}, {_PAIRS}, scored AS (
             SELECT p.item_id, CAST(a.checksum = b.checksum AS INT) AS exact,
               (0.35 * (a.vendor = b.vendor)::INT + 0.15 * (a.expense_date = b.expense_date)::INT + 0.15 * (abs(a.amount_usd - b.amount_usd) <= 0.01)::INT
@@ -150,7 +169,7 @@ def statements() -> dict[str, str]:
             signals AS (SELECT item_id, max(exact) AS exact, round(max(invoice), 6) AS invoice, count(*) AS candidates FROM scored GROUP BY item_id),
             final AS (SELECT *, greatest(CASE WHEN exact = 1 THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN invoice >= 0.9 THEN invoice ELSE 0 END) AS score FROM signals)
             SELECT *, CASE WHEN score >= 0.95 THEN 'CONFIRMED' WHEN score >= 0.75 THEN 'LIKELY' WHEN score > 0 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS verdict FROM final""",
-        "dup_14_duplicate_items": f"WITH {_ITEMS}, {_KEYED}, live AS (SELECT * FROM keyed WHERE status NOT IN ('Rejected', 'Withdrawn')) SELECT a.item_id, b.item_id AS other_id FROM live a JOIN live b USING (employee_id, expense_date, vendor, amount_usd) WHERE a.claim_id <> b.claim_id AND b.item_id < a.item_id",
+        "dup_14_duplicate_items": f"WITH {_ITEMS}, {_KEYED}, live AS (SELECT * FROM keyed WHERE status NOT IN ('Rejected', 'Withdrawn')) SELECT a.item_id, min(b.item_id) AS first_id, count(*) AS links FROM live a JOIN live b USING (employee_id, expense_date, vendor, amount_usd) WHERE a.claim_id <> b.claim_id GROUP BY a.item_id",
         "dup_15_same_day_vendor": f"WITH {_ITEMS}, {_KEYED} SELECT employee_id, vendor, expense_date, count(*) AS items, sum(amount_usd) AS total_usd FROM keyed GROUP BY ALL HAVING count(*) > 1",
         "dup_16_same_file_hash": f"WITH {_FP} SELECT checksum, count(DISTINCT claim_id) AS claims, min(item_id) AS first_item, count(*) AS items FROM fp GROUP BY checksum HAVING count(DISTINCT claim_id) > 1",
         "txt_03_paragraphs": r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> '')) AS paragraphs,
@@ -161,7 +180,9 @@ def statements() -> dict[str, str]:
             p AS (SELECT doc_id, (CASE WHEN n = 0 THEN 0 WHEN n < 80 THEN n / 80 * 0.3::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (n - 80) / 1920) END) AS length_score,
               (CASE WHEN n = 0 THEN 0 ELSE a / n END) AS alnum_score,
               (CASE WHEN n = 0 THEN 0 ELSE greatest(0.0::DOUBLE, 1 - CASE WHEN c / w < 2 THEN 2 - c / w WHEN c / w > 10 THEN c / w - 10 ELSE 0 END / 10) END) AS word_score FROM m)
-            SELECT *, CASE WHEN length_score > 0 THEN round(100 * (0.3::DOUBLE * length_score + 0.3::DOUBLE * alnum_score + 0.2::DOUBLE * word_score + 0.05::DOUBLE + 0.1::DOUBLE), 3) ELSE 0 END AS score FROM p""",
+            SELECT p.*, CASE WHEN length_score > 0 THEN round(100 * (0.3::DOUBLE * length_score + 0.3::DOUBLE * alnum_score + 0.2::DOUBLE * word_score
+              + CASE WHEN several THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END + CASE WHEN language IS NULL THEN 0.03::DOUBLE ELSE 0.1::DOUBLE END), 3) ELSE 0 END AS score
+            FROM p JOIN (SELECT doc_id, contains(text, chr(10)) AS several, @LANGUAGE AS language FROM (SELECT doc_id, text, @COUNTS FROM documents)) USING (doc_id)""".replace("@COUNTS", language_counts()).replace("@LANGUAGE", language()),
         "doc_01_dedup": "WITH f AS (SELECT doc_id, lang, sha256(coalesce(text, '')) AS checksum FROM documents) SELECT *, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies, CASE WHEN doc_id = min(doc_id) OVER w THEN 'INDEXED' ELSE 'SKIPPED_DUPLICATE' END AS status FROM f WINDOW w AS (PARTITION BY lang, checksum)",
         "doc_02_versions": "SELECT doc_id, lang, source, CAST(row_number() OVER w AS INT) AS version, lag(doc_id) OVER w AS supersedes_id, lead(doc_id) OVER w AS superseded_by, CASE WHEN lead(doc_id) OVER w IS NULL THEN 'INDEXED' ELSE 'SUPERSEDED' END AS status FROM documents WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)",
         "doc_07_count_by_spec": "SELECT label % 2 AS tenant, label AS spec, count(*) AS vectors FROM embeddings GROUP BY ALL",

@@ -158,9 +158,10 @@ def txt_09_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.load(spark, sf_dir, "documents")
     parts = T.quality_parts(F.col("text"))
-    staged = docs.select("doc_id", *[c.alias(n) for n, c in parts.items()])
+    staged = T.with_language(docs.select("doc_id", "text")).select("doc_id", "language", F.contains("text", F.lit("\n")).alias("several"), *[c.alias(n) for n, c in parts.items()])
     made = {n: F.col(n) for n in parts}
-    return staged.withColumn("score", F.round(T.quality_score(made, F.lit(False), F.lit(True)), 3))
+    scored = staged.withColumn("score", F.round(T.quality_score(made, F.col("several"), F.col("language").isNotNull()), 3))
+    return scored.drop("several", "language")
 
 
 def doc_01_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

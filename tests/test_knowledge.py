@@ -16,9 +16,11 @@ from quillet.operators import vectors as V
 TEXT = "One two three. Four five six seven! Eight?\n\nNine ten, Mr. Eleven pays 1.50 now. Twelve."
 
 
-def test_normal_and_folded():
-    assert folding.normal("reim-\nburse­  ﬁx “a”\r\n\n\n\n b ") == 'reimburse fix "a"\n\nb'
-    assert folding.normal(None) == "" and folding.fold("ÉCOLE *Straße*") == "ecole strasse"
+def test_normal_and_folded(spark):
+    text = "reim-\nburse\u00ad  \ufb01x \u201ca\u201d\r\n\n\n\n b "
+    made = spark.createDataFrame([(text,), (None,), ("a\x00\tb\rc   d",), (" \n\n\n",)], "t string").select(folding.normalize_text("t").alias("t")).collect()
+    assert [r.t for r in made] == ['reimburse fix "a"\n\nb', "", "a b\nc d", ""]
+    assert folding.fold("\u00c9COLE *Stra\u00dfe*") == "ecole strasse"
 
 
 def test_sentences_agree(spark):
@@ -27,9 +29,12 @@ def test_sentences_agree(spark):
     assert spark.range(1).select(folding.split_sentences(F.lit(TEXT)).alias("s")).first().s == want
 
 
-def test_cut_keeps_a_boundary():
-    assert folding.cut("aaaa bbbb cccc dddd eeee", 4) == "aaaa bbbb cccc"
-    assert folding.cut("short", 4) == "short" and folding.cut("x", 0) == ""
+def test_cut_keeps_a_boundary(spark):
+    texts = ["aaaa bbbb cccc dddd eeee", "short", None, "", "aaaa bbb. cc dddddddd", "aaaa bbbbb\nc ddddddddd", "a" * 40, "\u65e5" * 20]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    cut = lambda n: [r.t for r in df.select("k", folding.truncate_to_tokens(F.col("t"), n).alias("t")).orderBy("k").collect()]
+    assert cut(4) == ["aaaa bbbb cccc", "short", None, "", "aaaa bbb. cc", "aaaa bbbbb", "a" * 16, "\u65e5" * 4]
+    assert cut(0) == ["", "", None, "", "", "", "", ""]
 
 
 def test_html_sections(spark):

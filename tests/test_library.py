@@ -65,10 +65,10 @@ def test_transition_stream(spark, tmp_path):
 
 
 def test_clean_sections_and_language(spark):
-    rows = [(1, k, f"Head er\nthe policy and the employee {k}\n{k + 1}") for k in range(4)] + [(2, 0, "der die"), (2, 1, None), (3, 0, "Page 3")]
+    rows = [(1, k, f"Head er\nthe policy and the employee {k}\n{k + 1}") for k in range(4)] + [(2, 0, "der die das und"), (2, 1, None), (3, 0, "Page 3")]
     sections = spark.createDataFrame(rows, "doc_id long, section int, text string")
     cleaned = {(r.doc_id, r.section): r.text for r in D.clean_sections(sections).collect()}
-    assert cleaned == {(1, k): f"the policy and the employee {k}" for k in range(4)} | {(2, 0): "der die"}
+    assert cleaned == {(1, k): f"the policy and the employee {k}" for k in range(4)} | {(2, 0): "der die das und"}
     assert {r.doc_id: r.language for r in D.document_language(sections).collect()} == {1: "en", 2: "de", 3: None}
 
 

@@ -68,9 +68,9 @@ def test_recall(spark):
 
 
 def test_streams(spark, tmp_path):
-    spans = pd.DataFrame({"ts": pd.to_datetime(["2026-01-01 00:01", "2026-01-01 00:02", "2026-01-01 00:07"]), "operation": ["a"] * 3, "duration_ms": [1, 2, 3]})
+    spans = pd.DataFrame({"ts": pd.to_datetime(["2026-01-01 00:01", "2026-01-01 00:02", "2026-01-01 00:07"]), "operation": ["a"] * 3, "duration_ms": [1, 2, 3], "failed": [True, False, False]})
     spark.createDataFrame(spans).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("ts timestamp, operation string, duration_ms long").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, operation string, duration_ms long, failed boolean").parquet(f"{tmp_path}/in")
     query = jobs.stream_metrics(stream).writeStream.format("memory").queryName("metrics").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.runs for r in spark.table("metrics").collect()) == [1, 2]
