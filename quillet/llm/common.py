@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return session(df).read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def with_row_ids(docs: DataFrame) -> DataFrame:
     """(rid, row): every row of ``docs`` whole under an id of its own.
 

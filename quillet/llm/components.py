@@ -1,4 +1,9 @@
-"""Connected components by alternating stars, in joins and aggregates alone."""
+"""Connected components by alternating stars, in joins and aggregates alone.
+
+Edge cases: edges from a node to itself and repeated edges add nothing; a node
+without an edge is not in the result; a null node is no node, so its edges fall
+out; no edges give no rows.
+"""
 
 from __future__ import annotations
 

@@ -12,7 +12,8 @@ Scoring is one map over whole texts without a shuffle.  Only the text enters a
 score: labels, language, source and id never do.
 
 Edge cases: a null or empty text gets the score of the bias alone; ids that are
-labelled twice take their largest label; without labelled rows all weights are
+labelled twice take their largest label; of several rows under one id the least
+text is learned from; without labelled rows all weights are
 zero and every score is 0.5; repeated rows are scored one by one; extra columns
 are ignored; an empty table gives an empty result.
 """
@@ -97,7 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     chosen = known.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = cut(chosen)
     number = max(1, round(chosen.count() / SHARD_ROWS))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    # One row an id, so that the sample bounds the training, too.
+    rows = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     shards = rows.repartition(number, F.xxhash64("doc_id", F.lit(7)))
     parts = shards.mapInArrow(_train_shard, "slot long, w double")
     found = parts.groupBy("slot").agg(F.sum("w").alias("w")).toPandas()  # at most 2**BITS + 2 rows
