@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], take: str) -> DataFrame:
+    """Adds _place, _total, _before and _after: a row's number within its ``keys``, their rows, and ``take`` of its neighbours.
+
+    No group has to fit a task: rows are dealt by ranges of keys and order, each range
+    numbers its own, and a table with one row per range and group says how many rows
+    of the group come before the range and what stands at its ends.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    at = F.struct(*order)
+    ends = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_n"), F.min_by(take, at).alias("_head"), F.max_by(take, at).alias("_tail"))
+    along = W.partitionBy(*keys).orderBy("_range")
+    ends = ends.select(
+        F.col("_range").alias("_r"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+        F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+        F.lag("_tail").over(along).alias("_tail"), F.lead("_head").over(along).alias("_head"), F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    own = W.partitionBy("_range", *keys).orderBy(*order)
+    return ranged.join(ends, same).select(
+        *df.columns, (F.col("_earlier") + F.row_number().over(own)).alias("_place"), "_total",
+        F.coalesce(F.lag(take).over(own), "_tail").alias("_before"), F.coalesce(F.lead(take).over(own), "_head").alias("_after"),
+    )
+
+
 def in_blocks(queries: DataFrame, limit: int, run: Callable[[list[Row]], tuple[DataFrame, Broadcast]]) -> DataFrame:
     """The results of ``run`` (a frame and the broadcast it reads) over all ``queries``, at most ``limit`` of them at a time.
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.folding import normalize_for_matching, normalize_text
 from ..functions.text import estimate_tokens, strip_page_numbers, with_language
+from .blocks import numbered
 
 
 def dedup_documents(docs: DataFrame, keys: tuple[str, ...] = ("lang",), existing: DataFrame | None = None) -> DataFrame:
@@ -27,8 +27,9 @@ def dedup_documents(docs: DataFrame, keys: tuple[str, ...] = ("lang",), existing
 
 def assign_versions(docs: DataFrame) -> DataFrame:
     """Version per (tenant, title) and the chain of what supersedes what (DOC-2)."""
-    w = W.partitionBy("lang", "source").orderBy("doc_id")
-    out = docs.select("doc_id", "lang", "source", F.row_number().over(w).alias("version"), F.lag("doc_id").over(w).alias("supersedes_id"), F.lead("doc_id").over(w).alias("superseded_by"))
+    rows = numbered(docs.select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"], "doc_id")
+    names = {"_place": "version", "_before": "supersedes_id", "_after": "superseded_by"}
+    out = rows.withColumn("_place", F.col("_place").cast("int")).withColumnsRenamed(names).drop("_total")
     return out.withColumn("status", F.when(F.col("superseded_by").isNull(), "INDEXED").otherwise("SUPERSEDED"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import numbered
 from .claims import page
 from .retrieval import effective_on
 
@@ -25,10 +26,10 @@ def search_documents(docs: DataFrame, *, statuses: list[str] | None = None, on:
 def version_chain(docs: DataFrame) -> DataFrame:
     """Place of each version in its (tenant, title) chain, oldest first, and the chain's length (DOC-3).
 
-    Chains are those of one title, so a window orders them; a cycle cannot arise.
+    Chains are those of one title, so their order is enough; a cycle cannot arise.
     """
-    w = W.partitionBy("tenant", "title")
-    return docs.withColumn("place", F.row_number().over(w.orderBy("version", "doc_id"))).withColumn("length", F.count("*").over(w))
+    rows = numbered(docs, ["tenant", "title"], ["version", "doc_id"], "doc_id").drop("_before", "_after")
+    return rows.withColumn("_place", F.col("_place").cast("int")).withColumnsRenamed({"_place": "place", "_total": "length"})
 
 
 def assign_profile(docs: DataFrame, profiles: dict[str, tuple[str, str]], other: tuple[str, str]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import duplicates as U
 from ..operators import library as L
 from ..operators import receipts
 from ..sources import tables
-from .oracle import _FP, _PAIRS
+from .oracle import _FP, _ITEMS, _PAIRS, _VENDOR
 
 
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,9 @@ scored AS (SELECT p.item_id, CAST(a.checksum = b.checksum AS INT) AS exact, 1.0:
       / CASE WHEN a.invoice_number IS NOT NULL AND b.invoice_number IS NOT NULL THEN 1.0 ELSE 0.65 END AS invoice
   FROM pairs p JOIN fq a ON p.item_id = a.item_id JOIN fq b ON p.other_id = b.item_id),
 best AS (SELECT item_id, max(exact) AS exact, round(max(invoice), 6) AS invoice, max(hash) AS hash, max(alias) AS alias FROM scored GROUP BY item_id)"""
+_SETS = "sets AS (SELECT bits, ks, list_max(ks) AS m FROM (SELECT bits, [k FOR k IN range(1, 13) IF (bits >> (k - 1)) & 1 = 1] AS ks FROM range(3, 4096) AS t(bits) WHERE bit_count(bits) > 1))"
+_HIT = """hit AS (SELECT item_id, ids, ks FROM sib, sets WHERE m <= len(c) AND abs(list_sum([c[k] FOR k IN ks]) - cents) <= 1
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY len(ks), ks) = 1)"""
 SQL = {
     "dup_04_signals": f"WITH {_SCORED} SELECT item_id, hash, alias FROM best",
     "dup_13_scan": f"""WITH {_SCORED},
@@ -121,8 +124,7 @@ SQL = {
         sib AS (SELECT a.item_id, CAST(any_value(a.amount_usd) * 100 AS BIGINT) AS cents, list(CAST(b.amount_usd * 100 AS BIGINT) ORDER BY b.expense_date, b.item_id)[1:12] AS c,
             list(b.item_id ORDER BY b.expense_date, b.item_id)[1:12] AS ids
           FROM fp a JOIN fp b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7 AND b.item_id < a.item_id GROUP BY a.item_id HAVING count(*) > 1),
-        sets AS (SELECT bits, [k FOR k IN range(1, 13) IF (bits >> (k - 1)) & 1 = 1] AS ks FROM range(3, 4096) AS t(bits) WHERE bit_count(bits) > 1),
-        hit AS (SELECT item_id, ids, ks FROM sib, sets WHERE list_max(ks) <= len(c) AND abs(list_sum([c[k] FOR k IN ks]) - cents) <= 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY len(ks), ks) = 1),
+        {_SETS}, {_HIT},
         split AS (SELECT item_id, [ids[k] FOR k IN ks] AS parts FROM hit),
         same AS (SELECT p.item_id, min(p.other_id) AS other FROM pairs p JOIN fp a ON p.item_id = a.item_id JOIN fp b ON p.other_id = b.item_id WHERE a.checksum = b.checksum GROUP BY p.item_id),
         j AS (SELECT item_id, CAST(exact AS DOUBLE) AS exact, invoice, round(hash, 6) AS hash, (crossed.other IS NOT NULL)::INT::DOUBLE AS "cross", (parts IS NOT NULL)::INT::DOUBLE AS split,
@@ -134,6 +136,12 @@ SQL = {
           round(greatest(CASE WHEN exact = 1 OR "cross" = 1 OR split = 1 THEN 1.0::DOUBLE END, CASE WHEN invoice >= 0.9::DOUBLE THEN invoice END, CASE WHEN hash >= 0.9::DOUBLE THEN hash END,
             CASE WHEN near > 0 THEN near END, 0.0::DOUBLE), 6) AS score FROM n)
         SELECT *, CASE WHEN score >= 0.95 THEN 'CONFIRMED' WHEN score >= 0.75 THEN 'LIKELY' WHEN score > 0 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS verdict FROM s""",
+    "dup_10_multi": f"""WITH {_ITEMS}, k AS (SELECT *, {_VENDOR} AS vendor FROM items),
+        sib AS (SELECT a.item_id, CAST(any_value(a.amount_usd) * 100 AS BIGINT) AS cents, list(CAST(b.amount_usd * 100 AS BIGINT) ORDER BY b.expense_date, b.item_id)[1:12] AS c,
+            list(b.item_id ORDER BY b.expense_date, b.item_id)[1:12] AS ids
+          FROM k a JOIN k b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7 AND b.item_id <> a.item_id GROUP BY a.item_id HAVING count(*) > 1),
+        {_SETS}, {_HIT}
+        SELECT item_id, array_to_string([ids[k] FOR k IN ks], ',') AS parts FROM hit""",
     "doc_03_chain": f"WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY tenant, title ORDER BY doc_id) AS INT) AS place, count(*) OVER (PARTITION BY tenant, title) AS length FROM docs",
     "doc_04_search": f"WITH {_DOCS} SELECT doc_id, status FROM docs WHERE status = 'INDEXED' AND tenant = 'en' AND coalesce(f <= DATE '2026-03-01', true) AND coalesce(t >= DATE '2026-03-01', true)",
     "doc_06_profile": "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'HYBRID' WHEN n_chars > 300 THEN 'RECURSIVE' ELSE 'TOKEN' END AS strategy, CASE WHEN n_chars > 1000 THEN 'policy' WHEN n_chars > 300 THEN 'note' ELSE 'general' END AS category FROM documents",

@@ -238,3 +238,17 @@ def test_every_id_of_the_inventory_has_a_query():
     covered |= {"pol_09", "pol_10", "pol_11", "pol_13", "frd_01", "frd_02", "frd_03", "frd_04", "frd_05", "frd_06"}
     missing = {f"{kind}_{k:02}" for kind, n in whole.items() for k in range(1, n + 1)} - ids - covered
     assert not missing
+
+
+def test_numbers_of_groups_of_any_size(spark):
+    from quillet.operators.blocks import numbered
+
+    rng = np.random.default_rng(5)
+    rows = [(k, None if rng.random() < 0.1 else "hot" if rng.random() < 0.7 else f"g{rng.integers(5)}", int(rng.integers(50))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, g string, v int").repartition(6)
+    got = {r.doc_id: (r._place, r._total, r._before, r._after) for r in numbered(df, ["g"], ["v", "doc_id"], "doc_id").collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        ids = [k for _, k in sorted((v, k) for k, h, v in rows if h == g)]
+        want |= {k: (i + 1, len(ids), ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None) for i, k in enumerate(ids)}
+    assert got == want
