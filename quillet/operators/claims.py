@@ -100,8 +100,11 @@ def text_filter(claims: DataFrame, words: str, columns: list[str]) -> DataFrame:
     return claims.filter(hit)
 
 
-def claim_documents(claims: DataFrame, items: DataFrame, history: DataFrame, comments: DataFrame | None = None, *, internal: bool = False) -> DataFrame:
-    """Claims with their items, moves and comments nested in order (LIF-17).
+def claim_documents(
+    claims: DataFrame, items: DataFrame, history: DataFrame, comments: DataFrame | None = None, *, attachments: DataFrame | None = None,
+    fraud: DataFrame | None = None, steps: DataFrame | None = None, internal: bool = False,
+) -> DataFrame:
+    """Claims with their items, moves, comments, attachments, newest fraud verdict and workflow steps nested in order (LIF-17).
 
     Children are grouped before they are joined, so each side is shuffled once by claim.
     Internal comments are left out unless asked for.
@@ -110,11 +113,24 @@ def claim_documents(claims: DataFrame, items: DataFrame, history: DataFrame, com
     def nest(df: DataFrame, name: str, order: str, columns: list[str]) -> DataFrame:
         return df.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias(name))
 
-    out = claims.join(nest(items, "items", "line_number", ["item_id", "category", "amount_usd", "expense_date"]), "claim_id", "left")
-    out = out.join(nest(history, "history", "sequence", ["from_status", "to_status", "actor_role", "occurred_at"]), "claim_id", "left")
+    children = [
+        nest(items, "items", "line_number", ["item_id", "category", "amount_usd", "expense_date"]),
+        nest(history, "history", "sequence", ["from_status", "to_status", "actor_role", "occurred_at"]),
+    ]
     if comments is not None:
         seen = comments if internal else comments.filter(~F.coalesce("is_internal", F.lit(False)))
-        out = out.join(nest(seen, "comments", "created_at", ["author", "body"]), "claim_id", "left")
+        children.append(nest(seen, "comments", "created_at", ["author", "body"]))
+    if attachments is not None:
+        children.append(nest(attachments, "attachments", "created_at", ["file_name", "checksum"]))
+    if fraud is not None:
+        newest = F.struct("evaluated_at", "created_at", "id")
+        verdict = F.max_by(F.struct("risk_score", "risk_level", "is_flagged", "evaluated_at"), newest)
+        children.append(fraud.groupBy("claim_id").agg(verdict.alias("fraud")))
+    if steps is not None:
+        children.append(nest(steps, "workflow", "step_order", ["step", "status"]))
+    out = claims
+    for child in children:
+        out = out.join(child, "claim_id", "left")
     return out
 
 

@@ -93,7 +93,7 @@ def retrieve_scoped(
 ) -> DataFrame:
     """Contexts of RET-13 over the chunks of documents within the filters and in effect on the day (RET-14)."""
     inside = docs.filter(compile_filters(list(filters), _FIELDS)) if filters else docs
-    found = R.retrieve(queries, R.document_scope(chunks, inside, on), top_k, budget=budget)
+    found = R.retrieve(queries, chunks, top_k, budget=budget, docs=inside, on=on)
     return R.build_context(found, budget)
 
 

@@ -69,6 +69,18 @@ def publish_rules(current: DataFrame, batch: DataFrame, start: str) -> DataFrame
     return old.select(current.columns).unionByName(new.select(current.columns))
 
 
+def prepare_batch(submitted: DataFrame) -> DataFrame:
+    """Submitted rules with a code, from the category where it is missing, and their limit as a number or as it is worded (POL-4).
+
+    ``limit`` is text; max_amount is its number, limit_expression what is no number.
+    """
+    slug = F.regexp_replace(F.regexp_replace(F.upper("category"), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
+    number = F.regexp_replace(F.trim("limit"), ",", "").try_cast("double")
+    code = F.coalesce(F.when(F.trim("code") != "", F.trim("code")), F.concat(slug, F.lit("_STANDARD")))
+    worded = F.when(number.isNull() & (F.trim("limit") != ""), F.trim("limit"))
+    return submitted.withColumns({"code": code, "max_amount": number, "limit_expression": worded}).drop("limit")
+
+
 def replace_ruleset(current: DataFrame, batch: DataFrame, start: str) -> DataFrame:
     """Publish ``batch`` and retire all codes that it lacks (POL-4)."""
     out = publish_rules(current, batch, start)

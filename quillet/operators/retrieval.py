@@ -129,11 +129,15 @@ def trigram_search(queries: DataFrame, chunks: DataFrame, n: int = 50, least: fl
     return _leg(queries, chunks, n, index, best)
 
 
-def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:
-    """The full-text leg, and the trigram leg for queries it finds nothing for (RET-3)."""
+def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = 50, docs: DataFrame | None = None, on: Column | None = None) -> DataFrame:
+    """The full-text leg, and the trigram leg for queries it finds nothing for, then the scope of documents and day (RET-3).
+
+    The scope comes last, so a query whose hits are all out of scope does not fall back.
+    """
     found = lexical_search(queries, chunks, n)
     missing = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found.unionByName(trigram_search(missing, chunks, n))
+    both = found.unionByName(trigram_search(missing, chunks, n))
+    return both if docs is None else both.join(document_scope(chunks.select("vec_id", "doc_id"), docs, on).select("vec_id"), "vec_id", "left_semi")
 
 
 def effective_on(day: Column, start: str = "effective_from", end: str = "effective_to") -> Column:
@@ -196,6 +200,13 @@ def attach_citations(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     return once.withColumn("citation", F.row_number().over(W.partitionBy("query_id").orderBy("final_rank"))).select("query_id", "citation", "doc_id", "section", "label")
 
 
+def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
+    """The results of each query that fit its budget of tokens in rank order; the first stays, misfits are passed over (RET-10)."""
+    sized = ranked.select("query_id", "vec_id", F.col("final_rank").alias("rank"), estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+    kept = V.packed(sized, budget).select("query_id", F.explode("p.ids").alias("vec_id"))
+    return ranked.join(kept, ["query_id", "vec_id"], "left_semi")
+
+
 def build_context(ranked: DataFrame, budget: int = 4_000) -> DataFrame:
     """Per query the text '[n] chunk', its tokens and chunks; what does not fit is passed over, the first stays (RET-10, RET-12).
 
@@ -231,12 +242,19 @@ def embed_distinct(df: DataFrame, col: str = "text", dims: int = 64) -> DataFram
     return keyed.join(once, "_key").drop("_key")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 10, n: int = 50, budget: int = 4_000, threshold: float = 0.0) -> DataFrame:
-    """Lexical and dense legs, fused, reranked, cut to ``top_k``, compressed and ranked (RET-13); ``chunks`` is (vec_id, text, ...)."""
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, top_k: int = 10, n: int = 50, budget: int = 4_000, threshold: float = 0.0, docs: DataFrame | None = None, on: Column | None = None
+) -> DataFrame:
+    """Lexical and dense legs, fused, reranked, cut to ``top_k``, compressed, ranked and packed to the budget (RET-13).
+
+    ``chunks`` is (vec_id, text, ...), with doc_id where ``docs`` and a day bound the scope.
+    """
+    if docs is not None:
+        chunks = document_scope(chunks, docs, on)
     lexical = lexical_leg(queries, chunks, n).select("query_id", "vec_id", "rank")
     asked = embed_hash(queries.select("query_id", F.col("query").alias("text"))).select("query_id", "embedding")
     dense = V.knn(asked, embed_hash(chunks.select("vec_id", "text")).select("vec_id", "embedding"), n).select("query_id", "vec_id", "rank")
     fused = V.rrf({"lexical": lexical, "dense": dense}, {"lexical": 0.4, "dense": 0.6})
     met = fused.select("query_id", "vec_id", "fused").join(chunks, "vec_id").join(queries.select("query_id", "query"), "query_id")
     best = finalize(rerank(met), threshold).filter(F.col("final_rank") <= top_k)
-    return best.withColumn("text", compress(F.col("query"), F.col("text"), budget, top_k))
+    return within_budget(best.withColumn("text", compress(F.col("query"), F.col("text"), budget, top_k)), budget)

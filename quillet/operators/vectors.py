@@ -143,11 +143,15 @@ def rrf(legs: dict[str, DataFrame], weights: dict[str, float], k: int = 60) -> D
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("fused", 12)), "vec_id")))
 
 
-def pack_budget(ranked: DataFrame, budget: int) -> DataFrame:
-    """Results that fit the budget in rank order; the first always stays, misfits are skipped (RET-10)."""
+def packed(ranked: DataFrame, budget: int) -> DataFrame:
+    """query_id, p (used tokens and ids of what fits) and n of (query_id, vec_id, rank, tokens)."""
     rows = F.sort_array(F.collect_list(F.struct("rank", "vec_id", "tokens")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("ids"))
     fits = lambda s, x: (F.size(s["ids"]) == 0) | (s["used"] + x["tokens"] <= budget)
     step = lambda s, x: F.when(fits(s, x), F.struct((s["used"] + x["tokens"]).alias("used"), F.array_append(s["ids"], x["vec_id"]).alias("ids"))).otherwise(s)
-    out = ranked.groupBy("query_id").agg(F.aggregate(rows, start, step).alias("p"), F.count("*").alias("n"))
-    return out.select("query_id", F.col("p.used").alias("used"), F.array_join(F.transform("p.ids", lambda x: x.cast("string")), ",").alias("kept"), (F.size("p.ids") < F.col("n")).alias("truncated"))
+    return ranked.groupBy("query_id").agg(F.aggregate(rows, start, step).alias("p"), F.count("*").alias("n"))
+
+
+def pack_budget(ranked: DataFrame, budget: int) -> DataFrame:
+    """Results that fit the budget in rank order; the first always stays, misfits are skipped (RET-10)."""
+    return packed(ranked, budget).select("query_id", F.col("p.used").alias("used"), F.array_join(F.transform("p.ids", lambda x: x.cast("string")), ",").alias("kept"), (F.size("p.ids") < F.col("n")).alias("truncated"))

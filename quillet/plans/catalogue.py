@@ -427,6 +427,20 @@ def pol_04_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["pol_04_replace"] = f"WITH {_RULES}, {_BATCH} {_PUBLISHED.format(gone='true')}"
 
 
+def pol_04_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submitted rules with and without a code, with limits in figures and in words."""
+    p = F.col("p_partkey")
+    submitted = _load(spark, sf_dir, "part").select(
+        "p_partkey", F.when(p % 3 == 0, F.concat(F.lit("R"), p.cast("string"))).when(p % 3 == 1, " ").alias("code"), F.concat(F.lit(" Air / Travel-"), (p % 5).cast("string")).alias("category"),
+        F.when(p % 4 == 0, F.format_number(p * 10, 2)).when(p % 4 == 1, "twice the base").when(p % 4 == 2, " ").alias("limit"),
+    )
+    return policy.prepare_batch(submitted).select("p_partkey", "code", "max_amount", "limit_expression")
+
+
+SQL["pol_04_prepare"] = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'R' || p_partkey ELSE 'AIR_TRAVEL_' || (p_partkey % 5) || '_STANDARD' END AS code,
+CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 10.0::DOUBLE END AS max_amount, CASE WHEN p_partkey % 4 = 1 THEN 'twice the base' END AS limit_expression FROM part"""
+
+
 def pol_05_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest version of each code, after one code went back to its first."""
     return policy.latest_versions(policy.rollback(_rules(spark, sf_dir), "RULE_1", 1)).select("code", "version", "is_active")
@@ -714,7 +728,7 @@ AND b.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts"""
 FUNCTIONS = (
     src_03_decode, src_08_csv, src_09_upsert, src_10_delete, txt_07_language, txt_08_document_language, txt_10_boilerplate, txt_11_clean, txt_13_source_type, txt_17_snippet, doc_08_missing,
     emb_03_measures, emb_07_ann, emb_08_recall, ret_05_scope, ret_11_citations, ret_14_scoped, ret_15_memory, ven_02_resolve, dup_03_hashes, dup_05_ocr, dup_06_embedding,
-    pol_01_effective, pol_03_publish, pol_04_replace, pol_05_versions, pol_06_registry, pol_16_windows, pol_17_parse, pol_18_dedup, pol_19_clean, pol_20_review,
+    pol_01_effective, pol_03_publish, pol_04_prepare, pol_04_replace, pol_05_versions, pol_06_registry, pol_16_windows, pol_17_parse, pol_18_dedup, pol_19_clean, pol_20_review,
     sub_01_fields, sub_02_summary, sub_07_response, frd_09_latest, frd_10_manual, lif_07_sequence, str_01_dedup, str_02_transitions, str_03_totals, str_04_metrics, str_05_alerts,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}

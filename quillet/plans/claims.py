@@ -89,10 +89,23 @@ def lif_16_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lif_17_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.claim_documents(_claims(spark, sf_dir), tables.expense_items(spark, sf_dir), tables.status_history(spark, sf_dir))
-    ids = F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",")
-    moves = F.array_join(F.transform("history", lambda x: x["to_status"]), ">")
-    return docs.select("claim_id", ids.alias("item_ids"), moves.alias("moves"))
+    """Conversations are comments, every third turn an internal one; events are verdicts; receipts are attachments."""
+    items = tables.expense_items(spark, sf_dir)
+    comments = tables.load(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("claim_id"), F.col("turn").alias("created_at"), F.col("role").alias("author"), F.md5("text").alias("body"), (F.col("turn") % 3 == 2).alias("is_internal")
+    )
+    verdicts = _events(spark, sf_dir).select(
+        F.col("user_id").alias("claim_id"), F.col("event_id").alias("id"), F.col("ts").alias("evaluated_at"), F.col("event_id").alias("created_at"),
+        F.floor("value").cast("int").alias("risk_score"), F.col("event_type").alias("risk_level"), (F.col("value") > 50).alias("is_flagged"),
+    )
+    attached = items.filter("receipt_attached").select("claim_id", F.col("line_number").alias("created_at"), F.col("item_id").alias("file_name"), F.lit("").alias("checksum"))
+    docs = C.claim_documents(_claims(spark, sf_dir), items, tables.status_history(spark, sf_dir), comments, attachments=attached, fraud=verdicts)
+    joined = lambda name, value, by: F.array_join(F.transform(name, value), by)
+    return docs.select(
+        "claim_id", joined("items", lambda x: x["item_id"].cast("string"), ",").alias("item_ids"), joined("history", lambda x: x["to_status"], ">").alias("moves"),
+        joined("comments", lambda x: F.concat_ws(":", x["author"], x["body"]), ",").alias("comments"), joined("attachments", lambda x: x["file_name"].cast("string"), ",").alias("files"),
+        F.col("fraud.risk_level").alias("risk_level"), F.col("fraud.is_flagged").alias("is_flagged"),
+    )
 
 
 def aud_01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +199,12 @@ SQL = {
     "lif_14_finance_rejected": f"WITH {_HISTORY}, r AS (SELECT claim_id, arg_max(actor_role, sequence) AS role FROM history WHERE to_status = 'Flagged_Fraud' GROUP BY claim_id) SELECT *, role = 'finance' AS by_finance FROM r",
     "lif_16_tabs": f"WITH {_CLAIMS} SELECT claim_id, false AS in_approvals, true AS in_disbursements FROM claims WHERE status = 'Approved'",
     "lif_17_documents": f"""WITH {_ITEMS}, {_HISTORY}, i AS (SELECT claim_id, string_agg(item_id, ',' ORDER BY line_number) AS item_ids FROM items GROUP BY claim_id),
-        h AS (SELECT claim_id, string_agg(to_status, '>' ORDER BY sequence) AS moves FROM history GROUP BY claim_id)
-        SELECT o_orderkey AS claim_id, item_ids, moves FROM orders LEFT JOIN i ON i.claim_id = o_orderkey LEFT JOIN h ON h.claim_id = o_orderkey""",
+        h AS (SELECT claim_id, string_agg(to_status, '>' ORDER BY sequence) AS moves FROM history GROUP BY claim_id),
+        c AS (SELECT conv_id AS claim_id, string_agg(role || ':' || md5(text), ',' ORDER BY turn) AS comments FROM conversations WHERE turn % 3 <> 2 GROUP BY conv_id),
+        f AS (SELECT claim_id, string_agg(item_id, ',' ORDER BY line_number) AS files FROM items WHERE receipt_attached GROUP BY claim_id),
+        v AS (SELECT user_id AS claim_id, arg_max(event_type, (ts, event_id)) AS risk_level, arg_max(value > 50, (ts, event_id)) AS is_flagged FROM events GROUP BY user_id)
+        SELECT o_orderkey AS claim_id, item_ids, moves, comments, files, risk_level, is_flagged FROM orders LEFT JOIN i ON i.claim_id = o_orderkey LEFT JOIN h ON h.claim_id = o_orderkey
+        LEFT JOIN c ON c.claim_id = o_orderkey LEFT JOIN f ON f.claim_id = o_orderkey LEFT JOIN v ON v.claim_id = o_orderkey""",
     "aud_01_search": "SELECT event_id, event_type AS action, user_id AS entity_id, event_id % 10 AS actor, ts AS occurred_at FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 10 = 3",
     "aud_03_changes": """WITH e AS (SELECT event_id, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, props AS a FROM events)
         SELECT event_id, 'k' AS field, b ->> '$.k' AS old, a ->> '$.k' AS new FROM e WHERE (b ->> '$.k') IS DISTINCT FROM (a ->> '$.k')""",
