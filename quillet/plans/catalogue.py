@@ -147,6 +147,17 @@ def txt_11_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.clean_sections(_sections(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
 
 
+SQL["txt_11_clean"] = rf"""WITH {_SECTIONS},
+bare AS (SELECT doc_id, section, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '{T.PAGE_NUMBER}')), chr(10)) AS text FROM sections),
+l AS (SELECT doc_id, section, k, p[k] AS line FROM (SELECT doc_id, section, string_split(text, chr(10)) AS p FROM bare), unnest(range(1, len(p) + 1)) AS t(k)),
+f AS (SELECT *, CASE WHEN length(trim(line)) <= 200 THEN {_FOLD.format("line")} END AS key FROM l),
+n AS (SELECT doc_id, count(*) AS n FROM bare GROUP BY doc_id HAVING count(*) >= 4),
+g AS (SELECT f.doc_id, key FROM f JOIN n ON f.doc_id = n.doc_id WHERE key <> '' GROUP BY f.doc_id, key, n.n HAVING count(DISTINCT section) >= ceil(0.6 * n.n)),
+kept AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY k) AS text FROM f ANTI JOIN g USING (doc_id, key) GROUP BY ALL),
+c AS (SELECT doc_id, section, {oracle.normalized("text")} AS text FROM kept)
+SELECT doc_id, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM c WHERE text <> '' GROUP BY doc_id"""
+
+
 def txt_13_source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a heading by id, so that every type occurs."""
     heads = [w for words in knowledge.KEYWORDS.values() for w in words]

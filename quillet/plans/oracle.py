@@ -9,6 +9,14 @@ from ..sources.tables import history_sql, items_sql
 _N = [f"n_{lang}" for lang in STOP_WORDS]
 
 
+def normalized(text: str) -> str:
+    """Clean text as a SQL expression; texts of the given tables are in the compatible normal form already."""
+    plain = f"translate(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), '‘’“”–—−' || chr(160), chr(39) || chr(39) || '\"\"--- ')"
+    whole = f"regexp_replace(replace({plain}, chr(173), ''), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    blanks = f"regexp_replace(regexp_replace({whole}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({blanks}, ' ?\\n ?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
 def language_counts(text: str = "text") -> str:
     """Occurrences of each language's stop words, as a list of SQL columns."""
     words = f"regexp_extract_all(lower({text}), '[\\p{{L}}]+')"
