@@ -65,8 +65,11 @@ _BASE = 0x9E3779B97F4A7C15
 _COMBINE = 100_000
 _CHUNK = 20_000
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
-_OWNED = "route long, h long, key long, at long, several boolean"
-_AROUND = "route long, h long, key long, at long, bytes binary"
+_OWNED = "h long, key long, at long"
+#: In an owner's number: its hash was seen twice already; there is nothing left to be asked about it.
+_SEVERAL, _LATER = 1 << 15, 1 << 7
+_LOW = 127
+_AROUND = "route long, key long, at long, bytes binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -117,10 +120,10 @@ def _long(*columns: np.ndarray) -> list[pa.Array]:
 
 
 def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """route, h, key, at and whether the hash was seen twice already.
+    """h, key, at: at packs the owner's place, how far its windows reach back, and two flags.
 
-    at packs the owner's place and how far its windows reach back.  Of the owners
-    of one hash in a stretch of text, the first goes to the hash's task.
+    Of the owners of one hash in a stretch of text, only the first has to go to the
+    hash's task; all of them are known to be repeated.
     """
 
     def flush(segment: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -135,8 +138,7 @@ def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, several = np.zeros(len(h), bool), np.zeros(len(h), bool)
         later[by[1:][same]] = True
         several[by[1:][same]] = several[by[:-1][same]] = True
-        h = h.view(np.int64)
-        return pa.RecordBatch.from_arrays([*_long(np.where(later, _spread(key, at), h), h, key, at), pa.array(several)], ["route", "h", "key", "at", "several"])
+        return pa.RecordBatch.from_arrays(_long(h.view(np.int64), key, at + several * _SEVERAL + later * _LATER), ["h", "key", "at"])
 
     for batch in batches:
         segment, size = [], 0
@@ -162,8 +164,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = text.as_py().encode()
             for p in places:
                 h, at = p["h"], p["at"]
-                start = (at >> 16) - (at >> 8 & 255)
-                mine = data[start : (at >> 16) - (at & 255) + LENGTH]
+                start = (at >> 16) - (at >> 8 & _LOW)
+                mine = data[start : (at >> 16) - (at & _LOW) + LENGTH]
                 known = earliest.get((h, at & 65535, mine))
                 if known is None or (key, start) < known:
                     if len(earliest) >= _COMBINE:
@@ -178,7 +180,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         h, key, at = (np.array(c, np.int64) for c in (hs, keys, ats))
         alone = np.fromiter((x is None for x in found), bool, len(found))
         route = np.where(alone, _spread(key, at), h)
-        yield pa.RecordBatch.from_arrays([*_long(route, h, key, at), pa.array(found, pa.binary())], ["route", "h", "key", "at", "bytes"])
+        yield pa.RecordBatch.from_arrays([*_long(route, key, at), pa.array(found, pa.binary())], ["route", "key", "at", "bytes"])
 
 
 def shallow_groups(words: np.ndarray, starts: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +311,7 @@ class _Surroundings:
     def __init__(self, rows: list[tuple[int, int, int, bytes]]) -> None:
         self.h, self.key, at = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         self.at, self.bytes = at, [r[3] for r in rows]
-        self.place, self.back, self.ahead = at >> 16, at >> 8 & 255, at & 255
+        self.place, self.back, self.ahead = at >> 16, at >> 8 & _LOW, at & _LOW
         self.start, self.end = self.place - self.back, self.place - self.ahead + LENGTH
         self.data = b"".join(self.bytes) + bytes(8)
         sizes = np.fromiter(map(len, self.bytes), np.int64, len(rows))
@@ -377,11 +379,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     limit = _CHUNK
     for batch in batches:
         spans: list[tuple[int, int, int]] = []
-        columns = (batch[c].to_pylist() for c in ("h", "key", "at", "bytes"))
+        columns = (batch[c].to_pylist() for c in ("route", "key", "at", "bytes"))
         for row in zip(*columns, strict=True):
             if row[3] is None:
                 at = row[2]
-                spans.append((row[1], (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255) + LENGTH))
+                spans.append((row[1], (at >> 16) - (at >> 8 & _LOW), (at >> 16) - (at & _LOW) + LENGTH))
                 continue
             if len(held) >= limit:
                 # The last hash may go on; the others are complete.
@@ -404,7 +406,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         rows = []
-        columns = (batch[c].to_pylist() for c in ("doc_id", "text", "copy", "spans"))
+        columns = (batch[c].to_pylist() for c in ("key", "text", "copy", "spans"))
         for doc_id, text, copy, spans in zip(*columns, strict=True):
             data = text.encode()
             merged: list[list[int]] = [[0, len(data)]] if copy and len(data) >= LENGTH else []
@@ -426,27 +428,37 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _keyed(docs: DataFrame, n: int) -> DataFrame:
-    """key, doc_id, text: keys are unique and ascend as doc_ids do, null last."""
+def _keyed(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, text), and (key, doc_id) where keys are not the doc_ids.
+
+    Keys are unique and ascend as doc_ids do, null last.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # Never null here; said so that joins by key need no filter below the exchange of the texts, which is then one for all.
+    sure = F.coalesce("doc_id", F.lit(0).cast("long"))
     if rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return rows.select(sure.alias("key"), "text"), None
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc()]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order[:2])
-    return written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "texts")
+    table = written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "texts")
+    return table.select(F.coalesce("key", F.lit(0).cast("long")).alias("key"), "text"), table.select("key", "doc_id")
 
 
 def remove_repeats(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row of ``docs``."""
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = _keyed(docs, n)
+    rows, ids = _keyed(docs, n)
     firsts = rows.groupBy(F.sha2(F.encode("text", "UTF-8"), 256)).agg(F.min("key").alias("key")).select("key", F.lit(False).alias("copy"))
-    dealt = rows.repartition(n, "key").join(firsts, "key", "left")
-    texts = dealt.select("key", "doc_id", "text", F.coalesce("copy", F.lit(True)).alias("copy"))
-    owned = texts.select("key", "text", "copy").mapInArrow(_find_owners, _OWNED).repartition(n, "route")
-    met = owned.withColumn("n", F.count("*").over(W.partitionBy("route"))).filter("several OR n > 1")
-    places = met.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+    texts = rows.repartition(n, "key").join(firsts, "key", "left").select("key", "text", F.coalesce("copy", F.lit(True)).alias("copy"))
+    route = F.expr(f"if(at & {_LATER} = 0, h, xxhash64(key, at))")
+    owned = texts.mapInArrow(_find_owners, _OWNED).repartition(n, route).withColumn("route", route)
+    met = owned.withColumn("n", F.count("*").over(W.partitionBy("route"))).filter(f"n > 1 OR at & {_SEVERAL} <> 0")
+    at = F.expr(f"at & ~{_SEVERAL + _LATER}L")
+    places = met.groupBy("key").agg(F.collect_list(F.struct("h", at.alias("at"))).alias("places"))
     around = texts.select("key", "text").join(places, "key").mapInArrow(_surroundings, _AROUND)
-    gone = around.repartition(n, "route").sortWithinPartitions("route").drop("route").mapInArrow(_removed, "key long, start long, end long")
+    gone = around.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_removed, "key long, start long, end long")
     spans = gone.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(spans, "key", "left").select("doc_id", "text", "copy", "spans").mapInArrow(_apply, OUT)
+    out = texts.join(spans, "key", "left").select("key", "text", "copy", "spans").mapInArrow(_apply, OUT)
+    if ids is None:
+        return out
+    return out.withColumnRenamed("doc_id", "key").join(ids, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
