@@ -11,9 +11,12 @@ times its source, and what is cut off is shared again by weight until none is
 above.  That is a water level L with sum(min(cap, L * weight)) = total, found in
 closed form over the table of sources.
 
-Only the table of sources (one row each) is ever shuffled or broadcast.  It is
-broadcast when it has at most ``BROADCAST_SOURCES`` rows; beyond that the
-documents are joined by source, and adaptive execution splits hot sources.
+Only the table of sources (one row each) is ever shuffled or broadcast.  Sources
+may be as many as hosts: their order and the sums along it come from ranges, one
+task each, and a table of one row per range that says what lies before it; no
+task sees all sources.  The table is broadcast when it has at most
+``BROADCAST_SOURCES`` rows; beyond that the documents are joined by source, and
+adaptive execution splits hot sources.
 
 Edge cases: a null text has no words; a document without words has nothing to
 take and is not emitted unless its rate is one or more; null is a source of its
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, cut, shuffle_partitions, text_or_empty
 
 MAX_REPEATS = 3
 BROADCAST_SOURCES = 100_000
@@ -44,28 +47,39 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+def running(df: DataFrame, by: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds to each row the sums over all rows up to it in the order of ``by`` (null last), rows of equal ``by`` included.
+
+    Rows are dealt by ranges of ``by``; each range sums its own rows, and adds what the
+    ranges before it come to.
+    """
+    order = F.col(by).asc_nulls_last()
+    parts = shuffle_partitions(df.sparkSession)
+    ranged = cut(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range: a fixed number
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
+    own = W.partitionBy("_range").orderBy(order)
+    summed = ranged.join(F.broadcast(before), "_range").withColumns({name: F.col(f"_{name}") + F.sum(c).over(own) for name, c in sums.items()})
+    return summed.drop("_range", *[f"_{name}" for name in sums])
+
+
 def source_targets(docs: DataFrame) -> DataFrame:
     """source, source_size, target, rate: one row per source."""
     sizes = cut(docs.groupBy("source").agg(F.sum(n_words(text_or_empty())).alias("source_size")))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.select(
-        "source",
-        "source_size",
-        ((F.row_number().over(order) - 1) % 3 + 1).alias("weight"),
-        F.sum("source_size").over(W.partitionBy()).alias("total"),
-    ).withColumn("cap", MAX_REPEATS * F.col("source_size"))
-    level = weighed.withColumn("level", F.col("cap") / F.col("weight"))
+    weight = ((F.col("place") - 1) % 3 + 1).cast("long")
+    weighed = running(sizes, "source", {"place": F.lit(1)}).select("source", "source_size", weight.alias("weight"))
+    total, weights = weighed.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("source_size", "weight")]).first()
+    capped = weighed.withColumn("cap", MAX_REPEATS * F.col("source_size"))
+    level = capped.withColumn("level", F.col("cap") / F.col("weight"))
     # At the level where this source is full: what the sources that are full take, and the weight of the others.
-    up_to = W.orderBy("level").rangeBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    filled = level.withColumns(
-        {"full": F.sum("cap").over(up_to), "open": F.sum("weight").over(every) - F.sum("weight").over(up_to)}
-    ).withColumn("is_full", F.col("full") + F.col("level") * F.col("open") <= F.col("total"))
-    spare = F.col("total") - F.sum(F.when(F.col("is_full"), F.col("cap")).otherwise(0)).over(every)
-    weight = F.sum(F.when(F.col("is_full"), 0).otherwise(F.col("weight"))).over(every)
-    target = F.when(F.col("is_full"), F.col("cap").cast("double")).otherwise(spare / weight * F.col("weight"))
-    out = filled.withColumn("target", target)
-    rate = F.when(F.col("is_full"), F.lit(float(MAX_REPEATS))).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEATS))))
+    filled = running(level, "level", {"full": F.col("cap"), "full_weight": F.col("weight")})
+    is_full = F.col("full") + F.col("level") * (weights - F.col("full_weight")) <= total
+    filled = cut(filled.withColumn("is_full", is_full))
+    full = filled.filter("is_full").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("cap", "weight")]).first()
+    share = (total - full[0]) / max(weights - full[1], 1) * F.col("weight")
+    out = filled.withColumn("target", F.when(F.col("is_full"), F.col("cap").cast("double")).otherwise(F.lit(1.0) * share))
+    rate = F.when(F.col("is_full"), F.lit(float(MAX_REPEATS))).otherwise(F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(float(MAX_REPEATS))))
     return cut(out.select("source", "source_size", "target", F.when(F.col("source_size") > 0, rate).otherwise(F.lit(0.0)).alias("rate")))
 
 

@@ -8,6 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillet.llm import block_naming, components, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 
@@ -51,8 +52,6 @@ def words(text):
 @pytest.mark.parametrize("block", [4096, 3])
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_groups(docs, block, weak):
-    from pyspark.sql import functions as F
-
     options = {"key": lambda c: F.struct((F.length(c) % 5).alias("h"))} if weak else {}
     got = block_naming.exact_groups(docs, block_chars=block, **options).collect()
     groups = defaultdict(list)
@@ -165,8 +164,6 @@ def test_simhash_links_of_two(spark, group):
 
 
 def test_simhash_agrees_with_spark_hash(spark):
-    from pyspark.sql import functions as F
-
     assert spark.range(1).select(F.xxhash64(F.lit("ab é cd"))).first()[0] == np.uint64(xxhash.xxh64_intdigest("ab é cd".encode(), 42)).astype(np.int64)
 
 
@@ -209,6 +206,16 @@ def test_mixing(docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_running_sums_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    table = [(None if k % 40 == 0 else int(rng.integers(30)), int(rng.integers(100))) for k in range(500)]
+    df = spark.createDataFrame(table, "x long, v long").repartition(5)
+    got = sorted(((r.x is None, r.x or 0), r.v, r.total, r.n) for r in mixing.running(df, "x", {"total": F.col("v"), "n": F.lit(1)}).collect())
+    key = lambda x: (x is None, x or 0)
+    want = sorted((key(x), v, sum(w for y, w in table if key(y) <= key(x)), sum(key(y) <= key(x) for y, _ in table)) for x, v in table)
+    assert got == want
+
+
 def test_packing(docs):
     got = packing.pack_documents(docs, lengths=(16, 64, 256)).collect()
     assert sum(r.piece_tokens for r in got) == sum(len(words(r[1])) + 1 for r in rows())
@@ -326,11 +333,12 @@ def by_hand(texts):
     of = lambda **c: pa.RecordBatch.from_pydict(c)
     keys, words = [k for k, _ in texts], [t or "" for _, t in texts]
     owned = [r for b in suffix_dedup._find_owners([of(key=keys, text=words, copy=copies)]) for r in b.to_pylist()]
-    n = Counter(r["route"] for r in owned)
+    route = lambda r: (r["key"], r["at"]) if r["at"] & suffix_dedup._LATER else r["h"]
+    n = Counter(map(route, owned))
     places = defaultdict(list)
     for r in owned:
-        if r["several"] or n[r["route"]] > 1:
-            places[r["key"]].append({"h": r["route"] if r["h"] is None else r["h"], "at": r["at"]})
+        if r["at"] & suffix_dedup._SEVERAL or n[route(r)] > 1:
+            places[r["key"]].append({"h": r["h"], "at": r["at"] & ~(suffix_dedup._SEVERAL | suffix_dedup._LATER)})
     text = dict(zip(keys, words, strict=True))
     some = [k for k in keys if places[k]]
     around = list(suffix_dedup._surroundings(of(key=[k], text=[text[k]], places=[places[k]]) for k in some))
@@ -554,6 +562,70 @@ def test_toxicity_learns(spark):
     assert np.mean(right) > 0.95 and all(r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def brute_ftrl(texts, labels):
+    """FTRL-proximal with one dictionary of coordinates, in the order that the operator takes rows."""
+    rows_ = [set(toxicity.features(t).tolist()) for t in texts]
+    seen = Counter(f for r in rows_ for f in r)
+    l1 = max(0.5, toxicity.L1 * min(1.0, len(rows_) / toxicity.SHARD_ROWS))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return ((l1 if z[f] > 0 else -l1) - z[f]) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows_)):
+            fs = [f for f in rows_[k] if seen[f] >= toxicity.SEEN] + [2**toxicity.BITS]
+            w = {f: weight(f) for f in fs}
+            g = 1 / (1 + np.exp(-min(30, max(-30, sum(w.values()))))) - labels[k]
+            g *= toxicity.POSITIVE_WEIGHT if labels[k] else 1
+            for f in fs:
+                step = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA
+                z[f] += g - step * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z}
+
+
+def test_toxicity_weights_by_brute_force():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefghij"), 12)) for _ in range(80)]
+    labels = [int("a b" in t) for t in texts]
+    got, want = toxicity.train(texts, labels), brute_ftrl(texts, labels)
+    assert {int(f) for f in np.flatnonzero(got)} == {f for f, w in want.items() if abs(w) > 1e-12}
+    assert all(got[f] == pytest.approx(w, abs=1e-6) for f, w in want.items())
+
+
+def test_toxicity_edges(spark):
+    """Null, empty and very long texts, repeated rows and ids, null ids and labels."""
+    table = [(None, "x y"), (1, None), (1, "b"), (1, "a"), (2, ""), (3, "word " * 200_000), (4, "v"), (4, "v")]
+    docs = spark.createDataFrame([(*r, "clash") for r in table], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 0), (4, 1), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == len(table) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()
+    assert {r.score for r in none} == {0.5}
+
+
+def test_every_operator_takes_dirty_rows(spark):
+    """Null ids, repeated rows and ids, columns with names that the operators use."""
+    texts = [None, "", " \n", "the cat and the dog went to a house of stone by the river where he was", "MIT license " * 40]
+    table = [(k, t, s, *["clash"] * 9) for k in (None, None, 3, 3, 4) for t in texts for s in (None, "a")]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, row string, rid string, key string, h string, at string, w string, m string, _row string, places string").repartition(3)
+    n = len(table)
+    for made in (
+        block_naming.exact_groups(df), simhash.near_duplicates(df), suffix_dedup.remove_repeats(df), quality_rules.judge(df), license_scan.scan(df), mixing.plan(df),
+        lm_scoring.score(df), quality_rules.measures(df),
+    ):
+        assert made.count() == n
+    kept = block_naming.drop_exact_copies(df)
+    assert kept.columns == df.columns and kept.count() == 3
+    near = simhash.keep_representatives(df)
+    assert near.columns == df.columns and near.count() == 3
+    assert packing.pack_documents(df).count() == n and mixing.mixed(df).columns == df.columns and quality_rules.keep_good(df).columns == df.columns
+
+
 def test_lm_scores(docs):
     got = lm_scoring.score(docs, common=20).collect()
     by_id = {r[0]: r[1] for r in rows()}
@@ -692,6 +764,6 @@ def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     made = [
         block_naming.exact_groups(empty), block_naming.drop_exact_copies(empty), quality_rules.judge(empty), simhash.near_duplicates(empty), mixing.plan(empty), mixing.mixed(empty),
-        packing.pack_documents(empty), suffix_dedup.remove_repeats(empty), license_scan.scan(empty), toxicity.score(empty, toxicity.fit(empty, labels)), lm_scoring.score(empty),
+        packing.pack_documents(empty), warc.derive(warc.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string"))), suffix_dedup.remove_repeats(empty), license_scan.scan(empty), toxicity.score(empty, toxicity.fit(empty, labels)), lm_scoring.score(empty),
     ]
     assert [df.count() for df in made] == [0] * len(made) and len(queries()) == 10
