@@ -80,7 +80,8 @@ def src_09_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["src_09_upsert"] = f"""WITH {_STORED}
-SELECT tenant, chunk_id, spec, round(CASE WHEN spec = 'spec1' THEN first + 1 ELSE first END, 5) AS first FROM stored WHERE spec = 'spec1' OR chunk_id % 4 <> 0"""
+SELECT tenant, chunk_id, spec, round(CASE WHEN spec = 'spec1' THEN first + 1 ELSE first END, 5) AS first FROM stored
+  WHERE spec = 'spec1' OR chunk_id % 4 <> 0"""
 
 
 def src_10_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,8 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-_SECTIONS = """lines AS (SELECT doc_id, k - 1 AS pos, p[k] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(k)),
+_SECTIONS = """lines AS (SELECT doc_id, k - 1 AS pos, p[k] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p
+  FROM documents), unnest(range(1, len(p) + 1)) AS t(k)),
 sections AS (SELECT doc_id, CAST(floor(pos / 2) AS BIGINT) AS section, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY ALL)"""
 _COUNTS, _LANGUAGE = oracle.language_counts(), oracle.language()
 
@@ -148,7 +150,8 @@ def txt_11_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["txt_11_clean"] = rf"""WITH {_SECTIONS},
-bare AS (SELECT doc_id, section, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '{T.PAGE_NUMBER}')), chr(10)) AS text FROM sections),
+bare AS (SELECT doc_id, section, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '{T.PAGE_NUMBER}')), chr(10)) AS text
+  FROM sections),
 l AS (SELECT doc_id, section, k, p[k] AS line FROM (SELECT doc_id, section, string_split(text, chr(10)) AS p FROM bare), unnest(range(1, len(p) + 1)) AS t(k)),
 f AS (SELECT *, CASE WHEN length(trim(line)) <= 200 THEN {_FOLD.format("line")} END AS key FROM l),
 n AS (SELECT doc_id, count(*) AS n FROM bare GROUP BY doc_id HAVING count(*) >= 4),
@@ -170,7 +173,8 @@ def txt_13_source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADS = [(k, i, w) for i, (k, words) in enumerate(knowledge.KEYWORDS.items()) for w in words]
 SQL["txt_13_source_type"] = f"""WITH words(nth, place, kind, word) AS (VALUES {", ".join(f"({n}, {i}, '{k}', '{w}')" for n, (k, i, w) in enumerate(_HEADS))}),
 docs AS (SELECT doc_id, lower(word || ' ' || coalesce(text, '')) AS text FROM documents JOIN words ON nth = doc_id % {len(_HEADS)}),
-hits AS (SELECT doc_id, place, kind, sum((length(text) - length(replace(text, word, ''))) // length(word)) AS hits FROM docs, words WHERE contains(text, word) GROUP BY ALL),
+hits AS (SELECT doc_id, place, kind, sum((length(text) - length(replace(text, word, ''))) // length(word)) AS hits FROM docs, words
+  WHERE contains(text, word) GROUP BY ALL),
 n AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '\\p{{L}}+')), 1) AS n FROM docs),
 top AS (SELECT doc_id, count(*) AS types, max(hits) AS hits, arg_min(kind, (-hits, place)) AS kind FROM hits GROUP BY doc_id)
 SELECT n.doc_id, coalesce(types, 0) AS types, round(coalesce(hits, 0) * 1000 / n, 6)::DOUBLE AS type_score,
@@ -207,7 +211,8 @@ def emb_03_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", *[F.round(n, 5).alias(n) for n in d], *[F.round(V.score_from_distance(F.col(n), n), 5).alias(f"{n}_score") for n in d])
 
 
-SQL["emb_03_measures"] = """WITH p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+SQL["emb_03_measures"] = """WITH p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a
+  JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 d AS (SELECT vec_id, 1 - list_cosine_similarity(x, y) AS c, list_distance(x, y) AS e, -list_inner_product(x, y) AS i FROM p)
 SELECT vec_id, round(c, 5) AS cosine, round(e, 5) AS euclidean, round(i, 5) AS inner_product, round(greatest(0, least(1, 1 - c)), 5) AS cosine_score,
        round(greatest(0, least(1, 1 - e * e / 2)), 5) AS euclidean_score, round(greatest(0, least(1, -i)), 5) AS inner_product_score FROM d"""
@@ -232,10 +237,13 @@ def emb_08_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.recall_at_k(V.knn(queries, vectors.filter("vec_id % 2 = 0"), 10), V.knn(queries, vectors, 10)).select("query_id", F.round("recall", 6).alias("recall"))
 
 
-SQL["emb_08_recall"] = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+SQL["emb_08_recall"] = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id,
+  round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v
+  WHERE q.vec_id % 20 = 0),
 e AS (SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
 a AS (SELECT query_id, vec_id FROM s WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10)
-SELECT e.query_id, round(avg(CASE WHEN a.vec_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM e LEFT JOIN a ON e.query_id = a.query_id AND e.vec_id = a.vec_id GROUP BY e.query_id"""
+SELECT e.query_id, round(avg(CASE WHEN a.vec_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM e LEFT
+  JOIN a ON e.query_id = a.query_id AND e.vec_id = a.vec_id GROUP BY e.query_id"""
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +259,8 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIBRARY = """docs AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'SUPERSEDED' WHEN doc_id % 7 = 0 THEN 'ARCHIVED' ELSE 'INDEXED' END AS status,
-  DATE '2026-01-01' + CAST(doc_id % 90 AS INT) AS f, CASE WHEN doc_id % 3 = 0 THEN DATE '2026-01-01' + CAST(doc_id % 90 + 30 AS INT) END AS t, source AS title, doc_id % 3 AS version FROM documents)"""
+  DATE '2026-01-01' + CAST(doc_id % 90 AS INT) AS f, CASE
+    WHEN doc_id % 3 = 0 THEN DATE '2026-01-01' + CAST(doc_id % 90 + 30 AS INT) END AS t, source AS title, doc_id % 3 AS version FROM documents)"""
 
 
 def ret_05_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +269,8 @@ def ret_05_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.document_scope(chunks, docs, F.lit("2026-02-15").cast("date")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
-SQL["ret_05_scope"] = f"""WITH {_LIBRARY}, live AS (SELECT doc_id, text FROM docs WHERE status = 'INDEXED' AND f <= DATE '2026-02-15' AND coalesce(t >= DATE '2026-02-15', true))
+SQL["ret_05_scope"] = f"""WITH {_LIBRARY}, live AS (SELECT doc_id, text FROM docs
+  WHERE status = 'INDEXED' AND f <= DATE '2026-02-15' AND coalesce(t >= DATE '2026-02-15', true))
 SELECT doc_id, unnest(range(0, len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')))) AS chunk_index FROM live"""
 
 
@@ -276,7 +286,8 @@ def ret_11_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.attach_citations(ranked, docs)
 
 
-SQL["ret_11_citations"] = f"""WITH {_LIBRARY}, hits AS (SELECT item_id AS query_id, doc_id, title, version, n, CASE WHEN n > 1 THEN 's' || (n // 2) ELSE '' END AS section, doc_id * 4 + n AS r
+SQL["ret_11_citations"] = f"""WITH {_LIBRARY}, hits AS (SELECT item_id AS query_id, doc_id, title, version, n, CASE
+  WHEN n > 1 THEN 's' || (n // 2) ELSE '' END AS section, doc_id * 4 + n AS r
   FROM benchmark JOIN docs ON doc_id % 40 = item_id % 40, unnest(range(0, 4)) AS t(n)),
 once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, section ORDER BY r) = 1)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INT) AS citation, doc_id, section,
@@ -309,8 +320,10 @@ def ret_15_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["ret_15_memory"] = f"""WITH {_ITEMS}, {_HISTORY},
-claims AS (SELECT claim_id % 1000 AS claim_id, array_to_string(list_sort(list(DISTINCT category)), ', ') AS categories, sum(amount_usd) AS total, count(*) AS n FROM items GROUP BY 1),
-k AS (SELECT *, CASE to_status WHEN 'Manager_Review' THEN 'REVIEW' WHEN 'Approved' THEN 'APPROVAL' END AS kind FROM history WHERE to_status IN ('Manager_Review', 'Approved'))
+claims AS (SELECT claim_id % 1000 AS claim_id, array_to_string(list_sort(list(DISTINCT category)), ', ') AS categories, sum(amount_usd) AS total,
+  count(*) AS n FROM items GROUP BY 1),
+k AS (SELECT *, CASE to_status WHEN 'Manager_Review' THEN 'REVIEW' WHEN 'Approved' THEN 'APPROVAL' END AS kind FROM history
+  WHERE to_status IN ('Manager_Review', 'Approved'))
 SELECT lower(kind) || '-' || claim_id || '-' || event_id AS title, event_id, claim_id, kind, 'HISTORICAL_DECISION' AS source_type,
        'Claim ' || claim_id || ' (' || categories || ', USD ' || CAST(total AS DECIMAL(18,2)) || ' across ' || n || ' item(s)): ' || lower(kind) || ' by ' || actor_role
        || '. Status ' || coalesce(from_status, 'Draft') || ' -> ' || to_status || '.' AS text FROM k JOIN claims USING (claim_id)"""
@@ -336,17 +349,20 @@ _EXTENT = """list_max(flatten([[len(list_intersect(list_distinct({b}[i:j]), {a})
 SQL["ven_02_resolve"] = f"""WITH fp AS ({_FP}),
 names AS (SELECT employee_id % 2 AS tenant, {_VENDOR} AS vendor, min(item_id) AS seen FROM fp GROUP BY ALL),
 g AS (SELECT *, {_TRI.format("vendor")} AS run, list_distinct(run) AS grams, CAST(regexp_extract(vendor, '(\\d+)$', 1) AS INT) % 9 = 0 AS known FROM names),
-met AS (SELECT a.tenant, a.vendor AS a, a.known AS a_known, a.seen AS a_seen, a.grams, b.vendor AS b, b.seen AS b_seen, b.run FROM g a JOIN g b ON a.tenant = b.tenant AND a.vendor <> b.vendor AND NOT b.known
+met AS (SELECT a.tenant, a.vendor AS a, a.known AS a_known, a.seen AS a_seen, a.grams, b.vendor AS b, b.seen AS b_seen, b.run FROM g a
+  JOIN g b ON a.tenant = b.tenant AND a.vendor <> b.vendor AND NOT b.known
   WHERE len(list_intersect(a.grams, b.grams)) >= ceil(0.85 * len(a.grams))),
 s AS (SELECT tenant, a, a_known, a_seen, b, b_seen, {_EXTENT.format(a="grams", b="run")} AS sim FROM met),
 by_alias AS (SELECT tenant, b AS vendor, arg_max(a, (sim, a)) AS a, max(sim) AS sim FROM s WHERE a_known AND sim >= 0.85 GROUP BY ALL),
 fresh AS (SELECT g.* FROM g LEFT JOIN by_alias x USING (tenant, vendor) WHERE NOT g.known AND x.a IS NULL),
-e AS (SELECT s.* FROM s JOIN fresh f ON s.tenant = f.tenant AND s.a = f.vendor JOIN fresh h ON s.tenant = h.tenant AND s.b = h.vendor WHERE sim >= 0.85 AND (a_seen, a) < (b_seen, b)),
+e AS (SELECT s.* FROM s JOIN fresh f ON s.tenant = f.tenant AND s.a = f.vendor JOIN fresh h ON s.tenant = h.tenant AND s.b = h.vendor
+  WHERE sim >= 0.85 AND (a_seen, a) < (b_seen, b)),
 p AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.tenant = e.tenant AND z.b = e.a)),
 first AS (SELECT tenant, b AS vendor, arg_min(a, (a_seen, a)) AS a, arg_min(sim, (a_seen, a)) AS sim FROM p GROUP BY ALL)
 SELECT tenant, vendor, 'profile of ' || vendor AS profile, 'EXACT' AS how, 1.0::DOUBLE AS similarity FROM g WHERE known
 UNION ALL SELECT tenant, vendor, 'profile of ' || a, 'SIMILAR', round(sim, 6) FROM by_alias
-UNION ALL SELECT f.tenant, f.vendor, coalesce(x.a, f.vendor), CASE WHEN x.a IS NULL THEN 'NEW' ELSE 'SIMILAR' END, round(x.sim, 6) FROM fresh f LEFT JOIN first x ON f.tenant = x.tenant AND f.vendor = x.vendor"""
+UNION ALL SELECT f.tenant, f.vendor, coalesce(x.a, f.vendor), CASE WHEN x.a IS NULL THEN 'NEW' ELSE 'SIMILAR' END, round(x.sim, 6) FROM fresh f LEFT
+  JOIN first x ON f.tenant = x.tenant AND f.vendor = x.vendor"""
 
 
 def dup_03_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +392,8 @@ def dup_06_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["dup_06_embedding"] = f"""WITH fp0 AS ({_FP}), fp AS (SELECT item_id, claim_id, {_VENDOR} AS vendor, expense_date, CAST(e.embedding AS DOUBLE[]) AS v
   FROM fp0 LEFT JOIN embeddings e ON item_id % (SELECT count(*) FROM embeddings) = e.vec_id WHERE item_id % 3 = 0)
-SELECT a.item_id, round(max(list_cosine_similarity(a.v, b.v)), 5) AS embedding FROM fp a JOIN fp b ON a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7
+SELECT a.item_id, round(max(list_cosine_similarity(a.v, b.v)), 5) AS embedding FROM fp a
+  JOIN fp b ON a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7
   AND b.item_id < a.item_id AND a.claim_id <> b.claim_id WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.item_id"""
 
 
@@ -409,7 +426,8 @@ def pol_01_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.effective_rules(_rules(spark, sf_dir), "2025-04-20", include_retired=True).select("code", "version")
 
 
-SQL["pol_01_effective"] = f"WITH {_RULES} SELECT code, version FROM rules WHERE effective_from <= DATE '2025-04-20' AND coalesce(effective_to >= DATE '2025-04-20', true)"
+SQL["pol_01_effective"] = f"""WITH {_RULES} SELECT code, version FROM rules
+  WHERE effective_from <= DATE '2025-04-20' AND coalesce(effective_to >= DATE '2025-04-20', true)"""
 
 
 def _batch(rules: DataFrame) -> DataFrame:
@@ -417,9 +435,13 @@ def _batch(rules: DataFrame) -> DataFrame:
     return every_fifth.withColumns({"code": F.when(F.col("priority") > 8, F.concat("code", F.lit("_NEW"))).otherwise(F.col("code")), "max_amount": F.col("max_amount") + 1})
 
 
-_BATCH = "batch AS (SELECT * REPLACE (CASE WHEN priority > 8 THEN code || '_NEW' ELSE code END AS code, max_amount + 1 AS max_amount) FROM rules WHERE version = 1 AND CAST(substr(code, 6) AS INT) % 5 = 0)"
-_PUBLISHED = """SELECT r.* REPLACE (CASE WHEN {gone} AND r.is_active THEN greatest(DATE '2025-12-01', r.effective_from) ELSE r.effective_to END AS effective_to, r.is_active AND NOT {gone} AS is_active) FROM rules r
-UNION ALL BY NAME SELECT b.* REPLACE (CAST(coalesce((SELECT max(version) FROM rules r WHERE r.code = b.code), 0) + 1 AS INT) AS version, true AS is_active, DATE '2025-12-01' AS effective_from, CAST(NULL AS DATE) AS effective_to) FROM batch b"""
+_BATCH = """batch AS (SELECT * REPLACE (CASE WHEN priority > 8 THEN code || '_NEW' ELSE code END AS code, max_amount + 1 AS max_amount) FROM rules
+  WHERE version = 1 AND CAST(substr(code, 6) AS INT) % 5 = 0)"""
+_PUBLISHED = """SELECT r.* REPLACE (CASE WHEN {gone} AND r.is_active THEN greatest(DATE '2025-12-01', r.effective_from) ELSE r.effective_to END AS effective_to, r.is_active AND NOT {gone} AS is_active)
+  FROM rules r
+UNION ALL BY NAME SELECT b.* REPLACE (CAST(coalesce((SELECT max(version) FROM rules r
+  WHERE r.code = b.code), 0) + 1 AS INT) AS version, true AS is_active, DATE '2025-12-01' AS effective_from, CAST(NULL AS DATE) AS effective_to)
+  FROM batch b"""
 
 
 def pol_03_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,7 +471,8 @@ def pol_04_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["pol_04_prepare"] = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'R' || p_partkey ELSE 'AIR_TRAVEL_' || (p_partkey % 5) || '_STANDARD' END AS code,
-CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 10.0::DOUBLE END AS max_amount, CASE WHEN p_partkey % 4 = 1 THEN 'twice the base' END AS limit_expression FROM part"""
+CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 10.0::DOUBLE END AS max_amount, CASE WHEN p_partkey % 4 = 1 THEN 'twice the base' END AS limit_expression
+  FROM part"""
 
 
 def pol_05_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,7 +480,8 @@ def pol_05_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.latest_versions(policy.rollback(_rules(spark, sf_dir), "RULE_1", 1)).select("code", "version", "is_active")
 
 
-SQL["pol_05_versions"] = f"WITH {_RULES} SELECT code, max(version) AS version, arg_max(is_active AND code <> 'RULE_1' OR code = 'RULE_1' AND version = 1, version) AS is_active FROM rules GROUP BY code"
+SQL["pol_05_versions"] = f"""WITH {_RULES} SELECT code,
+  max(version) AS version, arg_max(is_active AND code <> 'RULE_1' OR code = 'RULE_1' AND version = 1, version) AS is_active FROM rules GROUP BY code"""
 
 
 def pol_06_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,7 +490,9 @@ def pol_06_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", "entries", _digest("names"))
 
 
-SQL["pol_06_registry"] = f"WITH {_RULES} SELECT category AS kind, count(*) AS entries, md5(string_agg(code || '-' || version, ',' ORDER BY code || '-' || version)) AS digest FROM rules WHERE is_active GROUP BY category"
+SQL["pol_06_registry"] = f"""WITH {_RULES} SELECT category AS kind,
+  count(*) AS entries, md5(string_agg(code || '-' || version, ',' ORDER BY code || '-' || version)) AS digest FROM rules WHERE is_active
+  GROUP BY category"""
 
 
 def pol_16_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -490,7 +516,8 @@ def pol_17_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", F.array_join(names, "|").alias("rules"))
 
 
-SQL["pol_17_parse"] = """SELECT p_partkey, CASE WHEN p_partkey % 8 IN (6, 7) THEN '' ELSE 'rule ' || p_partkey || ':' || p_partkey || CASE WHEN p_partkey % 8 < 4 THEN '|other' ELSE '' END END AS rules FROM part"""
+SQL["pol_17_parse"] = """SELECT p_partkey, CASE WHEN p_partkey % 8 IN (6, 7) THEN '' ELSE 'rule ' || p_partkey || ':' || p_partkey || CASE
+  WHEN p_partkey % 8 < 4 THEN '|other' ELSE '' END END AS rules FROM part"""
 
 
 def pol_18_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,7 +529,8 @@ def pol_18_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.dedup_candidates(rules).select("doc_id", "page", "name", "source", "position", "first_place")
 
 
-SQL["pol_18_dedup"] = """WITH r AS (SELECT CAST(p_partkey // 40 AS BIGINT) AS doc_id, p_partkey % 2 AS page, ' Rule ' || (p_partkey % 10) AS name, 'source ' || (p_partkey % 4) AS source, p_partkey * 7 % 13 AS n, p_partkey AS position FROM part)
+SQL["pol_18_dedup"] = """WITH r AS (SELECT CAST(p_partkey // 40 AS BIGINT) AS doc_id, p_partkey % 2 AS page, ' Rule ' || (p_partkey % 10) AS name, 'source ' || (p_partkey % 4) AS source, p_partkey * 7 % 13 AS n, p_partkey AS position
+  FROM part)
 SELECT doc_id, page, name, source, arg_min(position, (-n, position)) AS position, min(position) AS first_place FROM r GROUP BY doc_id, page, name, source"""
 
 
@@ -537,10 +565,14 @@ SQL["pol_19_clean"] = f"""WITH c AS (SELECT p_partkey, 'rule ' || p_partkey AS n
   {_case(["'USD'", "NULL", "NULL", "'EUR'", "NULL"])} AS currency, {_case(["'Meals up to 50.'", "'Hotels unless agreed.'", "'A paraphrase'", "'Plain.'"])} AS source_text,
   CAST({_case(["5", "100", "100", "100"])} AS INT) AS priority, {_case(["0.5::DOUBLE", "0.85", "0.85", "0", "NULL", "NULL"])} AS confidence,
   CASE WHEN p_partkey % 3 = 0 THEN 'No alcohol|Keep bills' END AS special FROM part)
-SELECT *, concat_ws('|', {_case(["'note'", "NULL", "NULL"])}, CASE WHEN category = 'other' THEN 'CATEGORY_NOT_IN_LIST' END, CASE WHEN p_partkey % 4 = 2 THEN 'SOURCE_IS_PARAPHRASE' END,
-  CASE WHEN p_partkey % 4 = 1 THEN 'COUNTRY_DROPPED' END, CASE WHEN p_partkey % 5 IN (1, 4) AND currency IS NULL THEN 'CURRENCY_DROPPED' END, CASE WHEN p_partkey % 5 = 2 THEN 'CURRENCY_NOT_STATED' END,
-  CASE WHEN expense_limit IS NULL AND p_partkey % 2 = 0 AND p_partkey % 4 = 0 THEN 'LIMIT_MISSED' END, CASE WHEN special IS NULL AND p_partkey % 4 = 1 THEN 'QUALIFIER_MISSED' END,
-  CASE WHEN confidence IS NULL THEN 'NO_CONFIDENCE' END) AS notes FROM (SELECT * REPLACE (CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE currency END AS currency) FROM c) WHERE category IS NOT NULL"""
+SELECT *, concat_ws('|', {_case(["'note'", "NULL", "NULL"])}, CASE WHEN category = 'other' THEN 'CATEGORY_NOT_IN_LIST' END, CASE
+  WHEN p_partkey % 4 = 2 THEN 'SOURCE_IS_PARAPHRASE' END,
+  CASE WHEN p_partkey % 4 = 1 THEN 'COUNTRY_DROPPED' END, CASE WHEN p_partkey % 5 IN (1, 4) AND currency IS NULL THEN 'CURRENCY_DROPPED' END, CASE
+    WHEN p_partkey % 5 = 2 THEN 'CURRENCY_NOT_STATED' END,
+  CASE WHEN expense_limit IS NULL AND p_partkey % 2 = 0 AND p_partkey % 4 = 0 THEN 'LIMIT_MISSED' END, CASE
+    WHEN special IS NULL AND p_partkey % 4 = 1 THEN 'QUALIFIER_MISSED' END,
+  CASE WHEN confidence IS NULL THEN 'NO_CONFIDENCE' END) AS notes FROM (SELECT * REPLACE (CASE
+    WHEN p_partkey % 5 = 4 THEN NULL ELSE currency END AS currency) FROM c) WHERE category IS NOT NULL"""
 
 
 def pol_20_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,7 +586,8 @@ def pol_20_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["pol_20_review"] = """SELECT p_partkey, p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 10 < 7 AS needs_review,
-concat_ws('|', CASE WHEN p_partkey % 2 = 0 THEN 'Keep bills' END, CASE WHEN p_partkey % 3 = 0 THEN 'Excluded: alcohol' END, CASE WHEN p_partkey % 5 = 0 THEN 'Document: invoice' END) AS special FROM part"""
+concat_ws('|', CASE WHEN p_partkey % 2 = 0 THEN 'Keep bills' END, CASE WHEN p_partkey % 3 = 0 THEN 'Excluded: alcohol' END, CASE
+  WHEN p_partkey % 5 = 0 THEN 'Document: invoice' END) AS special FROM part"""
 
 
 # Submissions
@@ -571,7 +604,8 @@ def sub_01_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission.resolve_fields(df, ["vendor", "total"]).select("o_orderkey", "vendor", F.col("total").cast("double").alias("total"))
 
 
-SQL["sub_01_fields"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'corrected ' || o_orderkey WHEN o_orderkey % 3 = 0 THEN 'as submitted' ELSE 'extracted' END AS vendor,
+SQL["sub_01_fields"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'corrected ' || o_orderkey
+  WHEN o_orderkey % 3 = 0 THEN 'as submitted' ELSE 'extracted' END AS vendor,
 CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 7 END AS DOUBLE) AS total FROM orders"""
 
 
@@ -608,10 +642,14 @@ def sub_07_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["sub_07_response"] = """WITH i AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DECIMAL(14,2)) AS price,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(14,2)), CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS n FROM lineitem),
-g AS (SELECT l_orderkey, md5(string_agg(n || ':' || CASE WHEN l_partkey % 2 = 0 THEN 'part ' ELSE 'row ' END || l_partkey || ':' || q || ':' || price, '|' ORDER BY n)) AS items FROM i GROUP BY l_orderkey)
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Shop ' ELSE 'Vendor ' END || o_custkey AS vendor_name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS transaction_date,
-  CASE WHEN o_orderkey % 3 < 2 THEN CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE) END AS total_amount, CASE o_orderkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' END AS currency,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(14,2)), CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS n
+    FROM lineitem),
+g AS (SELECT l_orderkey, md5(string_agg(n || ':' || CASE
+  WHEN l_partkey % 2 = 0 THEN 'part ' ELSE 'row ' END || l_partkey || ':' || q || ':' || price, '|' ORDER BY n)) AS items FROM i GROUP BY l_orderkey)
+SELECT o_orderkey, CASE
+  WHEN o_orderkey % 2 = 0 THEN 'Shop ' ELSE 'Vendor ' END || o_custkey AS vendor_name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS transaction_date,
+  CASE WHEN o_orderkey % 3 < 2 THEN CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE) END AS total_amount, CASE o_orderkey % 3 WHEN 0 THEN 'EUR'
+    WHEN 1 THEN 'GBP' END AS currency,
   CAST(6 AS INT) AS fields, items FROM orders JOIN g ON o_orderkey = l_orderkey"""
 
 
@@ -631,8 +669,10 @@ def sub_02_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "vendor", "transaction_date", F.round("total_amount", 2).alias("total_amount"), "currency", sure.alias("confidences"))
 
 
-SQL["sub_02_summary"] = """SELECT o_orderkey, 'Shop ' || o_custkey AS vendor, CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END AS transaction_date, round(CAST(o_totalprice AS DOUBLE), 2) AS total_amount,
-CASE WHEN o_orderkey % 2 = 0 THEN 'USD' END AS currency, CASE WHEN o_orderkey % 2 = 0 THEN 'vendor=97.46,other=50.0' ELSE 'overall=87.5' END AS confidences FROM orders"""
+SQL["sub_02_summary"] = """SELECT o_orderkey, 'Shop ' || o_custkey AS vendor, CASE
+  WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END AS transaction_date, round(CAST(o_totalprice AS DOUBLE), 2) AS total_amount,
+CASE WHEN o_orderkey % 2 = 0 THEN 'USD' END AS currency, CASE
+  WHEN o_orderkey % 2 = 0 THEN 'vendor=97.46,other=50.0' ELSE 'overall=87.5' END AS confidences FROM orders"""
 
 
 # Fraud and histories
@@ -668,8 +708,10 @@ def lif_07_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.check_sequence(h)
 
 
-SQL["lif_07_sequence"] = f"""WITH {_HISTORY}, h AS (SELECT event_id, claim_id, sequence + (event_id % 7 = 0)::INT AS sequence, to_status, CASE WHEN event_id % 11 = 0 THEN 'Nowhere' ELSE from_status END AS from_status FROM history),
-n AS (SELECT *, CAST(row_number() OVER w AS INT) AS expected, lag(to_status) OVER w AS previous FROM h WINDOW w AS (PARTITION BY claim_id ORDER BY sequence, event_id))
+SQL["lif_07_sequence"] = f"""WITH {_HISTORY}, h AS (SELECT event_id, claim_id, sequence + (event_id % 7 = 0)::INT AS sequence, to_status, CASE
+  WHEN event_id % 11 = 0 THEN 'Nowhere' ELSE from_status END AS from_status FROM history),
+n AS (SELECT *, CAST(row_number() OVER w AS INT) AS expected, lag(to_status) OVER w AS previous FROM h
+  WINDOW w AS (PARTITION BY claim_id ORDER BY sequence, event_id))
 SELECT event_id, claim_id, sequence, expected FROM n WHERE sequence <> expected OR from_status IS DISTINCT FROM previous"""
 
 
@@ -698,10 +740,13 @@ def str_02_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, many in lifecycle.EDGES.items() for b in many)
 SQL["str_02_transitions"] = f"""WITH RECURSIVE edges(a, b) AS (VALUES {_EDGES}),
-m AS (SELECT user_id AS claim_id, event_id, CASE event_type WHEN 'signup' THEN 'Submitted' WHEN 'click' THEN 'Processing' WHEN 'view' THEN 'Manager_Review' WHEN 'purchase' THEN 'Approved' ELSE 'Flagged_Fraud' END AS s,
+m AS (SELECT user_id AS claim_id, event_id,
+  CASE event_type WHEN 'signup' THEN 'Submitted' WHEN 'click' THEN 'Processing' WHEN 'view' THEN 'Manager_Review' WHEN 'purchase' THEN 'Approved' ELSE 'Flagged_Fraud' END AS s,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-w AS (SELECT claim_id, 0 AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS from_status, CAST(NULL AS VARCHAR) AS to_status, false AS accepted, 'Draft' AS last FROM (SELECT DISTINCT user_id AS claim_id FROM events)
-  UNION ALL SELECT m.claim_id, m.n, m.event_id, w.last, m.s, (w.last, m.s) IN (SELECT (a, b) FROM edges), CASE WHEN (w.last, m.s) IN (SELECT (a, b) FROM edges) THEN m.s ELSE w.last END
+w AS (SELECT claim_id, 0 AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS from_status, CAST(NULL AS VARCHAR) AS to_status, false AS accepted, 'Draft' AS last
+  FROM (SELECT DISTINCT user_id AS claim_id FROM events)
+  UNION ALL SELECT m.claim_id, m.n, m.event_id, w.last, m.s, (w.last, m.s) IN (SELECT (a, b) FROM edges), CASE WHEN (w.last, m.s) IN (SELECT (a, b)
+    FROM edges) THEN m.s ELSE w.last END
   FROM w JOIN m ON m.claim_id = w.claim_id AND m.n = w.n + 1)
 SELECT claim_id, event_id, from_status, to_status, accepted FROM w WHERE n > 0"""
 
@@ -711,7 +756,8 @@ def str_03_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.stream_totals(items), ["claim_id"])
 
 
-SQL["str_03_totals"] = "SELECT l_orderkey AS claim_id, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS total_usd, count(*) AS item_count FROM lineitem GROUP BY l_orderkey"
+SQL["str_03_totals"] = """SELECT l_orderkey AS claim_id, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS total_usd, count(*) AS item_count
+  FROM lineitem GROUP BY l_orderkey"""
 
 
 def str_04_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -721,8 +767,10 @@ def str_04_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"start": F.col("start").cast("date"), "mean_ms": F.round("mean_ms", 6)})
 
 
-SQL["str_04_metrics"] = """SELECT CAST(date_trunc('day', ts) AS DATE) AS start, event_type AS operation, count(*) AS runs, count_if(event_type = 'error') AS failures, sum(CAST(floor(value) AS BIGINT)) AS total_ms,
-round(avg(CAST(floor(value) AS BIGINT)), 6) AS mean_ms, max(CAST(floor(value) AS BIGINT)) AS max_ms, count_if(floor(value) >= 50) AS slow FROM events GROUP BY ALL"""
+SQL["str_04_metrics"] = """SELECT CAST(date_trunc('day', ts) AS DATE) AS start, event_type AS operation, count(*) AS runs,
+  count_if(event_type = 'error') AS failures, sum(CAST(floor(value) AS BIGINT)) AS total_ms,
+round(avg(CAST(floor(value) AS BIGINT)), 6) AS mean_ms, max(CAST(floor(value) AS BIGINT)) AS max_ms, count_if(floor(value) >= 50) AS slow FROM events
+  GROUP BY ALL"""
 
 
 def str_05_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -732,7 +780,8 @@ def str_05_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.stream_cross_employee(side, side, "3650 days"))
 
 
-SQL["str_05_alerts"] = """SELECT a.event_id AS item_id, b.event_id AS other_id FROM events a JOIN events b ON a.event_type = b.event_type AND floor(a.value) = floor(b.value) AND a.user_id <> b.user_id
+SQL["str_05_alerts"] = """SELECT a.event_id AS item_id, b.event_id AS other_id FROM events a
+  JOIN events b ON a.event_type = b.event_type AND floor(a.value) = floor(b.value) AND a.user_id <> b.user_id
 AND b.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts"""
 
 

@@ -15,7 +15,8 @@ _ITEMS = f"items AS ({tables.items_sql('duckdb')})"
 _HISTORY = f"history AS ({tables.history_sql('duckdb')})"
 _CLAIMS = """claims AS (
   SELECT o_orderkey AS claim_id, CAST(floor(o_custkey / 10) AS BIGINT) AS employee_id, DATE '2026-01-01' + CAST((CAST(o_orderdate AS DATE) - DATE '1995-01-01') % 180 AS INTEGER) AS submission_date,
-    CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Manager_Review' ELSE 'Submitted' END AS status, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END AS reviewer_id FROM orders)"""
+    CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Manager_Review' ELSE 'Submitted' END AS status, CASE
+      WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END AS reviewer_id FROM orders)"""
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +48,13 @@ def _travel_sql() -> str:
     rules += [f"('LOCAL_MEAL_{b[-1]}', 'Meals', '{b}', {x}::DOUBLE)" for b, x in travel.MEAL_CAPS.items()]
     bands = " ".join(f"WHEN '{g}' THEN '{b}'" for g, b in travel.BANDS.items())
     return f"""WITH {_ITEMS}, caps(code, category, band, cap) AS (VALUES {", ".join(rules)}),
-        i AS (SELECT *, CASE employee_grade {bands} END AS band, line_number % 3 <> 0 AS day, CAST(amount_usd AS DOUBLE) AS amount, status = 'Rejected' AS usd FROM items),
-        m AS (SELECT i.*, CASE WHEN receipt_attached AND i.category = 'Hotel / Lodging' THEN 'LOCAL_HOTEL_PROHIBITED' WHEN receipt_attached AND day AND c.code IS NOT NULL THEN c.code ELSE 'UNSCOPED_CAP' END AS code,
-              CASE WHEN receipt_attached AND day AND c.code IS NOT NULL THEN c.cap ELSE 400.0::DOUBLE END AS cap FROM i LEFT JOIN caps c ON i.category = c.category AND i.band = c.band),
+        i AS (SELECT *,
+          CASE employee_grade {bands} END AS band, line_number % 3 <> 0 AS day, CAST(amount_usd AS DOUBLE) AS amount, status = 'Rejected' AS usd
+          FROM items),
+        m AS (SELECT i.*, CASE WHEN receipt_attached AND i.category = 'Hotel / Lodging' THEN 'LOCAL_HOTEL_PROHIBITED'
+          WHEN receipt_attached AND day AND c.code IS NOT NULL THEN c.code ELSE 'UNSCOPED_CAP' END AS code,
+              CASE WHEN receipt_attached AND day AND c.code IS NOT NULL THEN c.cap ELSE 400.0::DOUBLE END AS cap FROM i LEFT
+                JOIN caps c ON i.category = c.category AND i.band = c.band),
         j AS (SELECT *, code = 'LOCAL_HOTEL_PROHIBITED' AS banned, code <> 'LOCAL_HOTEL_PROHIBITED' AND NOT usd AND amount > cap AS over_cap FROM m)
         SELECT item_id, NOT (banned OR over_cap) AS passed, banned OR over_cap OR usd AS manual_review,
           CASE WHEN banned THEN 0.0::DOUBLE WHEN usd THEN amount ELSE least(amount, cap) END AS eligible,
@@ -186,48 +191,73 @@ def sub_09_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "pol_14_travel": _travel_sql(),
-    "lif_10_search": f"""WITH {_ITEMS}, {_CLAIMS} SELECT claim_id, employee_id, submission_date, status FROM claims c WHERE status IN ('Approved', 'Manager_Review')
-        AND EXISTS (FROM items i WHERE i.claim_id = c.claim_id AND category = 'Meals') AND EXISTS (FROM items i WHERE i.claim_id = c.claim_id AND expense_date >= DATE '2026-02-01')
+    "lif_10_search": f"""WITH {_ITEMS}, {_CLAIMS} SELECT claim_id, employee_id, submission_date, status FROM claims c
+      WHERE status IN ('Approved', 'Manager_Review')
+        AND EXISTS (FROM items i WHERE i.claim_id = c.claim_id AND category = 'Meals') AND EXISTS (FROM items i
+          WHERE i.claim_id = c.claim_id AND expense_date >= DATE '2026-02-01')
         AND EXISTS (FROM items i WHERE i.claim_id = c.claim_id AND expense_date <= DATE '2026-04-30')""",
     "lif_11_scope": f"""WITH {_CLAIMS}, staff AS (SELECT DISTINCT CAST(floor(c_custkey / 10) AS BIGINT) AS employee_id FROM customer)
         SELECT claim_id, employee_id AS actor_id, 'own' AS access FROM claims
-        UNION ALL SELECT claim_id, CAST(floor(employee_id / 10) AS BIGINT), 'report' FROM claims JOIN staff USING (employee_id) WHERE CAST(floor(employee_id / 10) AS BIGINT) <> employee_id""",
-    "lif_12_queue": f"WITH {_CLAIMS} SELECT claim_id, submission_date, reviewer_id FROM claims WHERE status = 'Manager_Review' AND (reviewer_id IS NULL OR reviewer_id = 3)",
-    "lif_13_workflow": """WITH w AS (SELECT o_custkey AS claim_id, o_orderkey AS workflow_id, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 WHEN 'O' THEN 0 END AS done FROM orders)
-        SELECT claim_id, workflow_id, CASE WHEN done < 2 THEN CAST(done + 1 AS INT) END AS current_step, 2::BIGINT AS steps, (2 - done)::BIGINT AS open_steps, done = 2 AS completed,
+        UNION ALL SELECT claim_id, CAST(floor(employee_id / 10) AS BIGINT), 'report' FROM claims JOIN staff USING (employee_id)
+          WHERE CAST(floor(employee_id / 10) AS BIGINT) <> employee_id""",
+    "lif_12_queue": f"""WITH {_CLAIMS} SELECT claim_id, submission_date, reviewer_id FROM claims
+      WHERE status = 'Manager_Review' AND (reviewer_id IS NULL OR reviewer_id = 3)""",
+    "lif_13_workflow": """WITH w AS (SELECT o_custkey AS claim_id, o_orderkey AS workflow_id,
+      CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 WHEN 'O' THEN 0 END AS done FROM orders)
+        SELECT claim_id, workflow_id, CASE
+          WHEN done < 2 THEN CAST(done + 1 AS INT) END AS current_step, 2::BIGINT AS steps, (2 - done)::BIGINT AS open_steps, done = 2 AS completed,
           coalesce(workflow_id = max(workflow_id) FILTER (done < 2) OVER (PARTITION BY claim_id), false) AS is_active FROM w""",
-    "lif_14_finance_rejected": f"WITH {_HISTORY}, r AS (SELECT claim_id, arg_max(actor_role, sequence) AS role FROM history WHERE to_status = 'Flagged_Fraud' GROUP BY claim_id) SELECT *, role = 'finance' AS by_finance FROM r",
+    "lif_14_finance_rejected": f"""WITH {_HISTORY}, r AS (SELECT claim_id, arg_max(actor_role, sequence) AS role FROM history
+      WHERE to_status = 'Flagged_Fraud' GROUP BY claim_id) SELECT *, role = 'finance' AS by_finance FROM r""",
     "lif_16_tabs": f"WITH {_CLAIMS} SELECT claim_id, false AS in_approvals, true AS in_disbursements FROM claims WHERE status = 'Approved'",
-    "lif_17_documents": f"""WITH {_ITEMS}, {_HISTORY}, i AS (SELECT claim_id, string_agg(item_id, ',' ORDER BY line_number) AS item_ids FROM items GROUP BY claim_id),
+    "lif_17_documents": f"""WITH {_ITEMS}, {_HISTORY}, i AS (SELECT claim_id, string_agg(item_id, ',' ORDER BY line_number) AS item_ids FROM items
+      GROUP BY claim_id),
         h AS (SELECT claim_id, string_agg(to_status, '>' ORDER BY sequence) AS moves FROM history GROUP BY claim_id),
-        c AS (SELECT conv_id AS claim_id, string_agg(role || ':' || md5(text), ',' ORDER BY turn) AS comments FROM conversations WHERE turn % 3 <> 2 GROUP BY conv_id),
+        c AS (SELECT conv_id AS claim_id, string_agg(role || ':' || md5(text), ',' ORDER BY turn) AS comments FROM conversations WHERE turn % 3 <> 2
+          GROUP BY conv_id),
         f AS (SELECT claim_id, string_agg(item_id, ',' ORDER BY line_number) AS files FROM items WHERE receipt_attached GROUP BY claim_id),
-        v AS (SELECT user_id AS claim_id, arg_max(event_type, (ts, event_id)) AS risk_level, arg_max(value > 50, (ts, event_id)) AS is_flagged FROM events GROUP BY user_id)
-        SELECT o_orderkey AS claim_id, item_ids, moves, comments, files, risk_level, is_flagged FROM orders LEFT JOIN i ON i.claim_id = o_orderkey LEFT JOIN h ON h.claim_id = o_orderkey
+        v AS (SELECT user_id AS claim_id, arg_max(event_type, (ts, event_id)) AS risk_level, arg_max(value > 50, (ts, event_id)) AS is_flagged
+          FROM events GROUP BY user_id)
+        SELECT o_orderkey AS claim_id, item_ids, moves, comments, files, risk_level, is_flagged FROM orders LEFT JOIN i ON i.claim_id = o_orderkey
+          LEFT JOIN h ON h.claim_id = o_orderkey
         LEFT JOIN c ON c.claim_id = o_orderkey LEFT JOIN f ON f.claim_id = o_orderkey LEFT JOIN v ON v.claim_id = o_orderkey""",
-    "aud_01_search": "SELECT event_id, event_type AS action, user_id AS entity_id, event_id % 10 AS actor, ts AS occurred_at FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 10 = 3",
+    "aud_01_search": """SELECT event_id, event_type AS action, user_id AS entity_id, event_id % 10 AS actor, ts AS occurred_at FROM events
+      WHERE event_type IN ('error', 'purchase') AND event_id % 10 = 3""",
     "aud_03_changes": """WITH e AS (SELECT event_id, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, props AS a FROM events)
         SELECT event_id, 'k' AS field, b ->> '$.k' AS old, a ->> '$.k' AS new FROM e WHERE (b ->> '$.k') IS DISTINCT FROM (a ->> '$.k')""",
-    "aud_04_inference": """SELECT event_type AS operation, CASE WHEN value > 100 THEN 'SLOW' ELSE 'OK' END AS status, count(*) AS runs, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS tokens,
+    "aud_04_inference": """SELECT event_type AS operation, CASE WHEN value > 100 THEN 'SLOW' ELSE 'OK' END AS status,
+      count(*) AS runs, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS tokens,
         avg(CAST(floor(value) AS BIGINT)) AS mean_ms, max(CAST(floor(value) AS BIGINT)) AS max_ms FROM events GROUP BY ALL""",
     "aud_06_spans": """WITH RECURSIVE s AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS span_id FROM events),
         t AS (SELECT trace_id, span_id, 0 AS depth, lpad(CAST(span_id AS VARCHAR), 12, '0') AS path FROM s WHERE span_id = 1
-          UNION ALL SELECT s.trace_id, s.span_id, depth + 1, path || '/' || lpad(CAST(s.span_id AS VARCHAR), 12, '0') FROM t JOIN s ON s.trace_id = t.trace_id AND s.span_id // 2 = t.span_id AND s.span_id > 1 WHERE depth < 10)
+          UNION ALL SELECT s.trace_id, s.span_id, depth + 1, path || '/' || lpad(CAST(s.span_id AS VARCHAR), 12, '0') FROM t
+            JOIN s ON s.trace_id = t.trace_id AND s.span_id // 2 = t.span_id AND s.span_id > 1 WHERE depth < 10)
         SELECT trace_id, span_id, depth, path FROM t""",
-    "sub_03_validate": f"""WITH {_ITEMS}, r AS (SELECT item_id, concat_ws(',', CASE WHEN amount_usd <= 0 THEN 'AMOUNT_NOT_POSITIVE' END, CASE WHEN line_number = 5 THEN 'CURRENCY_NOT_THREE_LETTERS' END,
-        CASE WHEN expense_date > DATE '2026-04-02' THEN 'DATE_IN_FUTURE' END, CASE WHEN category = 'Client / Business Entertainment' AND length(trim(coalesce(attendees, ''))) < 5 THEN 'ATTENDEES_TOO_SHORT' END) AS reasons FROM items)
+    "sub_03_validate": f"""WITH {_ITEMS}, r AS (SELECT item_id, concat_ws(',', CASE WHEN amount_usd <= 0 THEN 'AMOUNT_NOT_POSITIVE' END, CASE
+      WHEN line_number = 5 THEN 'CURRENCY_NOT_THREE_LETTERS' END,
+        CASE WHEN expense_date > DATE '2026-04-02' THEN 'DATE_IN_FUTURE' END, CASE
+          WHEN category = 'Client / Business Entertainment' AND length(trim(coalesce(attendees, ''))) < 5 THEN 'ATTENDEES_TOO_SHORT' END) AS reasons
+          FROM items)
         SELECT * FROM r WHERE reasons <> ''""",
-    "sub_04_stale": f"WITH {_ITEMS} SELECT item_id, CAST(greatest(DATE '2026-04-01' - expense_date, 0) AS INT) AS age_days, DATE '2026-04-01' - expense_date > 90 AS is_stale FROM items",
+    "sub_04_stale": f"""WITH {_ITEMS}
+      SELECT item_id, CAST(greatest(DATE '2026-04-01' - expense_date, 0) AS INT) AS age_days, DATE '2026-04-01' - expense_date > 90 AS is_stale
+      FROM items""",
     "sub_05_custom_fields": f"""WITH {_ITEMS}
         SELECT item_id, 'grade' AS field, CASE WHEN category <> 'Meals' OR employee_grade IN ('L1', 'L2') THEN employee_grade END AS value,
           CASE WHEN category = 'Meals' AND employee_grade NOT IN ('L1', 'L2') THEN 'NOT_A_ENUM' END AS dropped FROM items
         UNION ALL SELECT item_id, 'paid', CASE WHEN has_pre_approval THEN 'true' END, CASE WHEN NOT has_pre_approval THEN 'NOT_A_BOOLEAN' END FROM items
         UNION ALL SELECT item_id, 'note', NULL, 'UNKNOWN_FIELD' FROM items
         UNION ALL SELECT item_id, 'size', NULL, CASE WHEN category <> 'Meals' THEN 'UNKNOWN_FIELD' END FROM items""",
-    "sub_06_classification": f"""WITH {_ITEMS}, m AS (SELECT item_id, category, line_number / 10.0::DOUBLE AS sure, CASE line_number % 3 WHEN 0 THEN CASE WHEN category <> 'Miscellaneous / Others' THEN category END WHEN 1 THEN 'Meals' END AS matched FROM items)
-        SELECT item_id, matched, coalesce(matched <> category, false) AS mismatch, matched IS NULL OR matched <> category OR sure < 0.7::DOUBLE AS needs_review FROM m""",
-    "sub_08_text": f"""WITH {_ITEMS} SELECT item_id, concat_ws(chr(10), 'Vendor: ' || merchant_vendor, 'Invoice: ' || invoice_number, 'Total: ' || CAST(amount_usd AS VARCHAR), 'Attendees: ' || attendees) AS text FROM items""",
-    "sub_09_outside": f"""WITH {_ITEMS}, m AS (SELECT item_id, expense_date, expense_date + CAST(greatest(line_number % 4, 1) - 1 AS INT) AS last_day, submission_date - 60 AS date_from, submission_date - 5 AS date_to FROM items)
+    "sub_06_classification": f"""WITH {_ITEMS}, m AS (SELECT item_id, category, line_number / 10.0::DOUBLE AS sure, CASE line_number % 3 WHEN 0
+      THEN CASE WHEN category <> 'Miscellaneous / Others' THEN category END WHEN 1 THEN 'Meals' END AS matched FROM items)
+        SELECT item_id, matched, coalesce(matched <> category, false) AS mismatch, matched IS NULL OR matched <> category OR sure < 0.7::DOUBLE AS needs_review
+          FROM m""",
+    "sub_08_text": f"""WITH {_ITEMS}
+      SELECT item_id, concat_ws(chr(10), 'Vendor: ' || merchant_vendor, 'Invoice: ' || invoice_number, 'Total: ' || CAST(amount_usd AS VARCHAR), 'Attendees: ' || attendees) AS text
+      FROM items""",
+    "sub_09_outside": f"""WITH {_ITEMS},
+      m AS (SELECT item_id, expense_date, expense_date + CAST(greatest(line_number % 4, 1) - 1 AS INT) AS last_day, submission_date - 60 AS date_from, submission_date - 5 AS date_to
+      FROM items)
         SELECT item_id, last_day, date_from, date_to FROM m WHERE expense_date < date_from OR last_day > date_to""",
 }
 

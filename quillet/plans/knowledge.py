@@ -129,25 +129,37 @@ _FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | _CHUNKERS
 
-_LINES = r"""chunks AS (SELECT doc_id * 1000000 + k - 1 AS vec_id, p[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(k) WHERE trim(p[k]) <> ''),
+_LINES = r"""chunks AS (SELECT doc_id * 1000000 + k - 1 AS vec_id, p[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p
+  FROM documents), unnest(range(1, len(p) + 1)) AS t(k) WHERE trim(p[k]) <> ''),
 asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark)"""
-_GRAMS = r"list_distinct(flatten([[substr('  ' || w || ' ', k, 3) FOR k IN range(1, length(w) + 2)] FOR w IN regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')]))"
+_GRAMS = r"""list_distinct(flatten([[substr('  ' || w || ' ', k, 3) FOR k IN range(1,
+  length(w) + 2)] FOR w IN regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')]))"""
 SQL = {
     "src_07_json": "SELECT event_id, 'k: ' || (props ->> '$.k') AS lines FROM events",
-    "txt_02_fold": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents",
-    "txt_04_sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|No|Inc|Ltd|Jan|Feb|e\.g|i\.e|vs|etc)([.!?。！？])(\s)', '\1\2' || chr(2) || '\3', 'g'), '(\d[.!?。！？])(\s)', '\1' || chr(2) || '\2', 'g') AS t FROM documents),
-        s AS (SELECT doc_id, list_filter([replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(2), '') FOR x IN string_split(regexp_replace(t, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS p FROM m)
+    "txt_02_fold": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS digest
+      FROM documents""",
+    "txt_04_sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|No|Inc|Ltd|Jan|Feb|e\.g|i\.e|vs|etc)([.!?。！？])(\s)', '\1\2' || chr(2) || '\3', 'g'), '(\d[.!?。！？])(\s)', '\1' || chr(2) || '\2', 'g') AS t
+      FROM documents),
+        s AS (SELECT doc_id, list_filter([replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(2), '') FOR x IN string_split(regexp_replace(t, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS p
+          FROM m)
         SELECT doc_id, len(p) AS sentences, md5(coalesce(array_to_string(p, '|'), '')) AS digest FROM s""",
     "txt_01_normalize": f"SELECT doc_id, md5({normalized('text')}) AS digest FROM documents",
     "txt_06_truncate": r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 512) AS head FROM documents),
         p AS (SELECT *, length(head) AS n, strpos(reverse(head), ' .') AS a, strpos(reverse(head), chr(10)) AS b, strpos(reverse(head), ' ') AS c FROM h),
-        k AS (SELECT *, CASE WHEN a > 0 AND n - a - 1 > 0.6 * 512 THEN n - a WHEN b > 0 AND n - b > 0.6 * 512 THEN n - b + 1 WHEN c > 0 AND n - c > 0.6 * 512 THEN n - c ELSE n END AS e FROM p)
-        SELECT doc_id, md5(CASE WHEN floor(length(text) / 4.0::DOUBLE + 0.999::DOUBLE) <= 128 THEN text ELSE regexp_replace(substr(head, 1, CAST(e AS BIGINT)), '^\s+|\s+$', '', 'g') END) AS digest FROM k""",
+        k AS (SELECT *, CASE WHEN a > 0 AND n - a - 1 > 0.6 * 512 THEN n - a WHEN b > 0 AND n - b > 0.6 * 512 THEN n - b + 1
+          WHEN c > 0 AND n - c > 0.6 * 512 THEN n - c ELSE n END AS e FROM p)
+        SELECT doc_id, md5(CASE
+          WHEN floor(length(text) / 4.0::DOUBLE + 0.999::DOUBLE) <= 128 THEN text ELSE regexp_replace(substr(head, 1, CAST(e AS BIGINT)), '^\s+|\s+$', '', 'g') END) AS digest
+          FROM k""",
     "chk_09_check": "SELECT '' AS chunk_id, '' AS violation WHERE false",
-    "ret_02_trigram": f"""WITH {_LINES}, q AS (SELECT query_id, {_GRAMS.format("query")} AS g FROM asked), c AS (SELECT vec_id, {_GRAMS.format("text")} AS g FROM chunks),
-        s AS (SELECT query_id, vec_id, len(list_intersect(q.g, c.g)) AS n, len(q.g) + len(c.g) AS m FROM q, c WHERE len(c.g) * 0.3 <= len(q.g) AND len(q.g) * 0.3 <= len(c.g)),
+    "ret_02_trigram": f"""WITH {_LINES}, q AS (SELECT query_id, {_GRAMS.format("query")} AS g FROM asked),
+      c AS (SELECT vec_id, {_GRAMS.format("text")} AS g FROM chunks),
+        s AS (SELECT query_id, vec_id, len(list_intersect(q.g, c.g)) AS n, len(q.g) + len(c.g) AS m FROM q, c
+          WHERE len(c.g) * 0.3 <= len(q.g) AND len(q.g) * 0.3 <= len(c.g)),
         r AS (SELECT query_id, vec_id, n::DOUBLE / (m - n) AS score FROM s WHERE n::DOUBLE / (m - n) > 0.3)
-        SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM r QUALIFY rank <= 50""",
+        SELECT query_id, vec_id,
+          round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM r
+          QUALIFY rank <= 50""",
 }
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -160,15 +172,20 @@ w AS (SELECT vec_id, k AS pos, ws[k] AS term FROM (SELECT vec_id, {_TERMS.format
 met AS (SELECT query_id, vec_id, term, pos FROM w JOIN q USING (term)),
 whole AS (SELECT query_id, vec_id FROM met JOIN n USING (query_id) GROUP BY query_id, vec_id, n HAVING count(DISTINCT term) = n),
 e AS (SELECT *, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY pos) AS i FROM met SEMI JOIN whole USING (query_id, vec_id)),
-ahead AS (SELECT a.query_id, a.vec_id, a.pos AS a, a.i, b.term, min(b.pos) AS p FROM e a JOIN e b ON a.query_id = b.query_id AND a.vec_id = b.vec_id AND b.pos >= a.pos GROUP BY ALL),
+ahead AS (SELECT a.query_id, a.vec_id, a.pos AS a, a.i, b.term, min(b.pos) AS p FROM e a JOIN e b ON a.query_id = b.query_id AND a.vec_id = b.vec_id
+  AND b.pos >= a.pos GROUP BY ALL),
 runs AS (SELECT query_id, vec_id, a, i, max(p) AS b FROM ahead JOIN n USING (query_id) GROUP BY query_id, vec_id, a, i, n HAVING count(*) = n),
 least AS (SELECT query_id, vec_id, b, max(a) AS a, max(i) AS i FROM runs GROUP BY ALL),
-dense AS (SELECT l.query_id, l.vec_id, round(sum(0.1::DOUBLE / (1 + (l.b - l.a) - (e.i - l.i))), 9) AS score FROM least l JOIN e ON e.query_id = l.query_id AND e.vec_id = l.vec_id AND e.pos = l.b GROUP BY ALL),
-full_text AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM dense QUALIFY rank <= 50)"""
+dense AS (SELECT l.query_id, l.vec_id, round(sum(0.1::DOUBLE / (1 + (l.b - l.a) - (e.i - l.i))), 9) AS score FROM least l
+  JOIN e ON e.query_id = l.query_id AND e.vec_id = l.vec_id AND e.pos = l.b GROUP BY ALL),
+full_text AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM dense
+  QUALIFY rank <= 50)"""
 SQL["ret_01_lexical"] = f"WITH {_COVERED} SELECT * FROM full_text"
 SQL["ret_03_leg"] = f"""WITH {_COVERED},
-gq AS (SELECT query_id, {_GRAMS.format("query")} AS g FROM asked ANTI JOIN full_text USING (query_id)), gc AS (SELECT vec_id, {_GRAMS.format("text")} AS g FROM chunks),
-s AS (SELECT query_id, vec_id, len(list_intersect(gq.g, gc.g)) AS c, len(gq.g) + len(gc.g) AS m FROM gq, gc WHERE len(gc.g) * 0.3 <= len(gq.g) AND len(gq.g) * 0.3 <= len(gc.g)),
+gq AS (SELECT query_id, {_GRAMS.format("query")} AS g FROM asked ANTI JOIN full_text USING (query_id)),
+  gc AS (SELECT vec_id, {_GRAMS.format("text")} AS g FROM chunks),
+s AS (SELECT query_id, vec_id, len(list_intersect(gq.g, gc.g)) AS c, len(gq.g) + len(gc.g) AS m FROM gq, gc
+  WHERE len(gc.g) * 0.3 <= len(gq.g) AND len(gq.g) * 0.3 <= len(gc.g)),
 r AS (SELECT query_id, vec_id, round(c::DOUBLE / (m - c), 9) AS score FROM s WHERE c::DOUBLE / (m - c) > 0.3),
 alike AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM r QUALIFY rank <= 50)
 SELECT * FROM full_text UNION ALL SELECT * FROM alike"""

@@ -48,8 +48,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DOCS = """docs AS (SELECT doc_id, lang AS tenant, source AS title, CASE WHEN doc_id % 5 = 0 THEN 'SUPERSEDED' WHEN doc_id % 7 = 0 THEN 'ARCHIVED' ELSE 'INDEXED' END AS status,
-  CASE WHEN doc_id % 3 > 0 THEN DATE '2026-01-01' + CAST(doc_id % 100 AS INTEGER) END AS f, CASE WHEN doc_id % 4 > 0 THEN DATE '2026-01-01' + CAST(doc_id % 200 AS INTEGER) END AS t, n_chars FROM documents)"""
+_DOCS = """docs AS (SELECT doc_id, lang AS tenant, source AS title, CASE WHEN doc_id % 5 = 0 THEN 'SUPERSEDED'
+  WHEN doc_id % 7 = 0 THEN 'ARCHIVED' ELSE 'INDEXED' END AS status,
+  CASE WHEN doc_id % 3 > 0 THEN DATE '2026-01-01' + CAST(doc_id % 100 AS INTEGER) END AS f, CASE
+    WHEN doc_id % 4 > 0 THEN DATE '2026-01-01' + CAST(doc_id % 200 AS INTEGER) END AS t, n_chars FROM documents)"""
 
 
 def doc_03_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +111,13 @@ _SCORED = f"""{_FP}, fq AS (SELECT *, substr(md5(vendor || '|' || CAST(amount_us
 scored AS (SELECT p.item_id, CAST(a.checksum = b.checksum AS INT) AS exact, 1.0::DOUBLE - bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) / 64.0::DOUBLE AS hash,
     CAST(a.vendor = b.vendor AND a.merchant_vendor <> b.merchant_vendor AS INT) AS alias,
     (0.35 * (a.vendor = b.vendor)::INT + 0.15 * (a.expense_date = b.expense_date)::INT + 0.15 * (abs(a.amount_usd - b.amount_usd) <= 0.01)::INT
-      + CASE WHEN a.invoice_number IS NOT NULL AND b.invoice_number IS NOT NULL THEN 0.35 * (lower(trim(a.invoice_number)) = lower(trim(b.invoice_number)))::INT ELSE 0 END)::DOUBLE
+      + CASE WHEN a.invoice_number IS NOT NULL
+        AND b.invoice_number IS NOT NULL THEN 0.35 * (lower(trim(a.invoice_number)) = lower(trim(b.invoice_number)))::INT ELSE 0 END)::DOUBLE
       / CASE WHEN a.invoice_number IS NOT NULL AND b.invoice_number IS NOT NULL THEN 1.0 ELSE 0.65 END AS invoice
   FROM pairs p JOIN fq a ON p.item_id = a.item_id JOIN fq b ON p.other_id = b.item_id),
 best AS (SELECT item_id, max(exact) AS exact, round(max(invoice), 6) AS invoice, max(hash) AS hash, max(alias) AS alias FROM scored GROUP BY item_id)"""
-_SETS = "sets AS (SELECT bits, ks, list_max(ks) AS m FROM (SELECT bits, [k FOR k IN range(1, 13) IF (bits >> (k - 1)) & 1 = 1] AS ks FROM range(3, 4096) AS t(bits) WHERE bit_count(bits) > 1))"
+_SETS = """sets AS (SELECT bits, ks, list_max(ks) AS m FROM (SELECT bits, [k FOR k IN range(1, 13) IF (bits >> (k - 1)) & 1 = 1] AS ks
+  FROM range(3, 4096) AS t(bits) WHERE bit_count(bits) > 1))"""
 _HIT = """hit AS (SELECT item_id, ids, ks FROM sib, sets WHERE m <= len(c) AND abs(list_sum([c[k] FOR k IN ks]) - cents) <= 1
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY len(ks), ks) = 1)"""
 SQL = {
@@ -123,39 +127,61 @@ SQL = {
           WHERE a.employee_id <> b.employee_id AND abs(a.amount_usd - b.amount_usd) <= 0.01 GROUP BY a.item_id HAVING min(b.item_id) < a.item_id),
         sib AS (SELECT a.item_id, CAST(any_value(a.amount_usd) * 100 AS BIGINT) AS cents, list(CAST(b.amount_usd * 100 AS BIGINT) ORDER BY b.expense_date, b.item_id)[1:12] AS c,
             list(b.item_id ORDER BY b.expense_date, b.item_id)[1:12] AS ids
-          FROM fp a JOIN fp b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7 AND b.item_id < a.item_id GROUP BY a.item_id HAVING count(*) > 1),
+          FROM fp a JOIN fp b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7
+            AND b.item_id < a.item_id GROUP BY a.item_id HAVING count(*) > 1),
         {_SETS}, {_HIT},
         split AS (SELECT item_id, [ids[k] FOR k IN ks] AS parts FROM hit),
-        same AS (SELECT p.item_id, min(p.other_id) AS other FROM pairs p JOIN fp a ON p.item_id = a.item_id JOIN fp b ON p.other_id = b.item_id WHERE a.checksum = b.checksum GROUP BY p.item_id),
-        j AS (SELECT item_id, CAST(exact AS DOUBLE) AS exact, invoice, round(hash, 6) AS hash, (crossed.other IS NOT NULL)::INT::DOUBLE AS "cross", (parts IS NOT NULL)::INT::DOUBLE AS split,
+        same AS (SELECT p.item_id, min(p.other_id) AS other FROM pairs p JOIN fp a ON p.item_id = a.item_id JOIN fp b ON p.other_id = b.item_id
+          WHERE a.checksum = b.checksum GROUP BY p.item_id),
+        j AS (SELECT item_id, CAST(exact AS DOUBLE) AS exact, invoice,
+          round(hash, 6) AS hash, (crossed.other IS NOT NULL)::INT::DOUBLE AS "cross", (parts IS NOT NULL)::INT::DOUBLE AS split,
             array_to_string(list_sort(list_distinct(list_concat(list_filter([same.other, crossed.other], lambda x: x IS NOT NULL), coalesce(parts, [])))), ',') AS related
           FROM best FULL JOIN crossed USING (item_id) FULL JOIN split USING (item_id) LEFT JOIN same USING (item_id)),
-        n AS (SELECT *, CASE WHEN exact = 1 THEN NULL WHEN greatest(hash, invoice) >= 0.8::DOUBLE THEN greatest(hash, invoice) WHEN greatest(hash, invoice) IS NOT NULL THEN 0.0::DOUBLE END AS near FROM j),
-        s AS (SELECT *, concat_ws(',', CASE WHEN exact = 1 THEN 'EXACT' END, CASE WHEN hash >= 0.9::DOUBLE THEN 'IMAGE' END, CASE WHEN invoice >= 0.9::DOUBLE THEN 'INVOICE' END,
+        n AS (SELECT *, CASE WHEN exact = 1 THEN NULL WHEN greatest(hash, invoice) >= 0.8::DOUBLE THEN greatest(hash, invoice)
+          WHEN greatest(hash, invoice) IS NOT NULL THEN 0.0::DOUBLE END AS near FROM j),
+        s AS (SELECT *, concat_ws(',', CASE WHEN exact = 1 THEN 'EXACT' END, CASE WHEN hash >= 0.9::DOUBLE THEN 'IMAGE' END, CASE
+          WHEN invoice >= 0.9::DOUBLE THEN 'INVOICE' END,
             CASE WHEN "cross" = 1 THEN 'CROSS_EMPLOYEE' END, CASE WHEN split = 1 THEN 'MULTI_RECEIPT' END) AS flags,
-          round(greatest(CASE WHEN exact = 1 OR "cross" = 1 OR split = 1 THEN 1.0::DOUBLE END, CASE WHEN invoice >= 0.9::DOUBLE THEN invoice END, CASE WHEN hash >= 0.9::DOUBLE THEN hash END,
+          round(greatest(CASE WHEN exact = 1 OR "cross" = 1 OR split = 1 THEN 1.0::DOUBLE END, CASE WHEN invoice >= 0.9::DOUBLE THEN invoice END, CASE
+            WHEN hash >= 0.9::DOUBLE THEN hash END,
             CASE WHEN near > 0 THEN near END, 0.0::DOUBLE), 6) AS score FROM n)
-        SELECT *, CASE WHEN score >= 0.95 THEN 'CONFIRMED' WHEN score >= 0.75 THEN 'LIKELY' WHEN score > 0 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS verdict FROM s""",
+        SELECT *, CASE WHEN score >= 0.95 THEN 'CONFIRMED' WHEN score >= 0.75 THEN 'LIKELY'
+          WHEN score > 0 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS verdict FROM s""",
     "dup_10_multi": f"""WITH {_ITEMS}, k AS (SELECT *, {_VENDOR} AS vendor FROM items),
         sib AS (SELECT a.item_id, CAST(any_value(a.amount_usd) * 100 AS BIGINT) AS cents, list(CAST(b.amount_usd * 100 AS BIGINT) ORDER BY b.expense_date, b.item_id)[1:12] AS c,
             list(b.item_id ORDER BY b.expense_date, b.item_id)[1:12] AS ids
-          FROM k a JOIN k b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7 AND b.item_id <> a.item_id GROUP BY a.item_id HAVING count(*) > 1),
+          FROM k a JOIN k b ON a.employee_id = b.employee_id AND a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7
+            AND b.item_id <> a.item_id GROUP BY a.item_id HAVING count(*) > 1),
         {_SETS}, {_HIT}
         SELECT item_id, array_to_string([ids[k] FOR k IN ks], ',') AS parts FROM hit""",
-    "doc_03_chain": f"WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY tenant, title ORDER BY doc_id) AS INT) AS place, count(*) OVER (PARTITION BY tenant, title) AS length FROM docs",
-    "doc_04_search": f"WITH {_DOCS} SELECT doc_id, status FROM docs WHERE status = 'INDEXED' AND tenant = 'en' AND coalesce(f <= DATE '2026-03-01', true) AND coalesce(t >= DATE '2026-03-01', true)",
-    "doc_06_profile": "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'HYBRID' WHEN n_chars > 300 THEN 'RECURSIVE' ELSE 'TOKEN' END AS strategy, CASE WHEN n_chars > 1000 THEN 'policy' WHEN n_chars > 300 THEN 'note' ELSE 'general' END AS category FROM documents",
-    "doc_09_ledger": "WITH r AS (SELECT CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'SKIPPED_DUPLICATE' ELSE 'INDEXED' END AS status, event_id FROM events) SELECT status, count(*) AS runs, max(event_id) AS last, status <> 'FAILED' AS succeeded FROM r GROUP BY status",
-    "doc_10_filters": f"WITH {_DOCS} SELECT doc_id FROM docs WHERE tenant IN ('en', 'de') AND NOT coalesce(n_chars > 300 AND n_chars <= 1000, false) AND f IS NOT NULL AND n_chars > 500 AND contains(lower(title), 'rc1')",
+    "doc_03_chain": f"""WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY tenant, title ORDER BY doc_id) AS INT) AS place,
+      count(*) OVER (PARTITION BY tenant, title) AS length FROM docs""",
+    "doc_04_search": f"""WITH {_DOCS} SELECT doc_id, status FROM docs
+      WHERE status = 'INDEXED' AND tenant = 'en' AND coalesce(f <= DATE '2026-03-01', true) AND coalesce(t >= DATE '2026-03-01', true)""",
+    "doc_06_profile": """SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'HYBRID' WHEN n_chars > 300 THEN 'RECURSIVE' ELSE 'TOKEN' END AS strategy, CASE
+      WHEN n_chars > 1000 THEN 'policy' WHEN n_chars > 300 THEN 'note' ELSE 'general' END AS category FROM documents""",
+    "doc_09_ledger": """WITH r AS (SELECT CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'SKIPPED_DUPLICATE' ELSE 'INDEXED' END AS status, event_id
+      FROM events) SELECT status, count(*) AS runs, max(event_id) AS last, status <> 'FAILED' AS succeeded FROM r GROUP BY status""",
+    "doc_10_filters": f"""WITH {_DOCS} SELECT doc_id FROM docs
+      WHERE tenant IN ('en', 'de') AND NOT coalesce(n_chars > 300 AND n_chars <= 1000, false) AND f IS NOT NULL AND n_chars > 500 AND contains(lower(title), 'rc1')""",
     "emb_10_check": """WITH v AS (SELECT vec_id, label % 2 AS odd, CASE WHEN vec_id % 50 = 0 THEN embedding[1:60] ELSE embedding END AS e FROM embeddings),
-        c AS (SELECT vec_id, CASE WHEN odd = 0 THEN 'a' ELSE '' END AS spec, concat_ws(',', CASE WHEN len(e) <> 64 THEN 'WIDTH' END, CASE WHEN odd <> 0 THEN 'NO_SPEC' END,
-          CASE WHEN abs(sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))) - 1) > 1e-4 THEN 'NOT_UNIT' END, CASE WHEN count(*) OVER (PARTITION BY vec_id, odd) > 1 THEN 'REPEATED' END) AS faults FROM v)
+        c AS (SELECT vec_id, CASE WHEN odd = 0 THEN 'a' ELSE '' END AS spec, concat_ws(',', CASE WHEN len(e) <> 64 THEN 'WIDTH' END, CASE
+          WHEN odd <> 0 THEN 'NO_SPEC' END,
+          CASE WHEN abs(sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))) - 1) > 1e-4 THEN 'NOT_UNIT' END, CASE
+            WHEN count(*) OVER (PARTITION BY vec_id, odd) > 1 THEN 'REPEATED' END) AS faults FROM v)
         SELECT * FROM c WHERE faults <> ''""",
-    "emb_11_usage": """WITH u AS (SELECT event_type AS provider, CASE WHEN event_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS ms, value > 100 AS hit FROM events)
-        SELECT provider, model, count(*) AS calls, CAST(sum(k) AS BIGINT) AS tokens, CAST(sum(ms) AS BIGINT) AS latency_ms, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
-          CAST(sum(k) AS DOUBLE) * CASE WHEN provider = 'view' AND model = 'small' THEN 0.5 WHEN provider = 'view' THEN 2.0 WHEN provider = 'click' AND model = 'small' THEN 0.25 ELSE 0 END::DOUBLE AS cost FROM u GROUP BY provider, model""",
-    "pol_15_pages": """WITH l AS (SELECT doc_id, k - 1 AS i, p[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(k)),
-        g AS (SELECT doc_id, CASE WHEN i % 10 < 9 THEN CAST(floor(i / 3) AS INT) END AS page, string_agg(text, chr(10) ORDER BY i) AS t, min(i) FILTER (i % 3 = 1) AS s FROM l GROUP BY ALL)
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS LAST) AS INT) AS place, page, md5(t) AS digest, coalesce('s' || s, 'top') AS hint FROM g""",
+    "emb_11_usage": """WITH u AS (SELECT event_type AS provider, CASE
+      WHEN event_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS ms, value > 100 AS hit
+      FROM events)
+        SELECT provider, model, count(*) AS calls, CAST(sum(k) AS BIGINT) AS tokens, CAST(sum(ms) AS BIGINT) AS latency_ms,
+          count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
+          CAST(sum(k) AS DOUBLE) * CASE WHEN provider = 'view' AND model = 'small' THEN 0.5 WHEN provider = 'view' THEN 2.0
+            WHEN provider = 'click' AND model = 'small' THEN 0.25 ELSE 0 END::DOUBLE AS cost FROM u GROUP BY provider, model""",
+    "pol_15_pages": """WITH l AS (SELECT doc_id, k - 1 AS i, p[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p
+      FROM documents), unnest(range(1, len(p) + 1)) AS t(k)),
+        g AS (SELECT doc_id, CASE WHEN i % 10 < 9 THEN CAST(floor(i / 3) AS INT) END AS page, string_agg(text, chr(10) ORDER BY i) AS t,
+          min(i) FILTER (i % 3 = 1) AS s FROM l GROUP BY ALL)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS LAST) AS INT) AS place, page, md5(t) AS digest, coalesce('s' || s, 'top') AS hint
+          FROM g""",
 }
 QUERIES = (dup_04_signals, dup_10_multi, dup_13_scan, doc_03_chain, doc_04_search, doc_06_profile, doc_09_ledger, doc_10_filters, emb_10_check, emb_11_usage, pol_15_pages)
