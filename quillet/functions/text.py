@@ -46,12 +46,18 @@ def snippet(text: Column, width: int = 240) -> Column:
     return F.when(F.length(line) > width, F.concat(F.rtrim(F.substring(line, 1, width - 1)), F.lit("…"))).otherwise(line)
 
 
-def stop_word_counts(text: Column) -> list[Column]:
-    """Occurrences of each language's stop words in the whole text."""
+def stop_words_in(text: Column) -> Column:
+    """The words of the whole text that are a stop word of some language, repeats included."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))
+    every = sorted({w for stops in STOP_WORDS.values() for w in stops.split()})
+    return F.filter(words, lambda w: w.isin(*every))
+
+
+def stop_word_counts(found: Column) -> list[Column]:
+    """Occurrences of each language's stop words among those found."""
 
     def among(stops: str) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*stops.split())))
+        return F.size(F.filter(found, lambda w: w.isin(*stops.split())))
 
     return [among(stops).alias(f"n_{lang}") for lang, stops in STOP_WORDS.items()]
 
@@ -67,18 +73,20 @@ def detect_latin_language(counts: str = "n_") -> Column:
 
 def script_language(text: Column) -> Column:
     """The language of the first script that has its share of the letters; Han with kana is Japanese."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    count = lambda name: F.regexp_count(text, F.lit(rf"[{SCRIPTS[name]}&&\p{{L}}]"))
+    every = "".join(SCRIPTS.values())
+    some = F.regexp_replace(text, f"[^{every}]+", "")  # nothing is left of most texts
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    count = lambda name: F.length(F.regexp_replace(some, rf"[^{SCRIPTS[name]}]|\P{{L}}", ""))
     out = F.lit(None).cast("string")
     for name in reversed(SCRIPTS):
         own = F.when(count("ja") > 0, "ja").otherwise("zh") if name == "zh" else F.lit(name)
         out = F.when(count(name) / letters >= SCRIPT_SHARE, own).otherwise(out)
-    return F.when(letters > 0, out)
+    return F.when(text.rlike(f"[{every}]") & (letters > 0), out)
 
 
 def with_language(df: DataFrame, text: str = "text", to: str = "language") -> DataFrame:
     """Adds the language of the whole text: by script, else by stop words; null where neither decides (TXT-7)."""
-    counted = df.select("*", *stop_word_counts(F.col(text)))
+    counted = df.withColumn("_found", stop_words_in(F.col(text))).select("*", *stop_word_counts(F.col("_found")))
     long = F.length(F.trim(text)) >= LEAST_CHARS
     return counted.withColumn(to, F.when(long, F.coalesce(script_language(F.col(text)), detect_latin_language()))).select(*df.columns, to)
 

@@ -40,7 +40,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("One.\n\nTwo\n12\nPage 3",), ("",), (None,)], "t string")
     rows = df.select(T.split_paragraphs(F.col("t")).alias("p"), T.estimate_tokens(F.col("t")).alias("n"), T.strip_page_numbers(F.col("t")).alias("s")).collect()
     assert rows[0].p == ["One.", "Two\n12\nPage 3"] and rows[0].s == "One.\n\nTwo" and rows[1].n == 0 and rows[2].n == 0
-    lang = spark.createDataFrame([("the policy and the employee",), ("der die das und nicht",), ("xyz",)], "t string").select(*T.stop_word_counts(F.col("t")))
+    lang = spark.createDataFrame([("the policy and the employee",), ("der die das und nicht",), ("xyz",)], "t string").select(*T.stop_word_counts(T.stop_words_in(F.col("t"))))
     assert [r[0] for r in lang.select(T.detect_latin_language()).collect()] == ["en", "de", None]
     assert df.select(T.snippet(F.lit("a " * 300), 10).alias("x")).first().x == "a a a a a…"
 
