@@ -34,6 +34,11 @@ def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Sources
 
 
+def src_02_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that the tables lie in, without their contents."""
+    return parsing.read_documents(spark, f"{sf_dir}/*.parquet").select("name", "size", "mime_type")
+
+
 def src_03_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts written as UTF-8, with a mark for every other one, and read back."""
     docs = _load(spark, sf_dir, "documents")
@@ -786,7 +791,7 @@ AND b.ts BETWEEN a.ts - INTERVAL 1 DAY AND a.ts"""
 
 
 FUNCTIONS = (
-    src_03_decode, src_08_csv, src_09_upsert, src_10_delete, txt_07_language, txt_08_document_language, txt_10_boilerplate, txt_11_clean, txt_13_source_type, txt_17_snippet, doc_08_missing,
+    src_02_files, src_03_decode, src_08_csv, src_09_upsert, src_10_delete, txt_07_language, txt_08_document_language, txt_10_boilerplate, txt_11_clean, txt_13_source_type, txt_17_snippet, doc_08_missing,
     emb_03_measures, emb_07_ann, emb_08_recall, ret_05_scope, ret_11_citations, ret_14_scoped, ret_15_memory, ven_02_resolve, dup_03_hashes, dup_05_ocr, dup_06_embedding,
     pol_01_effective, pol_03_publish, pol_04_prepare, pol_04_replace, pol_05_versions, pol_06_registry, pol_16_windows, pol_17_parse, pol_18_dedup, pol_19_clean, pol_20_review,
     sub_01_fields, sub_02_summary, sub_07_response, frd_09_latest, frd_10_manual, lif_07_sequence, str_01_dedup, str_02_transitions, str_03_totals, str_04_metrics, str_05_alerts,

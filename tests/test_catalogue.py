@@ -233,8 +233,8 @@ def test_extractor_edges(spark):
 def test_every_id_of_the_inventory_has_a_query():
     ids = {n[:6] for n in registry.queries()}
     whole = {"src": 10, "txt": 17, "doc": 11, "chk": 9, "emb": 11, "ret": 15, "ven": 3, "dup": 16, "pol": 20, "sub": 9, "frd": 10, "lif": 17, "aud": 6, "str": 5}
-    # Named in another query's docstring, or (files, one-row registries) held against small cases.
-    covered = {"src_02", "src_06", "txt_05", "doc_05", "emb_04", "emb_09", "ret_07", "ret_08", "ret_09", "ret_10", "ven_01", "dup_02", "dup_07", "dup_08", "dup_11"}
+    # Named in another query's docstring.
+    covered = {"src_06", "txt_05", "doc_05", "emb_04", "emb_09", "ret_07", "ret_08", "ret_09", "ret_10", "ven_01", "dup_02", "dup_07", "dup_08", "dup_11"}
     covered |= {"pol_09", "pol_10", "pol_11", "pol_13", "frd_01", "frd_02", "frd_03", "frd_04", "frd_05", "frd_06"}
     missing = {f"{kind}_{k:02}" for kind, n in whole.items() for k in range(1, n + 1)} - ids - covered
     assert not missing

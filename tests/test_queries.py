@@ -48,7 +48,7 @@ def test_every_query_has_a_twin():
     assert without == {
         "chk_01_recursive", "chk_02_token", "chk_03_sliding_window", "chk_04_heading", "chk_05_hybrid", "chk_06_parent_child", "chk_07_semantic",
         "dup_05_ocr", "emb_01_hash", "emb_07_ann", "pol_16_windows", "ret_12_context", "ret_13_retrieve", "ret_14_scoped",
-        "src_04_html", "src_05_markdown", "txt_14_pii", "txt_15_mask", "txt_16_summary",
+        "src_02_files", "src_04_html", "src_05_markdown", "txt_14_pii", "txt_15_mask", "txt_16_summary",
     }
 
 
