@@ -13,6 +13,10 @@ FIELD_NAMES = {"VENDOR_NAME": "vendor", "TOTAL": "total", "INVOICE_RECEIPT_DATE"
 #: Categories of candidate rules, and texts that say nothing.
 RULE_CATEGORIES = ("meals", "travel", "lodging", "entertainment", "flights", "ground_transport", "client_entertainment", "other")
 NOTHING = ("null", "none", "n/a", "not stated", "not specified")
+#: What a number in a text looks like, words that announce a limit, and words that qualify a rule.
+NUMBER = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"
+LIMIT_WORDS = r"(?i)(?:up to|maximum|max\.?|not exceed|limit(?:ed)? to|capped)"
+QUALIFIERS = r"(?i)\b(?:except|exception|however|provided that|unless|subject to|notwithstanding)\b"
 WINDOW_CHARS, OVERLAP_CHARS = 9_000, 800
 _TEXT = "struct<Text:string>"
 _FIELD = f"struct<Type:{_TEXT},LabelDetection:{_TEXT},ValueDetection:struct<Text:string,Confidence:double>>"
@@ -165,7 +169,7 @@ def parse_rules(df: DataFrame, raw: str) -> DataFrame:
 
 def stated_amount(text: Column) -> Column:
     """The only number in a text, if there is one and it is not negative."""
-    found = F.regexp_extract_all(text, F.lit(r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     value = F.regexp_replace(_at(found, 1), ",", "").try_cast("decimal(18,4)")
     return F.when((F.size(found) == 1) & (value >= 0), value)
 
@@ -221,8 +225,6 @@ def clean_candidates(df: DataFrame) -> DataFrame:
     )
     there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     clause = F.coalesce("source_text", F.lit(""))
-    limit_words = r"(?i)(?:up to|maximum|max\.?|not exceed|limit(?:ed)? to|capped)"
-    qualifier = r"(?i)\b(?:except|exception|however|provided that|unless|subject to|notwithstanding)\b"
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     bare = (count("special_rules") <= 0) & (count("exclusions") <= 0)
     notes = F.array_compact(
@@ -233,8 +235,8 @@ def clean_candidates(df: DataFrame) -> DataFrame:
             F.when(there("_asked.country") & F.col("country").isNull(), "COUNTRY_DROPPED"),
             F.when(there("_asked.currency") & F.col("currency").isNull(), "CURRENCY_DROPPED"),
             F.when(~there("_asked.currency") & F.col("currency").isNull(), "CURRENCY_NOT_STATED"),
-            F.when(F.col("expense_limit").isNull() & F.col("limit_expression").isNull() & clause.rlike(limit_words), "LIMIT_MISSED"),
-            F.when(bare & clause.rlike(qualifier), "QUALIFIER_MISSED"),
+            F.when(F.col("expense_limit").isNull() & F.col("limit_expression").isNull() & clause.rlike(LIMIT_WORDS), "LIMIT_MISSED"),
+            F.when(bare & clause.rlike(QUALIFIERS), "QUALIFIER_MISSED"),
             F.when(F.col("overall_confidence").isNull(), "NO_CONFIDENCE"),
         )
     )

@@ -118,8 +118,8 @@ def rules_as_of(items: DataFrame, rules: DataFrame, include_retired: bool = Fals
     least (priority, category, code), then the newest version, decides.
 
     The rule table is folded first, to one list per category and one of all age
-    limits, so that an equi-join and a join with a single row are all that items go
-    through; one shuffle by claim.
+    limits, so that an equi-join and a scalar subquery are all that items go through;
+    one shuffle by claim.
     """
     dated = items.withColumn("ruleset_date", F.min("expense_date").over(W.partitionBy("claim_id")))
     order = [F.col("priority"), F.col("category"), F.col("code"), -F.col("version")]
@@ -133,7 +133,7 @@ def rules_as_of(items: DataFrame, rules: DataFrame, include_retired: bool = Fals
     limits = limits.agg(listed(["age_limit", *window]).alias("_limits"))  # one row, also without any rule
     own = [c for c in rules.columns if c not in ("category", *window)]
     of_category = rules.filter("category <> '*'").groupBy("category").agg(listed([*own, *window]).alias("_rules"))
-    found = dated.join(of_category, "category", "left").crossJoin(limits)
+    found = dated.join(of_category, "category", "left").withColumn("_limits", limits.scalar())
     found = found.withColumns({"_rule": first(F.col("_rules")), "age_limit": first(F.col("_limits"))["age_limit"]})
     return found.select(*dated.columns, *[F.col(f"_rule.{c}").alias(c) for c in [*own, *window]], "age_limit")
 
