@@ -24,10 +24,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _matrix(rows: list, kind: type) -> np.ndarray:
+    """Vectors as rows; no rows make a matrix without rows."""
+    return np.array(rows, kind) if len(rows) else np.zeros((0, 1), kind)
+
+
 def fit_centroids(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE) -> np.ndarray:
     """Unit centroids from a bounded sample of (vec_id, embedding), by spherical k-means."""
     rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    m = _unit(np.array([r[0] for r in rows], np.float32).reshape(len(rows), -1))
+    m = _unit(_matrix([r[0] for r in rows], np.float32))
     if len(m) <= lists:
         return m
     centres = m[np.random.default_rng(0).choice(len(m), lists, replace=False)]
@@ -46,7 +51,7 @@ def build_index(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = np.array(batch["embedding"].to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            m = _matrix(batch["embedding"].to_pylist(), np.float32)
             nearest = (_unit(m) @ shared.value.T).argmax(1) if len(m) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nearest, pa.int32()), batch["vec_id"], batch["embedding"]], ["list", "vec_id", "embedding"])
 
@@ -66,7 +71,7 @@ def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int =
 
 def _search(rows: list[Row], index: DataFrame, centroids: np.ndarray, k: int, probes: int) -> tuple[DataFrame, Broadcast]:
     ids = np.array([r[0] for r in rows], np.int64)
-    q = _unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
+    q = _unit(_matrix([r[1] for r in rows], np.float64))
     looked = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes] if len(ids) and len(centroids) else np.empty((len(ids), 0), np.int64)
     shared = index.sparkSession.sparkContext.broadcast((ids, q, looked))
 
@@ -74,7 +79,7 @@ def _search(rows: list[Row], index: DataFrame, centroids: np.ndarray, k: int, pr
         ids, q, looked = shared.value
         for batch in batches:
             lists, own = batch["list"].to_numpy(), batch["vec_id"].to_numpy()
-            m = _unit(np.array(batch["embedding"].to_pylist(), np.float64).reshape(batch.num_rows, -1))
+            m = _unit(_matrix(batch["embedding"].to_pylist(), np.float64))
             found: list[tuple[np.ndarray, ...]] = []
             for one in np.unique(lists).tolist():
                 mine, asking = np.flatnonzero(lists == one), np.flatnonzero((looked == one).any(1))
