@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import cut
+
 WINDOW_DAYS = 7
 CLOSED = ("Rejected", "Withdrawn")
 
@@ -99,19 +101,21 @@ def partners(rows: DataFrame, keys: list[str], own: str, near: str | None = None
     """(item_id, first_id, links): of the rows that share ``keys`` and differ in ``own``, the least item and their number.
 
     One row per item that has a partner, never pairs: classes are counted per owner
-    first, and each item looks up its class.  ``near``, an integer key, may differ by
+    first, so a window sees a row per owner, and each item looks up its owner's.  ``near``, an integer key, may differ by
     one: an owner's rows then count for the values below and above, too.
     """
     by = keys if near is None else [*keys, near]
+    rows = cut(rows)  # narrow, and read twice
     owners = rows.groupBy(*by, own).agg(F.min("item_id").alias("_m"), F.count("*").alias("_k"))
     if near is not None:
         spread = owners.withColumn(near, F.explode(F.array(F.col(near) - 1, F.col(near), F.col(near) + 1)))
         owners = spread.groupBy(*by, own).agg(F.min("_m").alias("_m"), F.sum("_k").alias("_k"))
-    classes = owners.groupBy(*by).agg(F.sum("_k").alias("_n"), F.min(F.struct("_m", own)).alias("_first"), F.count("*").alias("_owners")).filter("_owners > 1")
-    met = owners.join(classes, by)
-    second = met.filter(F.col(own) != F.col("_first")[own]).groupBy(*by).agg(F.min("_m").alias("_second"))
-    first = F.when(F.col(own) == F.col("_first")[own], F.col("_second")).otherwise(F.col("_first._m"))
-    found = met.join(second, by).select(*by, own, first.alias("first_id"), (F.col("_n") - F.col("_k")).alias("links"))
+    whole = W.partitionBy(*by)
+    ordered = whole.orderBy("_m")
+    # The first row of a class looks to the second, all others to the first.
+    first = F.when(F.row_number().over(ordered) == 1, F.lead("_m").over(ordered)).otherwise(F.min("_m").over(whole))
+    met = owners.withColumns({"first_id": first, "links": F.sum("_k").over(whole) - F.col("_k")})
+    found = met.filter("first_id IS NOT NULL").select(*by, own, "first_id", "links")
     return rows.join(found, [*by, own]).select("item_id", "first_id", "links")
 
 
