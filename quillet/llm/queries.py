@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import block_naming, filter_audit, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_best_fit_packing,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_lm_scoring,
         op10_quality_rules,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in named}
 
@@ -150,5 +155,50 @@ FROM judged
 """
 
 
+OP13_SQL = rf"""
+WITH named AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words
+  FROM documents),
+said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT n.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN n.doc_id > min(n.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM named n LEFT JOIN said s ON n.doc_id = s.doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failing GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS letter, substr(filter_order, 1, k - 1) AS earlier
+  FROM orders, range(1, 6) AS t(k)),
+crossed AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails,
+         contains(fails, letter) AS fails_it,
+         len(list_filter(string_split(earlier, ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS gone
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, letter,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails_it), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND fails_it), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone AND fails_it), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = letter), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (NOT gone AND fails_it), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails_it), 0) AS BIGINT) AS toxic_lost
+  FROM crossed GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_quality_rules": _op10_sql()}
+    return {"op13_filter_audit": OP13_SQL, "op4_source_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_quality_rules": _op10_sql()}
