@@ -74,7 +74,7 @@ def cells(masked: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _folded(letters: list[str]) -> Column:
-    """The structs of all orders and steps, summed over ``cells`` (mask, n, good, toxic)."""
+    """The structs of all orders and steps, summed over ``cells`` (mask, n, good, toxic), each with its filter's removals in all orders."""
     orders = "array(" + ", ".join(f"'{''.join(o)}'" for o in permutations(letters)) + ")"
     bit = "element_at(map(" + ", ".join(f"'{x}', {b}" for x, b in _bits(letters).items()) + "), letter)"
     kind = "array<struct<filter_order: string, step: int, letter: string, " + ", ".join(f"{c}: bigint" for c in _COUNTS) + ">>"
@@ -91,16 +91,18 @@ def _folded(letters: list[str]) -> Column:
     cell = f"flatten(transform({orders}, o -> aggregate(split(o, ''), named_struct('before', 0, 'out', CAST(array() AS {kind})), (a, letter) -> {step}, a -> a.out)))"
     added = ", ".join(f"'{c}', x.{c} + y.{c}" for c in _COUNTS)
     merged = f"if(size(acc) = 0, one, zip_with(acc, one, (x, y) -> named_struct('filter_order', x.filter_order, 'step', x.step, 'letter', x.letter, {added})))"
-    return F.expr(f"aggregate(cells, CAST(array() AS {kind}), (acc, c) -> transform(array({cell}), one -> {merged})[0])")
+    folded = f"aggregate(cells, CAST(array() AS {kind}), (acc, c) -> transform(array({cell}), one -> {merged})[0])"
+    # ``all`` and ``sums`` are bound once as the only element of an array, lest they be made again for each of their uses.
+    removed = ", ".join(f"'{x}', aggregate(all, 0L, (s, x) -> s + if(x.letter = '{x}', x.removed, 0L))" for x in letters)
+    with_sums = f"transform(array(map({removed})), sums -> transform(all, x -> struct(x AS x, element_at(sums, x.letter) AS shapley)))[0]"
+    return F.expr(f"transform(array({folded}), all -> {with_sums})[0]")
 
 
 def interactions(counted: DataFrame, letters: list[str]) -> DataFrame:
     """The audit of ``counted`` cells: one row per part, order of ``letters`` and step."""
-    folded = counted.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells")).select("part", _folded(letters).alias("all"))
-    sums = "map_from_entries(transform(array(" + ", ".join(f"'{x}'" for x in letters) + "), l -> struct(l, aggregate(all, 0L, (s, x) -> s + if(x.letter = l, x.removed, 0L)))))"
-    return folded.select("part", F.explode("all").alias("x"), F.expr(sums).alias("sums")).select(
-        "part", "x.filter_order", "x.step", *[f"x.{c}" for c in _COUNTS], F.expr("element_at(sums, x.letter)").alias("shapley")
-    )
+    gathered = counted.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))  # 2^filters at most
+    each = gathered.select("part", F.explode_outer(_folded(letters)).alias("e"))  # never empty; outer, lest a filter on its size make it twice
+    return each.select("part", "e.x.filter_order", "e.x.step", *[f"e.x.{c}" for c in _COUNTS], "e.shapley")
 
 
 def audit(docs: DataFrame, labels: DataFrame, filters: Mapping[str, str] = FILTERS, copies: str = COPIES) -> DataFrame:

@@ -22,8 +22,11 @@ def table():
     return out
 
 
+TABLE = table()
+
+
 def rows():
-    return [(d, t, "en", s, 0, "x", "y", "z", "w") for d, t, s in table()]
+    return [(d, t, "en", s, 0, "x", "y", "z", "w") for d, t, s in TABLE]
 
 
 LABELS = [(k, k % 2, (k // 2) % 2) for k in range(0, 80)] + [(4, None, 1), (8, 1, None), (None, 1, 1), (500, 1, 1)]
@@ -32,11 +35,11 @@ LABELS = [(k, k % 2, (k // 2) % 2) for k in range(0, 80)] + [(4, None, 1), (8, 1
 def brute():
     good, toxic = ({d for d, *x in LABELS if d is not None and x[i] == 1} for i in (0, 1))
     smallest = {}
-    for d, t, _ in table():
+    for d, t, _ in TABLE:
         if d is not None:
             smallest[t or ""] = min(d, smallest.get(t or "", d))
     fails, parts = [], defaultdict(list)
-    for k, (d, t, s) in enumerate(table()):
+    for k, (d, t, s) in enumerate(TABLE):
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0d]+", t)
         tests = (len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), bool(re.search(r"[#$%&*|]", t)), d is not None and d > smallest[t])
@@ -50,7 +53,7 @@ def brute():
                 failing = {k for k in own if letter in fails[k]}
                 gone = failing & alive
                 alive -= gone
-                lost = [sum(table()[k][0] in which for k in gone) for which in (good, toxic)]
+                lost = [sum(TABLE[k][0] in which for k in gone) for which in (good, toxic)]
                 out[part, "".join(order), step] = [len(alive), len(gone), len(failing - gone), sum(fails[k] == {letter} for k in own), *lost]
                 shapley[part, letter] += len(gone)
     return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
