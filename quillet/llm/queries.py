@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, filter_audit, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import block_naming, filter_audit, hard_negatives, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_lm_scoring,
         op10_quality_rules,
+        op12_hard_negatives,
         op13_filter_audit,
     )
     return {f.__name__: f for f in named}
@@ -155,6 +160,26 @@ FROM judged
 """
 
 
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 5
+"""
+
 OP13_SQL = rf"""
 WITH named AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
@@ -201,4 +226,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": OP13_SQL, "op4_source_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_quality_rules": _op10_sql()}
+    return {"op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL, "op4_source_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_quality_rules": _op10_sql()}
