@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, filter_audit, hard_negatives, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import block_naming, filter_audit, hard_negatives, license_scan, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, token_files, toxicity, warc
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded_documents(documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_lm_scoring,
         op10_quality_rules,
+        op11_token_files,
         op12_hard_negatives,
         op13_filter_audit,
     )
