@@ -666,7 +666,7 @@ def brute_text_score(m, tree, ids):
         for k, i in enumerate(at):
             if start and k < O:
                 continue
-            w = [np.exp(min((x[k] @ d["q"]) @ (x[j] @ d["k"]), 30)) for j in range(k + 1)]
+            w = [np.exp((x[k] @ d["q"]) @ (x[j] @ d["k"])) for j in range(k + 1)]
             y = x[k] + sum(a * (x[j] @ d["v"]) for j, a in enumerate(w)) / sum(w)
             y = np.append(1.0, y[1:D])
             for e in range(tree.start[ids[i]], tree.start[ids[i]] + tree.length[ids[i]]):
@@ -685,6 +685,43 @@ def test_lm_text_scores_by_brute_force():
     assert got == pytest.approx([brute_text_score(m, tree, t) for t in texts], rel=1e-4)
 
 
+@pytest.mark.parametrize("size", [-12.0, 12.0, 1e4])
+def test_lm_scores_with_extreme_logits(size):
+    """Query times key far below and above what an exponential holds."""
+    m, tree = a_model()
+    m["own"][:] = 0
+    m["pair"][:] = 0
+    m["place"][:] = 1
+    m["q"][:] = np.eye(lm_scoring.WIDTH) * size
+    m["k"][:] = np.eye(lm_scoring.WIDTH) * abs(size)
+    text = np.append(np.arange(50), lm_scoring.END)
+    [got] = lm_scoring.text_scores(m, tree, [text])
+    assert np.isfinite(got) and got < 0
+    trainer = lm_scoring.Trainer(m, tree)
+    assert np.isfinite(trainer.learn([text[:33]])) and all(np.isfinite(v).all() for v in trainer.m.values())
+
+
+def test_lm_trains_on_every_id_of_a_stretch():
+    """Long words, and texts without a blank, are learned from to the end."""
+    coder = lm_scoring.Subwords(open(lm_scoring.VOCABULARY, "rb").read())
+    texts = ["漢字かな交じり文" * 60, " ".join("donaudampfschifffahrtsgesellschaft" * (1 + k % 4) for k in range(60)), "a b c", ""]
+    for text in texts:
+        words = lm_scoring.words_of(text)
+        runs = [r for k in range(lm_scoring.ROUNDS) for r in lm_scoring.stretches(words, coder, k, share=1)]
+        want = []
+        for k in range(0, max(1, len(words)), lm_scoring.STRIDE):
+            some = words[k : k + lm_scoring.READ]
+            ids = coder.ids(some)
+            want += list(ids if k + lm_scoring.READ >= len(words) else ids[:-1])
+        trainer, seen = lm_scoring.Trainer(*a_model()), []
+        decisions = lm_scoring.decisions
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lm_scoring, "decisions", lambda m, tree, h, aim: seen.extend(aim) or decisions(m, tree, h, aim))
+            trainer.learn_all(runs)
+        assert all(len(r) <= lm_scoring.WINDOW + 1 for r in runs)
+        assert sorted(seen) == sorted(want)
+
+
 def test_lm_probabilities_add_up():
     m, tree = a_model()
     h = np.random.default_rng(2).standard_normal(lm_scoring.WIDTH).astype(np.float32)
@@ -746,9 +783,9 @@ def test_lm_beats_the_unigram_on_held_out_texts(spark):
 
 
 def test_lm_learns_from_every_training_text():
-    coder = lm_scoring.Subwords(lm_scoring.VOCABULARY)
+    coder = lm_scoring.Subwords(open(lm_scoring.VOCABULARY, "rb").read())
     for n in (0, 1, 13, 40, 400):
-        words = [f"w{k}".encode() for k in range(n)]
+        words = [b"the" if k % 3 else b"of" for k in range(n)]
         found = [s for r in range(lm_scoring.ROUNDS) for s in lm_scoring.stretches(words, coder, r)]
         every = [s for r in range(lm_scoring.ROUNDS) for s in lm_scoring.stretches(words, coder, r, share=1)]
         assert found and len(every) == max(1, -(-n // lm_scoring.STRIDE))
@@ -766,4 +803,4 @@ def test_empty_tables(empty, spark):
         block_naming.exact_groups(empty), block_naming.drop_exact_copies(empty), quality_rules.judge(empty), simhash.near_duplicates(empty), mixing.plan(empty), mixing.mixed(empty),
         packing.pack_documents(empty), warc.derive(warc.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string"))), suffix_dedup.remove_repeats(empty), license_scan.scan(empty), toxicity.score(empty, toxicity.fit(empty, labels)), lm_scoring.score(empty),
     ]
-    assert [df.count() for df in made] == [0] * len(made) and len(queries()) == 10
+    assert [df.count() for df in made] == [0] * len(made) and len(queries()) == 13
