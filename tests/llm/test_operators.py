@@ -178,6 +178,20 @@ def test_components(spark):
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_a_star(spark):
+    """The edges of a node that a third of all nodes touch are spread over the tasks, and the result stays right."""
+    star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(30_000, 30_400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    edges = star.unionByName(chain).repartition(8)
+    for many in (100, 10**9):
+        roots = {r.node: r.root for r in components.connected_components(edges, many).collect()}
+        assert len(roots) == 20_001 + 401 and all(r == (0 if n <= 20_000 else 30_000) for n, r in roots.items())
+    turned = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    linked, _ = components._with_least(turned, 100)
+    sizes = [r["count"] for r in linked.filter("u = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 5_000
+
+
 def test_mixing(docs):
     got = mixing.plan(docs).collect()
     size = {r[0]: len(words(r[1])) for r in rows()}
