@@ -37,11 +37,13 @@ tables without rows; extra columns are ignored.  A damaged block raises an error
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -85,36 +87,74 @@ def _take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.ndar
 
 
 class Words:
-    """Ids of words by way of a bounded cache: when it is full, it begins anew."""
+    """Ids of words by way of a bounded cache: when it is full, words that were met once are forgotten."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(tokenizer).encode_batch
-        self.clear()
-
-    def clear(self) -> None:
+        self.encode = Tokenizer.from_str(tokenizer).encode_batch_fast
+        #: Which ids close a word, where the vocabulary says so.
+        suffix, vocabulary = json.loads(tokenizer)["model"].get("end_of_word_suffix"), json.loads(tokenizer)["model"]["vocab"]
+        self.closes = np.zeros(max(vocabulary.values()) + 2, bool)
+        if suffix:
+            self.closes[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.used, self.flat, self.starts, self.lens, self.met = 0, np.zeros(1 << 16, np.uint32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the words, one after the other, and how many each has; in one part."""
+        ids = [e.ids for e in self.encode(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return [(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)]
+
+    def _encode_joined(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``_encode`` but in parts, for words of letters, which close once as a rule: joined by blanks and parted where an id closes a word.
+
+        Each word closes at least once, so where there are as many closing ids as words, each closes
+        once; other groups are encoded word by word.
+        """
+        groups = [words[k : k + 64] for k in range(0, len(words), 64)]
+        out = []
+        for group, e in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[np.minimum(ids, len(self.closes) - 1)]) + 1
+            out += [(ids, np.diff(ends, prepend=0))] if len(ends) == len(group) and ends[-1] == len(ids) else self._encode(group)
+        return out
+
+    def _forget(self, room: int) -> None:
+        """Keep the words met most often, ``REMEMBERED`` / 2 at most and none if ``room`` is more than is left then."""
+        least = 2
+        while np.count_nonzero(self.met[: len(self.known)] >= least) > REMEMBERED // 2:
+            least += 1
+        stay = self.met[: len(self.known)] >= least if room <= REMEMBERED // 2 else np.zeros(len(self.known), bool)
+        at = np.flatnonzero(stay)
+        flat, ends = _take(self.flat, self.starts, self.lens, at)
+        self.known = {w: k for k, w in enumerate(w for w, s in zip(self.known, stay) if s)}
+        self.lens[: len(at)], self.met[: len(at)] = self.lens[at], 1
+        self.starts[: len(at)] = ends - self.lens[: len(at)]
+        self.flat[: len(flat)], self.used = flat, len(flat)
 
     def places(self, words: list[str]) -> np.ndarray:
         """Numbers of the (different) words in starts and lens."""
         if len(self.known) + len(words) > REMEMBERED and self.known:
-            self.clear()
+            self._forget(len(words))
         new = [w for w in words if w not in self.known]
         if new:
-            ids = [e.ids for e in self.encode(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+            letters = [w for w in new if w.isalpha()]
+            others = [w for w in new if not w.isalpha()]
+            ids = self._encode(others) + self._encode_joined(letters)
+            flat, lens = (np.concatenate(x) for x in zip(*ids, strict=True))
             n, m = len(self.known), self.used
             grow = lambda x, need: x if need <= len(x) else np.concatenate([x, np.zeros(need, x.dtype)])
-            self.flat, self.starts, self.lens = grow(self.flat, m + len(flat)), grow(self.starts, n + len(new)), grow(self.lens, n + len(new))
-            self.flat[m : m + len(flat)], self.lens[n : n + len(new)] = flat, lens
+            self.flat, self.starts, self.lens, self.met = grow(self.flat, m + len(flat)), *(grow(x, n + len(new)) for x in (self.starts, self.lens, self.met))
+            self.flat[m : m + len(flat)], self.lens[n : n + len(new)], self.met[n : n + len(new)] = flat, lens, 0
             self.starts[n : n + len(new)] = m + np.cumsum(lens) - lens
             self.used = m + len(flat)
-            self.known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.known.update(zip(others + letters, range(n, n + len(new))))
+        out = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met[out] += 1
+        return out
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -152,7 +192,7 @@ def _slices(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
 
 
 def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """(rid, doc_id, n, ids): the ids of each whole text and the end id, as Zstandard-compressed little-endian 32-bit integers."""
+    """(rid, doc_id, n, ids): the ids of each whole text and the end id, compressed."""
     spark = session(docs)
     model: Broadcast = spark.sparkContext.broadcast(Path(public_tokenizers.path(tokenizer)).read_text())
 
@@ -165,7 +205,7 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> Da
                 rows = batch.slice(done, len(ids))
                 done += len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [rows["rid"], rows["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([squeeze(_planes(x)) for x in ids], pa.binary())],
+                    [rows["rid"], rows["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([_squeezed(x, squeeze) for x in ids], pa.binary())],
                     ["rid", "doc_id", "n", "ids"],
                 )
 
@@ -173,13 +213,14 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> Da
     return read.mapInArrow(run, _TOKENS)
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Ids with all first bytes first, then all second ones, as far as there are any: they compress better."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _squeezed(ids: np.ndarray, squeeze: Callable[[bytes], bytes]) -> bytes:
+    """Ids as compressed little-endian integers of 2 bytes, or 4 where one needs them, after a byte that says which."""
+    size = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([size]) + squeeze(ids.astype(f"<u{size}").tobytes())
 
 
-def _unplanes(data: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).view("<u4").ravel()
+def _opened_ids(data: bytes, open_: Callable[[bytes], bytes]) -> np.ndarray:
+    return np.frombuffer(open_(data[1:]), f"<u{data[0]}")
 
 
 # ---- the shared table ----
@@ -191,15 +232,15 @@ def counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, open_ = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for n, ids in zip(batch["n"].to_pylist(), batch["ids"]):
-                own = np.bincount(_unplanes(open_(ids.as_py()), n))
+            for begin in range(0, batch.num_rows, 256):
+                own = np.bincount(np.concatenate([_opened_ids(x, open_) for x in batch["ids"].slice(begin, 256).to_pylist()]))
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "count"])
 
-    return tokens.select("n", "ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return tokens.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def frequencies(count: np.ndarray) -> tuple[np.ndarray, int]:
@@ -218,18 +259,21 @@ def frequencies(count: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class Table(NamedTuple):
-    """Ids in order, their frequencies and first slots, the id number of each slot, and the exponent of the sum."""
+    """Ids in order, their frequencies and first slots, the id number of each slot, the number of each id (-1: none), and the exponent of the sum."""
 
     ids: np.ndarray
     freq: np.ndarray
     start: np.ndarray
     slot: np.ndarray
+    number: np.ndarray
     bits: int
 
 
 def make_table(ids: np.ndarray, freq: np.ndarray) -> Table:
     freq = freq.astype(np.uint64)
-    return Table(ids.astype(np.uint32), freq, (np.cumsum(freq) - freq).astype(np.uint64), np.repeat(np.arange(len(ids), dtype=np.uint32), freq.astype(np.int64)), max(1, int(freq.sum())).bit_length() - 1)
+    number = np.full(int(ids.max(initial=0)) + 2, -1, np.int64)
+    number[ids] = np.arange(len(ids))
+    return Table(ids.astype(np.uint32), freq, (np.cumsum(freq) - freq).astype(np.uint64), np.repeat(np.arange(len(ids), dtype=np.uint32), freq.astype(np.int64)), number, max(1, int(freq.sum())).bit_length() - 1)
 
 
 # ---- blocks ----
@@ -237,8 +281,8 @@ def make_table(ids: np.ndarray, freq: np.ndarray) -> Table:
 
 def encode(ids: np.ndarray, table: Table, every: int = CHECKPOINT, lane: int = LANE, most: int = LANES) -> tuple[int, np.ndarray, list[dict]]:
     """(lanes, words, checkpoints) of one block; ids outside the table raise ValueError."""
-    which = np.searchsorted(table.ids, ids)
-    if len(ids) and (which.max(initial=0) >= len(table.ids) or (table.ids[which] != ids).any()):
+    which = table.number[np.minimum(ids, len(table.number) - 1)]
+    if len(ids) and which.min() < 0:
         raise ValueError("an id is not in the table")
     lanes = int(min(most, max(1, -(-len(ids) // lane))))
     freq, start = table.freq[which], table.start[which]
@@ -313,7 +357,7 @@ def _blocks(table: Broadcast, block: int):
 
         for batch in batches:
             for s, doc_id, n, data in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"]):
-                ids, at, shard = _unplanes(open_(data.as_py()), n), 0, s
+                ids, at, shard = _opened_ids(data.as_py(), open_), 0, s
                 while at < n:
                     take = min(n - at, block - size)
                     held.append(ids[at : at + take])
