@@ -11,7 +11,7 @@ from quillet.functions import text as T
 from quillet.operators import documents as D
 from quillet.operators import duplicates as U
 from quillet.operators import extraction as X
-from quillet.operators import knowledge, lifecycle, neighbours, policy, receipts, vendors
+from quillet.operators import knowledge, lifecycle, policy, receipts, vendors
 from quillet.operators import vectors as V
 from quillet.plans import registry
 from quillet.sources import tables
@@ -91,17 +91,6 @@ def test_ocr_ratio_by_brute_force(spark):
     assert got == {2: 1.0, 3: pytest.approx(SequenceMatcher(None, "receipt for a bus ride", "receipt of a taxi ride", autojunk=False).ratio()), 4: None, 5: None}
 
 
-def test_approximate_neighbours_find_the_exact_ones(spark):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    recall = V.recall_at_k(neighbours.ann(queries, e), V.knn(queries, e, 10)).agg(F.avg("recall")).first()[0]
-    assert recall >= 0.9
-    centroids = neighbours.fit_centroids(e)
-    assert neighbours.build_index(e, centroids).count() == e.count()
-    none = e.limit(0)
-    assert neighbours.ann(queries.limit(3), none).isEmpty() and neighbours.ann(queries.limit(0), e).isEmpty()
-
-
 def test_neighbours_within_a_scope(spark):
     rng = np.random.default_rng(3)
     rows = [(k, k % 3, ["a", None][k % 2], rng.standard_normal(8).tolist()) for k in range(200)]
