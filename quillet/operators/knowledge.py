@@ -89,26 +89,30 @@ _FIELDS = {name: name for name in ("category", "country", "currency", "source_ty
 
 
 def retrieve_scoped(
-    queries: DataFrame, chunks: DataFrame, docs: DataFrame, filters: list[tuple[str, str, object]] = (), on: Column | None = None, top_k: int = 8, budget: int = 4_000
-) -> DataFrame:
-    """Contexts of RET-13 over the chunks of documents within the filters and in effect on the day (RET-14)."""
+    queries: DataFrame, chunks: DataFrame, docs: DataFrame, filters: list[tuple[str, str, object]] = (), on: Column | None = None, top_k: int = 8, budget: int = 4_000,
+    index: tuple[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Contexts of RET-13 over the chunks of documents within the filters and in effect on the day (RET-14).
+
+    ``index`` (``retrieval.prepare``) over all chunks serves every call.
+    """
     inside = docs.filter(compile_filters(list(filters), _FIELDS)) if filters else docs
-    found = R.retrieve(queries, chunks, top_k, budget=budget, docs=inside, on=on)
+    found = R.retrieve(queries, chunks, top_k, budget=budget, docs=inside, on=on, index=index)
     return R.build_context(found, budget)
 
 
-def retrieve_policy(queries: DataFrame, chunks: DataFrame, docs: DataFrame, on: Column | None = None, source_types: tuple[str, ...] = (), top_k: int = 8, **equal: str) -> DataFrame:
+def retrieve_policy(queries: DataFrame, chunks: DataFrame, docs: DataFrame, on: Column | None = None, source_types: tuple[str, ...] = (), top_k: int = 8, index: tuple[str, DataFrame] | None = None, **equal: str) -> DataFrame:
     """Answers to policy questions by category, country, currency, source types and day (RET-14)."""
     filters = [(name, "eq", value) for name, value in equal.items() if value]
     filters += [("source_type", "in", list(source_types))] if source_types else []
-    return retrieve_scoped(queries, chunks, docs, filters, on, top_k)
+    return retrieve_scoped(queries, chunks, docs, filters, on, top_k, index=index)
 
 
-def retrieve_similar(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
+def retrieve_similar(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int = 5, index: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Earlier decisions like the claims asked about (RET-14)."""
-    return retrieve_scoped(queries, chunks, docs, [("source_type", "in", list(MEMORY_TYPES))], top_k=top_k)
+    return retrieve_scoped(queries, chunks, docs, [("source_type", "in", list(MEMORY_TYPES))], top_k=top_k, index=index)
 
 
-def retrieve_vendor(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
+def retrieve_vendor(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int = 5, index: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Contracts and manuals of the vendors asked about (RET-14)."""
-    return retrieve_scoped(queries, chunks, docs, [("source_type", "in", list(VENDOR_TYPES))], top_k=top_k)
+    return retrieve_scoped(queries, chunks, docs, [("source_type", "in", list(VENDOR_TYPES))], top_k=top_k, index=index)

@@ -1,32 +1,27 @@
 """Retrieval for many queries at once: legs, scope, reranking, compression, context (RET-*).
 
-A leg takes the queries in bounded blocks: each is broadcast as an inverted
-index, the chunks are scanned where they lie, and each Arrow batch keeps its own
-best ``n`` per query, so the shuffle carries at most n rows per query and batch.
+The full-text and the 3-gram leg are joins with a written index (``postings``), the dense leg
+scans the vectors for bounded blocks of queries.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.folding import normalize_for_matching, sentences
 from ..functions.text import estimate_tokens
+from . import postings
 from . import vectors as V
-from .blocks import in_blocks
+from .blocks import cut
 from .chunking import count, hashed
 
-MAX_QUERIES = 20_000
-SIMILAR = 0.3
-_LEG = "query_id long, vec_id long, score double"
+SIMILAR = postings.SIMILAR
 
 
 def terms(text: str | None) -> list[str]:
@@ -56,88 +51,41 @@ def cover_density(places: dict[str, list[int]]) -> float:
     return total
 
 
-def _leg(queries: DataFrame, chunks: DataFrame, n: int, index: Callable, best: Callable) -> DataFrame:
-    return in_blocks(queries.select("query_id", "query"), MAX_QUERIES, lambda rows: _leg_of(rows, chunks, n, index, best))
+def _indexed(chunks: DataFrame | str) -> str:
+    """The folder of an index, or of a new one over chunks (vec_id, text)."""
+    return chunks if isinstance(chunks, str) else postings.build(chunks.select("vec_id", "text"))
 
 
-def _leg_of(rows: list[Row], chunks: DataFrame, n: int, index: Callable, best: Callable) -> tuple[DataFrame, Broadcast]:
-    shared = chunks.sparkSession.sparkContext.broadcast(index([(r["query_id"], r["query"]) for r in rows]))
+def _density(entries: list) -> float:
+    places: dict[str, list[int]] = defaultdict(list)
+    for x in entries:
+        places[x["term"]].append(x["place"])
+    return cover_density(places)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            found: dict[int, list[tuple[float, int]]] = defaultdict(list)
-            for chunk_id, text in zip(batch["vec_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for query_id, score in best(table, text):
-                    found[query_id].append((-round(score, 9), chunk_id))
-            flat = [(q, c, -s) for q, hits in found.items() for s, c in sorted(hits)[:n]]
-            columns = [pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
-    hits = chunks.select("vec_id", "text").mapInArrow(run, _LEG)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= n), shared
+def lexical_search(queries: DataFrame, chunks: DataFrame | str, n: int = 50, within: DataFrame | None = None) -> DataFrame:
+    """Chunks that hold every word of a query, by cover density, ties by id (RET-1).
 
-
-def lexical_search(queries: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:
-    """Chunks (vec_id, text) that hold every word of a query, by cover density, ties by id (RET-1)."""
-
-    def index(rows: list) -> tuple[dict, set]:
-        split = [(q, sorted(set(terms(t)))) for q, t in rows]
-        often = Counter(w for _, ws in split for w in ws)
-        by_word: dict[str, list] = defaultdict(list)
-        for q, ws in split:
-            if ws:  # filed under the word that fewest queries have
-                by_word[min(ws, key=lambda w: (often[w], -len(w), w))].append((q, ws))
-        return dict(by_word), set(often)
-
-    def best(table: tuple[dict, set], text: str | None) -> Iterator[tuple[int, float]]:
-        by_word, wanted = table
-        places: dict[str, list[int]] = defaultdict(list)
-        for k, w in enumerate(terms(text)):
-            if w in wanted:
-                places[w].append(k)
-        for w in list(places):
-            for q, ws in by_word.get(w, ()):
-                if all(x in places for x in ws):
-                    yield q, cover_density({x: places[x] for x in ws})
-
-    return _leg(queries, chunks, n, index, best)
+    ``chunks`` is (vec_id, text), or the folder of a ``postings`` index over them; ``within`` (vec_id) bounds the search.
+    """
+    return postings.lexical(queries, _indexed(chunks), postings.per_row(_density), n, within)
 
 
-def trigram_search(queries: DataFrame, chunks: DataFrame, n: int = 50, least: float = SIMILAR) -> DataFrame:
+def trigram_search(queries: DataFrame, chunks: DataFrame | str, n: int = 50, least: float = SIMILAR, within: DataFrame | None = None) -> DataFrame:
     """Chunks whose share of common 3-grams passes the limit (RET-2)."""
+    return postings.similar(queries, _indexed(chunks), n, least, within)
 
-    def index(rows: list) -> tuple[dict, dict]:
-        grams = {q: trigrams(t) for q, t in rows}
-        by_gram: dict[str, list[int]] = defaultdict(list)
-        for q, gs in grams.items():
-            for g in gs:
-                by_gram[g].append(q)
-        return dict(by_gram), {q: len(gs) for q, gs in grams.items()}
 
-    def best(table: tuple[dict, dict], text: str | None) -> Iterator[tuple[int, float]]:
-        by_gram, sizes = table
-        own = trigrams(text)
-        if not own or len(own) * least > max(sizes.values(), default=0):
-            return  # too long for any query to reach the limit
-        for q, common in Counter(q for g in own for q in by_gram.get(g, ())).items():
-            score = common / (sizes[q] + len(own) - common)
-            if score > least:
-                yield q, score
+def lexical_leg(queries: DataFrame, chunks: DataFrame | str, n: int = 50, scope: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+    """The full-text leg, and the trigram leg for queries it finds nothing for, then the ``scope`` (vec_id) of documents and day (RET-3).
 
-    return _leg(queries, chunks, n, index, best)
-
-
-def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = 50, docs: DataFrame | None = None, on: Column | None = None) -> DataFrame:
-    """The full-text leg, and the trigram leg for queries it finds nothing for, then the scope of documents and day (RET-3).
-
-    The scope comes last, so a query whose hits are all out of scope does not fall back.
+    The scope comes last, so a query whose hits are all out of scope does not fall back; ``within`` comes first.
     """
-    found = lexical_search(queries, chunks, n)
+    index = _indexed(chunks)
+    found = cut(lexical_search(queries, index, n, within))
     missing = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    both = found.unionByName(trigram_search(missing, chunks, n))
-    return both if docs is None else both.join(document_scope(chunks.select("vec_id", "doc_id"), docs, on).select("vec_id"), "vec_id", "left_semi")
+    both = found.unionByName(trigram_search(missing, index, n, within=within))
+    return both if scope is None else both.join(scope.select("vec_id"), "vec_id", "left_semi")
 
 
 def effective_on(day: Column, start: str = "effective_from", end: str = "effective_to") -> Column:
@@ -242,18 +190,33 @@ def embed_distinct(df: DataFrame, col: str = "text", dims: int = 64) -> DataFram
     return keyed.join(once, "_key").drop("_key")
 
 
+def prepare(chunks: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
+    """Index and embed (vec_id, text) once, for any number of ``retrieve``: the postings' folder and the written vectors."""
+    spark = chunks.sparkSession
+    legs = postings.build(chunks.select("vec_id", "text"), folder)
+    embed_distinct(chunks.select("vec_id", "text")).select("vec_id", "embedding").write.parquet(f"{legs}/vectors")
+    return legs, spark.read.parquet(f"{legs}/vectors")
+
+
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, top_k: int = 10, n: int = 50, budget: int = 4_000, threshold: float = 0.0, docs: DataFrame | None = None, on: Column | None = None
-) -> DataFrame:
+    queries: DataFrame, chunks: DataFrame, top_k: int = 10, n: int = 50, budget: int = 4_000, threshold: float = 0.0, docs: DataFrame | None = None, on: Column | None = None,
+    index: tuple[str, DataFrame] | None = None,
+) -> DataFrame:
     """Lexical and dense legs, fused, reranked, cut to ``top_k``, compressed, ranked and packed to the budget (RET-13).
 
-    ``chunks`` is (vec_id, text, ...), with doc_id where ``docs`` and a day bound the scope.
+    ``chunks`` is (vec_id, text, ...), with doc_id where ``docs`` and a day bound the scope.  ``index``, from
+    ``prepare``, serves many calls: the folder of the postings and the table of the chunks' vectors.
     """
-    if docs is not None:
-        chunks = document_scope(chunks, docs, on)
-    lexical = lexical_leg(queries, chunks, n).select("query_id", "vec_id", "rank")
+    within = None if docs is None else document_scope(chunks.select("vec_id", "doc_id"), docs, on).select("vec_id")
+    if index is None:
+        chunks = chunks if within is None else chunks.join(within, "vec_id", "left_semi")
+        legs, vectors, within = postings.build(chunks.select("vec_id", "text")), embed_hash(chunks.select("vec_id", "text")), None
+    else:
+        legs, vectors = index
+        vectors = vectors if within is None else vectors.join(within, "vec_id", "left_semi")
+    lexical = lexical_leg(queries, legs, n, within=within).select("query_id", "vec_id", "rank")
     asked = embed_hash(queries.select("query_id", F.col("query").alias("text"))).select("query_id", "embedding")
-    dense = V.knn(asked, embed_hash(chunks.select("vec_id", "text")).select("vec_id", "embedding"), n).select("query_id", "vec_id", "rank")
+    dense = V.knn(asked, vectors.select("vec_id", "embedding"), n).select("query_id", "vec_id", "rank")
     fused = V.rrf({"lexical": lexical, "dense": dense}, {"lexical": 0.4, "dense": 0.6})
     met = fused.select("query_id", "vec_id", "fused").join(chunks, "vec_id").join(queries.select("query_id", "query"), "query_id")
     best = finalize(rerank(met), threshold).filter(F.col("final_rank") <= top_k)

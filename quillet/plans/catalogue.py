@@ -11,11 +11,13 @@ from ..operators import documents as D
 from ..operators import duplicates as U
 from ..operators import extraction as X
 from ..operators import fraud, knowledge, library, lifecycle, neighbours, parsing, policy, receipts, submission, vendors
+from ..operators import retrieval
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..sources import tables
 from ..streaming import jobs
 from . import oracle
+from .knowledge import line_id
 
 _FP = tables.items_sql("duckdb", "l_suppkey")
 _ITEMS = f"items AS ({tables.items_sql('duckdb')})"
@@ -303,13 +305,13 @@ def ret_14_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy, similar-case and vendor contexts for all questions; chunks are the documents' lines."""
     docs = _library(spark, sf_dir)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.trim("text") != "")
-    chunks = lines.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("vec_id"), "doc_id", "text")
+    chunks = lines.select(line_id().alias("vec_id"), "doc_id", "text")
     asked = _load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    day = F.lit("2026-02-15").cast("date")
+    day, index = F.lit("2026-02-15").cast("date"), retrieval.prepare(chunks)
     legs = {
-        "policy": knowledge.retrieve_policy(asked, chunks, docs, day, ("POLICY", "FAQ"), country="EN"),
-        "similar": knowledge.retrieve_similar(asked, chunks, docs),
-        "vendor": knowledge.retrieve_vendor(asked, chunks, docs),
+        "policy": knowledge.retrieve_policy(asked, chunks, docs, day, ("POLICY", "FAQ"), index=index, country="EN"),
+        "similar": knowledge.retrieve_similar(asked, chunks, docs, index=index),
+        "vendor": knowledge.retrieve_vendor(asked, chunks, docs, index=index),
     }
     out = None
     for name, leg in legs.items():

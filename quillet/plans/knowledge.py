@@ -22,22 +22,21 @@ def _digest(c: str) -> F.Column:
     return F.md5(F.encode(F.col(c), "UTF-8")).alias("digest")
 
 
+def line_id() -> F.Column:
+    """An id of (doc_id, line) from 60 bits of its MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents as (vec_id, doc_id, section, text)."""
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.trim("text") != "")
-    return lines.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("vec_id"), "doc_id", F.lit("").alias("section"), "text")
+    return lines.select(line_id().alias("vec_id"), "doc_id", F.lit("").alias("section"), "text")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _asked_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five words, as the twin of ``ret_02_trigram`` has them."""
-    words = F.slice(F.split("text", " "), 1, 5)
-    return tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
-
-
 def src_04_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-4 and SRC-6."""
     s = parsing.parse_html(tables.load(spark, sf_dir, "pages").select("page_id", "html"))
@@ -103,7 +102,7 @@ def ret_01_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ret_02_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.trigram_search(_asked_short(spark, sf_dir), _paragraphs(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return R.trigram_search(_asked(spark, sf_dir), _paragraphs(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def ret_03_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +128,9 @@ _FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | _CHUNKERS
 
-_LINES = r"""chunks AS (SELECT doc_id * 1000000 + k - 1 AS vec_id, p[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p
+_LINES = r"""chunks AS (SELECT CAST('0x' || substr(md5(doc_id || ':' || (k - 1)), 1, 15) AS BIGINT) AS vec_id, p[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p
   FROM documents), unnest(range(1, len(p) + 1)) AS t(k) WHERE trim(p[k]) <> ''),
-asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark)"""
+asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
 _GRAMS = r"""list_distinct(flatten([[substr('  ' || w || ' ', k, 3) FOR k IN range(1,
   length(w) + 2)] FOR w IN regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')]))"""
 SQL = {
@@ -164,8 +163,7 @@ SQL = {
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: Lines that hold all words of a question, with the sum over the shortest runs that hold them.
-_COVERED = rf"""{_LINES.replace("asked AS", "short AS")},
-asked AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+_COVERED = rf"""{_LINES},
 q AS (SELECT query_id, unnest(list_distinct({_TERMS.format("query")})) AS term FROM asked),
 n AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
 w AS (SELECT vec_id, k AS pos, ws[k] AS term FROM (SELECT vec_id, {_TERMS.format("text")} AS ws FROM chunks), unnest(range(1, len(ws) + 1)) AS t(k)),
