@@ -73,20 +73,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.table(full)
 
 
-def build(chunks: DataFrame, folder: str | None = None, buckets: int | None = None) -> str:
-    """Index (vec_id, text) in ``folder`` and give its name; vec_id tells chunks apart."""
+def build(chunks: DataFrame, folder: str | None = None, buckets: int | None = None, legs: tuple[str, ...] = ("words", "grams")) -> str:
+    """Index (vec_id, text) in ``folder`` for one or both ``legs`` and give its name; vec_id tells chunks apart."""
     spark = chunks.sparkSession
     folder = folder or f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/buckets")
     split = chunks.select(F.col("vec_id").cast("long").alias("vec_id"), words("text").alias("words")).withColumn("grams", grams("words"))
     held = _write(split, folder, "chunks", buckets)
-    places = held.select("vec_id", F.posexplode("words").alias("place", "term")).groupBy("term", "vec_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    postings = _write(places, folder, "words", buckets)
-    _write(postings.groupBy("term").agg(F.count("*").alias("df")), folder, "terms", buckets)
-    marked = held.select("vec_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    marks = _write(marked.groupBy("gram").agg(F.count("*").alias("df")), folder, "marks", buckets)
-    _write(_rarest(marked.join(marks, "gram"), "vec_id", SIMILAR), folder, "grams", buckets)
+    if "words" in legs:
+        places = held.select("vec_id", F.posexplode("words").alias("place", "term")).groupBy("term", "vec_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        postings = _write(places, folder, "words", buckets)
+        _write(postings.groupBy("term").agg(F.count("*").alias("df")), folder, "terms", buckets)
+    if "grams" in legs:
+        marked = held.select("vec_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+        marks = _write(marked.groupBy("gram").agg(F.count("*").alias("df")), folder, "marks", buckets)
+        _write(_rarest(marked.join(marks, "gram"), "vec_id", SIMILAR), folder, "grams", buckets)
     return folder
 
 

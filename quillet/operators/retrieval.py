@@ -51,9 +51,9 @@ def cover_density(places: dict[str, list[int]]) -> float:
     return total
 
 
-def _indexed(chunks: DataFrame | str) -> str:
-    """The folder of an index, or of a new one over chunks (vec_id, text)."""
-    return chunks if isinstance(chunks, str) else postings.build(chunks.select("vec_id", "text"))
+def _indexed(chunks: DataFrame | str, *legs: str) -> str:
+    """The folder of an index, or of a new one for the ``legs`` over chunks (vec_id, text)."""
+    return chunks if isinstance(chunks, str) else postings.build(chunks.select("vec_id", "text"), legs=legs)
 
 
 def _density(entries: list) -> float:
@@ -68,12 +68,12 @@ def lexical_search(queries: DataFrame, chunks: DataFrame | str, n: int = 50, wit
 
     ``chunks`` is (vec_id, text), or the folder of a ``postings`` index over them; ``within`` (vec_id) bounds the search.
     """
-    return postings.lexical(queries, _indexed(chunks), postings.per_row(_density), n, within)
+    return postings.lexical(queries, _indexed(chunks, "words"), postings.per_row(_density), n, within)
 
 
 def trigram_search(queries: DataFrame, chunks: DataFrame | str, n: int = 50, least: float = SIMILAR, within: DataFrame | None = None) -> DataFrame:
     """Chunks whose share of common 3-grams passes the limit (RET-2)."""
-    return postings.similar(queries, _indexed(chunks), n, least, within)
+    return postings.similar(queries, _indexed(chunks, "grams"), n, least, within)
 
 
 def lexical_leg(queries: DataFrame, chunks: DataFrame | str, n: int = 50, scope: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def lexical_leg(queries: DataFrame, chunks: DataFrame | str, n: int = 50, scope:
 
     The scope comes last, so a query whose hits are all out of scope does not fall back; ``within`` comes first.
     """
-    index = _indexed(chunks)
+    index = _indexed(chunks, "words", "grams")
     found = cut(lexical_search(queries, index, n, within))
     missing = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     both = found.unionByName(trigram_search(missing, index, n, within=within))

@@ -725,42 +725,47 @@ SELECT event_id, claim_id, sequence, expected FROM n WHERE sequence <> expected
 # Streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.readStream.schema(_load(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+_BATCHES = 4
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _load(spark, sf_dir, "events")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def str_01_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _stream(spark, sf_dir, "events").select("ts", F.col("event_type").alias("tenant"), F.md5(F.col("user_id").cast("string")).alias("checksum"))
-    return jobs.drained(jobs.stream_dedup(e, "3650 days")).select("tenant", "checksum")
+    """Once a day: in batches by time, a day's state ends a day after its last row."""
+    e = _timed(spark, sf_dir).select("ts", F.col("event_type").alias("tenant"), F.md5(F.col("user_id").cast("string")).alias("checksum"), F.to_date("ts").alias("day"))
+    return jobs.drained(lambda s: jobs.stream_dedup(s, "1 day", ("tenant", "checksum", "day")), jobs.by_time(e, _BATCHES)).select("day", "tenant", "checksum")
 
 
-SQL["str_01_dedup"] = "SELECT DISTINCT event_type AS tenant, md5(CAST(user_id AS VARCHAR)) AS checksum FROM events"
+SQL["str_01_dedup"] = "SELECT DISTINCT CAST(ts AS DATE) AS day, event_type AS tenant, md5(CAST(user_id AS VARCHAR)) AS checksum FROM events"
 
 
 def str_02_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as moves; a day without one begins anew."""
     to = F.when(F.col("event_type") == "signup", "Submitted").when(F.col("event_type") == "click", "Processing").when(F.col("event_type") == "view", "Manager_Review")
     to = to.when(F.col("event_type") == "purchase", "Approved").otherwise("Flagged_Fraud")
-    moves = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("claim_id"), "event_id", to.alias("to_status"))
-    return jobs.drained(jobs.stream_transitions(moves))
+    moves = _timed(spark, sf_dir).select(F.col("user_id").alias("claim_id"), "event_id", to.alias("to_status"), "ts")
+    return jobs.drained(lambda s: jobs.stream_transitions(s, "1 hour", 86_400_000), jobs.by_time(moves, _BATCHES))
 
 
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, many in lifecycle.EDGES.items() for b in many)
 SQL["str_02_transitions"] = f"""WITH RECURSIVE edges(a, b) AS (VALUES {_EDGES}),
-m AS (SELECT user_id AS claim_id, event_id,
+m AS (SELECT user_id AS claim_id, event_id, epoch_ms(ts) AS ms,
   CASE event_type WHEN 'signup' THEN 'Submitted' WHEN 'click' THEN 'Processing' WHEN 'view' THEN 'Manager_Review' WHEN 'purchase' THEN 'Approved' ELSE 'Flagged_Fraud' END AS s,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-w AS (SELECT claim_id, 0 AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS from_status, CAST(NULL AS VARCHAR) AS to_status, false AS accepted, 'Draft' AS last
-  FROM (SELECT DISTINCT user_id AS claim_id FROM events)
-  UNION ALL SELECT m.claim_id, m.n, m.event_id, w.last, m.s, (w.last, m.s) IN (SELECT (a, b) FROM edges), CASE WHEN (w.last, m.s) IN (SELECT (a, b)
-    FROM edges) THEN m.s ELSE w.last END
-  FROM w JOIN m ON m.claim_id = w.claim_id AND m.n = w.n + 1)
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+w AS (SELECT claim_id, 0 AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS VARCHAR) AS from_status, CAST(NULL AS VARCHAR) AS to_status,
+  false AS accepted, 'Draft' AS last FROM (SELECT DISTINCT user_id AS claim_id FROM events)
+  UNION ALL SELECT claim_id, n, event_id, ms, f, s, (f, s) IN (SELECT (a, b) FROM edges), CASE WHEN (f, s) IN (SELECT (a, b) FROM edges) THEN s ELSE f END
+  FROM (SELECT m.*, CASE WHEN m.ms - w.ms > 86400000 THEN 'Draft' ELSE w.last END AS f FROM w JOIN m ON m.claim_id = w.claim_id AND m.n = w.n + 1))
 SELECT claim_id, event_id, from_status, to_status, accepted FROM w WHERE n > 0"""
 
 
 def str_03_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _stream(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("amount_usd"))
-    return jobs.drained(jobs.stream_totals(items), ["claim_id"])
+    items = _load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("amount_usd"), "l_linenumber")
+    halves = [items.filter(F.col("l_linenumber") % 2 == k).drop("l_linenumber") for k in (1, 0)]
+    return jobs.drained(jobs.stream_totals, halves, ["claim_id"])
 
 
 SQL["str_03_totals"] = """SELECT l_orderkey AS claim_id, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS total_usd, count(*) AS item_count
@@ -768,9 +773,9 @@ SQL["str_03_totals"] = """SELECT l_orderkey AS claim_id, sum(CAST(l_extendedpric
 
 
 def str_04_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _stream(spark, sf_dir, "events")
+    e = _timed(spark, sf_dir)
     spans = e.select("ts", F.col("event_type").alias("operation"), F.floor("value").cast("long").alias("duration_ms"), (F.col("event_type") == "error").alias("failed"))
-    out = jobs.drained(jobs.stream_metrics(spans, "1 day", "3650 days", slow_ms=50), ["start", "operation"])
+    out = jobs.drained(lambda s: jobs.stream_metrics(s, "1 day", "1 hour", slow_ms=50), jobs.by_time(spans, _BATCHES), ["start", "operation"])
     return out.withColumns({"start": F.col("start").cast("date"), "mean_ms": F.round("mean_ms", 6)})
 
 
@@ -782,9 +787,9 @@ round(avg(CAST(floor(value) AS BIGINT)), 6) AS mean_ms, max(CAST(floor(value) AS
 
 def str_05_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one type and value by two users within a day."""
-    e = _stream(spark, sf_dir, "events")
+    e = _timed(spark, sf_dir)
     side = e.select("ts", F.col("event_type").alias("vendor"), F.floor("value").cast("long").alias("amount_usd"), F.col("user_id").alias("employee_id"), F.col("event_id").alias("item_id"))
-    return jobs.drained(jobs.stream_cross_employee(side, side, "3650 days"))
+    return jobs.drained(lambda s: jobs.stream_cross_employee(s, s, "1 hour"), jobs.by_time(side, _BATCHES))
 
 
 SQL["str_05_alerts"] = """SELECT a.event_id AS item_id, b.event_id AS other_id FROM events a

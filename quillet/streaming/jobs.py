@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.blocks import shared_folder
 from ..operators.lifecycle import EDGES
 
 
-def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Everything that a stream gives until its source is read, as a table in the folder that all machines share.
+def by_time(rows: DataFrame, batches: int, at: str = "ts") -> list[DataFrame]:
+    """``rows`` in so many parts of about the same size, the earlier ones first; rows without a time come in the last."""
+    cuts = rows.select(F.percentile_approx(F.col(at).cast("double"), [k / batches for k in range(1, batches)])).first()[0] or []
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce(F.col(at).cast("double") > c, F.lit(True)).cast("int")
+    return [rows.filter(part == k) for k in range(len(cuts) + 1)]
 
-    Rows of later batches replace those of equal ``keys`` (running results), or are added.
+
+def drained(job: Callable[[DataFrame], DataFrame], batches: list[DataFrame], keys: list[str] | None = None, seen: list[dict] | None = None) -> DataFrame:
+    """What ``job`` gives over the ``batches``, one after the other, as a table in the folder that all machines share.
+
+    Each batch is added to the source's folder and the stream started again from its checkpoint, so state and watermark go
+    from one batch to the next.  Rows of later batches replace those of equal ``keys`` (running results), or are
+    added.  ``seen`` is given the progress of every micro-batch.
     """
-    spark = stream.sparkSession
+    spark = batches[0].sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    named = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
 
-    named.outputMode("append" if keys is None else "update").foreachBatch(keep).start().awaitTermination()
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{folder}/source")
+        stream = job(spark.readStream.schema(batch.schema).parquet(f"{folder}/source"))
+        started = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        query = started.outputMode("append" if keys is None else "update").foreachBatch(keep).start()
+        query.awaitTermination()
+        if seen is not None:
+            seen.extend(json.loads(p.json) for p in query.recentProgress)
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
     if keys is None:
@@ -36,9 +53,12 @@ def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rows.join(last, [*keys, "_batch"], "left_semi").drop("_batch")
 
 
-def stream_dedup(docs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each (tenant, checksum) once within the watermark (STR-1)."""
-    return docs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tenant", "checksum"])
+def stream_dedup(docs: DataFrame, delay: str = "1 hour", keys: tuple[str, ...] = ("tenant", "checksum")) -> DataFrame:
+    """Each (tenant, checksum) once within the watermark (STR-1).
+
+    A key's state ends ``delay`` after its first row, by the watermark; an equal row after that passes.
+    """
+    return docs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def stream_totals(items: DataFrame) -> DataFrame:
@@ -69,24 +89,50 @@ def stream_cross_employee(a: DataFrame, b: DataFrame, delay: str = "1 day") -> D
 
 
 _MOVES = "claim_id long, event_id long, from_status string, to_status string, accepted boolean"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Moves(StatefulProcessor):
+    """The last accepted status of a claim and the time of its last move; a timer ends the state of an idle claim."""
 
+    def __init__(self, edges: set[tuple[str, str]], idle_ms: int) -> None:
+        self.edges, self.idle_ms = edges, idle_ms
 
-def stream_transitions(moves: DataFrame) -> DataFrame:
-    """Moves (claim_id, event_id, to_status) against each claim's last accepted status, kept as state (STR-2).
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, at long")
 
-    A claim begins as Draft; a move along a legal edge is accepted and changes the state,
-    any other is reported and does not.  Moves of one batch are taken by event_id.
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        status, at = self.last.get() if self.last.exists() else ("Draft", None)
+        if at is not None:
+            self.handle.deleteTimer(at + self.idle_ms)
+        for r in sorted(rows, key=lambda r: (r["ms"], r["event_id"])):
+            if at is not None and r["ms"] - at > self.idle_ms:
+                status = "Draft"
+            ok = (status, r["to_status"]) in self.edges
+            yield Row(claim_id=key[0], event_id=r["event_id"], from_status=status, to_status=r["to_status"], accepted=ok)
+            status, at = (r["to_status"] if ok else status), (r["ms"] if at is None else max(at, r["ms"]))
+        self.last.update((status, at))
+        self.handle.registerTimer(at + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(moves: DataFrame, delay: str = "1 hour", idle_ms: int = 90 * 86_400_000) -> DataFrame:
+    """Moves (claim_id, event_id, to_status, ts) against each claim's last accepted status, kept as state (STR-2).
+
+    A claim begins as Draft, and again after ``idle_ms`` without a move; a move along a legal edge is accepted
+    and changes the status, any other is reported and does not.  Moves of one batch are taken by time and
+    event_id.  When the watermark passes the end of its idle time, a claim's state goes: no move
+    that is still let in could have read it, so the batches do not show in the result.  Late moves are dropped.
+    The state store is RocksDB, which value states and timers need.
     """
+    moves.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     edges = {(a, b) for a, many in EDGES.items() for b in many}
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else "Draft"
-        rows = []
-        for event_id, to in sorted(r for b in batches for r in zip(b.event_id, b.to_status, strict=True)):
-            ok = (last, to) in edges
-            rows.append((key[0], event_id, last, to, ok))
-            last = to if ok else last
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["claim_id", "event_id", "from_status", "to_status", "accepted"])
-
-    return moves.groupBy("claim_id").applyInPandasWithState(run, _MOVES, "status string", "append", GroupStateTimeout.NoTimeout)
+    timed = moves.withWatermark("ts", delay).select("claim_id", "event_id", "to_status", "ts", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("claim_id").transformWithState(_Moves(edges, idle_ms), _MOVES, "append", "EventTime")

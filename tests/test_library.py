@@ -9,7 +9,6 @@ from quillet.operators import documents as D
 from quillet.operators import duplicates as U
 from quillet.operators import library as L
 from quillet.operators import receipts
-from quillet.streaming import jobs
 
 
 def test_hash_and_text(spark):
@@ -55,15 +54,6 @@ def test_candidates(spark):
     assert [(r.entries, r.names) for r in L.active_by_kind(entries).collect()] == [(2, "a,b")]
 
 
-def test_transition_stream(spark, tmp_path):
-    rows = [(1, 1, "Submitted"), (1, 2, "Approved"), (1, 3, "Processing"), (2, 4, "Processing")]
-    spark.createDataFrame(rows, "claim_id long, event_id long, to_status string").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("claim_id long, event_id long, to_status string").parquet(f"{tmp_path}/in")
-    query = jobs.stream_transitions(stream).writeStream.format("memory").queryName("moves").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r.event_id, r.from_status, r.accepted) for r in spark.table("moves").collect()} == {(1, "Draft", True), (2, "Submitted", False), (3, "Submitted", True), (4, "Draft", False)}
-
-
 def test_clean_sections_and_language(spark):
     rows = [(1, k, f"Head er\nthe policy and the employee {k}\n{k + 1}") for k in range(4)] + [(2, 0, "der die das und"), (2, 1, None), (3, 0, "Page 3")]
     sections = spark.createDataFrame(rows, "doc_id long, section int, text string")
