@@ -8,7 +8,12 @@ own, made from the response's, so that a rerun gives the same records, and a
 digest of its own block.
 
 ``read_warc`` reads responses from WARC files, compressed record by record or
-not; ``serialized`` gives the bytes of derived records, ready to be written.
+not, with their payloads as bytes and the digests that they came with; ``serialized`` gives
+the bytes of derived records, ready to be written.
+
+The payload digest is that of the bytes received, without chunking.  For the text, the
+body is undone by Transfer-Encoding and Content-Encoding (gzip, deflate) and decoded by the charset of its
+byte-order mark, its Content-Type or its first ``meta`` element, else as UTF-8.
 
 A page is read by one scanner in one pass: a tag ends at its first ``>`` and a new
 ``<`` gives it up, a comment or script that is never closed takes the rest of the
@@ -21,7 +26,10 @@ number for each row, which enters the ids, so that ids stay unique.
 
 Edge cases: a null payload is an empty one and still gives both records; a null
 URL or date is left out of the headers; repeated pages give records with ids of
-their own; extra columns are ignored; an empty table gives an empty result.
+their own; extra columns are ignored; an empty table gives an empty result.  What is
+damaged has a ``fault`` and never fails the job: a record cut short keeps what there is, a
+gzip member or a length that cannot be read is a row without a payload (``derive`` makes no
+records of it), a body that cannot be undone is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -42,10 +50,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RESPONSE = ("page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload")
+RESPONSE = ("page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload", "source_payload_digest", "source_block_digest", "fault")
+_RESPONSES = (
+    "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload binary, source_payload_digest string,"
+    " source_block_digest string, fault string"
+)
 SCHEMA = (
     "page_id long, record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string,"
-    " content_length long, block_digest string, payload_digest string, http_headers string, block string"
+    " content_length long, block_digest string, payload_digest string, http_headers string, block string,"
+    " source_payload_digest string, source_block_digest string, fault string"
 )
 _TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[!?][^<>]*+>)")
 #: Elements whose contents are no text, and how their ends are found.
@@ -107,9 +120,77 @@ def header_lines(headers: str | None) -> list[tuple[str, str]]:
     return [(name, value) for name, part, value in (x.partition(": ") for x in (headers or "").split("\r\n")[1:]) if part]
 
 
-def page_metadata(page: Page, headers: str | None) -> str:
+def page_metadata(page: Page, headers: str | None, fault: str | None = None) -> str:
     found = {"http_status": (headers or "").split("\r\n")[0], "http_headers": dict(header_lines(headers))}
-    return json.dumps(found | {"title": page.title, "lang": page.lang, "links": page.links}, ensure_ascii=False)
+    found |= {"title": page.title, "lang": page.lang, "links": page.links}
+    return json.dumps(found | ({"fault": fault} if fault else {}), ensure_ascii=False)
+
+
+def _unchunked(body: bytes) -> tuple[bytes, str | None]:
+    """The body without chunk sizes, and what is wrong with it."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return b"".join(out) or body, "chunks are damaged"
+        n = int(size, 16)
+        if not n:
+            return b"".join(out), None
+        out.append(body[end + 2 : end + 2 + n])
+        if len(out[-1]) < n:
+            return b"".join(out), "chunks are cut short"
+        at = end + 2 + n + 2
+
+
+def _inflated(body: bytes, windows: tuple[int, ...]) -> tuple[bytes, str | None]:
+    """The decompressed body, by the first way that gives anything, and what is wrong with it."""
+    for bits in windows:
+        out, rest = [], body
+        try:
+            while rest:
+                one = zlib.decompressobj(bits)
+                out.append(one.decompress(rest) + one.flush())
+                if not one.eof:
+                    return b"".join(out), "the body is cut short"
+                rest = one.unused_data
+            return b"".join(out), None
+        except zlib.error:
+            if any(out):
+                return b"".join(out), "the body is damaged"
+    return body, "the body is damaged"
+
+
+_META = re.compile(rb"<meta[^>]{0,200}?charset\s{0,9}=\s{0,9}[\"']?([\w:.-]{1,40})", re.I)
+
+
+def decoded(payload: bytes, headers: str | None) -> tuple[bytes, str, str | None]:
+    """The payload without chunking, its text, and what was wrong with it."""
+    named = {name.lower(): value for name, value in header_lines(headers)}
+    fault = None
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload, fault = _unchunked(payload)
+    body = payload
+    for coding in reversed([x.strip().lower() for x in named.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            body, wrong = _inflated(body, (31,))
+        elif coding == "deflate":
+            body, wrong = _inflated(body, (15, -15))
+        else:
+            wrong = None if coding in ("", "identity") else f"no way to undo {coding}"
+        fault = fault or wrong
+    told = re.search(r"charset\s*=\s*[\"']?([\w:.-]+)", named.get("content-type", ""), re.I)
+    meta = _META.search(body, 0, 4096)
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return payload, body.decode(name, "replace"), fault
+    for name in (told and told[1], meta and meta[1].decode()):
+        try:
+            if name and not isinstance(text := body.decode(name, "replace"), bytes):
+                return payload, text, fault
+        except (LookupError, UnicodeError):
+            fault = fault or f"no charset {name}"
+    return payload, body.decode("utf-8", "replace"), fault
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +199,17 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            source = digest((r["payload"] or "").encode())
-            page = scan_page(r["payload"] or "")
-            made = (("metadata", "application/json", page_metadata(page, r["http_headers"])), ("conversion", "text/plain", page.text))
+            payload, text, wrong = decoded(r["payload"] or b"", r["http_headers"])
+            source, fault = digest(payload), r["fault"] or wrong
+            page = scan_page(text)
+            made = (("metadata", "application/json", page_metadata(page, r["http_headers"], fault)), ("conversion", "text/plain", page.text))
             for kind, content, block in made:
-                data = block.encode()
+                data = block.encode("utf-8", "replace")
                 own = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['record_id']}#{kind}").urn
-                rows.append((r["page_id"], f"<{own}>", kind, r["record_id"], r["target_uri"], r["warc_date"], content, len(data), digest(data), source, r["http_headers"], block))
+                rows.append(
+                    (r["page_id"], f"<{own}>", kind, r["record_id"], r["target_uri"], r["warc_date"], content, len(data), digest(data), source, r["http_headers"], data.decode(),
+                     r["source_payload_digest"], r["source_block_digest"], fault)
+                )
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -148,13 +233,15 @@ def responses_of_pages(pages: DataFrame, fetched_at: str = "2024-01-01T00:00:00Z
         F.col("url").alias("target_uri"),
         F.lit(fetched_at).alias("warc_date"),
         headers.alias("http_headers"),
-        F.col("html").alias("payload"),
+        F.col("html").cast("binary").alias("payload"),
+        *[F.lit(None).cast("string").alias(c) for c in RESPONSE[6:]],
     )
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two linked records per response (columns ``RESPONSE``)."""
-    return responses.select(*RESPONSE).mapInArrow(_derive, SCHEMA)
+    """Two linked records per response (columns ``RESPONSE``) that has a payload or no fault."""
+    usable = responses.filter("payload is not null or fault is null")
+    return usable.select(*RESPONSE).withColumn("payload", F.col("payload").cast("binary")).mapInArrow(_derive, SCHEMA)
 
 
 def to_bytes(row: dict) -> bytes:
@@ -164,7 +251,8 @@ def to_bytes(row: dict) -> bytes:
     named = [
         ("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]),
         ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["warc_date"]), ("WARC-Block-Digest", row["block_digest"]),
-        ("X-Source-Payload-Digest", row["payload_digest"]), ("X-Source-Status", source[0] or None),
+        ("X-Source-Payload-Digest", row["payload_digest"]), ("X-Source-WARC-Payload-Digest", row.get("source_payload_digest")),
+        ("X-Source-WARC-Block-Digest", row.get("source_block_digest")), ("X-Source-Status", source[0] or None),
         *((f"X-Source-{name}", value) for name, value in header_lines(row["http_headers"])),
         ("Content-Type", row["content_type"]), ("Content-Length", str(len(block))),
     ]
@@ -172,50 +260,80 @@ def to_bytes(row: dict) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """A file's gzip members one after the other; the file itself if it is not compressed."""
-    while data[:2] == b"\x1f\x8b":
-        gzip = zlib.decompressobj(31)
-        yield gzip.decompress(data) + gzip.flush()
-        data = gzip.unused_data
-    if data:
-        yield data
+_MAGIC = b"\x1f\x8b\x08"
 
 
-def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in a WARC file, compressed or not.
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """A file's gzip members one after the other, each with what is wrong with it; the file itself if it is not compressed.
 
-    A record without end ends the file.
+    After a damaged member, reading goes on at the next start of one.
+    """
+    if not data.startswith(_MAGIC[:2]):
+        if data:
+            yield data, None
+        return
+    while data:
+        one = zlib.decompressobj(31)
+        try:
+            out = one.decompress(data)
+            if not one.eof:
+                yield out, "a gzip member is cut short"
+                return
+            yield out, None
+            rest = one.unused_data
+        except zlib.error:
+            yield b"", "a gzip member is damaged"
+            rest = data[1:]
+        at = rest.find(_MAGIC)
+        data = rest[at:] if at >= 0 else b""
+
+
+def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """(headers, block, fault) of each record in a WARC file, compressed or not; header names are in lower case.
+
+    A record whose length cannot be read has no block, and ends its member or file; one
+    that is cut short has what there is.
     """
-    for member in members(data):
-        at = 0
+    for member, wrong in members(data):
+        at = len(member) - len(member.lstrip(b"\r\n"))
+        if wrong and b"\r\n\r\n" not in member:
+            yield {}, None, wrong
         while (end := member.find(b"\r\n\r\n", at)) >= 0:
             lines = member[at:end].decode(errors="replace").lstrip("\r\n").split("\r\n")
-            named = {name: value for name, _, value in (x.partition(": ") for x in lines[1:])}
-            size = int(named.get("Content-Length", 0))
-            yield named, member[end + 4 : end + 4 + size]
+            named = {name.strip().lower(): value.strip() for name, part, value in (x.partition(":") for x in lines[1:]) if part}
+            if not re.fullmatch(r"[0-9]{1,18}", named.get("content-length", "")):
+                yield named, None, "a record has no length"
+                break
+            size = int(named["content-length"])
+            block = member[end + 4 : end + 4 + size]
+            yield named, block, (wrong or "a record is cut short") if len(block) < size else None
             at = end + 4 + size + 4
 
 
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), *[pa.string()] * 5]
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.binary(), *[pa.string()] * 3]
     for batch in batches:
         for content in batch["content"]:
             rows: list[tuple] = []
-            for named, block in from_bytes(content.as_py()):
-                if named.get("WARC-Type") == "response":
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    own = (named.get(k) for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
-                    rows.append((None, *own, head.decode(errors="replace"), payload.decode(errors="replace")))
+            for named, block, fault in from_bytes(content.as_py()):
+                if fault or named.get("warc-type", "").lower() == "response":
+                    head, _, payload = (None, None, None) if block is None else block.partition(b"\r\n\r\n")
+                    own = (named.get(k) for k in ("warc-record-id", "warc-target-uri", "warc-date"))
+                    given = (named.get(k) for k in ("warc-payload-digest", "warc-block-digest"))
+                    if named.get("warc-type", "response").lower() == "response":
+                        rows.append((None, *own, None if head is None else head.decode(errors="replace"), payload, *given, fault))
             for k in range(0, len(rows), 100):
                 columns = zip(*rows[k : k + 100], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], list(RESPONSE))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files, one file a task; page_id is null."""
+    """The response records of WARC files; page_id is null.
+
+    One file is read by one task as a whole, so files are of the usual size of a gigabyte; Spark's limit is two.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_responses, "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload string")
+    return files.mapInArrow(_responses, _RESPONSES)
 
 
 def _serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -518,18 +518,18 @@ def test_warc(spark, tmp_path):
     assert {r.refers_to for r in got} == set(source)
     for r in got:
         of = source[r.refers_to]
-        assert (r.target_uri, r.warc_date, r.http_headers, r.payload_digest) == (of.target_uri, of.warc_date, of.http_headers, warc.digest((of.payload or "").encode()))
+        assert (r.target_uri, r.warc_date, r.http_headers, r.payload_digest) == (of.target_uri, of.warc_date, of.http_headers, warc.digest(bytes(of.payload or b"")))
         assert r.content_length == len(r.block.encode()) and r.block_digest == warc.digest(r.block.encode())
         if r.warc_type == "conversion":
-            assert r.block == brute_text(of.payload or "")
+            assert r.block == brute_text(bytes(of.payload or b"").decode())
     meta = {r.page_id: __import__("json").loads(r.block) for r in got if r.warc_type == "metadata"}
     assert (meta[1]["title"], meta[1]["lang"], meta[1]["links"]) == ("T & u", "en", ["/l"]) and meta[5]["links"] == ["/q?a=1&b=2"] and meta[6]["title"] is None
     assert meta[2]["http_headers"]["Content-Length"] == "0"
     written = [bytes(r.record) for r in warc.serialized(warc.derive(responses)).collect()]
     for data in (b"".join(written), b"".join(map(gzip.compress, written))):
         parsed = list(warc.from_bytes(data))
-        assert sorted((h["WARC-Record-ID"], h["WARC-Refers-To"], b.decode()) for h, b in parsed) == sorted((r.record_id, r.refers_to, r.block) for r in got)
-        assert all(h["X-Source-Status"] == "HTTP/1.1 200 OK" and h["X-Source-Content-Type"] == "text/html; charset=utf-8" for h, _ in parsed)
+        assert sorted((h["warc-record-id"], h["warc-refers-to"], b.decode()) for h, b, _ in parsed) == sorted((r.record_id, r.refers_to, r.block) for r in got)
+        assert all(h["x-source-status"] == "HTTP/1.1 200 OK" and h["x-source-content-type"] == "text/html; charset=utf-8" and fault is None for h, _, fault in parsed)
     again = {r.record_id for r in warc.derive(warc.responses_of_pages(pages.dropDuplicates(["page_id", "html"]))).collect()}
     assert again == {r.record_id for r in warc.derive(warc.responses_of_pages(pages.dropDuplicates(["page_id", "html"]).repartition(2))).collect()}
 
@@ -547,11 +547,75 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"".join(made))
     (tmp_path / "c.warc").write_bytes(b"")
     responses = warc.read_warc(spark, str(tmp_path))
-    assert [(r.record_id, r.target_uri, r.payload) for r in responses.collect()] == [("<urn:uuid:2>", "http://b/2", body.decode())] * 2
+    assert [(r.record_id, r.target_uri, bytes(r.payload), r.fault) for r in responses.collect()] == [("<urn:uuid:2>", "http://b/2", body, None)] * 2
     text = [r for r in warc.derive(responses).collect() if r.warc_type == "conversion"][0]
     assert text.block == "caf\u00e9\ntwo" and ("X-A", "b: c") in warc.header_lines(text.http_headers)
 
 
+def warc_record(block, n=1, kind="response", length=None, case=str, more=""):
+    head = f"WARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nWARC-Target-URI: http://b/{n}\r\n{more}Content-Length: {len(block) if length is None else length}\r\n"
+    return b"WARC/1.0\r\n" + case(head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def http(body, *headers):
+    return ("\r\n".join(["HTTP/1.1 200 OK", *headers]) + "\r\n\r\n").encode() + body
+
+
+def test_warc_charsets_and_encodings(spark, tmp_path):
+    """The digest is that of the bytes, the text that of the page, whatever its charset and encodings."""
+    import gzip
+    import zlib
+
+    page = "<p>caf\u00e9 \u00fcber</p>"
+    latin, raw = page.encode("latin-1"), zlib.compressobj(wbits=-15)
+    chunked = lambda b: b"".join(b"%x;ext=1\r\n%b\r\n" % (len(b[k : k + 7]), b[k : k + 7]) for k in range(0, len(b), 7)) + b"0\r\n\r\n"
+    bodies = [
+        (latin, latin, "Content-Type: text/html; charset=ISO-8859-1"),
+        (b'<meta charset="latin-1">' + latin, b'<meta charset="latin-1">' + latin, "content-type: text/html"),
+        (page.encode("utf-16"), page.encode("utf-16"), "Content-Type: text/html; charset=utf-8"),
+        (gzip.compress(latin), gzip.compress(latin), "Content-Type: text/html; Charset='latin-1'\r\nContent-Encoding: GZIP"),
+        (zlib.compress(page.encode()), zlib.compress(page.encode()), "Content-Encoding: deflate"),
+        (b, b, "Content-Encoding: deflate") if (b := raw.compress(page.encode()) + raw.flush()) else (),
+        (chunked(page.encode()), page.encode(), "Transfer-Encoding: chunked"),
+        (chunked(gzip.compress(page.encode())), gzip.compress(page.encode()), "Transfer-Encoding: chunked\r\nContent-Encoding: gzip"),
+    ]
+    made = [warc_record(http(body, headers), n, more=f"WARC-Payload-Digest: sha1:P{n}\r\nWARC-Block-Digest: sha1:B{n}\r\n") for n, (body, _, headers) in enumerate(bodies)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x, mtime=0) for x in made))
+    got = warc.derive(warc.read_warc(spark, str(tmp_path))).collect()
+    assert len(got) == 2 * len(bodies)
+    for r in got:
+        n = int(r.refers_to[10:-1])
+        assert r.payload_digest == warc.digest(bodies[n][1]) and r.fault is None
+        assert (r.source_payload_digest, r.source_block_digest) == (f"sha1:P{n}", f"sha1:B{n}")
+        if r.warc_type == "conversion":
+            assert r.block == "caf\u00e9 \u00fcber"
+    record = bytes(warc.serialized(spark.createDataFrame(got[:1], warc.SCHEMA)).first().record)
+    assert b"X-Source-WARC-Payload-Digest: sha1:P" in record
+
+
+def test_warc_damage(spark, tmp_path):
+    """Damaged records are rows with a fault; the others of the file are read."""
+    import gzip
+
+    good = warc_record(http(b"<p>one</p>"), 1, case=str.lower)
+    bad_gzip = bytearray(gzip.compress(warc_record(http(b"<p>gone</p>" * 50), 2), mtime=0))
+    bad_gzip[30:60] = b"\x00" * 30
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good, mtime=0) + bytes(bad_gzip) + gzip.compress(warc_record(http(b"<p>three</p>"), 3), mtime=0))
+    (tmp_path / "b.warc").write_bytes(warc_record(http(b"<p>four</p>"), 4) + warc_record(http(b"x"), 5, length="many"))
+    (tmp_path / "c.warc").write_bytes(warc_record(http(b"<p>six, cut</p>"), 6)[:-8])
+    (tmp_path / "d.warc").write_bytes(b"no record at all")
+    (tmp_path / "e.warc").write_bytes(warc_record(http(b"zz\r\nnot chunks", "Transfer-Encoding: chunked"), 7) + warc_record(http(b"no gzip", "Content-Encoding: gzip"), 8) + warc_record(http(b"br", "Content-Encoding: br", "Content-Type: x; charset=klingon"), 9))
+    read = warc.read_warc(spark, str(tmp_path))
+    faults = {r.record_id and int(r.record_id[10:-1]): (r.fault, r.payload is None) for r in read.collect()}
+    assert faults.pop(None) == ("a gzip member is damaged", True)
+    assert faults == {n: (None, False) for n in (1, 3, 4, 7, 8, 9)} | {5: ("a record has no length", True), 6: ("a record is cut short", False)}
+    got = {int(r.refers_to[10:-1]): r for r in warc.derive(read).collect() if r.warc_type == "conversion"}
+    assert {n: r.fault for n, r in got.items()} == {
+        1: None, 3: None, 4: None, 6: "a record is cut short", 7: "chunks are damaged", 8: "the body is damaged", 9: "no way to undo br",
+    }
+    assert got[1].block == "one" and got[3].block == "three" and got[8].block == "no gzip"
+
+
 def test_warc_long_pages_are_read_in_one_pass():
     import time
 
