@@ -25,7 +25,7 @@ def page(df: DataFrame, *order: Column | str, offset: int = 0, limit: int | None
 
 
 def search_claims(
-    claims: DataFrame, items: DataFrame, fraud: DataFrame | None = None, *, employees: list[int] | None = None, statuses: list[str] | None = None,
+    claims: DataFrame, items: DataFrame, fraud: DataFrame | None = None, *, employees: list[int] | None = None, statuses: list[str] | None = None, reviewer: int | None = None,
     risk_levels: list[str] | None = None, category: str | None = None, date_from: str | None = None, date_to: str | None = None,
     offset: int = 0, limit: int | None = None,
 ) -> DataFrame:
@@ -39,6 +39,8 @@ def search_claims(
         out = out.filter(F.col("employee_id").isin(*employees))
     if statuses is not None:
         out = out.filter(F.col("status").isin(*statuses))
+    if reviewer is not None:
+        out = out.filter(F.col("reviewer_id") == reviewer)
     wanted = []
     if category is not None:
         wanted.append(F.bool_or(F.col("category") == category))
@@ -135,10 +137,11 @@ def claim_documents(
 
 
 def search_audit(
-    logs: DataFrame, *, entity_id: int | None = None, actions: list[str] | None = None, actor: int | None = None, offset: int = 0, limit: int | None = None
-) -> DataFrame:
+    logs: DataFrame, *, entity_type: str | None = None, entity_id: int | None = None, actions: list[str] | None = None, actor: int | None = None, correlation_id: str | None = None,
+    offset: int = 0, limit: int | None = None,
+) -> DataFrame:
     """Entries that meet every given condition, newest first (AUD-1)."""
-    for name, value in (("entity_id", entity_id), ("actor", actor)):
+    for name, value in (("entity_type", entity_type), ("entity_id", entity_id), ("actor", actor), ("correlation_id", correlation_id)):
         if value is not None:
             logs = logs.filter(F.col(name) == value)
     if actions is not None:
@@ -146,6 +149,11 @@ def search_audit(
     return page(logs, F.desc("occurred_at"), F.desc("event_id"), offset=offset, limit=limit)
 
 
+def count_audit(logs: DataFrame) -> DataFrame:
+    """Entries of each entity, with the first and the last (AUD-1)."""
+    return logs.groupBy("entity_type", "entity_id").agg(F.count("*").alias("entries"), F.min("occurred_at").alias("first"), F.max("occurred_at").alias("last"))
+
+
 def audit_changes(logs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
     """(event_id, field, old, new) of the fields that differ between two JSON snapshots (AUD-3)."""
     fields = "map<string,string>"
@@ -161,6 +169,22 @@ def inference_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("operation", "status").agg(F.count("*").alias("runs"), F.sum("tokens").alias("tokens"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"))
 
 
+def recent_inference(
+    runs: DataFrame, *, claim_id: int | None = None, item_id: int | None = None, operation: str | None = None, offset: int = 0, limit: int | None = None
+) -> DataFrame:
+    """Runs of a claim, an item or an operation, newest first (AUD-4)."""
+    for name, value in (("claim_id", claim_id), ("item_id", item_id), ("operation", operation)):
+        if value is not None:
+            runs = runs.filter(F.col(name) == value)
+    return page(runs, F.desc("created_at"), F.desc("run_id"), offset=offset, limit=limit)
+
+
+def newest_inference(runs: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The ``n`` newest runs of each claim, item or operation, numbered (AUD-4): a top-n per key, cut before the shuffle."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("created_at"), F.desc("run_id")))
+    return runs.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
 def flatten_spans(spans: DataFrame, every: int = 4) -> DataFrame:
     """Spans (trace_id, span_id, parent_id) with depth and a path that sorts depth first (AUD-6).
 

@@ -39,9 +39,12 @@ def with_keys(items: DataFrame) -> DataFrame:
     return items.withColumns({"vendor": normalize_vendor(F.col("merchant_vendor")), "checksum": checksum()})
 
 
-def candidate_pairs(fp: DataFrame, days: int = WINDOW_DAYS, newest: int | None = None) -> DataFrame:
+def candidate_pairs(fp: DataFrame, days: int = WINDOW_DAYS, newest: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(item_id, other_id): same vendor, days apart at most, other claim, seen earlier (DUP-1).
 
+    With ``carry`` the pairs bring these columns of both sides as structs a and b, so that no pair is shuffled
+    to fetch them.
+
     All of them, as signals and verdicts need; ``newest`` keeps an item's so many newest partners.
 
     A range join made an equi-join: each item is filed under the bucket of
@@ -51,12 +54,13 @@ def candidate_pairs(fp: DataFrame, days: int = WINDOW_DAYS, newest: int | None =
     width = days + 1
     day = F.datediff("expense_date", F.lit("1970-01-01"))
     keys = _tenant(fp) + ["vendor"]
-    keyed = fp.select("item_id", "claim_id", *keys, "expense_date", F.floor(day / width).alias("bucket"))
+    own = [F.struct(*carry).alias("a")] if carry else []
+    keyed = fp.select("item_id", "claim_id", *keys, "expense_date", F.floor(day / width).alias("bucket"), *own)
     beside = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
-    near = keyed.select(F.col("item_id").alias("other_id"), F.col("claim_id").alias("_claim"), *keys, F.col("expense_date").alias("_date"), beside)
+    near = keyed.select(F.col("item_id").alias("other_id"), F.col("claim_id").alias("_claim"), *keys, F.col("expense_date").alias("_date"), beside, *([F.col("a").alias("b")] if carry else []))
     met = keyed.join(near, [*keys, "bucket"])
     apart = F.abs(F.datediff("expense_date", "_date"))
-    pairs = met.filter((apart <= days) & (F.col("other_id") < F.col("item_id")) & (F.col("claim_id") != F.col("_claim"))).select("item_id", "other_id", "_date")
+    pairs = met.filter((apart <= days) & (F.col("other_id") < F.col("item_id")) & (F.col("claim_id") != F.col("_claim"))).select("item_id", "other_id", "_date", *(["a", "b"] if carry else []))
     if newest is None:
         return pairs.drop("_date")
     rank = W.partitionBy("item_id").orderBy(F.desc("_date"), F.desc("other_id"))
@@ -74,12 +78,22 @@ def invoice_similarity(a: str, b: str) -> Column:
     return F.when(both, base + 0.35 * number).otherwise(base / 0.65)
 
 
-def pair_signals(fp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Best exact and invoice signal per item over its candidates (DUP-2, DUP-8)."""
+def with_both(fp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with the rows of both sides as structs a and b; pairs that carry them stay as they are."""
+    if {"a", "b"} <= set(pairs.columns):
+        return pairs
     mine = fp.select(F.struct(*fp.columns).alias("a"), "item_id")
     other = fp.select(F.struct(*fp.columns).alias("b"), F.col("item_id").alias("other_id"))
-    joined = pairs.join(mine, "item_id").join(other, "other_id")
-    scored = joined.select(
+    return pairs.join(mine, "item_id").join(other, "other_id")
+
+
+#: What ``pair_signals`` reads of both sides.
+SIGNAL_COLUMNS = ("checksum", "vendor", "expense_date", "amount_usd", "invoice_number")
+
+
+def pair_signals(fp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Best exact and invoice signal per item over its candidates (DUP-2, DUP-8)."""
+    scored = with_both(fp, pairs).select(
         "item_id",
         F.when(F.col("a.checksum").isNotNull(), (F.col("a.checksum") == F.col("b.checksum")).cast("int")).alias("exact"),
         invoice_similarity("a", "b").alias("invoice"),

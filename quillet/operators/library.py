@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import numbered
 from .claims import page
 from .retrieval import effective_on
 
@@ -23,15 +22,6 @@ def search_documents(docs: DataFrame, *, statuses: list[str] | None = None, on:
     return page(out, F.desc("created_at"), F.desc("doc_id"), offset=offset, limit=limit)
 
 
-def version_chain(docs: DataFrame) -> DataFrame:
-    """Place of each version in its (tenant, title) chain, oldest first, and the chain's length (DOC-3).
-
-    Chains are those of one title, so their order is enough; a cycle cannot arise.
-    """
-    rows = numbered(docs, ["tenant", "title"], ["version", "doc_id"], "doc_id").drop("_before", "_after")
-    return rows.withColumn("_place", F.col("_place").cast("int")).withColumnsRenamed({"_place": "place", "_total": "length"})
-
-
 def assign_profile(docs: DataFrame, profiles: dict[str, tuple[str, str]], other: tuple[str, str]) -> DataFrame:
     """Chunk strategy and default category of the source type (DOC-6)."""
     pick = lambda k: F.coalesce(F.try_element_at(F.create_map(*[x for n, p in profiles.items() for x in (F.lit(n), F.lit(p[k]))]), F.col("source_type")), F.lit(other[k]))
@@ -44,6 +34,20 @@ def ingestion_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("status").agg(F.count("*").alias("runs"), F.max("finished_at").alias("last")).withColumn("succeeded", good)
 
 
+def recent_runs(runs: DataFrame, tenant: str, *, status: str | None = None, doc_id: int | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """A tenant's ingestion runs, of one status or one document, newest first (DOC-9)."""
+    out = runs.filter(F.col("tenant") == tenant)
+    out = out if status is None else out.filter(F.col("status") == status)
+    out = out if doc_id is None else out.filter(F.col("doc_id") == doc_id)
+    return page(out, F.desc("started_at"), F.asc("run_id"), offset=offset, limit=limit)
+
+
+def runs_of_documents(runs: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest runs of each document of each tenant, numbered (DOC-9)."""
+    along = W.partitionBy("tenant", "doc_id").orderBy(F.desc("started_at"), "run_id")
+    return runs.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= n)
+
+
 def compile_filters(filters: list[tuple[str, str, object]], fields: dict[str, str], lists: tuple[str, ...] = (), extra: str | None = None) -> Column:
     """One condition from (field, operator, value) (DOC-10).
 

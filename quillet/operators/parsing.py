@@ -128,6 +128,7 @@ def json_lines(text: str | None) -> str | None:
 def csv_lines(text: str | None) -> str | None:
     if text is None:
         return None
+    csv.field_size_limit((1 << 31) - 1)  # a cell may be a whole text
     out = []
     for row in csv.reader(io.StringIO(text)):
         if any(c.strip() for c in row):

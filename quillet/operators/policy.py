@@ -143,30 +143,48 @@ def _number(path: str) -> Column:
 
 
 def _by_grade(name: str, kind: str) -> Column:
-    return F.from_json(F.get_json_object("actions", f"$.{name}"), f"map<string,{kind}>")[F.col("employee_grade")]
+    """(key, value) of each grade; entries rather than a map, which has no order to sort rules by."""
+    return F.map_entries(F.from_json(F.get_json_object("actions", f"$.{name}"), f"map<string,{kind}>"))
 
 
-def with_limits(ruled: DataFrame) -> DataFrame:
-    """Amount, limits and ages that the checks compare (POL-7, POL-8)."""
-    return ruled.withColumns(
+def typed_rules(rules: DataFrame) -> DataFrame:
+    """Rules with what their JSON says as typed columns, so that it is read once for each rule and not for each item."""
+    said = lambda name, value: F.coalesce(F.get_json_object("actions", f"$.{name}") == value, F.lit(False))
+    return rules.withColumns(
         {
-            "amount": F.coalesce(F.col("amount_usd"), F.lit(0)).cast("double"),
-            "days": F.greatest(F.coalesce(F.datediff("submission_date", "expense_date"), F.lit(0)), F.lit(0)),
-            "max_limit": F.coalesce(_by_grade("nightlyCapUsdByGrade", "double"), _number("maxAmountUsd"), F.col("max_amount")),
+            "caps": _by_grade("nightlyCapUsdByGrade", "double"),
+            "cabins": _by_grade("cabinClassByGrade", "string"),
+            "most": F.coalesce(_number("maxAmountUsd"), F.col("max_amount")),
             "auto": F.coalesce(_number("autoApproveBelowUsd"), _number("autoApproveLimitUsd"), F.col("auto_limit")),
             "receipt_from": F.coalesce(_number("requireReceiptAboveUsd"), F.col("receipt_above")),
-            "never_auto": F.coalesce(F.get_json_object("actions", "$.autoApprove") == "false", F.lit(False)),
+            "never_auto": said("autoApprove", "false"),
             "grades": F.from_json(F.get_json_object("conditions", "$.gradeTiers"), "array<string>"),
-            "cabin": _by_grade("cabinClassByGrade", "string"),
             "needs_approval": F.coalesce(F.get_json_object("actions", "$.requirePreApproval") == "true", F.col("pre_approval"), F.lit(False)),
-            "prohibited": F.from_json(F.get_json_object("actions", "$.prohibitedItems"), "array<string>"),
-            "on_receipt": receipt_items(),
-            "needs_attendees": F.coalesce(F.get_json_object("actions", "$.requireAttendees") == "true", F.lit(False)),
+            "prohibited": F.transform(F.from_json(F.get_json_object("actions", "$.prohibitedItems"), "array<string>"), _alnum),
+            "needs_attendees": said("requireAttendees", "true"),
             "attendee_chars": F.coalesce(_number("minimumAttendeeTextLength"), F.lit(1)),
         }
     )
 
 
+def with_limits(ruled: DataFrame) -> DataFrame:
+    """Amount, limits and ages that the checks compare (POL-7, POL-8), of items with their ``typed_rules``."""
+    of_grade = lambda c: F.try_element_at(F.filter(c, lambda e: e["key"] == F.col("employee_grade")), F.lit(1))["value"]
+    return ruled.withColumns(
+        {
+            "amount": F.coalesce(F.col("amount_usd"), F.lit(0)).cast("double"),
+            "days": F.greatest(F.coalesce(F.datediff("submission_date", "expense_date"), F.lit(0)), F.lit(0)),
+            "max_limit": F.coalesce(of_grade("caps"), F.col("most")),
+            "cabin": of_grade("cabins"),
+            "on_receipt": F.when(F.size("prohibited") > 0, receipt_items()),
+            "never_auto": F.coalesce("never_auto", F.lit(False)),
+            "needs_approval": F.coalesce("needs_approval", F.lit(False)),
+            "needs_attendees": F.coalesce("needs_attendees", F.lit(False)),
+            "attendee_chars": F.coalesce("attendee_chars", F.lit(1)),
+        }
+    )
+
+
 def _report_id(which: int) -> Column:
     out = F.lit(OTHER_IDS[which])
     for start, ids in REPORT_IDS.items():
@@ -198,7 +216,7 @@ def evaluate_expense_policy(items: DataFrame, rules: DataFrame) -> DataFrame:
 
     checks is an array of (rule_id, passed) in the order in which they are made.
     """
-    f = with_limits(rules_as_of(items, rules))
+    f = with_limits(rules_as_of(items, typed_rules(rules)))
     missing = F.col("code").isNull()
     over_age = F.col("days") > F.col("age_limit")
     over_max = F.col("amount") > F.col("max_limit")
@@ -206,8 +224,7 @@ def evaluate_expense_policy(items: DataFrame, rules: DataFrame) -> DataFrame:
     bad_grade = (F.size("grades") > 0) & ~F.array_contains("grades", "*") & ~F.array_contains("grades", F.col("employee_grade"))
     no_receipt = (F.col("amount") > F.col("receipt_from")) & ~F.col("receipt_attached")
     no_approval = F.col("needs_approval") & ~F.coalesce("has_pre_approval", F.lit(False))
-    wanted = F.transform("prohibited", _alnum)
-    found = F.coalesce(F.arrays_overlap(wanted, "on_receipt"), F.lit(False))
+    found = F.coalesce(F.arrays_overlap("prohibited", "on_receipt"), F.lit(False))
     no_attendees = F.col("needs_attendees") & (F.length(F.trim(F.coalesce("attendees", F.lit("")))) < F.col("attendee_chars"))
     review = F.col("never_auto") | (F.col("amount") > F.coalesce("auto", F.lit(float("inf"))))
 

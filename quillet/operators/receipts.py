@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import duplicates as U
+from .blocks import cut
 from .vectors import cosine
 
 SIBLINGS, LEAST_TEXT = 12, 8
@@ -47,6 +50,11 @@ def perceptual_hashes(df: DataFrame, square: str, wide: str) -> DataFrame:
     )
 
 
+def plain_text(text: Column) -> Column:
+    """Lower case with single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+
+
 @F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, lower-cased with single blanks; null below eight characters (DUP-5)."""
@@ -60,23 +68,53 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def with_both(fp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the rows of both sides as structs a and b."""
-    mine = fp.select(F.struct(*fp.columns).alias("a"), "item_id")
-    other = fp.select(F.struct(*fp.columns).alias("b"), F.col("item_id").alias("other_id"))
-    return pairs.join(mine, "item_id").join(other, "other_id")
-
-
 def best_signals(fp: DataFrame, pairs: DataFrame) -> DataFrame:
     """item_id with its best hash and alias signal; ``fp`` has item_id, image_hash, vendor and merchant_vendor (DUP-4, DUP-7)."""
     alias = ((F.col("a.vendor") == F.col("b.vendor")) & (F.col("a.merchant_vendor") != F.col("b.merchant_vendor"))).cast("int")
-    scored = with_both(fp, pairs).select("item_id", hash_similarity(F.col("a.image_hash"), F.col("b.image_hash")).alias("hash"), alias.alias("alias"))
+    scored = U.with_both(fp, pairs).select("item_id", hash_similarity(F.col("a.image_hash"), F.col("b.image_hash")).alias("hash"), alias.alias("alias"))
     return scored.groupBy("item_id").agg(F.max("hash").alias("hash"), F.max("alias").alias("alias"))
 
 
+#: The characters that are counted one by one; all others share a count.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .-"
+
+
+def _counts(text: str) -> Column:
+    """How often a text holds each of ``_LETTERS``, and all others together."""
+    each = [F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*each, F.length(text) - sum(each, start=F.lit(0)))
+
+
+def ratio_bound(a: str, b: str) -> Column:
+    """An upper bound of the ratio of two texts (structs with n and counts): matching blocks hold no character more often than both texts do.
+
+    Counting several characters together only raises it, so a ratio is never above it.
+    """
+    shared = F.aggregate(F.zip_with(f"{a}.counts", f"{b}.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 2.0 * shared / (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def ocr_signal(fp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """item_id with the best text ratio over its candidates; ``fp`` has item_id and ocr_text (DUP-5)."""
-    return with_both(fp, pairs).select("item_id", text_ratio("a.ocr_text", "b.ocr_text").alias("r")).groupBy("item_id").agg(F.max("r").alias("ocr"))
+    """item_id with the best text ratio over its candidates; ``fp`` has item_id and ocr_text (DUP-5).
+
+    Bounds from lengths and character counts are column expressions.  Equal texts are 1 without more ado.
+    For each other item the candidate with the highest bound is compared, then only
+    those whose bound is above the best so far: no candidate that could be the best is left out, and few
+    pairs of texts reach Python.
+    """
+    texts = fp.select("item_id", plain_text(F.col("ocr_text")).alias("t")).filter(F.length("t") >= LEAST_TEXT)
+    sides = cut(texts.select("item_id", "t", F.length("t").alias("n"), _counts("t").alias("counts"), F.xxhash64("t").alias("h")))
+    narrow = sides.select("item_id", "n", "counts", "h")
+    met = U.with_both(narrow, pairs).select("item_id", "other_id", F.when(F.col("a.h") == F.col("b.h"), 1.0).otherwise(ratio_bound("a", "b")).alias("bound"))
+    bounded = cut(met)
+    compare = lambda some: U.with_both(sides.select("item_id", "t"), some.select("item_id", "other_id")).select(
+        "item_id", F.when(F.col("a.t") == F.col("b.t"), 1.0).otherwise(text_ratio("a.t", "b.t")).alias("r")
+    )
+    first = cut(compare(bounded.groupBy("item_id").agg(F.max_by("other_id", F.struct("bound", "other_id")).alias("other_id"))).withColumnRenamed("r", "best"))
+    rest = bounded.join(first.filter("best < 1"), "item_id").filter("bound > best")
+    best = first.withColumnRenamed("best", "r").unionByName(compare(rest)).groupBy("item_id").agg(F.max("r").alias("ocr"))
+    # An item whose candidates all lack a text has no ratio, but a row.
+    return pairs.select("item_id").distinct().join(best, "item_id", "left")
 
 
 _SUBSETS = [c for size in range(2, SIBLINGS + 1) for c in combinations(range(SIBLINGS), size)]
@@ -177,7 +215,8 @@ def scan_duplicates(fp: DataFrame) -> DataFrame:
         "invoice": lambda c: U.invoice_similarity("a", "b"),
     }
     names = [n for n, c, _ in PAIR_SIGNALS if c in fp.columns]
-    met = with_both(fp, U.candidate_pairs(fp))
+    carried = tuple(dict.fromkeys(c for c in fp.columns if c not in ("claim_id", "employee_id")))
+    met = U.candidate_pairs(fp, carry=carried)
     scored = met.select("item_id", "other_id", *[made[n](c).alias(n) for n, c, _ in PAIR_SIGNALS if n in names])
     best = scored.groupBy("item_id").agg(
         *[F.round(F.max(n), 6).alias(n) for n in names], F.count("*").alias("candidates"), F.min(F.when(F.col("exact") == 1, F.col("other_id"))).alias("same_id")
@@ -200,7 +239,39 @@ def scan_duplicates(fp: DataFrame) -> DataFrame:
     return out.withColumn("verdict", U.verdict_name(F.col("score"))).drop("same_id", "cross_id", "parts")
 
 
-def embedding_signal(fp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """item_id with its best cosine over its candidates; ``fp`` has item_id and embedding (DUP-6)."""
-    scored = with_both(fp, pairs).filter("a.embedding IS NOT NULL AND b.embedding IS NOT NULL").select("item_id", cosine(F.col("a.embedding"), F.col("b.embedding")).alias("c"))
-    return scored.groupBy("item_id").agg(F.max("c").alias("embedding"))
+#: Receipts of a block: blocks, not receipts, meet.
+BLOCK_ROWS = 1_024
+
+
+def embedding_signal(fp: DataFrame, days: int = U.WINDOW_DAYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """item_id with its best cosine over its candidates of DUP-1; ``fp`` has item_id, claim_id, vendor, expense_date and embedding (DUP-6).
+
+    The receipts of a vendor and a span of days are packed into blocks of bounded size, blocks of
+    neighbouring spans are joined, and each pair of blocks is one matrix product: no pair of receipts is a
+    row.  A product keeps its receipts' best, and Spark takes the best of all.
+    """
+    key = [c for c in fp.columns if c == "tenant"] + ["vendor"]
+    day = F.datediff("expense_date", F.lit("1970-01-01"))
+    held = fp.filter("embedding IS NOT NULL AND item_id IS NOT NULL AND claim_id IS NOT NULL").select("item_id", "claim_id", *key, day.alias("day"), F.floor(day / (days + 1)).alias("span"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    sizes = held.groupBy(*key, "span").agg(F.ceil(F.count("*") / block_rows).alias("_parts"))
+    dealt = held.join(sizes, [*key, "span"]).withColumn("_part", F.pmod(F.xxhash64("item_id"), F.col("_parts")))
+    rows = F.sort_array(F.collect_list(F.struct("item_id", "claim_id", "day", "v")))
+    blocks = cut(dealt.groupBy(*key, "span", "_part").agg(rows.alias("rows")))
+    beside = F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span")
+    met = blocks.select(*key, "span", F.col("rows").alias("a")).join(blocks.select(*key, F.col("rows").alias("b"), beside), [*key, "span"]).select("a", "b")
+
+    def block(rows: pa.Scalar) -> tuple[np.ndarray, ...]:
+        r = rows.values
+        v = np.stack(r.field("v").to_numpy(zero_copy_only=False))
+        return (*(r.field(c).to_numpy() for c in ("item_id", "claim_id", "day")), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                (i, ci, di, v), (j, cj, dj, w) = block(a), block(b)
+                near = (j[None, :] < i[:, None]) & (cj[None, :] != ci[:, None]) & (np.abs(dj[None, :] - di[:, None]) <= days)
+                best = np.where(near, np.clip(v @ w.T, -1, 1), -2.0).max(1)
+                there = near.any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(i[there]), pa.array(best[there])], ["item_id", "c"])
+
+    return met.mapInArrow(products, "item_id long, c double").groupBy("item_id").agg(F.max("c").alias("embedding"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from ..operators import fraud, knowledge, library, lifecycle, neighbours, parsin
 from ..operators import retrieval
 from ..operators import retrieval as R
 from ..operators import vectors as V
-from ..sources import tables
+from ..operators.blocks import shared_folder
+from ..sources import keyed, tables
 from ..streaming import jobs
 from . import oracle
 from .knowledge import line_id
@@ -52,16 +56,14 @@ SQL["src_03_decode"] = "SELECT doc_id, md5(text) AS digest FROM documents"
 
 
 def src_08_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each text as quoted cells of three rows, one of them blank."""
-    cells = F.transform(F.slice(F.split("text", " "), 1, 4), lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"')))
-    lines = F.concat_ws("\n", F.array_join(cells, ","), F.lit(" , "), F.concat(F.lit("n,"), F.col("n_chars").cast("string")))
-    docs = _load(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"^(\S* ){0,3}\S*\n"))
-    return docs.select("doc_id", parsing.csv_to_text(lines).alias("t")).select("doc_id", _digest("t"))
+    """Each line of a text as a quoted cell with its number, and a blank row in the end."""
+    rows = F.transform(F.split("text", "\n", -1), lambda x, k: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('",'), k.cast("string")))
+    lines = F.concat(F.array_join(rows, "\n"), F.lit("\n , \n"))
+    return _load(spark, sf_dir, "documents").select("doc_id", parsing.csv_to_text(lines).alias("t")).select("doc_id", _digest("t"))
 
 
 SQL["src_08_csv"] = r"""
-SELECT doc_id, md5(array_to_string([trim(w) FOR w IN string_split(text, ' ')[1:4]], chr(9)) || chr(10) || 'n' || chr(9) || n_chars) AS digest
-FROM documents WHERE NOT regexp_matches(text, '^(\S* ){0,3}\S*\n')"""
+SELECT doc_id, md5(array_to_string([regexp_replace(x, '^\s+|\s+$', '', 'g') || chr(9) || (k - 1) FOR x, k IN string_split(text, chr(10))], chr(10))) AS digest FROM documents"""
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +79,22 @@ _STORED = """stored AS (
          'spec' || (vec_id % 3) AS spec, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings)"""
 
 
+def _keyed(rows: DataFrame) -> str:
+    path = f"{shared_folder(rows.sparkSession)}/keyed-{uuid.uuid4().hex}"
+    keyed.create(rows, path, buckets=8)
+    return path
+
+
 def src_09_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of the vectors stored, those of one spec replaced or added; a batch with a fault would add rows to the result."""
+    """A keyed table of two thirds of the vectors; those of one spec are replaced or added, and two bad batches are refused."""
     stored = _stored(spark, sf_dir)
+    path = _keyed(stored.filter("chunk_id % 4 <> 0"))
     batch = stored.filter("spec = 'spec1'").withColumn("first", F.col("first") + 1)
-    out = D.upsert_embeddings(stored.filter("chunk_id % 4 <> 0"), batch)
-    faults = D.check_batch(batch).select(F.col("fault").alias("tenant"), F.col("n").alias("chunk_id"), F.lit(None).cast("string").alias("spec"), F.lit(None).cast("double").alias("first"))
-    return out.select("tenant", "chunk_id", "spec", F.round("first", 5).alias("first")).unionByName(faults)
+    keyed.upsert(batch, path)
+    for bad in (stored, batch.unionByName(batch)):  # several specs; every key twice
+        with contextlib.suppress(keyed.BadBatch):
+            keyed.upsert(bad.withColumn("first", F.lit(0.0)), path)
+    return keyed.read(spark, path).select("tenant", "chunk_id", "spec", F.round("first", 5).alias("first"))
 
 
 SQL["src_09_upsert"] = f"""WITH {_STORED}
@@ -94,10 +105,12 @@ SELECT tenant, chunk_id, spec, round(CASE WHEN spec = 'spec1' THEN first + 1 ELS
 def src_10_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of every fifth document gone, those of the next ones of one spec alone; a second run changes nothing."""
     stored = _stored(spark, sf_dir)
+    path = _keyed(stored)
     gone = stored.filter("doc_id % 5 = 0").select("tenant", "doc_id")
-    left = D.delete_by_document(D.delete_by_document(stored, gone), gone)
-    left = D.delete_by_document(left, stored.filter("doc_id % 5 = 1").select("tenant", "doc_id"), "spec2")
-    return left.select("tenant", "chunk_id", "spec")
+    for _ in range(2):
+        keyed.delete(spark, path, gone)
+    keyed.delete(spark, path, stored.filter("doc_id % 5 = 1").select("tenant", "doc_id"), spec="spec2")
+    return keyed.read(spark, path).select("tenant", "chunk_id", "spec")
 
 
 SQL["src_10_delete"] = f"WITH {_STORED} SELECT tenant, chunk_id, spec FROM stored WHERE doc_id % 5 <> 0 AND NOT (doc_id % 5 = 1 AND spec = 'spec2')"
@@ -393,21 +406,20 @@ def dup_06_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
     n = e.count()
     with_vectors = fp.join(e, F.col("item_id") % n == F.col("_v"), "left").select("item_id", "claim_id", "vendor", "expense_date", "embedding")
-    pairs = U.candidate_pairs(with_vectors).filter("item_id % 3 = 0 AND other_id % 3 = 0")
-    return receipts.embedding_signal(with_vectors, pairs).withColumn("embedding", F.round("embedding", 5))
+    return receipts.embedding_signal(with_vectors).withColumn("embedding", F.round("embedding", 5))
 
 
 SQL["dup_06_embedding"] = f"""WITH fp0 AS ({_FP}), fp AS (SELECT item_id, claim_id, {_VENDOR} AS vendor, expense_date, CAST(e.embedding AS DOUBLE[]) AS v
-  FROM fp0 LEFT JOIN embeddings e ON item_id % (SELECT count(*) FROM embeddings) = e.vec_id WHERE item_id % 3 = 0)
+  FROM fp0 LEFT JOIN embeddings e ON item_id % (SELECT count(*) FROM embeddings) = e.vec_id)
 SELECT a.item_id, round(max(list_cosine_similarity(a.v, b.v)), 5) AS embedding FROM fp a
   JOIN fp b ON a.vendor = b.vendor AND abs(a.expense_date - b.expense_date) <= 7
   AND b.item_id < a.item_id AND a.claim_id <> b.claim_id WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.item_id"""
 
 
 def dup_05_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of one day with a text made of their fields."""
+    """Candidates with a text made of their fields."""
     fp = U.with_keys(tables.fingerprints(spark, sf_dir)).select("item_id", "claim_id", "vendor", "expense_date", F.concat_ws(" ", "vendor", "category", F.col("amount_usd").cast("string"), "invoice_number").alias("ocr_text"))
-    return receipts.ocr_signal(fp, U.candidate_pairs(fp, days=0)).withColumn("ocr", F.round("ocr", 6))
+    return receipts.ocr_signal(fp, U.candidate_pairs(fp)).withColumn("ocr", F.round("ocr", 6))
 
 
 # Policy

@@ -63,7 +63,7 @@ def _travel_sql() -> str:
 
 def lif_10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.search_claims(
-        _claims(spark, sf_dir), tables.expense_items(spark, sf_dir), statuses=["Approved", "Manager_Review"], category="Meals", date_from="2026-02-01", date_to="2026-04-30"
+        _claims(spark, sf_dir), tables.expense_items(spark, sf_dir), statuses=["Approved", "Manager_Review"], reviewer=3, category="Meals", date_from="2026-02-01", date_to="2026-04-30"
     )
     return found.select("claim_id", "employee_id", "submission_date", "status")
 
@@ -113,9 +113,19 @@ def lif_17_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(
+        "event_id", F.col("event_type").alias("action"), F.when(F.col("user_id") % 2 == 0, "claim").otherwise("expense_item").alias("entity_type"), F.col("user_id").alias("entity_id"),
+        (F.col("event_id") % 10).alias("actor"), F.concat(F.lit("req-"), (F.col("event_id") % 7).cast("string")).alias("correlation_id"), F.col("ts").alias("occurred_at"),
+    )
+
+
 def aud_01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("action"), F.col("user_id").alias("entity_id"), (F.col("event_id") % 10).alias("actor"), F.col("ts").alias("occurred_at"))
-    return C.search_audit(logs, actions=["error", "purchase"], actor=3)
+    return C.search_audit(_logs(spark, sf_dir), entity_type="claim", actions=["error", "purchase"], actor=3, correlation_id="req-2")
+
+
+def aud_01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.count_audit(_logs(spark, sf_dir))
 
 
 def aud_03_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +134,25 @@ def aud_03_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.audit_changes(_events(spark, sf_dir).select("event_id", F.lag("props").over(w).alias("before"), F.col("props").alias("after")))
 
 
-def aud_04_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _events(spark, sf_dir).select(
+def _inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(
+        F.col("event_id").alias("run_id"), F.col("user_id").alias("claim_id"), (F.col("event_id") % 1000).alias("item_id"), F.col("ts").alias("created_at"),
         F.col("event_type").alias("operation"), F.when(F.col("value") > 100, "SLOW").otherwise("OK").alias("status"),
         F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.floor("value").cast("long").alias("latency_ms"),
     )
-    return C.inference_summary(runs)
+
+
+def aud_04_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.inference_summary(_inference(spark, sf_dir))
+
+
+def aud_04_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest runs of each claim, item and operation, and those of one claim."""
+    runs, out = _inference(spark, sf_dir), None
+    for name, n in (("claim_id", 5), ("item_id", 3), ("operation", 20)):
+        one = C.newest_inference(runs, [name], n).select(F.lit(name).alias("list"), "run_id", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(C.recent_inference(runs, claim_id=7, operation="error", limit=10).select(F.lit("of 7").alias("list"), "run_id", F.lit(0).alias("rank")))
 
 
 def aud_06_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +215,7 @@ def sub_09_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "pol_14_travel": _travel_sql(),
     "lif_10_search": f"""WITH {_ITEMS}, {_CLAIMS} SELECT claim_id, employee_id, submission_date, status FROM claims c
-      WHERE status IN ('Approved', 'Manager_Review')
+      WHERE status IN ('Approved', 'Manager_Review') AND reviewer_id = 3
         AND EXISTS (FROM items i WHERE i.claim_id = c.claim_id AND category = 'Meals') AND EXISTS (FROM items i
           WHERE i.claim_id = c.claim_id AND expense_date >= DATE '2026-02-01')
         AND EXISTS (FROM items i WHERE i.claim_id = c.claim_id AND expense_date <= DATE '2026-04-30')""",
@@ -221,8 +244,16 @@ SQL = {
         SELECT o_orderkey AS claim_id, item_ids, moves, comments, files, risk_level, is_flagged FROM orders LEFT JOIN i ON i.claim_id = o_orderkey
           LEFT JOIN h ON h.claim_id = o_orderkey
         LEFT JOIN c ON c.claim_id = o_orderkey LEFT JOIN f ON f.claim_id = o_orderkey LEFT JOIN v ON v.claim_id = o_orderkey""",
-    "aud_01_search": """SELECT event_id, event_type AS action, user_id AS entity_id, event_id % 10 AS actor, ts AS occurred_at FROM events
-      WHERE event_type IN ('error', 'purchase') AND event_id % 10 = 3""",
+    "aud_01_search": """SELECT event_id, event_type AS action, 'claim' AS entity_type, user_id AS entity_id, event_id % 10 AS actor, 'req-2' AS correlation_id, ts AS occurred_at FROM events
+      WHERE event_type IN ('error', 'purchase') AND event_id % 10 = 3 AND user_id % 2 = 0 AND event_id % 7 = 2""",
+    "aud_01_counts": """SELECT CASE WHEN user_id % 2 = 0 THEN 'claim' ELSE 'expense_item' END AS entity_type, user_id AS entity_id, count(*) AS entries, min(ts) AS first, max(ts) AS last
+      FROM events GROUP BY ALL""",
+    "aud_04_recent": """WITH r AS (SELECT event_id AS run_id, user_id AS claim_id, event_id % 1000 AS item_id, event_type AS operation, ts FROM events),
+      a AS (SELECT 'claim_id' AS list, run_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY ts DESC, run_id DESC) AS INT) AS rank FROM r QUALIFY rank <= 5),
+      b AS (SELECT 'item_id' AS list, run_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, run_id DESC) AS INT) AS rank FROM r QUALIFY rank <= 3),
+      c AS (SELECT 'operation' AS list, run_id, CAST(row_number() OVER (PARTITION BY operation ORDER BY ts DESC, run_id DESC) AS INT) AS rank FROM r QUALIFY rank <= 20),
+      d AS (SELECT 'of 7' AS list, run_id, 0 AS rank FROM r WHERE claim_id = 7 AND operation = 'error' ORDER BY ts DESC, run_id DESC LIMIT 10)
+      FROM a UNION ALL FROM b UNION ALL FROM c UNION ALL FROM d""",
     "aud_03_changes": """WITH e AS (SELECT event_id, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, props AS a FROM events)
         SELECT event_id, 'k' AS field, b ->> '$.k' AS old, a ->> '$.k' AS new FROM e WHERE (b ->> '$.k') IS DISTINCT FROM (a ->> '$.k')""",
     "aud_04_inference": """SELECT event_type AS operation, CASE WHEN value > 100 THEN 'SLOW' ELSE 'OK' END AS status,
@@ -263,5 +294,5 @@ SQL = {
 
 QUERIES = (
     pol_14_travel, lif_10_search, lif_11_scope, lif_12_queue, lif_13_workflow, lif_14_finance_rejected, lif_16_tabs, lif_17_documents,
-    aud_01_search, aud_03_changes, aud_04_inference, aud_06_spans, sub_03_validate, sub_04_stale, sub_05_custom_fields, sub_06_classification, sub_08_text, sub_09_outside,
+    aud_01_search, aud_01_counts, aud_03_changes, aud_04_inference, aud_04_recent, aud_06_spans, sub_03_validate, sub_04_stale, sub_05_custom_fields, sub_06_classification, sub_08_text, sub_09_outside,
 )

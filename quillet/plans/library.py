@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chains, receipts
 from ..operators import duplicates as U
 from ..operators import library as L
-from ..operators import receipts
 from ..sources import tables
 from .oracle import _FP, _ITEMS, _PAIRS, _VENDOR
 
@@ -21,7 +21,7 @@ def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dup_04_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP-4 and DUP-7 over the candidates of DUP-1."""
     fp = _receipts(spark, sf_dir).select("item_id", "claim_id", "vendor", "merchant_vendor", "expense_date", "image_hash")
-    return receipts.best_signals(fp, U.candidate_pairs(fp))
+    return receipts.best_signals(fp, U.candidate_pairs(fp, carry=("vendor", "merchant_vendor", "image_hash")))
 
 
 def dup_10_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,14 @@ _DOCS = """docs AS (SELECT doc_id, lang AS tenant, source AS title, CASE WHEN do
     WHEN doc_id % 4 > 0 THEN DATE '2026-01-01' + CAST(doc_id % 200 AS INTEGER) END AS t, n_chars FROM documents)"""
 
 
+_SUPERSEDES = """CASE WHEN doc_id % 300 = 0 THEN NULL WHEN doc_id % 97 = 5 THEN doc_id + 1000000000 WHEN doc_id % 129 = 7 THEN doc_id + 4
+  ELSE doc_id - 1 END"""
+
+
 def doc_03_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.version_chain(_documents(spark, sf_dir)).select("doc_id", "place", "length")
+    """Chains across titles, with links to documents that are not there and with cycles."""
+    docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.expr(_SUPERSEDES).alias("supersedes_id"))
+    return chains.version_chains(docs)
 
 
 def doc_04_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +74,23 @@ def doc_06_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "strategy", "category")
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "view", "SKIPPED_DUPLICATE").otherwise("INDEXED")
+    return tables.load(spark, sf_dir, "events").select(
+        F.col("event_id").alias("run_id"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("tenant"), F.col("user_id").alias("doc_id"),
+        status.alias("status"), F.col("ts").alias("started_at"), F.col("event_id").alias("finished_at"),
+    )
+
+
 def doc_09_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = tables.load(spark, sf_dir, "events").select(
-        F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "view", "SKIPPED_DUPLICATE").otherwise("INDEXED").alias("status"), F.col("event_id").alias("finished_at")
-    )
-    return L.ingestion_summary(runs)
+    return L.ingestion_summary(_runs(spark, sf_dir))
+
+
+def doc_09_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest failed runs of a tenant, and the three newest of each document."""
+    runs = _runs(spark, sf_dir)
+    failed = L.recent_runs(runs, "t1", status="FAILED", limit=50).select(F.lit("failed").alias("list"), "run_id", "doc_id", F.lit(0).alias("rank"))
+    return failed.unionByName(L.runs_of_documents(runs, 3).select(F.lit("document").alias("list"), "run_id", "doc_id", "rank"))
 
 
 def doc_10_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +172,22 @@ SQL = {
             AND b.item_id <> a.item_id GROUP BY a.item_id HAVING count(*) > 1),
         {_SETS}, {_HIT}
         SELECT item_id, array_to_string([ids[k] FOR k IN ks], ',') AS parts FROM hit""",
-    "doc_03_chain": f"""WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY tenant, title ORDER BY doc_id) AS INT) AS place,
-      count(*) OVER (PARTITION BY tenant, title) AS length FROM docs""",
+    "doc_03_chain": f"""WITH RECURSIVE l AS (SELECT doc_id, {_SUPERSEDES} AS up FROM documents),
+      s AS (SELECT l.doc_id, d.doc_id AS up FROM l LEFT JOIN documents d ON d.doc_id = l.up),
+      c AS (SELECT doc_id, doc_id AS here, [doc_id] AS seen FROM s
+        UNION ALL SELECT c.doc_id, s.up, list_append(seen, s.up) FROM c JOIN s ON s.doc_id = c.here WHERE s.up IS NOT NULL AND NOT list_contains(seen, s.up))
+      SELECT c.doc_id, CAST(max(len(seen)) AS BIGINT) AS place, arg_max(here, len(seen)) AS oldest, arg_max(s.up IS NOT NULL, len(seen)) AS cyclic
+      FROM c JOIN s ON s.doc_id = c.here GROUP BY c.doc_id""",
     "doc_04_search": f"""WITH {_DOCS} SELECT doc_id, status FROM docs
       WHERE status = 'INDEXED' AND tenant = 'en' AND coalesce(f <= DATE '2026-03-01', true) AND coalesce(t >= DATE '2026-03-01', true)""",
     "doc_06_profile": """SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'HYBRID' WHEN n_chars > 300 THEN 'RECURSIVE' ELSE 'TOKEN' END AS strategy, CASE
       WHEN n_chars > 1000 THEN 'policy' WHEN n_chars > 300 THEN 'note' ELSE 'general' END AS category FROM documents""",
     "doc_09_ledger": """WITH r AS (SELECT CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'SKIPPED_DUPLICATE' ELSE 'INDEXED' END AS status, event_id
       FROM events) SELECT status, count(*) AS runs, max(event_id) AS last, status <> 'FAILED' AS succeeded FROM r GROUP BY status""",
+    "doc_09_recent": """WITH r AS (SELECT event_id AS run_id, 't' || event_id % 3 AS tenant, user_id AS doc_id, event_type, ts FROM events),
+      f AS (SELECT 'failed' AS list, run_id, doc_id, 0 AS rank FROM r WHERE tenant = 't1' AND event_type = 'error' ORDER BY ts DESC, run_id LIMIT 50)
+      SELECT * FROM f UNION ALL SELECT 'document', run_id, doc_id, CAST(row_number() OVER (PARTITION BY tenant, doc_id ORDER BY ts DESC, run_id) AS INT) AS rank FROM r
+      QUALIFY rank <= 3""",
     "doc_10_filters": f"""WITH {_DOCS} SELECT doc_id FROM docs
       WHERE tenant IN ('en', 'de') AND NOT coalesce(n_chars > 300 AND n_chars <= 1000, false) AND f IS NOT NULL AND n_chars > 500 AND contains(lower(title), 'rc1')""",
     "emb_10_check": """WITH v AS (SELECT vec_id, label % 2 AS odd, CASE WHEN vec_id % 50 = 0 THEN embedding[1:60] ELSE embedding END AS e FROM embeddings),
@@ -184,4 +210,4 @@ SQL = {
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS LAST) AS INT) AS place, page, md5(t) AS digest, coalesce('s' || s, 'top') AS hint
           FROM g""",
 }
-QUERIES = (dup_04_signals, dup_10_multi, dup_13_scan, doc_03_chain, doc_04_search, doc_06_profile, doc_09_ledger, doc_10_filters, emb_10_check, emb_11_usage, pol_15_pages)
+QUERIES = (dup_04_signals, dup_10_multi, dup_13_scan, doc_03_chain, doc_04_search, doc_06_profile, doc_09_ledger, doc_09_recent, doc_10_filters, emb_10_check, emb_11_usage, pol_15_pages)

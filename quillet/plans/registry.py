@@ -38,12 +38,12 @@ def pol_02_rules_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pol_07_check_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = policy.with_limits(policy.rules_as_of(tables.expense_items(spark, sf_dir), policy.seed_rules(spark)))
+    f = policy.with_limits(policy.rules_as_of(tables.expense_items(spark, sf_dir), policy.typed_rules(policy.seed_rules(spark))))
     return f.select("item_id", "days", (F.col("days") > F.col("age_limit")).alias("over_age"))
 
 
 def pol_08_check_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = policy.with_limits(policy.rules_as_of(tables.expense_items(spark, sf_dir), policy.seed_rules(spark)))
+    f = policy.with_limits(policy.rules_as_of(tables.expense_items(spark, sf_dir), policy.typed_rules(policy.seed_rules(spark))))
     return f.select("item_id", "max_limit", "auto", (F.col("amount") > F.col("max_limit")).alias("over_max"), (F.col("amount") > F.col("auto")).alias("over_auto"))
 
 
@@ -126,7 +126,7 @@ def dup_01_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dup_12_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP-2, DUP-8 and DUP-12 over the candidates of DUP-1."""
     fp = U.with_keys(tables.fingerprints(spark, sf_dir)).select("item_id", "claim_id", "vendor", "expense_date", "amount_usd", "invoice_number", "checksum")
-    return U.verdict(U.pair_signals(fp, U.candidate_pairs(fp)))
+    return U.verdict(U.pair_signals(fp, U.candidate_pairs(fp, carry=U.SIGNAL_COLUMNS)))
 
 
 def dup_09_cross_employee(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Small cases of receipt signals, filters and candidate rules, the split search by brute force, and the transition stream."""
 
+from datetime import date, timedelta
+from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,10 +65,46 @@ def test_clean_sections_and_language(spark):
     assert {r.doc_id: r.language for r in D.document_language(sections).collect()} == {1: "en", 2: "de", 3: None}
 
 
-def test_embedding_signal(spark):
-    fp = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None)], "item_id long, embedding array<double>")
-    pairs = spark.createDataFrame([(1, 2), (3, 1)], "item_id long, other_id long")
-    assert [(r.item_id, round(r.embedding, 6)) for r in receipts.embedding_signal(fp, pairs).collect()] == [(1, 0.6)]
+@pytest.mark.parametrize("block_rows", [1024, 3])
+def test_embedding_signal(spark, block_rows):
+    """Blocks of receipts against the cosines of all candidate pairs; a vendor with most of the receipts."""
+    rng = np.random.default_rng(4)
+    first = date(2026, 1, 1)
+    rows = [(k, int(rng.integers(30)), "hot" if k % 3 else f"v{k % 5}", first + timedelta(int(rng.integers(40))), None if k % 17 == 0 else [float(x) for x in rng.normal(size=6)]) for k in range(160)]
+    rows += [(900, None, "hot", first, [1.0] * 6), (901, 1, None, first, [1.0] * 6), (902, 1, "hot", None, [1.0] * 6), (903, 77, "hot", first, [0.0] * 6)]
+    fp = spark.createDataFrame(rows, "item_id long, claim_id long, vendor string, expense_date date, embedding array<double>").repartition(3)
+    known, want = {r[0]: r for r in rows}, {}
+    for r in U.candidate_pairs(fp).collect():
+        a, b = known[r.item_id][4], known[r.other_id][4]
+        if a and b:
+            n = np.linalg.norm(a) * np.linalg.norm(b)
+            want[r.item_id] = max(want.get(r.item_id, -2.0), float(np.dot(a, b) / n) if n else 0.0)
+    got = {r.item_id: r.embedding for r in receipts.embedding_signal(fp, block_rows=block_rows).collect()}
+    assert got == pytest.approx(want) and len(want) > 50
+    plan = receipts.embedding_signal(fp)._jdf.queryExecution().executedPlan().toString()
+    assert "item_id, other_id" not in plan
+
+
+def test_ocr_bounds_never_lose_the_best(spark):
+    """The best ratio of every item over all its candidates, though few pairs are compared."""
+    rng = np.random.default_rng(6)
+    words = "receipt taxi hotel total amount paid card cash invoice number date city ride night".split()
+    texts = {k: " ".join(rng.choice(words, int(rng.integers(0, 9)))) + rng.choice(["", " É 12", "  X", "\t1.50"]) for k in range(120)}
+    texts[7] = texts[3].upper() if len(texts[3]) > 8 else "a receipt of its own"
+    fp = spark.createDataFrame([*texts.items(), (500, None)], "item_id long, ocr_text string")
+    every = [(a, b) for a in texts for b in texts if b < a and (a - b) < 30] + [(500, 1)]
+    want: dict = {}
+    plain = lambda t: " ".join((t or "").lower().split())
+    for a, b in every:
+        x, y = plain(texts.get(a)), plain(texts[b])
+        r = None if min(len(x), len(y)) < receipts.LEAST_TEXT else SequenceMatcher(None, x, y, autojunk=False).ratio()
+        want[a] = max((v for v in (want.get(a), r) if v is not None), default=None)
+    pairs = spark.createDataFrame(every, "item_id long, other_id long")
+    assert {r.item_id: r.ocr for r in receipts.ocr_signal(fp, pairs).collect()} == pytest.approx(want)
+    sides = fp.select("item_id", receipts.plain_text(F.col("ocr_text")).alias("t")).filter(F.length("t") > 0)
+    sides = sides.select("item_id", "t", F.length("t").alias("n"), receipts._counts("t").alias("counts"))
+    both = U.with_both(sides, pairs).select("a.t", F.col("b.t").alias("u"), receipts.ratio_bound("a", "b").alias("bound"))
+    assert all(SequenceMatcher(None, r.t, r.u, autojunk=False).ratio() <= r.bound + 1e-12 for r in both.collect())
 
 
 def test_verdict_of_a_hot_vendor(spark):
