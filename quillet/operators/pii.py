@@ -85,11 +85,12 @@ def findings(text: str | None) -> list[dict]:
     return sorted(out, key=lambda f: f["start"])
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, found: list[dict] | None = None) -> str | None:
+    """The text with its findings (``found``, if they are known) replaced by their kinds."""
     if not text:
         return text
     parts, at = [], 0
-    for f in findings(text):
+    for f in findings(text) if found is None else found:
         parts += [text[at : f["start"]], f"[REDACTED:{f['kind']}]"]
         at = f["end"]
     return "".join(parts) + text[at:]
@@ -100,9 +101,19 @@ def pii_findings(text: pd.Series) -> pd.Series:
     return text.map(findings)
 
 
-@F.pandas_udf(T.StringType())
-def mask_pii(text: pd.Series) -> pd.Series:
-    return text.map(redacted)
+def _kinds_and_text(masked_too: bool):
+    """A scan of each text, once: its kinds, in order, and the text, masked or not.
+
+    Said to be nondeterministic, so that a filter on the kinds is not pushed below it and made to scan again.
+    """
+
+    @F.pandas_udf("kinds array<string>, text string")
+    def run(text: pd.Series) -> pd.DataFrame:
+        found = [findings(t) for t in text]
+        kinds = [sorted({f["kind"] for f in fs}) for fs in found]
+        return pd.DataFrame({"kinds": kinds, "text": [redacted(t, fs) if masked_too else t for t, fs in zip(text, found, strict=True)]})
+
+    return run.asNondeterministic()
 
 
 def scan_pii(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
@@ -114,10 +125,9 @@ def apply_pii_policy(df: DataFrame, mode: str, always: tuple[str, ...] = (), col
     """(kept, rejected): TAG adds the kinds, MASK also replaces values, REJECT refuses any; kinds in ``always`` are refused in every mode (TXT-15)."""
     if mode not in ("TAG", "MASK", "REJECT"):
         raise ValueError(f"unknown mode {mode}")
-    tagged = df.withColumn("pii_kinds", F.array_sort(F.array_distinct(F.transform(pii_findings(col), lambda f: f["kind"]))))
+    scanned = df.withColumn("_s", _kinds_and_text(mode == "MASK")(col)).withColumn("pii_kinds", F.col("_s.kinds"))
     refused = F.arrays_overlap("pii_kinds", F.array(*map(F.lit, always)).cast("array<string>")) | (F.lit(mode == "REJECT") & (F.size("pii_kinds") > 0))
-    kept = tagged.filter(~refused)
-    return (kept.withColumn(col, mask_pii(col)) if mode == "MASK" else kept), tagged.filter(refused)
+    return scanned.filter(~refused).withColumn(col, F.col("_s.text")).drop("_s"), scanned.filter(refused).drop("_s")
 
 
 def pii_summary(found: DataFrame, key: str = "doc_id") -> DataFrame:

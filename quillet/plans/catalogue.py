@@ -46,13 +46,15 @@ def src_02_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_03_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as UTF-8, with a mark for every other one, and read back."""
-    docs = _load(spark, sf_dir, "documents")
-    mark = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
-    return docs.select("doc_id", parsing.decode_text(F.concat(mark, F.encode("text", "UTF-8"))).alias("t")).select("doc_id", _digest("t"))
+    """Texts written as UTF-8 with and without a mark, in one byte a character, and so with a byte that code page 1252 lacks, and read back."""
+    docs = _load(spark, sf_dir, "documents").withColumn("one", F.when(F.col("text").rlike("^[\\x00-\\x7F\\xA0-\\xFF]*$"), F.col("doc_id") % 4).otherwise(F.col("doc_id") % 2))
+    utf8, narrow = F.encode("text", "UTF-8"), F.when(F.col("one") > 1, F.encode(F.when(F.col("one") > 1, F.col("text")).otherwise(""), "ISO-8859-1"))
+    raw = F.when(F.col("one") == 0, utf8).when(F.col("one") == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(F.col("one") == 2, narrow).otherwise(F.concat(narrow, F.unhex(F.lit("81"))))
+    return docs.select("doc_id", parsing.decode_text(raw).alias("t")).select("doc_id", _digest("t"))
 
 
-SQL["src_03_decode"] = "SELECT doc_id, md5(text) AS digest FROM documents"
+SQL["src_03_decode"] = r"""SELECT doc_id, md5(text || CASE WHEN doc_id % 4 = 3 AND regexp_full_match(text, '[\x{0}-\x{7F}\x{A0}-\x{FF}]*', 's') THEN chr(129) ELSE '' END) AS digest
+FROM documents"""
 
 
 def src_08_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,10 +297,10 @@ SELECT doc_id, unnest(range(0, len(list_filter(string_split(text, chr(10)), lamb
 
 
 def ret_11_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of documents that share a number with a question, ranked by id."""
-    asked = _load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k"))
-    docs = _library(spark, sf_dir)
-    hits = docs.select("doc_id", (F.col("doc_id") % 40).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
+    """Each document's places answer the question of its number among the questions, ranked by id."""
+    asked = _load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("k"))
+    docs, n = _library(spark, sf_dir), asked.agg(F.max("k") + 1).first()[0]
+    hits = docs.select("doc_id", (F.col("doc_id") % n).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
     ranked = asked.join(hits, "k").select(
         "query_id", "doc_id", F.when(F.col("n") > 1, F.concat(F.lit("s"), F.floor(F.col("n") / 2).cast("string"))).otherwise("").alias("section"),
         F.col("n").alias("page"), (F.col("doc_id") * 4 + F.col("n")).alias("final_rank"),
@@ -308,7 +310,7 @@ def ret_11_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["ret_11_citations"] = f"""WITH {_LIBRARY}, hits AS (SELECT item_id AS query_id, doc_id, title, version, n, CASE
   WHEN n > 1 THEN 's' || (n // 2) ELSE '' END AS section, doc_id * 4 + n AS r
-  FROM benchmark JOIN docs ON doc_id % 40 = item_id % 40, unnest(range(0, 4)) AS t(n)),
+  FROM benchmark JOIN docs ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id, unnest(range(0, 4)) AS t(n)),
 once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, section ORDER BY r) = 1)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INT) AS citation, doc_id, section,
        concat_ws(', ', title, 'v' || version, CASE WHEN section <> '' THEN section END, 'p. ' || n) AS label FROM once"""

@@ -33,6 +33,22 @@ def test_splits_by_brute_force(spark):
     assert got == want and want
 
 
+def test_subsets_by_brute_force():
+    """Sums of halves against all subsets: equal amounts, zeros, empty slots, negative amounts, targets a cent off."""
+    rng = np.random.default_rng(8)
+    n = receipts.SIBLINGS
+    cents = np.concatenate([rng.integers(-5, 8, (60, n)), rng.integers(1, 4, (20, n)), np.zeros((5, n), np.int64), rng.integers(0, 10**12, (40, n))])
+    held = np.arange(n) < rng.integers(0, n + 1, len(cents))[:, None]
+    cents = np.where(held, cents, 0)
+    targets = np.array([int(c[rng.permutation(n)[:3]].sum()) + int(rng.integers(-2, 3)) for c in cents])
+    want = []
+    for c, t, h in zip(cents, targets, held, strict=True):
+        fits = (k for k, some in enumerate(receipts._SUBSETS) if all(h[j] for j in some) and abs(int(sum(c[j] for j in some)) - t) <= 1)
+        want.append(next(fits, -1))
+    assert list(receipts.subsets(cents, targets, held)) == want and -1 in want and max(want) > 100
+    assert list(receipts.subsets(cents[:0], targets[:0], held[:0])) == []
+
+
 def test_near_duplicate(spark):
     df = spark.createDataFrame([(1, 0.9, None), (0, 0.9, 0.5), (0, 0.5, None), (None, None, None)], "exact int, hash double, invoice double")
     assert [r.near for r in receipts.near_duplicate(df, ["hash", "invoice"]).collect()] == [None, 0.9, 0.0, None]
