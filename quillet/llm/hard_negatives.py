@@ -12,10 +12,10 @@ the block.  Rows whose bounds leave every window, or fall behind the
 exact.  Bounds are compared strictly, so rows that tie are never lost.  All arithmetic is
 exact: 64-bit integers, or doubles where every sum stays below 2^53.
 
-Anchors are packed, too, and Spark joins the two kinds of blocks on a grid of keys: a
+Anchors are packed, too, and Spark cogroups the two kinds of blocks on a grid of keys: a
 block of vectors goes to every block of anchors, which is copied once a group of
-vector blocks.  Neither driver nor task holds all anchors or all vectors.  Each pair of blocks
-gives ``k`` rows an anchor and window at most, of which the first are taken by rank.
+vector blocks.  Neither driver nor task holds all anchors or all vectors.  Each cell of the grid, however many
+blocks it holds, gives ``k`` rows an anchor and window at most, of which the first are taken by rank.
 
 Edge cases: rows with a null label, a null vector or a component that is null or
 not finite take no part.  A null vec_id is no anchor, is not moved to another label, and comes last
@@ -28,7 +28,7 @@ Extra columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_partitions
 
 #: Rows of a block of vectors, and anchors of a block of anchors.
-VECTORS, ANCHORS = 4096, 512
+VECTORS, ANCHORS = 4096, 4096
+#: Blocks of vectors that meet a block of anchors in one task at most.
+CELL = 32
 #: Dimensions read between two looks at the bounds.
 STEP = 8
 
@@ -154,8 +156,8 @@ def scan(anchor: np.ndarray, cols: np.ndarray, least: np.ndarray, most: np.ndarr
     return out
 
 
-def _scan_pairs(negatives: bool, k: int, share: int):
-    """The work on joined blocks: per anchor the first rows of its own label, or of the others per window."""
+def _scan_cells(negatives: bool, k: int, share: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The work on a block of anchors and some of vectors: per anchor the first rows of its own label, or of the others per window."""
     reach = np.iinfo(np.int64).max
 
     def pair(a: Block, v: Block) -> Iterator[tuple]:
@@ -181,25 +183,42 @@ def _scan_pairs(negatives: bool, k: int, share: int):
             if windows and bitmap.any():
                 for w, (at, score) in enumerate(scan(anchors[i], cols, least, most, bitmap, v.ids, windows, k)):
                     for p, s in zip(at, score):
-                        yield int(a.rids[i]), scores[w] if negatives else None, int(s), int(v.ids[p]), bool(v.unknown[p])
+                        yield int(a.rids[i]), scores[w] if negatives else -1, int(s), int(v.ids[p]), bool(v.unknown[p])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = list(pair(_block(row, "a_"), _block(row, "v_")))
-                columns = zip(*found) if found else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["anchor_rid", "window", "score", "id", "unknown"])
+    def cell(anchors: pa.Table, blocks: pa.Table) -> pa.Table:
+        best = _first_rows(np.zeros((0, 5), np.int64), k)
+        for a in anchors.to_pylist():
+            for i in range(blocks.num_rows):  # one block at a time is taken apart
+                found = list(pair(_block(a, "a_"), _block(blocks.slice(i, 1).to_pylist()[0], "v_")))
+                if found:
+                    best = _first_rows(np.concatenate([best, np.array(found, np.int64)]), k)
+        rid, window, score, ids, unknown = best.T
+        columns = (pa.array(rid), pa.array(window, mask=window < 0), pa.array(score), pa.array(ids), pa.array(unknown > 0))
+        return pa.Table.from_arrays(list(columns), ["anchor_rid", "window", "score", "id", "unknown"])
 
-    return run
+    return cell
+
+
+def _first_rows(found: np.ndarray, k: int) -> np.ndarray:
+    """Of rows (anchor, window, score, id, unknown) the ``k`` first of each anchor and window."""
+    found = found[np.lexsort((found[:, 4], found[:, 3], -found[:, 2], found[:, 1], found[:, 0]))]
+    begin = np.flatnonzero(np.r_[True, (np.diff(found[:, :2], axis=0) != 0).any(1)]) if len(found) else np.zeros(0, np.int64)
+    place = np.arange(len(found)) - np.repeat(begin, np.diff(np.r_[begin, len(found)]))
+    return found[place < k]
 
 
 def _search(anchors: DataFrame, blocks: DataFrame, n_anchors: int, n_blocks: int, negatives: bool, k: int, share: int) -> DataFrame:
-    """(anchor_rid, window, score, id, unknown, rank): the first ``k`` rows of each anchor and window over all blocks."""
-    groups = min(n_blocks, 2 * shuffle_partitions(blocks.sparkSession))
+    """(anchor_rid, window, score, id, unknown, rank): the first ``k`` rows of each anchor and window over all blocks.
+
+    A cell of the grid holds a block of anchors and ``CELL`` blocks of vectors at most, whatever the
+    table's size, and gives ``k`` rows an anchor and window.
+    """
+    groups = max(min(n_blocks, 2 * shuffle_partitions(blocks.sparkSession)), -(-n_blocks // CELL))
     name = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
     a = name(packed(anchors, n_anchors), "a_").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    v = name(blocks, "v_").withColumn("g", (F.col("v_block") % groups).cast("int")).withColumn("a_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_anchors - 1).cast("long"))))
-    found = v.join(a, ["a_block", "g"]).mapInArrow(_scan_pairs(negatives, k, share), "anchor_rid long, window long, score long, id long, unknown boolean")
+    v = name(blocks, "v_").withColumn("g", (F.col("v_block") % groups).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_anchors - 1).cast("long"))))
+    cells = a.groupBy("a_block", "g").cogroup(v.groupBy("at", "g"))
+    found = cells.applyInArrow(_scan_cells(negatives, k, share), "anchor_rid long, window long, score long, id long, unknown boolean")
     first = W.partitionBy("anchor_rid", "window").orderBy(F.desc("score"), "id", "unknown")
     return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
 

@@ -82,3 +82,17 @@ def test_scan_leaves_out_what_cannot_count():
 
 def test_empty(spark):
     assert hard_negatives.mine(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_cell_holds_bounded_blocks_and_gives_k_rows_an_anchor(spark, monkeypatch):
+    """However many blocks of vectors there are, a task gets ``CELL`` of them and hands on ``k`` rows an anchor and window."""
+    monkeypatch.setattr(hard_negatives, "CELL", 2)
+    table = hard_negatives.cut(hard_negatives.vectors(spark.createDataFrame([(i, [float(i % 7), float(i % 11)], i % 3) for i in range(300)], "vec_id long, embedding array<double>, label int")))
+    rows = table.selectExpr("*", "cast(array() as array<bigint>) as windows")
+    blocks, anchors = hard_negatives.packed(rows, 30), hard_negatives.packed(rows.filter("vec_id = 100"), 1)
+    cell = hard_negatives._scan_cells(False, 2, 80)
+    named = lambda df, p: df.toDF(*[p + c for c in df.columns]).toArrow()
+    found = cell(named(anchors, "a_"), named(blocks, "v_"))
+    assert found.num_rows == 2  # a block each gave two before: sixty
+    found = hard_negatives._search(rows.filter("vec_id = 100"), blocks, 1, 30, False, 2, 80)
+    assert found.count() == 2
