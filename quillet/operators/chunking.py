@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folding import cjk_count, fold, sentences, tokens
+from .blocks import cut
 from .parsing import markdown_sections
 
 STRATEGIES = ("RECURSIVE", "TOKEN", "SLIDING_WINDOW", "HEADING", "HYBRID", "PARENT_CHILD", "SEMANTIC")
-_CHUNKS = "array<struct<parent:int,section:string,text:string,tokens:int>>"
+_CHUNKS = "chunk_index int, chunk_id string, parent_id string, section string, text string, tokens int"
+_NAMES = [c.split()[0] for c in _CHUNKS.split(", ")]
+#: Characters of chunks that a task holds before it hands them on.
+_FLUSH = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -183,24 +188,48 @@ def split(text: str | None, strategy: str, b: Budget) -> list[dict]:
 
 
 def chunk(df: DataFrame, strategy: str = "RECURSIVE", budget: Budget = Budget(), key: str = "doc_id", col: str = "text") -> DataFrame:
-    """(key, chunk_index, chunk_id, parent_id, section, text, tokens); documents are cut one by one, without a shuffle."""
+    """(key, chunk_index, chunk_id, parent_id, section, text, tokens); documents are cut one by one, without a shuffle.
+
+    A task holds the chunks of one document, and some megabytes that it hands on next, however many rows a batch has.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if strategy == "PARENT_CHILD" and budget.parent <= budget.most:
         raise ValueError("a parent must be larger than a child")
 
-    @F.pandas_udf(_CHUNKS)
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: split(t, strategy, budget))
+    def name(own: str | None, at: int, text: str) -> str:
+        return hashlib.sha256("|".join([*([] if own is None else [own]), str(at), text]).encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held, size = [], [], 0
+            for i in range(batch.num_rows):  # one text at a time, handed on by some megabytes
+                own = batch["_own"][i].as_py()
+                parts = split(batch["_text"][i].as_py(), strategy, budget)
+                names = [name(own, at, c["text"]) for at, c in enumerate(parts)]
+                for at, c in enumerate(parts):
+                    rows.append(i)
+                    held.append((at, names[at], names[c["parent"]] if c["parent"] >= 0 else None, c["section"], c["text"], c["tokens"]))
+                    size += len(c["text"]) + 100
+                    if size > _FLUSH:
+                        yield _batch(batch, rows, held, schema)
+                        rows, held, size = [], [], 0
+            if rows:
+                yield _batch(batch, rows, held, schema)
+
+    out = f"{key} {df.schema[key].dataType.simpleString()}, {_CHUNKS}"
+    schema = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+    return df.select(key, F.col(key).cast("string").alias("_own"), F.col(col).alias("_text")).mapInArrow(run, out)
+
 
-    name = lambda at, t: F.sha2(F.concat_ws("|", F.col(key).cast("string"), at.cast("string"), t), 256)
-    cut = df.select(key, run(col).alias("_all")).select(key, "_all", F.posexplode("_all").alias("chunk_index", "_c"))
-    up = F.when(F.col("_c.parent") >= 0, name(F.col("_c.parent"), F.try_element_at("_all", F.col("_c.parent") + 1)["text"]))
-    return cut.select(key, "chunk_index", name(F.col("chunk_index"), F.col("_c.text")).alias("chunk_id"), up.alias("parent_id"), "_c.section", "_c.text", "_c.tokens")
+def _batch(batch: pa.RecordBatch, rows: list[int], held: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*held, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], [batch.schema.names[0], *_NAMES])
 
 
 def check_chunks(chunks: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Chunks whose parent is missing, or that are over their budget (CHK-9)."""
+    chunks = cut(chunks.select("chunk_id", "parent_id", "tokens"))  # read three times
     parents = chunks.select(F.col("chunk_id").alias("parent_id"), F.lit(True).alias("_there")).distinct()
     used = chunks.select(F.col("parent_id").alias("chunk_id")).filter("chunk_id IS NOT NULL").distinct().withColumn("_is_parent", F.lit(True))
     met = chunks.join(parents, "parent_id", "left").join(used, "chunk_id", "left")

@@ -184,3 +184,14 @@ def test_whole_texts_are_read(spark):
     assert parsing.csv_lines("a,b\n" * 6000).count("a\tb") == 6000
     long = spark.createDataFrame([("zzz " * 2000 + "the and of the and",)], "t string").select(*T.stop_word_counts(T.stop_words_in(F.col("t"))))
     assert sum(long.first().asDict().values()) > 0
+
+
+def test_chunks_leave_a_task_in_small_batches(spark):
+    """Chunks are handed on row by row, not as one list a text in a whole batch, and parents keep their names."""
+    docs = spark.createDataFrame([(1, "a b. " * 30), (None, "c d. " * 30), (3, None)], "doc_id long, text string")
+    out = chunking.chunk(docs, "PARENT_CHILD", chunking.Budget(most=12, overlap=3, least=3, parent=40, stride=6))
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    rows = out.collect()
+    ids = {r.chunk_id for r in rows}
+    assert {r.doc_id for r in rows} == {1, None} and all(r.parent_id is None or r.parent_id in ids for r in rows) and any(r.parent_id for r in rows)
