@@ -241,3 +241,12 @@ def test_numbers_of_groups_of_any_size(spark):
         ids = [k for _, k in sorted((v, k) for k, h, v in rows if h == g)]
         want |= {k: (i + 1, len(ids), ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None) for i, k in enumerate(ids)}
     assert got == want
+
+
+def test_claim_search_covers_all_reviewers(spark):
+    """The registered search is not narrowed to one reviewer's claims."""
+    from quillet.plans import claims as plans
+
+    found = plans.lif_10_search(spark, "/root/testdata/sf0.001").select("claim_id")
+    reviewers = {r[0] for r in plans._claims(spark, "/root/testdata/sf0.001").join(found, "claim_id", "left_semi").select("reviewer_id").distinct().collect()}
+    assert len(reviewers) > 1 and "reviewer_id = 3" not in registry.oracle_sql()["lif_10_search"]
