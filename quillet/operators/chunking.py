@@ -131,13 +131,13 @@ def _bucket(gram: str) -> tuple[int, int]:
 
 def hashed(text: str, dims: int = 64) -> np.ndarray:
     """Unit vector of hashed 3- and 4-grams of the folded text (EMB-1); zeros for no text."""
-    v, bare = np.zeros(dims), fold(text)
+    v, bare = [0.0] * dims, fold(text)
     padded = f" {bare} "
     for size in (3, 4) if bare else ():
         for k in range(len(padded) - size + 1):
             at, sign = _bucket(padded[k : k + size])
             v[at % dims] += sign
-    v = np.sign(v) * np.log1p(np.abs(v))
+    v = np.sign(v) * np.log1p(np.abs(np.array(v)))
     norm = np.linalg.norm(v)
     return v / norm if norm >= 1e-12 else v
 

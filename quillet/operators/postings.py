@@ -1,40 +1,42 @@
-"""A written index of chunks: postings of words, and of the rare 3-grams of each chunk (RET-1, RET-2).
+"""A written index of chunks: postings of words, and each chunk's words for comparison by 3-grams (RET-1, RET-2).
 
-An index is a folder, written once and read as often as wanted, of five bucketed tables:
+An index is a folder, written once and read as often as wanted, of bucketed tables:
 
-* ``words``: (term, vec_id, places), a row per word of a chunk with the word's places, bucketed by term;
-* ``terms``: (term, df), the chunks that hold a word, and ``marks``: (gram, df), those that hold a 3-gram;
-* ``grams``: (gram, vec_id, size, at), the first 3-grams of each chunk in order of rarity, bucketed by gram;
-* ``chunks``: (vec_id, words, grams), bucketed by vec_id.
+* ``words``: (term, vec_id), a row per word of a chunk, bucketed by term, and ``terms``: (term, df), the chunks that hold a word;
+* ``chunks``: (vec_id, words), bucketed by vec_id.
 
-Searches are joins: a query meets only the postings of its rarest word, or of the rare
-3-grams that any chunk similar enough must share with it, and what it meets is verified
-against the chunk's words or 3-grams.  Neither queries nor chunks pass through the driver,
-and buckets let the postings join where they lie.
+No row of a chunk is shuffled to write it.  A full-text search is a join: a query meets only the postings of its rarest
+word, and what it meets is verified against the chunk's words.  A 3-gram search sends the queries in
+bounded blocks to where the chunks lie and counts what each chunk has in common with all of
+a block by one matrix product, so no pair of a chunk and a query is a row unless it is among the best.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .blocks import shared_folder
+from .blocks import in_blocks, shared_folder
 
-#: A 3-gram index serves searches for this similarity and above.
+#: The least similarity that is searched for, queries of a block, and chunks of a matrix.
 SIMILAR = 0.3
+MAX_ASKED, SLICE = 1_000, 500
 
 _TABLES = {
-    "words": ("term string, vec_id bigint, places array<int>", "term"),
+    "words": ("term string, vec_id bigint", "term"),
     "terms": ("term string, df bigint", "term"),
-    "marks": ("gram string, df bigint", "gram"),
-    "grams": ("gram string, vec_id bigint, size int, at int", "gram"),
-    "chunks": ("vec_id bigint, words array<string>, grams array<string>", "vec_id"),
+    "chunks": ("vec_id bigint, words array<string>", "vec_id"),
 }
 
 
@@ -43,16 +45,6 @@ def words(text: str) -> Column:
     return F.expr(rf"regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+', 0)")
 
 
-def grams(words_: str) -> Column:
-    """The different 3-grams of the words, each with two blanks before and one after."""
-    return F.expr(f"array_distinct(flatten(transform(array_distinct({words_}), w -> transform(sequence(1, length(w) + 1), k -> substr(concat('  ', w, ' '), k, 3)))))")
-
-
-def _prefix(size: Column, least: float) -> Column:
-    """How many of the rarest members of a set two sets of similarity ``least`` or more must have one of in common."""
-    return size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1
-
-
 def _name(folder: str, table: str) -> str:
     return f"postings_{hashlib.md5(folder.encode()).hexdigest()[:16]}_{table}"
 
@@ -79,26 +71,13 @@ def build(chunks: DataFrame, folder: str | None = None, buckets: int | None = No
     folder = folder or f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/buckets")
-    split = chunks.select(F.col("vec_id").cast("long").alias("vec_id"), words("text").alias("words")).withColumn("grams", grams("words"))
-    held = _write(split, folder, "chunks", buckets)
+    held = _write(chunks.select(F.col("vec_id").cast("long").alias("vec_id"), words("text").alias("words")), folder, "chunks", buckets)
     if "words" in legs:
-        places = held.select("vec_id", F.posexplode("words").alias("place", "term")).groupBy("term", "vec_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        postings = _write(places, folder, "words", buckets)
+        postings = _write(held.select(F.explode(F.array_distinct("words")).alias("term"), "vec_id"), folder, "words", buckets)
         _write(postings.groupBy("term").agg(F.count("*").alias("df")), folder, "terms", buckets)
-    if "grams" in legs:
-        marked = held.select("vec_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-        marks = _write(marked.groupBy("gram").agg(F.count("*").alias("df")), folder, "marks", buckets)
-        _write(_rarest(marked.join(marks, "gram"), "vec_id", SIMILAR), folder, "grams", buckets)
     return folder
 
 
-def _rarest(marked: DataFrame, key: str, least: float) -> DataFrame:
-    """(gram, key, size, at): the prefix of each set in order of rarity; a set is a chunk's, so it fits a row."""
-    ordered = marked.groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
-    first = F.slice("all", F.lit(1), _prefix(F.col("size"), least))
-    return ordered.select(key, "size", F.posexplode(first).alias("at", "x")).select("x.gram", key, "size", (F.col("at") + 1).cast("int").alias("at"))
-
-
 def _ranked(scored: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
@@ -122,28 +101,76 @@ def lexical(queries: DataFrame, folder: str, score: Callable[[Column], Column],
     return _ranked(whole.select("query_id", "vec_id", F.round(score(entries), 9).alias("score")), n)
 
 
+def _trigrams(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of the different 3-grams of each row's words, each word with two blanks before and one after, by row; a gram is its three code points as a number."""
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    padded = [f"  {w} " for w in flat.to_pylist()]
+    size = np.array([len(w) for w in padded], np.int64)
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.repeat(np.arange(len(lists)), np.diff(offsets)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # characters of the word from here on
+    at = np.flatnonzero(left > 2)
+    grams = points[at] << 42 | points[at + 1] << 21 | points[at + 2]
+    order = np.lexsort((grams, row[at]))
+    row, grams = row[at][order], grams[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+    return row[new], grams[new]
+
+
 def similar(queries: DataFrame, folder: str, n: int = 50, least: float = SIMILAR, within: DataFrame | None = None) -> DataFrame:
     """The best ``n`` chunks whose share of common 3-grams with a query (query_id, query) is over ``least``.
 
-    Two sets of such similarity differ in size by 1 / least at most, share a member of their prefixes, and what
-    is left behind the shared member must suffice for the members they need in common: all three bounds
-    are exact, so no chunk is lost.
+    Queries are broadcast in blocks of ``MAX_ASKED`` at most.  A task counts the common 3-grams of some chunks
+    and all queries of the block as a product of two matrices of zeros and ones, which is exact, and keeps its best per query.
     """
     if least < SIMILAR:
         raise ValueError(f"the index serves similarities from {SIMILAR}")
-    spark = queries.sparkSession
-    asked = queries.select("query_id", words("query").alias("_w")).select("query_id", grams("_w").alias("asked")).filter(F.size("asked") > 0)
-    each = asked.select("query_id", F.size("asked").alias("size"), F.explode("asked").alias("gram")).join(table(spark, folder, "marks"), "gram", "left")
-    prefix = _rarest(each.withColumn("df", F.coalesce("df", F.lit(0))), "query_id", least).withColumnsRenamed({"size": "m", "at": "i"})
-    fits = (F.col("size") * least <= F.col("m")) & (F.col("m") * least <= F.col("size"))
-    enough = 1 + F.least(F.col("m") - F.col("i"), F.col("size") - F.col("at")) >= (F.col("m") + F.col("size")) * (least / (1 + least)) - 1e-9
-    met = prefix.join(table(spark, folder, "grams"), "gram").filter(fits & enough).select("query_id", "vec_id").distinct()
-    met = met if within is None else met.join(within, "vec_id", "left_semi")
-    both = met.join(asked, "query_id").join(table(spark, folder, "chunks").select("vec_id", "grams"), "vec_id")
-    common = F.size(F.array_intersect("asked", "grams"))
-    share = common / (F.size("asked") + F.size("grams") - common)
-    scored = both.select("query_id", "vec_id", share.alias("score")).filter(F.col("score") > least)
-    return _ranked(scored.withColumn("score", F.round("score", 9)), n)
+    chunks = table(queries.sparkSession, folder, "chunks").select("vec_id", "words")
+    chunks = chunks if within is None else chunks.join(within, "vec_id", "left_semi")
+    asked = queries.select("query_id", words("query").alias("words")).filter(F.size("words") > 0)
+    return _ranked(in_blocks(asked, MAX_ASKED, lambda rows: _compared(rows, asked.schema["query_id"].dataType, chunks, n, least)), n)
+
+
+def _compared(rows: list[Row], kind: DataType, chunks: DataFrame, n: int, least: float) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, score): the best ``n`` chunks of each batch for each query."""
+    of, grams = _trigrams(pa.array([r["words"] for r in rows], pa.list_(pa.string())))
+    known, at = np.unique(grams, return_inverse=True)
+    holds = np.zeros((len(known), len(rows)), np.float32)
+    holds[at, of] = 1
+    arrow = to_arrow_type(kind)
+    shared = chunks.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows], arrow), known, holds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known, holds = shared.value
+        asked = holds.sum(0, dtype=np.float64)
+        for batch in batches:
+            best: list[tuple[np.ndarray, ...]] = []
+            for a in range(0, batch.num_rows if len(known) else 0, SLICE):
+                some = batch.slice(a, SLICE)
+                row, grams = _trigrams(pa.concat_arrays([some["words"]]))
+                place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                met = known[place] == grams
+                own = np.zeros((some.num_rows, len(known)), np.float32)
+                own[row[met], place[met]] = 1
+                common = (own @ holds).astype(np.float64)
+                share = common / np.maximum(asked[None, :] + np.bincount(row, minlength=some.num_rows)[:, None] - common, 1)
+                i, q = np.nonzero(share > least)
+                best = [_first(best, (q, some["vec_id"].to_numpy()[i], np.round(share[i, q], 9)), n)]
+            if best:
+                q, own_ids, score = best[0]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(own_ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return chunks.mapInArrow(run, f"query_id {kind.simpleString()}, vec_id long, score double"), shared
+
+
+def _first(best: list[tuple[np.ndarray, ...]], more: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, ...]:
+    """Of (query, vec_id, score) the first ``n`` of each query, as they rank in the end."""
+    q, ids, score = (np.concatenate(c) for c in zip(*best, more))
+    order = np.lexsort((ids, -score, q))
+    q = q[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < n], ids[order][place < n], score[order][place < n]
 
 
 def per_row(function: Callable[[list], float]) -> Callable[[Column], Column]:

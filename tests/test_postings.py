@@ -109,3 +109,16 @@ def test_hot_word_is_spread(spark, tmp_path):
 def test_empty(spark, queries, tmp_path):
     index = P.build(spark.createDataFrame([], "vec_id long, text string"), f"file://{tmp_path}/none", 4)
     assert R.lexical_search(queries, index).isEmpty() and R.trigram_search(queries, index).isEmpty()
+
+
+def test_trigrams_are_not_shuffled(spark, queries, index):
+    """A 3-gram search reads the chunks where they lie: no 3-gram is a row, and blocks of queries give what one gives."""
+    found = P.similar(queries, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan
+    want = by_query(found)
+    P.MAX_ASKED, kept = 3, P.MAX_ASKED
+    try:
+        assert by_query(P.similar(queries, index)) == want
+    finally:
+        P.MAX_ASKED = kept
