@@ -36,6 +36,8 @@ LISTS, LISTS_A_PART = 4_096, 16
 VISIT, RERANK = 0.25, 20
 #: Dimensions of a byte of code, rows of a file.
 STRIP, FILE_ROWS = 4, 1_000_000
+#: Queries whose lists are found at once, and queries that meet a batch of codes at once.
+PROBED, ASKED = 1_024, 256
 _ROUNDS = 10
 
 
@@ -201,23 +203,27 @@ def _search(spark: SparkSession, folder: str, rows: list[Row], k: int, visit: fl
     ids = np.array([r[0] for r in rows], np.int64)
     if rows and len(model.centroids):
         q = _unit(np.array([r[1] for r in rows], np.float64))
-        looked, near, tables = probes(model, q, visit), q @ model.centroids.T, [x @ b.T for x, b in zip(_strips(q), model.books)]
+        # Which lists each query looks into, as bits; all else that a query and a list or code give is made in the tasks.
+        looked = np.concatenate([np.packbits(probes(model, q[a : a + PROBED], visit), axis=1) for a in range(0, len(q), PROBED)])
     else:  # nothing asked or nothing to find: no list is read
-        q, looked, near, tables = np.zeros((0, 1)), np.zeros((0, len(model.centroids)), bool), np.zeros((0, 1)), []
-    shared = spark.sparkContext.broadcast((ids, q, looked, near, tables))
+        q, looked = np.zeros((0, 1)), np.zeros((0, -(-len(model.centroids) // 8)), np.uint8)
+    union = np.unpackbits(np.bitwise_or.reduce(looked, axis=0), count=len(model.centroids)).astype(bool)[None, :] if len(looked) else np.zeros((0, len(model.centroids)), bool)
+    shared = spark.sparkContext.broadcast((ids, q, looked, model.centroids, model.books))
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, looked, near, tables = shared.value
+        ids, q, looked, centroids, books = shared.value
         for batch in batches:
             lists, own = batch["list"].to_numpy(), batch["vec_id"].to_numpy()
             codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(len(own), -1)
-            asking = np.flatnonzero(looked[:, np.unique(lists)].any(1))
-            for a in range(0, len(asking), 256):
-                some = asking[a : a + 256]
-                s = near[some][:, lists]
-                for j, table in enumerate(tables):
-                    s = s + table[some][:, codes[:, j]]
-                s[~looked[some][:, lists]] = -np.inf
+            there, at = np.unique(lists, return_inverse=True)
+            bits = lambda part: looked[part][:, there >> 3] >> (7 - (there & 7)) & 1 > 0
+            asking = np.concatenate([np.zeros(0, np.int64), *[a + np.flatnonzero(bits(slice(a, a + PROBED)).any(1)) for a in range(0, len(ids), PROBED)]])
+            for a in range(0, len(asking), ASKED):
+                some = asking[a : a + ASKED]
+                s = (q[some] @ centroids[there].T)[:, at]
+                for j, (x, book) in enumerate(zip(_strips(q[some]), books)):
+                    s += (x @ book.T)[:, codes[:, j]]
+                s[~bits(some)[:, at]] = -np.inf
                 n = min(keep, len(own))
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 scores = np.take_along_axis(s, top, 1).ravel()
@@ -235,11 +241,11 @@ def _search(spark: SparkSession, folder: str, rows: list[Row], k: int, visit: fl
                 s = np.round(np.einsum("ij,ij->i", q[at], _unit(_matrix(batch["embedding"]))), 9)
                 yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vec_id"], pa.array(s)], ["query_id", "vec_id", "score"])
 
-    codes = lists_read(table(spark, folder, "codes"), model, looked).select("list", "vec_id", "code")
+    codes = lists_read(table(spark, folder, "codes"), model, union).select("list", "vec_id", "code")
     close = codes.mapInArrow(approximate, "query_id long, vec_id long, list int, near double")
     best = W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     wanted = close.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= keep).select("query_id", "vec_id", "list")
-    vectors = lists_read(table(spark, folder, "vectors"), model, looked).select("list", "vec_id", "embedding")
+    vectors = lists_read(table(spark, folder, "vectors"), model, union).select("list", "vec_id", "embedding")
     scored = vectors.join(wanted, ["list", "vec_id"]).select("query_id", "vec_id", "embedding").mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k), shared

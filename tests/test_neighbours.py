@@ -70,3 +70,21 @@ def test_few_and_equal_vectors(spark, given, tmp_path):
     assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 3 and r.score == 1.0 and r.vec_id < 400]
     best = next(r for r in found if r.query_id == 450 and r.rank == 1)
     assert best.score == 1.0 and rows[best.vec_id][1] == rows[450][1]
+
+
+def test_what_is_broadcast_does_not_hold_scores_of_lists(spark, tmp_path, monkeypatch):
+    """A query travels as its vector and a bit for each list, not as scores of every list and code."""
+    import pickle
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    folder = N.build(vectors, f"file://{tmp_path}/i")
+    sent = []
+    monkeypatch.setattr(N, "PROBED", 64)
+    asked = vectors.limit(300).collect()
+    found, shared = N._search(spark, folder, asked, 5, 0.25, 100)
+    sent = len(pickle.dumps(shared.value[:3]))
+    assert sent < 300 * (8 + 16 * 8 + len(shared.value[3]) // 8 + 1) + 2_000
+    best = {r.query_id: r.vec_id for r in found.filter("rank = 1").collect()}
+    assert len(best) == 300 and all(q == v for q, v in best.items())
