@@ -125,7 +125,7 @@ def dup_01_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dup_12_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP-2, DUP-8 and DUP-12 over the candidates of DUP-1."""
-    fp = U.with_keys(tables.fingerprints(spark, sf_dir)).select("item_id", "claim_id", "vendor", "expense_date", "amount_usd", "invoice_number", "checksum")
+    fp = U.with_keys(tables.fingerprints(spark, sf_dir)).select("item_id", "claim_id", "vendor", "expense_date", "amount_usd", "invoice_number", U.packed(F.col("checksum")).alias("checksum"))
     return U.verdict(U.pair_signals(fp, U.candidate_pairs(fp, carry=U.SIGNAL_COLUMNS)))
 
 
