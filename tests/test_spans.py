@@ -64,3 +64,31 @@ def test_best_signals_of_all_candidates(spark):
         want.setdefault(a, set()).add(h)
     got = {r.item_id: r.hash for r in receipts.best_signals(full).collect()}
     assert got == {k: max((h for h in v if h is not None), default=None) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("block_rows", [1024, 5])
+def test_ocr_best_over_all_candidates(spark, block_rows):
+    """Every item's best ratio against that of all its candidates, in one cell and in squares of cells; no pair is a row."""
+    rng = np.random.default_rng(3)
+    words = "receipt taxi hotel total amount paid card cash invoice number date city ride night".split()
+    rows, fp = _receipts(spark, 150)
+    texts = {r[0]: None if r[0] % 9 == 0 else " ".join(rng.choice(words, int(rng.integers(0, 14)))) + ["", " É 12", "  X", "\t1.50"][r[0] % 4] for r in rows}
+    full = fp.withColumn("ocr_text", F.create_map(*[F.lit(x) for k, t in texts.items() if t is not None for x in (k, t)])[F.col("item_id")])
+    pairs = spark.createDataFrame(sorted(_near(rows, 7)), "item_id long, other_id long")
+    want: dict = {}
+    for r in pairs.select("item_id", "other_id").collect():
+        x, y = (" ".join((texts[k] or "").lower().split()) for k in r)
+        ratio = None if min(len(x), len(y)) < 8 else receipts.SequenceMatcher(None, x, y, autojunk=False).ratio()
+        want.setdefault(r.item_id, []).append(ratio)
+    found = receipts.ocr_best(full, block_rows=block_rows)
+    assert {r.item_id: r.ocr for r in found.collect()} == {k: max((x for x in v if x is not None), default=None) for k, v in want.items()}
+    assert "other_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_bounds_are_never_below_the_ratio():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ab é中1 "), int(rng.integers(1, 90)))) for _ in range(80)] + [chr(0x4E00 + k) * 9 for k in range(200)]
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(90), np.arange(90)))
+    bounds = receipts.ratio_bounds(texts, x, y)
+    ratios = [receipts.SequenceMatcher(None, texts[a], texts[b], autojunk=False).ratio() for a, b in zip(x, y, strict=True)]
+    assert (bounds >= np.array(ratios) - 1e-12).all()
