@@ -6,6 +6,8 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +90,64 @@ def stream_cross_employee(a: DataFrame, b: DataFrame, delay: str = "1 day") -> D
     return left.join(right, same & near).select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other_id"))
 
 
+_DAY = 86_400_000_000
+
+
+class _Alerts(StatefulProcessor):
+    """The receipts of a vendor and amount of the last day, as three columns of numbers in order of time; a timer ends an idle key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "rows binary, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = np.concatenate([r[["us", "item_id", "employee_id"]].to_numpy(np.int64) for r in rows])
+        held, until = self.kept.get() if self.kept.exists() else (b"", None)
+        every = np.concatenate([np.frombuffer(held, np.int64).reshape(-1, 3), new])
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        at, item, who = every.T
+        begin, end = np.searchsorted(at, at - _DAY, "left"), np.searchsorted(at, at, "right")
+        # Those of the same employee: places in an order by employee, then time.
+        by = np.lexsort((at, who))
+        bounds = np.flatnonzero(np.r_[True, np.diff(who[by]) != 0, True])
+        same = np.zeros(len(at), np.int64)
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            t = at[by[x:y]]
+            same[by[x:y]] = np.searchsorted(t, t, "right") - np.searchsorted(t, t - _DAY, "left")
+        links = end - begin - same
+        # The first of a day that is another's: the first at all, or the one after its run of one employee.
+        after = np.r_[np.flatnonzero(np.diff(who)) + 1, len(who)]
+        run_end = after[np.searchsorted(after, np.arange(len(who)), "right")]
+        first = np.where(who[begin] != who, begin, run_end[begin])
+        told = (at >= new[:, 0].min()) & (links > 0)
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - _DAY
+        if until is not None:
+            self.handle.deleteTimer(until)
+        until = int(at[-1] + _DAY) // 1000 + 1
+        self.handle.registerTimer(until)
+        self.kept.update((every[at >= oldest].tobytes(), until))
+        yield pd.DataFrame({"item_id": item[told], "first_id": item[first[told]], "links": links[told]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alerts(receipts: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(item_id, first_id, links) of each receipt with equal ones of other employees in the day up to it: the earliest and their number (STR-5).
+
+    One row for an item instead of its pairs, for update mode: a late receipt gives the rows that it changes anew.  State is
+    the receipts of the day before the watermark and later, so every row that can still change is counted whole.
+    """
+    receipts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    timed = receipts.withWatermark("ts", delay).dropna(subset=["ts", "vendor", "amount_usd", "employee_id", "item_id"])
+    rows = timed.select("vendor", "amount_usd", "ts", F.unix_micros("ts").alias("us"), "item_id", "employee_id")
+    return rows.groupBy("vendor", "amount_usd").transformWithStateInPandas(_Alerts(), "item_id long, first_id long, links long", "update", "EventTime")
+
+
 _MOVES = "claim_id long, event_id long, from_status string, to_status string, accepted boolean"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

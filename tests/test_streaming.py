@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,23 @@ def test_by_time_keeps_all_rows(spark):
     assert sorted(k for p in held for k in p) == list(range(101)) and 100 in held[-1] and all(held)
     edges = [p.agg(F.min("ts"), F.max("ts")).first() for p in parts]
     assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+
+
+def test_alerts_have_a_row_for_an_item(spark):
+    """The earliest partner and their number against brute force, over batches with late rows; copies of one receipt do not multiply rows."""
+    rng = np.random.default_rng(2)
+    rows = [(START + timedelta(minutes=int(rng.integers(5 * 24 * 60))), "v" if k % 3 else "w", k % 2, int(rng.integers(4)), k) for k in range(300)]
+    rows += [(START + timedelta(days=2), "v", 9, k % 7, 1000 + k) for k in range(200)]  # of one time
+    rows.sort()
+    late = rows[100:120]  # less than the delay of a day late
+    batches = [rows[:100] + rows[120:150], late + rows[150:400], rows[400:] + [(None, "v", 1, 1, 5000), (rows[-1][0], "v", 1, None, 5001)]]
+    want = {}
+    for a in rows:
+        met = [b for b in rows if b[1:3] == a[1:3] and b[3] != a[3] and a[0] - timedelta(days=1) <= b[0] <= a[0]]
+        if met:
+            want[a[4]] = (min(met, key=lambda b: (b[0], b[4]))[4], len(met))
+    schema, seen = "ts timestamp, vendor string, amount_usd long, employee_id long, item_id long", []
+    frames = [spark.createDataFrame(b, schema).coalesce(2) for b in batches]
+    got = jobs.drained(lambda s: jobs.stream_alerts(s, "2 days"), frames, ["item_id"], seen).collect()
+    assert {r.item_id: (r.first_id, r.links) for r in got} == want and len(got) == len(want) > 400
+    assert dropped(seen) == 0
