@@ -96,8 +96,9 @@ def document_language(sections: DataFrame, least: int = 12) -> DataFrame:
     def detected(df: DataFrame) -> DataFrame:
         return with_language(df).select("doc_id", "language", F.length("text").alias("size"))
 
-    votes = detected(sections.filter(F.length("text") >= least)).filter("language IS NOT NULL").groupBy("doc_id", "language").agg(F.sum("size").alias("size"))
-    voted = votes.groupBy("doc_id").agg(F.max_by("language", F.struct("size", "language")).alias("voted"))
+    # Nulls are passed over in the aggregate: a filter on the language would repeat its whole expression below, for each of its uses.
+    votes = detected(sections.filter(F.length("text") >= least)).groupBy("doc_id", "language").agg(F.sum("size").alias("size"))
+    voted = votes.groupBy("doc_id").agg(F.max_by("language", F.when(F.col("language").isNotNull(), F.struct("size", "language"))).alias("voted"))
     # A document's sections are its own text again, so a group is no larger than one document.
     whole = sections.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n").alias("text"))
     both = detected(whole).join(voted, "doc_id", "left")

@@ -131,3 +131,13 @@ def test_verdict_of_a_hot_vendor(spark):
     last = U.verdict(U.pair_signals(fp, U.candidate_pairs(fp))).filter("item_id = 999").first()
     assert (last.exact, last.invoice, last.candidates, last.verdict) == (1, 1.0, 251, "CONFIRMED")
     assert U.candidate_pairs(fp, newest=200).filter("item_id = 999").count() == 200
+
+
+def test_document_language_reads_each_section_once(spark):
+    """No filter repeats the detection below the votes; documents whose sections decide nothing go by their whole text."""
+    text = {1: ["the expense of the employee", "der die das und von", "der die das und von mit nicht"], 2: ["xyzzy plugh xyzzy", "the and"], 3: ["the", "and of", "to for is"], 4: ["plugh xyzzy plugh"]}
+    rows = [(d, k, t) for d, ts in text.items() for k, t in enumerate(ts)]
+    out = D.document_language(spark.createDataFrame(rows, "doc_id long, section long, text string"))
+    assert {r.doc_id: r.language for r in out.collect()} == {1: "de", 2: "en", 3: "en", 4: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp" in line for line in plan.splitlines())
