@@ -13,11 +13,11 @@ scored once; all windows of a batch go through the layer together.
 
 Learning: everything is numpy inside Spark tasks.  Each task trains on the
 training documents of its partition (AdaGrad, one vector of squared gradients per
-row) from every ``SHARE``-th stretch of words, and at least one stretch of every
-training document, so what is learned from grows with the corpus.  A stretch of more
+row) from every stretch of words of every training document, each in one of ``ROUNDS``
+rounds; ``share`` can name a sparser choice.  A stretch of more
 ids than a window is learned from in further windows, to its last id.  A task gives
 the change of the rows that it touched; Spark averages the changes row by row,
-and ``ROUNDS`` rounds start from the average before.  The model has a fixed size
+and each round starts from the average before.  The model has a fixed size
 (``ROWS`` rows of ``WIDTH`` numbers), whatever the corpus.  The tree and its first
 biases come from counts over all training documents.
 
@@ -54,8 +54,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END, IDS = 50256, 50257
 WIDTH, WINDOW, OVERLAP = 16, 32, 8
 PAIRS = 1 << 16
-#: Training: one stretch of words in SHARE, in so many rounds; windows a step; learning rate.
-SHARE, ROUNDS, BATCH, RATE = 16, 2, 64, 0.2
+#: Training: one stretch of words in SHARE (1: all), in so many rounds; windows a step; learning rate.
+SHARE, ROUNDS, BATCH, RATE = 1, 2, 64, 0.2
 #: Words from one stretch to the next, and words read from each.
 STRIDE, READ = 12, 14
 COMMON = 200_000

@@ -860,6 +860,15 @@ def test_lm_beats_the_unigram_on_held_out_texts(spark):
     assert len(got) > 200 and own > 0.8 * base > base
 
 
+def test_lm_learns_from_every_stretch_by_default():
+    """No part of a training text is left out: each stretch has its round."""
+    coder = lm_scoring.Subwords(open(lm_scoring.VOCABULARY, "rb").read())
+    words = [f"word{k * k % 997}".encode() for k in range(600)]
+    found = [s.tobytes() for r in range(lm_scoring.ROUNDS) for s in lm_scoring.stretches(words, coder, r)]
+    every = [s.tobytes() for k in range(lm_scoring.ROUNDS) for s in lm_scoring.stretches(words, coder, k, share=1)]
+    assert sorted(found) == sorted(every)
+
+
 def test_lm_learns_from_every_training_text():
     coder = lm_scoring.Subwords(open(lm_scoring.VOCABULARY, "rb").read())
     for n in (0, 1, 13, 40, 400):
