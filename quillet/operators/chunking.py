@@ -137,11 +137,59 @@ def hashed(text: str, dims: int = 64) -> np.ndarray:
         for k in range(len(padded) - size + 1):
             at, sign = _bucket(padded[k : k + size])
             v[at % dims] += sign
-    v = np.sign(v) * np.log1p(np.abs(np.array(v)))
+    return _unit(np.array(v))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = np.sign(v) * np.log1p(np.abs(v))
     norm = np.linalg.norm(v)
     return v / norm if norm >= 1e-12 else v
 
 
+#: Characters whose grams are hashed together.
+_HASHED_CHARS = 1_000_000
+
+
+def hashed_all(texts: list[str | None], dims: int = 64) -> Iterator[np.ndarray]:
+    """``hashed`` of each text: grams are told apart as numbers, so that each different one of many texts is hashed once."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        bare = fold(t)
+        held.append(f" {bare} " if bare else "")
+        size += len(held[-1])
+        if size >= _HASHED_CHARS:
+            yield from _hashed_together(held, dims)
+            held, size = [], 0
+    yield from _hashed_together(held, dims)
+
+
+def _hashed_together(padded: list[str], dims: int) -> Iterator[np.ndarray]:
+    whole = "".join(padded)
+    chars, code = np.unique(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    bits = np.uint64(max(1, int(len(chars)).bit_length()))  # four places of 16 bits at most, for less than 65,536 different characters
+    if bits > 16:
+        middle = len(padded) // 2
+        for part in (padded[:middle], padded[middle:]) if middle else ():
+            yield from _hashed_together(part, dims)
+        if not middle:
+            yield hashed(padded[0], dims)
+        return
+    code = code.astype(np.uint64)
+    lens = np.fromiter(map(len, padded), np.int64, len(padded))
+    row, end = np.repeat(np.arange(len(padded)), lens), np.repeat(np.cumsum(lens), lens)
+    v = np.zeros(len(padded) * dims)
+    for size in (3, 4):
+        at = np.flatnonzero(np.arange(len(code)) + size <= end)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            key = (key << bits) | code[at + k]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        found = np.array([_bucket(whole[i : i + size]) for i in at[first].tolist()], np.int64).reshape(-1, 2)
+        v += np.bincount(row[at] * dims + found[which, 0] % dims, found[which, 1], len(v))
+    yield from map(_unit, v.reshape(-1, dims))
+
+
 def semantic(text: str, b: Budget) -> list[str]:
     """Sentences join the group before while they resemble its mean and fit."""
     groups: list[tuple[str, np.ndarray]] = []

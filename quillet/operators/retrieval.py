@@ -19,7 +19,7 @@ from ..functions.text import estimate_tokens
 from . import postings
 from . import vectors as V
 from .blocks import cut
-from .chunking import count, hashed
+from .chunking import count, hashed_all
 
 SIMILAR = postings.SIMILAR
 
@@ -178,7 +178,7 @@ def embed_hash(df: DataFrame, col: str = "text", dims: int = 64) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: hashed(t, dims).tolist())
+        return pd.Series([v.tolist() for v in hashed_all(batch.tolist(), dims)], batch.index, object)
 
     return df.withColumn("embedding", run(col))
 

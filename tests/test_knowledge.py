@@ -206,3 +206,14 @@ def test_truncation_counts_a_text_once(spark):
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= 6
     rows = [r.t for r in out.collect()]
     assert rows[0] == ("word. " * 13).strip() and rows[2:] == ["short", "", None] and rows[1].endswith(".")
+
+
+def test_hashed_texts_are_those_of_one_text_each():
+    """Texts hashed together, over the bound of a run and with more different characters than a run has numbers for."""
+    many = ["".join(map(chr, range(0x4E00, 0x9E00))) + "".join(map(chr, range(0x20000, 0x2A000))), "".join(map(chr, range(0xAC00, 0xD7A0)))]
+    texts = ["Uber trip", "", None, "a", "  ", "\u6f22\u5b57 \U0001f600 x", "Stra\u00dfe", *many, *(f"line {k} " * (k % 40) for k in range(500))]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chunking, "_HASHED_CHARS", 50_000)
+        got = list(chunking.hashed_all(texts))
+    assert len(got) == len(texts) and all(np.array_equal(a, chunking.hashed(t)) for a, t in zip(got, texts, strict=True))
+    assert list(chunking.hashed_all([])) == []
