@@ -63,8 +63,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 #: Ids of a block, between two checkpoints, and (about) of a shard; ids that a lane has at least; most lanes.
 BLOCK, CHECKPOINT, SHARD, LANE, LANES = 1 << 18, 1 << 16, 1 << 24, 256, 1024
-#: Words a worker remembers; bytes of text that it takes at once.
-REMEMBERED, SLICE = 600_000, 8 << 20
+#: Words a worker remembers; bytes of text that it takes at once; words that it encodes at once.
+REMEMBERED, SLICE, AT_ONCE = 600_000, 4 << 20, 16_384
 _LOW = np.uint64(1 << 31)
 _PUNCTUATION = ".,;:!?%*#$&)"
 
@@ -103,10 +103,13 @@ class Words:
         self.used, self.flat, self.starts, self.lens, self.met = 0, np.zeros(1 << 16, np.uint32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def _encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of the words, one after the other, and how many each has; in one part."""
-        ids = [e.ids for e in self.encode(words, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return [(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)]
+        """Ids of the words, one after the other, and how many each has; in parts of ``AT_ONCE`` words, as the tokenizer's own results are large."""
+        out = []
+        for k in range(0, max(1, len(words)), AT_ONCE):
+            ids = [e.ids for e in self.encode(words[k : k + AT_ONCE], add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            out.append((np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens))
+        return out
 
     def _encode_joined(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """As ``_encode`` but in parts, for words of letters, which close once as a rule: joined by blanks and parted where an id closes a word.
@@ -114,12 +117,13 @@ class Words:
         Each word closes at least once, so where there are as many closing ids as words, each closes
         once; other groups are encoded word by word.
         """
-        groups = [words[k : k + 64] for k in range(0, len(words), 64)]
         out = []
-        for group, e in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.closes[np.minimum(ids, len(self.closes) - 1)]) + 1
-            out += [(ids, np.diff(ends, prepend=0))] if len(ends) == len(group) and ends[-1] == len(ids) else self._encode(group)
+        for begin in range(0, len(words), AT_ONCE):
+            groups = [words[k : min(k + 64, begin + AT_ONCE)] for k in range(begin, min(len(words), begin + AT_ONCE), 64)]
+            for group, e in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.closes[np.minimum(ids, len(self.closes) - 1)]) + 1
+                out += [(ids, np.diff(ends, prepend=0))] if len(ends) == len(group) and ends[-1] == len(ids) else self._encode(group)
         return out
 
     def _forget(self, room: int) -> None:

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -128,3 +129,17 @@ def test_unknown_ids_and_empty_table(spark, tmp_path):
     with pytest.raises(ValueError):
         token_files.encode(np.array([7], np.uint32), token_files.make_table(np.array([1, 2]), np.array([2048, 2048])))
     assert token_files.encoded_documents(spark.createDataFrame([], SCHEMA), f"{tmp_path}/none").count() == 0
+
+
+def test_words_are_encoded_a_bounded_number_at_once():
+    """Many new words give what each gives alone, without one call for all of them."""
+    words = token_files.Words(Path(public_tokenizers.path(token_files.TOKENIZER)).read_text())
+    encode, asked = words.encode, []
+    words.encode = lambda batch, **k: asked.append(sum(t.count(" ") + 1 for t in batch)) or encode(batch, **k)
+    new = [f"w{'abcdefghij'[k % 10]}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k % 26)}{'x' * (k % 5)}" for k in range(40_000)] + [f"{k}-a" for k in range(20_000)]
+    new = list(dict.fromkeys(new))
+    at = words.places(new)
+    assert max(asked) <= 16_384 < len(new)
+    for k in range(0, len(new), 997):
+        i = at[k]
+        assert words.flat[words.starts[i] : words.starts[i] + words.lens[i]].tolist() == encode([new[k]], add_special_tokens=False)[0].ids
