@@ -13,7 +13,7 @@ scored once; all windows of a batch go through the layer together.
 
 Learning: everything is numpy inside Spark tasks.  Each task trains on the
 training documents of its partition (AdaGrad, one vector of squared gradients per
-row) from every stretch of words of every training document, each in one of ``ROUNDS``
+row) from every stretch of words of every training document, each text in one of ``ROUNDS``
 rounds; ``share`` can name a sparser choice.  A stretch of more
 ids than a window is learned from in further windows, to its last id.  A task gives
 the change of the rows that it touched; Spark averages the changes row by row,
@@ -58,6 +58,8 @@ PAIRS = 1 << 16
 SHARE, ROUNDS, BATCH, RATE = 1, 2, 64, 0.2
 #: Words from one stretch to the next, and words read from each.
 STRIDE, READ = 12, 14
+#: A run of so many ids is a short one.
+FEW = 8
 COMMON = 200_000
 _CACHE = 400_000
 _GAP = b" "
@@ -171,8 +173,15 @@ def id_counts(counts: DataFrame, vocabulary: Broadcast) -> np.ndarray:
     return out
 
 
+#: Nodes whose logits are taken for all outputs at once by a matrix product; they are the most frequent of the tree.
+TOP = 128
+
+
 class Tree(NamedTuple):
-    """The path of each id: nodes ``node[start[i]:start[i] + length[i]]`` and the way taken at each, 1 or -1."""
+    """The path of each id: nodes ``node[start[i]:start[i] + length[i]]`` and the way taken at each, 1 or -1.
+
+    Nodes are numbered as they were made, so the last ``TOP`` are the most frequent ones.
+    """
 
     start: np.ndarray
     length: np.ndarray
@@ -255,18 +264,19 @@ def attend(m: Model, read: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ..
     place is taken off first; the weights' shares are the same.
     """
     shape = (*read.shape, WIDTH)
-    x = (_rows(m["own"], read.ravel()) + _rows(m["pair"], pair.ravel())).reshape(shape) + m["place"]
+    wide = read.shape[1]  # WINDOW at most
+    x = (_rows(m["own"], read.ravel()) + _rows(m["pair"], pair.ravel())).reshape(shape) + m["place"][:wide]
     q, k, v = np.split((x.reshape(-1, WIDTH) @ np.concatenate((m["q"], m["k"], m["v"]), 1)).reshape(*read.shape, -1), 3, 2)
     v[..., 0] = 1  # the first number of an output is 1 whatever is seen, so the sum of the weights comes in its place
     a = q @ k.transpose(0, 2, 1)
     plain = a.max(initial=0) < _PLAIN
     if plain:
         np.exp(a, out=a)
-        a *= _SEES
+        a *= _SEES[:wide, :wide]
         seen = a @ v
         plain = seen[..., 0].min(initial=1) > _ENOUGH
     if not plain:
-        a = q @ k.transpose(0, 2, 1) + _HIDDEN
+        a = q @ k.transpose(0, 2, 1) + _HIDDEN[:wide, :wide]
         a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         seen = a @ v
@@ -276,24 +286,46 @@ def attend(m: Model, read: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ..
     return x, q, k, v, a, total, y
 
 
-def decisions(m: Model, tree: Tree, h: np.ndarray, aim: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The path of each aim below its output: nodes, ways, first of each path, outputs, node rows, logits."""
+class Decisions(NamedTuple):
+    """The paths of some aims: nodes, ways and logits, the first of each path, and which aim each is of.
+
+    ``cell`` is the place of a frequent node in the matrix of outputs and ``TOP`` nodes; ``tail`` are the other
+    decisions, with their node rows in ``units``.
+    """
+
+    node: np.ndarray
+    way: np.ndarray
+    z: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+    cell: np.ndarray
+    tail: np.ndarray
+    units: np.ndarray
+
+
+def decisions(m: Model, tree: Tree, h: np.ndarray, aim: np.ndarray) -> Decisions:
+    """The path of each aim below its output."""
     length = tree.length.take(aim)
     first = np.cumsum(length) - length
-    at = np.arange(length.sum()) + np.repeat(tree.start.take(aim) - first, length)
+    of = np.repeat(np.arange(len(aim)), length)
+    at = np.arange(len(of)) + (tree.start.take(aim) - first).take(of)
     node, way = tree.node.take(at), tree.way.take(at)
-    from_, units = np.repeat(h, length, 0), _rows(m["node"], node)
-    z = (from_ * units) @ _WIDE_ONES
+    low = len(m["node"]) - TOP
+    tail = np.flatnonzero(node < low)
+    cell = of * TOP + (node - low)
+    z = (h @ m["node"][low:].T).ravel().take(cell, mode="clip")
+    units = _rows(m["node"], node[tail])
+    z[tail] = (h.take(of[tail], 0) * units) @ _WIDE_ONES
     z *= way
-    return node, way, first, from_, units, np.clip(z, -20, 20, out=z)
+    return Decisions(node, way, np.clip(z, -20, 20, out=z), first, of, cell, tail, units)
 
 
 def log_probabilities(m: Model, tree: Tree, h: np.ndarray, aim: np.ndarray) -> np.ndarray:
     """The log of the probability of each aim, given the output that reads up to it."""
-    _, _, first, _, _, z = decisions(m, tree, h, aim)
+    d = decisions(m, tree, h, aim)
     # Logits are bounded, so a path's product stays in range; one logarithm serves the path.
-    np.negative(z, out=z)
-    return -np.log(np.multiply.reduceat(1 + np.exp(z, out=z), first, dtype=np.float64))
+    z = np.negative(d.z, out=d.z)
+    return -np.log(np.multiply.reduceat(1 + np.exp(z, out=z), d.first, dtype=np.float64))
 
 
 def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,20 +361,25 @@ def text_scores(m: Model, tree: Tree, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def stretches(words: list[bytes], coder: Subwords, round_: int, share: int = SHARE) -> Iterator[np.ndarray]:
-    """Ids of the stretches of a text that are learned from in a round, each after the id before it, in runs of a window at most."""
+    """Ids of the stretches of a text that are learned from in its round, each after the id before it, in runs of a window at most.
+
+    All stretches of a text have the same round, so that a text is turned into ids once.
+    """
+    if crc32(b" ".join(words)) % ROUNDS != round_:
+        return
     number = max(1, -(-len(words) // STRIDE))
     sure = crc32(b" ".join(words[:READ])) % number
+    coder.learn(dict.fromkeys(words))
+    parts = list(map(coder.__getitem__, words))
+    end = np.uint16(END).tobytes()
+    ids = np.frombuffer(b"".join((end, *parts, end)), np.uint16)
+    edges = [1, *(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 2 + 1).tolist()]
     for k in range(number):
-        some = words[k * STRIDE : k * STRIDE + READ]
-        draw = crc32(b" ".join(some)) >> 8
-        if draw % share == 0 or k == sure:
-            if draw // share % ROUNDS == round_:
-                before = coder[words[k * STRIDE - 1]][-2:] if k else np.uint16(END).tobytes()
-                end = np.uint16(END).tobytes() if k * STRIDE + READ >= len(words) else b""
-                coder.learn(dict.fromkeys(some))
-                ids = np.frombuffer(before + b"".join(map(coder.__getitem__, some)) + end, np.uint16)
-                for begin in range(0, len(ids) - 1, WINDOW):
-                    yield ids[begin : begin + WINDOW + 1]
+        if share > 1 and k != sure and (crc32(b" ".join(words[k * STRIDE : k * STRIDE + READ])) >> 8) % share:
+            continue
+        begin, stop = edges[k * STRIDE] - 1, edges[k * STRIDE + READ] if k * STRIDE + READ < len(words) else len(ids)
+        for at in range(begin, stop - 1, WINDOW):
+            yield ids[at : min(at + WINDOW + 1, stop)]
 
 
 class Trainer:
@@ -354,53 +391,73 @@ class Trainer:
         self.touched = {name: np.zeros(len(v), np.int64) for name, v in self.m.items()}
 
     def _step(self, name: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-        by = np.argsort(at, kind="stable")
+        by = np.argsort(at.astype(np.uint16), kind="stable")  # no table has more rows; short numbers are sorted by their digits
         at = at[by]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        g, at = np.add.reduceat(g[by], first, 0), at[first]
-        self.seen[name][at] += np.einsum("ij,ij->i", g, g) / WIDTH
-        self.m[name][at] -= (rate / np.sqrt(self.seen[name][at]))[:, None] * g
+        g, at = np.add.reduceat(g.take(by, 0), first, 0), at[first]
+        seen = self.seen[name][at] + np.einsum("ij,ij->i", g, g) / WIDTH
+        self.seen[name][at] = seen
+        self.m[name][at] -= (rate / np.sqrt(seen))[:, None] * g
         self.touched[name][at] += 1
 
     def learn(self, batch: list[np.ndarray]) -> float:
         """One step; gives the loss per id before it."""
         m = self.m
-        read, aim = np.full((len(batch), WINDOW), END, np.int64), np.zeros((len(batch), WINDOW), np.int64)
-        use = np.zeros((len(batch), WINDOW), bool)
-        for i, ids in enumerate(batch):
-            n = len(ids) - 1  # WINDOW at most
-            read[i, :n], aim[i, :n], use[i, :n] = ids[:n], ids[1 : n + 1], True
+        n = np.fromiter(map(len, batch), np.int64, len(batch)) - 1  # WINDOW at most
+        flat = np.concatenate(batch).astype(np.int64)
+        places = (np.cumsum(n + 1) - n - 1)[:, None] + np.arange(n.max())
+        use = np.arange(n.max()) < n[:, None]
+        read = np.where(use, flat.take(places, mode="clip"), END)
         before = np.concatenate((np.full((len(batch), 1), END), read[:, :-1]), 1)
         pair = pair_of(read, before)
         x, q, k, v, a, total, y = attend(m, read, pair)
-        a = a / total
-        node, way, first, from_, units, z = decisions(m, self.tree, y[use], aim[use])
-        error = -way / (1 + np.exp(z))
+        a /= total
+        used = np.flatnonzero(use)
+        narrow = lambda g: g.reshape(-1, WIDTH)
+        h = narrow(y).take(used, 0)
+        d = decisions(m, self.tree, h, flat.take(places.ravel().take(used) + 1))
+        e = np.exp(d.z)
+        error = -d.way / (1 + e)
+        low = len(m["node"]) - TOP
+        high = np.flatnonzero(d.node >= low)
+        grid = np.zeros(len(h) * TOP, np.float32)
+        grid[d.cell[high]] = error[high]
+        grid = grid.reshape(-1, TOP)
+        dh = grid @ m["node"][low:]
+        of, some = d.of[d.tail], error[d.tail, None]
+        if len(of):
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            dh[of[first]] += np.add.reduceat(some * d.units, first, 0)
+        dh[:, 0] = 0
         dy = np.zeros_like(y)
-        dy[use] = np.add.reduceat(error[:, None] * units, first, 0)
-        dy[..., 0] = 0
+        narrow(dy)[used] = dh
         da = dy @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dy
-        dx = dy + dq @ m["q"].T + dk @ m["k"].T + dv @ m["v"].T
-        flat = lambda g: g.reshape(-1, WIDTH)
-        maps = {name: flat(x).T @ flat(g) for name, g in (("q", dq), ("k", dk), ("v", dv))}
-        for name, g in (*maps.items(), ("place", dx.sum(0))):
+        da -= (da * a).sum(-1, keepdims=True)
+        da *= a
+        back = np.concatenate((da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dy), 2).reshape(-1, 3 * WIDTH)
+        dx = narrow(dy) + back @ np.concatenate((m["q"], m["k"], m["v"]), 1).T
+        maps = np.split(narrow(x).T @ back, 3, 1)
+        for name, g in (*zip("qkv", maps, strict=True), ("place", dx.reshape(y.shape).sum(0))):
             self._step(name, np.arange(len(g)), g, 0.3 * self.rate)
-        self._step("node", node, error[:, None] * from_, self.rate)
-        self._step("own", read.ravel(), flat(dx), self.rate)
-        self._step("pair", pair.ravel(), flat(dx), self.rate)
-        return float(np.log1p(np.exp(-z)).sum() / use.sum())
+        met = np.flatnonzero(np.bincount(d.node[high] - low, minlength=TOP))
+        self._step("node", np.concatenate((met + low, d.node[d.tail])), np.concatenate(((grid.T @ h)[met], some * h.take(of, 0))), self.rate)
+        dx = dx.take(used, 0)
+        self._step("own", read.ravel().take(used), dx, self.rate)
+        self._step("pair", pair.ravel().take(used), dx, self.rate)
+        return float((np.log1p(e) - d.z).sum() / len(used))
 
     def learn_all(self, texts: Iterable[np.ndarray]) -> None:
-        batch = []
+        """Runs of a few ids, of which there are many, make steps of their own: less of their windows is empty."""
+        long, short = [], []
         for ids in texts:
+            batch = long if len(ids) > FEW + 1 else short
             batch.append(ids)
-            if len(batch) == BATCH:
+            if len(batch) == (BATCH if batch is long else BATCH * WINDOW // FEW):
+                self.learn(batch)
+                batch.clear()
+        for batch in (long, short):
+            if batch:
                 self.learn(batch)
-                batch = []
-        if batch:
-            self.learn(batch)
 
     def touched_rows(self) -> np.ndarray:
         return np.concatenate([self.touched[name] for name in _SIZES])

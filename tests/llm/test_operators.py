@@ -860,6 +860,24 @@ def test_lm_beats_the_unigram_on_held_out_texts(spark):
     assert len(got) > 200 and own > 0.8 * base > base
 
 
+def test_lm_turns_a_text_into_ids_in_one_round_only():
+    """Texts are dealt to the rounds whole, and each round has some."""
+    coder = lm_scoring.Subwords(open(lm_scoring.VOCABULARY, "rb").read())
+    texts = [[f"w{j}x{k}".encode() for j in range(100)] for k in range(40)]
+    has = [[any(True for _ in lm_scoring.stretches(t, coder, r)) for r in range(lm_scoring.ROUNDS)] for t in texts]
+    assert all(sum(x) == 1 for x in has) and all(map(any, zip(*has, strict=True)))
+
+
+def test_lm_short_runs_make_steps_of_their_own():
+    """A step over runs of a few ids has windows as wide as the longest of them, and no id is left out."""
+    trainer, wide = lm_scoring.Trainer(*a_model()), []
+    attend = lm_scoring.attend
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_scoring, "attend", lambda m, read, pair: wide.append(read.shape) or attend(m, read, pair))
+        trainer.learn_all([np.arange(4 if k % 2 else 33) for k in range(10)])
+    assert sorted(wide) == [(5, 3), (5, 32)]
+
+
 def test_lm_learns_from_every_stretch_by_default():
     """No part of a training text is left out: each stretch has its round."""
     coder = lm_scoring.Subwords(open(lm_scoring.VOCABULARY, "rb").read())
