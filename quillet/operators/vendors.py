@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import cut
 from .duplicates import normalize_vendor
 
 SIMILAR = 0.85
@@ -44,13 +45,23 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["tenant", "known", "name"]].assign(similarity=pd.Series(scores, batch.index, float))
 
 
-def similar_names(known: DataFrame, names: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(tenant, known, name, similarity) of the pairs from ``least`` on; both have tenant and the name.
+def together(grams: str, k: int) -> Column:
+    """The 3-grams of a sorted list, or with ``k`` = 2 all pairs of them, the smaller one first."""
+    if k == 1:
+        return F.col(grams)
+    after = lambda i: F.slice(F.col(grams), i + 2, F.size(grams))
+    return F.flatten(F.transform(grams, lambda x, i: F.transform(after(i), lambda y: F.concat(x, y))))
+
+
+def names_to_score(known: DataFrame, names: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(tenant, known, name) of the pairs that can reach ``least``, each once.
 
-    Only pairs that can reach the limit are scored: a name must share ceil(least * n) of
-    a known name's n different 3-grams, so it holds one of the n - that + 1 rarest.
-    Joined on these, no pair is lost and frequent 3-grams are seldom a key.
+    A name must share ceil(least * n) = t of a known name's n
+    different 3-grams, so it holds k of the n - t + k rarest.  Names meet on ``k`` of these at once (two, where a
+    limit above a half asks for two at least), so that names of the same few letters or digits seldom meet; their
+    common 3-grams are counted as they meet, and no pair is lost.
     """
+    k = 2 if least > 0.5 else 1
     grams = lambda df, to: df.select("tenant", F.col(to), F.array_distinct(trigrams(F.col(to))).alias("grams"))
     flat = grams(names, "name").select("tenant", "name", F.explode("grams").alias("gram"))
     often = flat.groupBy("tenant", "gram").agg(F.count("*").alias("n"))
@@ -58,9 +69,18 @@ def similar_names(known: DataFrame, names: DataFrame, least: float = SIMILAR) ->
     ranked = own.join(often, ["tenant", "gram"], "left").withColumn(
         "place", F.row_number().over(W.partitionBy("tenant", "known").orderBy(F.coalesce("n", F.lit(0)), "gram"))
     )
-    rare = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    met = rare.join(flat, ["tenant", "gram"]).select("tenant", "known", "name").distinct()
-    ready = met.select("*", trigrams(F.col("known")).alias("asked"), trigrams(F.col("name")).alias("run"))
+    rare = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + k)
+    keyed = lambda df, to: df.groupBy("tenant", to).agg(F.sort_array(F.collect_set("gram")).alias("l")).select("tenant", to, F.explode(together("l", k)).alias("key"))
+    left = keyed(rare, "known").withColumn("asked", F.array_distinct(trigrams(F.col("known"))))
+    right = keyed(flat.join(rare.select("tenant", "gram").distinct(), ["tenant", "gram"], "left_semi"), "name")
+    right = right.withColumn("held", F.array_distinct(trigrams(F.col("name"))))
+    enough = F.size(F.array_intersect("asked", "held")) >= F.ceil(F.size("asked") * least)
+    return left.join(right, ["tenant", "key"]).filter(enough).select("tenant", "known", "name").distinct()
+
+
+def similar_names(known: DataFrame, names: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(tenant, known, name, similarity) of the pairs from ``least`` on; both have tenant and the name."""
+    ready = names_to_score(known, names, least).select("*", trigrams(F.col("known")).alias("asked"), trigrams(F.col("name")).alias("run"))
     kind = known.schema["tenant"].dataType.simpleString()
     scored = ready.mapInPandas(_scored, f"tenant {kind}, known string, name string, similarity double")
     return scored.filter(F.col("similarity") >= least)
@@ -79,8 +99,9 @@ def resolve_vendors(names: DataFrame, aliases: DataFrame | None = None, least: f
     profiles themselves is one; chains are not followed.
     """
     keyed = names.withColumn("vendor", normalize_vendor(F.col("merchant_vendor"))).groupBy("tenant", "vendor").agg(F.min("seen").alias("seen"))
+    keyed = cut(keyed)  # different names only, read many times
     none = keyed.select("tenant", F.col("vendor").alias("alias"), F.col("vendor").alias("profile")).limit(0)
-    known = none if aliases is None else aliases.select("tenant", "alias", "profile")
+    known = none if aliases is None else cut(aliases.select("tenant", "alias", "profile"))
     exact = keyed.join(known.withColumnRenamed("alias", "vendor"), ["tenant", "vendor"])
     exact = exact.select("tenant", "vendor", "profile", F.lit("EXACT").alias("how"), F.lit(1.0).alias("similarity"))
     rest = keyed.join(known.select("tenant", F.col("alias").alias("vendor")), ["tenant", "vendor"], "left_anti")
@@ -95,6 +116,7 @@ def resolve_vendors(names: DataFrame, aliases: DataFrame | None = None, least: f
     earlier = pairs.join(seen("known"), ["tenant", "known"]).join(seen("name"), ["tenant", "name"]).filter(
         (F.col("known_seen") < F.col("name_seen")) | ((F.col("known_seen") == F.col("name_seen")) & (F.col("known") < F.col("name")))
     )
+    earlier = cut(earlier)
     later = earlier.select("tenant", F.col("name").alias("known")).distinct()
     to_profile = earlier.join(later, ["tenant", "known"], "left_anti")
     first = to_profile.groupBy("tenant", "name").agg(

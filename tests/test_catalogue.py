@@ -1,5 +1,6 @@
 """Small cases and brute force for what SQL twins leave open: edges, windows, recall, scopes."""
 
+import math
 import re
 from difflib import SequenceMatcher
 
@@ -250,3 +251,13 @@ def test_claim_search_covers_all_reviewers(spark):
     found = plans.lif_10_search(spark, "/root/testdata/sf0.001").select("claim_id")
     reviewers = {r[0] for r in plans._claims(spark, "/root/testdata/sf0.001").join(found, "claim_id", "left_semi").select("reviewer_id").distinct().collect()}
     assert len(reviewers) > 1 and "reviewer_id = 3" not in registry.oracle_sql()["lif_10_search"]
+
+
+def test_vendor_names_meet_on_two_rare_grams(spark):
+    """No similar pair is lost, and names of the same few digits are not all listed as pairs."""
+    names = [f"shop {k}" for k in range(10000, 40000, 97)]
+    df = spark.createDataFrame([(1, n) for n in names], "tenant int, known string")
+    met = {(r.known, r.name) for r in vendors.names_to_score(df, df.withColumnRenamed("known", "name"), 0.8).collect()}
+    grams = {n: [f"  {w} "[k : k + 3] for w in n.split() for k in range(len(w) + 1)] for n in names}
+    enough = {(a, b) for a in names for b in names if len(set(grams[a]) & set(grams[b])) >= math.ceil(len(set(grams[a])) * 0.8)}
+    assert met == enough and len(met) < 10 * len(names)
