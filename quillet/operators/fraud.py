@@ -23,13 +23,13 @@ def _before(*keys: str):
     return W.partitionBy(*keys).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
 
 
-def screen_fraud(items: DataFrame) -> DataFrame:
-    """Flags, risk score, level and action of every item (FRD-1 to FRD-7)."""
+def screen_fraud(items: DataFrame, parts: int | None = None) -> DataFrame:
+    """Flags, risk score, level and action of every item (FRD-1 to FRD-7); ``parts`` is the number of tasks that employees are dealt to."""
     live = F.coalesce(F.col("status") != "Rejected", F.lit(True))
     same_day = _before("employee_id", "_vendor", "expense_date")
     f = items.withColumn("_vendor", vendor_key(F.coalesce("merchant_vendor", F.lit(""))))
     # All windows share the employee prefix: one exchange, then sorts.
-    f = f.repartition("employee_id").withColumns(
+    f = (f.repartition("employee_id") if parts is None else f.repartition(parts, "employee_id")).withColumns(
         {
             "_twins": F.count(F.when(live, 1)).over(_before("employee_id", "_vendor", "expense_date", "amount_usd")),
             "_same_day": F.count(F.when(live, 1)).over(same_day),

@@ -47,14 +47,17 @@ def route_items(judged: DataFrame) -> DataFrame:
     return judged.withColumn("route", F.when(fraud, "Fraud_Flag").when(hold, "Policy_Hold").otherwise("Auto_Approved"))
 
 
-def hold_reasons(routed: DataFrame) -> DataFrame:
-    """Why items of a claim are held, in line order (LIF-2)."""
+def hold_reasons(routed: DataFrame, parts: int | None = None) -> DataFrame:
+    """Why items of a claim are held, in line order (LIF-2); ``parts`` is the number of tasks that claims are dealt to."""
     broken = F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["rule_id"]), ",")
     reason = F.when(F.col("route") == "Fraud_Flag", F.array_join("flags", ",")).when(
         F.col("route") == "Policy_Hold", F.when(broken != "", broken).otherwise(F.lit("Held for manual review."))
     )
     line = F.when(reason.isNotNull(), F.struct("line_number", F.concat(F.lit("Item #"), F.col("line_number"), F.lit(" ("), F.col("category"), F.lit("): "), reason).alias("t")))
-    return routed.groupBy("claim_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]), "; ").alias("hold_reasons"))
+    lines = routed.select("claim_id", line.alias("line"))
+    if parts is not None:
+        lines = lines.repartition(parts, "claim_id")
+    return lines.groupBy("claim_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["t"]), "; ").alias("hold_reasons"))
 
 
 def roll_up_claims(routed: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def audited_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their policy report, fraud screen and route."""
     judged = policy.evaluate_expense_policy(tables.expense_items(spark, sf_dir), policy.seed_rules(spark))
-    return lifecycle.route_items(fraud.screen_fraud(judged))
+    return lifecycle.route_items(fraud.screen_fraud(judged, tables.task_count(spark, sf_dir)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,12 @@ def pol_12_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frd_07_screen_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FRD-1 to FRD-7."""
-    s = fraud.screen_fraud(tables.expense_items(spark, sf_dir))
+    s = fraud.screen_fraud(tables.expense_items(spark, sf_dir), tables.task_count(spark, sf_dir))
     return s.select("item_id", "risk_score", "risk_score_capped", "risk_level", "recommended_action", "is_flagged", F.array_join("flags", ",").alias("flags"))
 
 
 def frd_08_claim_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fraud.claim_fraud(fraud.screen_fraud(tables.expense_items(spark, sf_dir)))
+    return fraud.claim_fraud(fraud.screen_fraud(tables.expense_items(spark, sf_dir), tables.task_count(spark, sf_dir)))
 
 
 def lif_01_route_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def lif_01_route_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lif_02_hold_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.hold_reasons(audited_items(spark, sf_dir))
+    return lifecycle.hold_reasons(audited_items(spark, sf_dir), tables.task_count(spark, sf_dir))
 
 
 def lif_03_claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ def dup_15_same_day_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_16_same_file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.same_file_hash(U.with_keys(tables.fingerprints(spark, sf_dir)))
+    return U.same_file_hash(U.with_keys(tables.fingerprints(spark, sf_dir)), tables.task_count(spark, sf_dir))
 
 
 def txt_03_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
