@@ -41,19 +41,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[t
         yield rows, numbered(rows)
 
 
+def near_rows(group: np.ndarray, day: np.ndarray, days: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the rows of each row's group that are ``days`` apart at most; rows are ordered by group and day."""
+    at = group * (int(day.max(initial=0)) - int(day.min(initial=0)) + days + 1) + day
+    return np.searchsorted(at, at - days, "left"), np.searchsorted(at, at + days, "right")
+
+
 def near_pairs(group: np.ndarray, day: np.ndarray, item: np.ndarray, days: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of a group, ``days`` apart at most, j of lower item; rows are ordered by group, day and item.
 
     About ``PAIRS`` at a time, all of a row i together and in order of j.
     """
-    if not len(group):
-        return
-    at = group * (int(day.max()) - int(day.min()) + days + 1) + day - day.min()
-    low, high = np.searchsorted(at, at - days, "left"), np.searchsorted(at, at + days, "right")
+    low, high = near_rows(group, day, days)
     count = high - low
     ends = np.cumsum(count)
     begin = 0
-    while begin < len(at):
+    while begin < len(item):
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
         n = count[begin:end]
         i = np.repeat(np.arange(begin, end), n)
@@ -88,12 +91,11 @@ class Texts:
         self.width = int(code.max(initial=0)) + 2
         pad = self.width - 1  # in no text
         short = place < _WORD
-        masks = np.zeros((len(texts), self.width), np.uint64)
-        np.bitwise_or.at(masks, (row[short], code[short]), np.uint64(1) << place[short].astype(np.uint64))
-        self.flat = masks.ravel()
-        self.grid = np.full((len(texts), min(int(n.max(initial=0)), _WORD)), pad)
-        self.grid[row[short], place[short]] = code[short]
-        self.steps = np.ascontiguousarray(self.grid.T)
+        row, place, code = (x[short] for x in (row, place, code))
+        self.flat = np.zeros(len(texts) * self.width, np.uint64)
+        np.bitwise_or.at(self.flat, row * self.width + code, np.uint64(1) << place.astype(np.uint64))
+        self.steps = np.full((min(int(n.max(initial=0)), _WORD), len(texts)), pad)  # the characters of all texts at a place
+        self.steps.ravel()[place * len(texts) + row] = code
 
     def bounds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Upper bounds of the ratios of texts x and y (numbers): their longest common subsequence holds all matching blocks.
@@ -123,7 +125,7 @@ class Texts:
 
     def _matched(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Characters in the matching blocks: the longest run that both hold, the first of equals, then those left and right of it."""
-        alike = self.flat[(y * self.width)[:, None] + self.grid[x]]  # for each place of x, where y has its character
+        alike = self.flat[y * self.width + self.steps[: int(self.n[x].max()), x]]  # for each place of x, where y has its character
         out = np.zeros(len(x), np.int64)
         pair, a0, a1, b0, b1 = np.arange(len(x)), np.zeros(len(x), np.int64), self.n[x], np.zeros(len(x), np.int64), self.n[y]
         while len(pair):
@@ -145,32 +147,35 @@ class Texts:
 def _longest(alike: np.ndarray, p: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and begin of the longest common run of each region; runs of twice the size are those that follow each other."""
     one, full = np.uint64(1), ~np.uint64(0)
-    cols = np.arange(int((a1 - a0).max()))
+    cols = np.arange(int((a1 - a0).max()))[:, None]
     ends = (full >> (_WORD - b1).astype(np.uint64)) & ~((one << b0.astype(np.uint64)) - one)
-    runs = alike[p[:, None], np.minimum(a0[:, None] + cols, alike.shape[1] - 1)] & ends[:, None]
-    runs[cols >= (a1 - a0)[:, None]] = 0
+    runs = alike.ravel()[np.minimum(a0 + cols, len(alike) - 1) * alike.shape[1] + p] & np.where(cols < a1 - a0, ends, np.uint64(0))
+    held = lambda runs: np.bitwise_or.reduce(runs, 0) != 0
 
     def followed(by: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
-        out = np.zeros_like(by)
-        np.bitwise_and(by[:, m:], first[:, :-m] << np.uint64(m), out=out[:, m:])
+        out = np.empty_like(by)
+        out[:m] = 0
+        np.left_shift(first[:-m], np.uint64(m), out=out[m:])
+        out[m:] &= by[m:]
         return out
 
-    powers, best, size = [runs], runs, runs.any(1).astype(np.int64)
+    powers, best = [runs], runs
+    size = held(runs).astype(np.int64)
     while (m := 1 << (len(powers) - 1)) < len(cols):
         runs = followed(runs, runs, m)
-        more = runs.any(1)
+        more = held(runs)
         if not more.any():
             break
         powers.append(runs)
-        best = np.where(more[:, None], runs, best)
+        best = np.where(more, runs, best)
         size[more] = 2 * m
     for m in (1 << k for k in range(len(powers) - 2, -1, -1)):
         runs = followed(powers[m.bit_length() - 1], best, m)
-        more = runs.any(1) & (size > m)
-        best = np.where(more[:, None], runs, best)
+        more = held(runs) & (size > m)
+        best = np.where(more, runs, best)
         size[more] += m
-    i = (best != 0).argmax(1)
-    bits = best[np.arange(len(p)), i]
+    i = (best != 0).argmax(0)
+    bits = best[i, np.arange(len(p))]
     j = np.bitwise_count((bits & (~bits + one)) - one).astype(np.int64)
     return size, a0 + i - size + 1, j - size + 1
 
