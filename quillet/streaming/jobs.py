@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -104,9 +104,20 @@ class _Alerts(StatefulProcessor):
         new = np.concatenate([r[["us", "item_id", "employee_id"]].to_numpy(np.int64) for r in rows])
         held, until = self.kept.get() if self.kept.exists() else (b"", None)
         every = np.concatenate([np.frombuffer(held, np.int64).reshape(-1, 3), new])
-        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        every, fresh = every[order], order >= len(every) - len(new)
+        at = every[:, 0]
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - _DAY
+        if until is not None:
+            self.handle.deleteTimer(until)
+        until = int(at[-1] + _DAY) // 1000 + 1
+        self.handle.registerTimer(until)
+        self.kept.update((every[at >= oldest].tobytes(), until))
+        yield from self.found(every, fresh, np.searchsorted(at, at - _DAY, "left"), np.searchsorted(at, at, "right"))
+
+    def found(self, every: np.ndarray, fresh: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Rows of receipts that the new ones among them change; begin and end of the day up to each."""
         at, item, who = every.T
-        begin, end = np.searchsorted(at, at - _DAY, "left"), np.searchsorted(at, at, "right")
         # Those of the same employee: places in an order by employee, then time.
         by = np.lexsort((at, who))
         bounds = np.flatnonzero(np.r_[True, np.diff(who[by]) != 0, True])
@@ -119,13 +130,7 @@ class _Alerts(StatefulProcessor):
         after = np.r_[np.flatnonzero(np.diff(who)) + 1, len(who)]
         run_end = after[np.searchsorted(after, np.arange(len(who)), "right")]
         first = np.where(who[begin] != who, begin, run_end[begin])
-        told = (at >= new[:, 0].min()) & (links > 0)
-        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - _DAY
-        if until is not None:
-            self.handle.deleteTimer(until)
-        until = int(at[-1] + _DAY) // 1000 + 1
-        self.handle.registerTimer(until)
-        self.kept.update((every[at >= oldest].tobytes(), until))
+        told = (at >= at[fresh].min()) & (links > 0)
         yield pd.DataFrame({"item_id": item[told], "first_id": item[first[told]], "links": links[told]})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -136,16 +141,50 @@ class _Alerts(StatefulProcessor):
         pass
 
 
+#: Pairs that are handed on together.
+_PAIRS = 1 << 20
+
+
+class _Pairs(_Alerts):
+    """Every pair that a new receipt makes, by bounded parts."""
+
+    def found(self, every: np.ndarray, fresh: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[pd.DataFrame]:
+        at, item, who = every.T
+        ends = np.cumsum(end - begin)
+        x = int(np.searchsorted(at, at[fresh].min()))  # none before has a new receipt in the day up to it
+        while x < len(at):
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + _PAIRS, "right")))
+            n = (end - begin)[x:y]
+            i = np.repeat(np.arange(x, y), n)
+            j = np.arange(len(i)) + np.repeat(begin[x:y] - (np.cumsum(n) - n), n)
+            pair = (who[i] != who[j]) & (fresh[i] | fresh[j])
+            if pair.any():
+                yield pd.DataFrame({"item_id": item[i[pair]], "other_id": item[j[pair]]})
+            x = y
+
+
+def _of_vendor_and_amount(receipts: DataFrame, delay: str) -> GroupedData:
+    receipts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    timed = receipts.withWatermark("ts", delay).dropna(subset=["ts", "vendor", "amount_usd", "employee_id", "item_id"])
+    rows = timed.select("vendor", "amount_usd", "ts", F.unix_micros("ts").alias("us"), "item_id", "employee_id")
+    return rows.groupBy("vendor", "amount_usd")
+
+
 def stream_alerts(receipts: DataFrame, delay: str = "1 day") -> DataFrame:
     """(item_id, first_id, links) of each receipt with equal ones of other employees in the day up to it: the earliest and their number (STR-5).
 
     One row for an item instead of its pairs, for update mode: a late receipt gives the rows that it changes anew.  State is
     the receipts of the day before the watermark and later, so every row that can still change is counted whole.
     """
-    receipts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    timed = receipts.withWatermark("ts", delay).dropna(subset=["ts", "vendor", "amount_usd", "employee_id", "item_id"])
-    rows = timed.select("vendor", "amount_usd", "ts", F.unix_micros("ts").alias("us"), "item_id", "employee_id")
-    return rows.groupBy("vendor", "amount_usd").transformWithStateInPandas(_Alerts(), "item_id long, first_id long, links long", "update", "EventTime")
+    return _of_vendor_and_amount(receipts, delay).transformWithStateInPandas(_Alerts(), "item_id long, first_id long, links long", "update", "EventTime")
+
+
+def stream_alert_pairs(receipts: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(item_id, other_id): every equal receipt of another employee in the day up to each, once, when the later to come of the two comes (STR-5).
+
+    Pairs grow with the square of equal receipts; state is those of a day, as for ``stream_alerts``, and no more than some of a receipt's pairs are held.
+    """
+    return _of_vendor_and_amount(receipts, delay).transformWithStateInPandas(_Pairs(), "item_id long, other_id long", "append", "EventTime")
 
 
 _MOVES = "claim_id long, event_id long, from_status string, to_status string, accepted boolean"
